@@ -25,7 +25,7 @@ def _long(df1row: DataFrame, checks: list[tuple[str, str, str]]) -> DataFrame:
 def sanity_checks(labels: DataFrame, dataset: DataFrame, cutoff: int) -> DataFrame:
     """Row count preserved, key unique, churn rate (5-15 % band warns),
     max last date <= cutoff, coverage, min/max/mean of two day columns."""
-    n_labels = labels.agg(F.count(F.lit(1)).alias("n_labels"))
+    n_labels = labels.count()  # one scalar
     d = dataset.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("msno").alias("n_keys"),
         F.avg("is_churn").alias("churn_rate"), F.max("last_transaction_date").alias("max_last"),
@@ -33,8 +33,7 @@ def sanity_checks(labels: DataFrame, dataset: DataFrame, cutoff: int) -> DataFra
         F.min("membership_remaining_days").alias("mrd_min"), F.max("membership_remaining_days").alias("mrd_max"),
         F.avg("membership_remaining_days").alias("mrd_mean"), F.min("tenure_days_at_cutoff").alias("ten_min"),
         F.max("tenure_days_at_cutoff").alias("ten_max"), F.avg("tenure_days_at_cutoff").alias("ten_mean"))
-    both = d.join(n_labels, how="left")  # two one-row aggregates
-    s = both.select(
+    s = d.withColumn("n_labels", F.lit(n_labels)).select(
         "*",
         F.when(F.col("n_rows") == F.col("n_labels"), "PASS").otherwise("FAIL").alias("s_rows"),
         F.when(F.col("n_rows") == F.col("n_keys"), "PASS").otherwise("FAIL").alias("s_keys"),
@@ -70,8 +69,10 @@ def cleaning_counts(mf: DataFrame, tf: DataFrame) -> DataFrame:
         F.count_if(F.col("tenure_days_at_cutoff") < 0).alias("n_future_registration"),
         F.sum("gender_missing").cast("bigint").alias("n_gender_missing"))
     t = tf.agg(F.sum("membership_expire_date_invalid").cast("bigint").alias("n_expire_invalid"),
-               F.count(F.lit(1)).alias("n_txn_customers"))
-    return m.join(t, how="left").select(  # two one-row aggregates
+               F.count(F.lit(1)).alias("n_txn_customers")).first()  # two scalars
+    m = m.withColumn("n_expire_invalid", F.lit(t["n_expire_invalid"]).cast("bigint")) \
+         .withColumn("n_txn_customers", F.lit(t["n_txn_customers"]).cast("bigint"))
+    return m.select(
         "n_members", "n_bd_invalid", (F.col("n_bd_invalid") * 100.0 / F.col("n_members")).alias("pct_bd_invalid"),
         "n_via_unknown", (F.col("n_via_unknown") * 100.0 / F.col("n_members")).alias("pct_via_unknown"),
         "n_future_registration", "n_gender_missing", "n_expire_invalid",
@@ -87,14 +88,13 @@ def label_rate_shift(union: DataFrame) -> DataFrame:
 
 def population_overlap(a: DataFrame, b: DataFrame, key: str = "msno") -> DataFrame:
     """Keys in both rounds (inner join) and in one only (anti joins)."""
-    ka, kb = a.select(key).distinct(), b.select(key).distinct()
-    both = ka.join(kb, key, "inner").agg(F.count(F.lit(1)).alias("n_both"))
-    only_a = ka.join(kb, key, "left_anti").agg(F.count(F.lit(1)).alias("n_only_v1"))
-    only_b = kb.join(ka, key, "left_anti").agg(F.count(F.lit(1)).alias("n_only_v2"))
-    na = ka.agg(F.count(F.lit(1)).alias("n_v1"))
-    nb = kb.agg(F.count(F.lit(1)).alias("n_v2"))
-    return (na.join(nb, how="left").join(both, how="left").join(only_a, how="left").join(only_b, how="left")
-            .select("n_v1", "n_v2", "n_both", "n_only_v1", "n_only_v2"))
+    ka = a.select(key).distinct().withColumn("_a", F.lit(True))
+    kb = b.select(key).distinct().withColumn("_b", F.lit(True))
+    j = ka.join(kb, key, "full")  # one shuffle per side on the key
+    in_a, in_b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    return j.agg(F.count_if(in_a).alias("n_v1"), F.count_if(in_b).alias("n_v2"),
+                 F.count_if(in_a & in_b).alias("n_both"), F.count_if(in_a & ~in_b).alias("n_only_v1"),
+                 F.count_if(in_b & ~in_a).alias("n_only_v2"))
 
 
 MEMBER_BLOCK = ["city", "gender_missing", "registered_via", "registration_init_time", "registration_year",

@@ -160,3 +160,19 @@ def classification_metrics(df: DataFrame, score: str, label: str = "is_churn", t
         F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0).alias("recall"),
         F.when(2 * tp + fp + fn > 0, 2.0 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"),
         "log_loss", "brier")
+
+
+def threshold_sensitivity(sweep: DataFrame, targets: list[float]) -> DataFrame:
+    """For each precision target, the High threshold the F5 rule would pick
+    (lowest threshold reaching it, else the first highest-precision one) and the
+    share targeted there.  ``targets`` x sweep is at most 7 x 19 rows."""
+    spark = sweep.sparkSession
+    t = spark.createDataFrame([(float(x),) for x in targets], "precision_target double")
+    fallback = sweep.agg(F.max_by("threshold", F.struct(F.col("precision"), -F.col("threshold"))).alias("fb")).first()["fb"]
+    hit = (t.join(sweep, sweep["precision"] >= t["precision_target"], "left")
+           .groupBy("precision_target").agg(F.min("threshold").alias("hit")))
+    chosen = hit.select("precision_target", F.coalesce("hit", F.lit(fallback)).alias("resulting_high_threshold"))
+    return chosen.join(sweep.select(F.col("threshold").alias("resulting_high_threshold"),
+                                    F.col("pct_targeted").alias("pct_targeted_at_that_threshold")),
+                       "resulting_high_threshold", "left").select(
+        "precision_target", "resulting_high_threshold", "pct_targeted_at_that_threshold")
