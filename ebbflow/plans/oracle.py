@@ -97,7 +97,7 @@ def chain(round_: str = "v2") -> str:
               ("plan_list_price", "latest_plan_list_price"), ("actual_amount_paid", "latest_actual_amount_paid"),
               ("is_auto_renew", "latest_is_auto_renew"), ("is_cancel", "latest_is_cancel"),
               ("membership_expire_date", "latest_membership_expire_date")]
-    return f"""WITH
+    return f"""WITH RECURSIVE
 o1 AS (
   SELECT *, CAST(CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 30
                       WHEN substr(o_orderpriority, 1, 1) = '3' THEN 90
@@ -248,3 +248,60 @@ def q(body: str, round_: str = "v2") -> str:
 def order_values(name: str, values: list[str]) -> str:
     rows = ", ".join(f"({_str(v)}, {i + 1})" for i, v in enumerate(values))
     return f"(SELECT * FROM (VALUES {rows}) t({name}, {name}_order))"
+
+
+def _calib_model_sql(m: str, score: str) -> str:
+    return f"""
+fb_{m} AS (SELECT CAST({score} AS DOUBLE) AS x, COUNT(*) * 1.0 AS n, SUM(is_churn) * 1.0 AS pos
+           FROM cs WHERE calib_split = 'calib_fit' GROUP BY 1),
+cb_{m} AS (SELECT *, SUM(pos) OVER (ORDER BY x) AS S, SUM(n) OVER (ORDER BY x) AS W, ROW_NUMBER() OVER (ORDER BY x) AS i
+           FROM fb_{m}),
+iso_{m} AS (SELECT i, x, MAX(mn) AS fit FROM (
+              SELECT a.i, a.x, b.i AS j, MIN((c.S - b.S + b.pos) / (c.W - b.W + b.n)) AS mn
+              FROM cb_{m} a JOIN cb_{m} b ON b.i <= a.i JOIN cb_{m} c ON c.i >= a.i GROUP BY a.i, a.x, b.i)
+            GROUP BY i, x),
+seg_{m} AS (SELECT x AS x0, fit AS y0, LEAD(x) OVER (ORDER BY x) AS x1, LEAD(fit) OVER (ORDER BY x) AS y1 FROM iso_{m}),
+ends_{m} AS (SELECT MIN(x) AS xmin, MAX(x) AS xmax, arg_min(fit, x) AS ymin, arg_max(fit, x) AS ymax FROM iso_{m}),
+nt_{m}(it, w, b) AS (
+  SELECT 0, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE)
+  UNION ALL
+  SELECT it + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb)
+  FROM (SELECT it, w, b, SUM((n * p - pos) * x) + w AS gw, SUM(n * p - pos) AS gb,
+               SUM(n * p * (1 - p) * x * x) + 1 AS hww, SUM(n * p * (1 - p) * x) AS hwb, SUM(n * p * (1 - p)) AS hbb
+        FROM (SELECT nt_{m}.it, nt_{m}.w, nt_{m}.b, fb_{m}.x, fb_{m}.n, fb_{m}.pos,
+                     1.0 / (1.0 + exp(-(nt_{m}.w * fb_{m}.x + nt_{m}.b))) AS p
+              FROM nt_{m}, fb_{m} WHERE nt_{m}.it < 40) z
+        GROUP BY it, w, b) y),
+platt_{m} AS (SELECT w, b FROM nt_{m} ORDER BY it DESC LIMIT 1),
+ap_{m} AS (
+  SELECT cs.msno, 1.0 / (1.0 + exp(-((SELECT w FROM platt_{m}) * {score} + (SELECT b FROM platt_{m})))) AS sig,
+         CASE WHEN {score} <= e.xmin THEN e.ymin WHEN {score} >= e.xmax THEN e.ymax
+              WHEN g.x1 = g.x0 THEN g.y0 ELSE g.y0 + ({score} - g.x0) * (g.y1 - g.y0) / (g.x1 - g.x0) END AS iso
+  FROM cs CROSS JOIN ends_{m} e LEFT JOIN seg_{m} g ON {score} >= g.x0 AND {score} < g.x1),
+cmp_{m} AS (
+  SELECT '{m}' AS model, AVG(({score} - is_churn) ^ 2) AS raw, AVG((sig - is_churn) ^ 2) AS sigmoid,
+         AVG((iso - is_churn) ^ 2) AS isotonic, COUNT(*) AS n_eval
+  FROM cs JOIN ap_{m} USING (msno) WHERE calib_split = 'calib_eval'),
+win_{m} AS (SELECT CASE WHEN isotonic < sigmoid THEN 'isotonic' ELSE 'sigmoid' END AS winner FROM cmp_{m})"""
+
+
+def calib_chain() -> str:
+    """Extra CTEs (append after :func:`chain`): calibration split, isotonic fit by
+    the max-min formula over fit-half score blocks, Platt fit by Newton
+    iterations in a recursive CTE, eval-half comparison, winner, and ``cal``
+    (pred + calib_split + both calibrated probabilities)."""
+    return f""",
+cs AS (SELECT pred.*, CASE WHEN {hash_u("msno || 'calib'")} < 0.5 THEN 'calib_fit' ELSE 'calib_eval' END AS calib_split FROM pred),
+{_calib_model_sql('full', 'risk_score_full')},
+{_calib_model_sql('proxy_controlled', 'risk_score_proxy_controlled')},
+cal AS (
+  SELECT cs.*, CASE WHEN (SELECT winner FROM win_full) = 'sigmoid' THEN f.sig ELSE f.iso END AS calibrated_probability,
+         CASE WHEN (SELECT winner FROM win_proxy_controlled) = 'sigmoid' THEN p.sig ELSE p.iso END
+           AS calibrated_probability_proxy_controlled
+  FROM cs JOIN ap_full f USING (msno) JOIN ap_proxy_controlled p USING (msno))
+"""
+
+
+def qc(body: str, round_: str = "v2") -> str:
+    """Chain + calibration CTEs + body (body may continue the WITH list with ', name AS ...')."""
+    return chain(round_).rstrip() + calib_chain() + body

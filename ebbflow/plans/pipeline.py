@@ -94,6 +94,41 @@ class Chain:
         from ebbflow.operators import segments
         return segments.customer_actions(self.value_tiers())
 
+    # -- calibration ------------------------------------------------------------
+    @cached_property
+    def calib_split(self) -> DataFrame:
+        from ebbflow.operators import calibration as CA
+        return CA.with_calib_split(self.predictions())
+
+    @cached_property
+    def calibrators(self) -> dict:
+        from ebbflow.operators import calibration as CA
+        return {"full": CA.Calibrator(self.calib_split, "risk_score_full"),
+                "proxy_controlled": CA.Calibrator(self.calib_split, "risk_score_proxy_controlled")}
+
+    def calibration_comparison(self) -> DataFrame:
+        from ebbflow.operators import calibration as CA
+        parts = [CA.method_comparison(self.calib_split, cal, m) for m, cal in self.calibrators.items()]
+        return parts[0].unionByName(parts[1])
+
+    @cached_property
+    def winners(self) -> dict:
+        from ebbflow.operators import calibration as CA
+        rows = CA.pick_winner(self.calibration_comparison()).collect()  # one row per model
+        return {r["model"]: r["winner"] for r in rows}
+
+    def calibrated(self) -> DataFrame:
+        """The winning calibrator of each model applied to every customer."""
+        df = self.calib_split
+        cals, win = self.calibrators, self.winners
+        df = cals["full"].add(df, win["full"], "calibrated_probability")
+        return cals["proxy_controlled"].add(df, win["proxy_controlled"], "calibrated_probability_proxy_controlled")
+
+    def lookup(self) -> DataFrame:
+        """The customer-360 table (segments + scores + value + calibrated)."""
+        from ebbflow.operators import serving
+        return serving.customer_360(self)
+
     def unpersist(self) -> None:
         if self.persist and "_scored" in self.__dict__:
             self._scored.unpersist()
