@@ -15,7 +15,7 @@ __all__ = [
     "clip_keep_null", "right_closed_bucket", "risk_tier", "segment_rule", "priority_group",
     "recommend_cell", "intensity_of", "key_risk_signal", "confusion_group", "id_search",
     "range_keep_null", "score_clip", "to_display_currency", "from_display_currency",
-    "fmt_compact_count", "fmt_percent", "fmt_probability", "score_range_label",
+    "fmt_compact_count", "fmt_percent", "py_fixed", "py_grouped", "fmt_probability", "score_range_label",
     "feature_display_fallback", "question_intent", "segment_intent", "as_category", "round6",
 ]
 
@@ -186,52 +186,54 @@ def from_display_currency(c: str | Column) -> Column:
     return col_or(c) / F.lit(C.CURRENCY_RATE)
 
 
-def _half_even_int(x: Column) -> Column:
-    return F.bround(x, 0).cast("bigint")
+def py_fixed(x: Column, decimals: int) -> Column:
+    """Python ``f"{x:.{d}f}"``: ``format_number`` rounds the exact binary value
+    half-to-even (as Python does); its grouping commas are removed."""
+    return F.regexp_replace(F.format_number(x, decimals), ",", "")
+
+
+def py_grouped(x: Column, decimals: int) -> Column:
+    """Python ``f"{x:,.{d}f}"`` (thousands separators)."""
+    return F.format_number(x, decimals)
 
 
 def fmt_compact_count(c: str | Column) -> Column:
-    """1.2B / 3.4M / 5.6K / 789 (one decimal, half-to-even as Python's format)."""
+    """1.23B / 4.56M / 7.8K / 1,234 style counts."""
     x = col_or(c).cast("double")
     ax = F.abs(x)
-
-    def one_dec(v: Column) -> Column:
-        return F.format_string("%.1f", F.bround(v, 1))
-
     return (
         F.when(x.isNull(), F.lit("—"))
-        .when(ax >= 1e9, F.concat(one_dec(x / 1e9), F.lit("B")))
-        .when(ax >= 1e6, F.concat(one_dec(x / 1e6), F.lit("M")))
-        .when(ax >= 1e3, F.concat(one_dec(x / 1e3), F.lit("K")))
-        .otherwise(F.format_string("%d", _half_even_int(x)))
+        .when(ax >= 1e9, F.concat(py_fixed(x / 1e9, 2), F.lit("B")))
+        .when(ax >= 1e6, F.concat(py_fixed(x / 1e6, 2), F.lit("M")))
+        .when(ax >= 1e3, F.concat(py_fixed(x / 1e3, 1), F.lit("K")))
+        .otherwise(py_grouped(x, 0))
     )
 
 
 def fmt_percent(c: str | Column, decimals: int = 1) -> Column:
-    """0..100 value -> "12.3%" with half-to-even rounding."""
+    """Value already in percent -> "12.3%"."""
     x = col_or(c).cast("double")
-    return F.when(x.isNull(), F.lit("—")).otherwise(
-        F.concat(F.format_string(f"%.{decimals}f", F.bround(x, decimals)), F.lit("%")))
+    return F.when(x.isNull(), F.lit("—")).otherwise(F.concat(py_fixed(x, decimals), F.lit("%")))
 
 
 def fmt_probability(c: str | Column) -> Column:
-    """Probability in [0,1] -> "<1%" below a displayed 1 %, ">99%" above 99 %,
-    "—" when missing, else the half-to-even rounded whole percent."""
+    """Probability -> whole percent; a shown "0" becomes "<1%" and "100"
+    becomes ">99%" (never a certainty); missing -> "—"."""
     p = col_or(c).cast("double")
-    pct = _half_even_int(p * 100)
+    shown = py_fixed(p * 100, 0)
     return (
-        F.when(p.isNull(), F.lit("—"))
-        .when(pct < 1, F.lit("<1%"))
-        .when(pct > 99, F.lit(">99%"))
-        .otherwise(F.concat(F.format_string("%d", pct), F.lit("%")))
+        F.when(p.isNull() | F.isnan(p), F.lit("—"))
+        .when(shown == "100", F.lit(">99%"))
+        .when(shown.isin("0", "-0"), F.lit("<1%"))
+        .otherwise(F.concat(shown, F.lit("%")))
     )
 
 
 def score_range_label(lo: str | Column, hi: str | Column) -> Column:
     """B36: "[lo, hi)" or "[lo, 1.00]" when the upper edge is the closed top."""
     lo_c, hi_c = col_or(lo), col_or(hi)
-    lo_s = F.format_string("%.2f", F.bround(lo_c, 2))
-    return F.when(hi_c < 1.01, F.concat(F.lit("["), lo_s, F.lit(", "), F.format_string("%.2f", F.bround(hi_c, 2)), F.lit(")"))) \
+    lo_s = py_fixed(lo_c, 2)
+    return F.when(hi_c < 1.01, F.concat(F.lit("["), lo_s, F.lit(", "), py_fixed(hi_c, 2), F.lit(")"))) \
         .otherwise(F.concat(F.lit("["), lo_s, F.lit(", 1.00]")))
 
 

@@ -245,4 +245,40 @@ def playbook(plan: DataFrame) -> DataFrame:
                        "priority_group", "n_customers", "total_HRR", "intervention_intensity")
 
 
+UNMATCHED_SUMMARY_LABEL = "UNMATCHED (Medium/High risk, no segment)"
+
+
+def segment_medians(actions: DataFrame) -> DataFrame:
+    """Behavioural medians per group as the segment summary stores them: the
+    default bucket is absent and the residual group carries the summary's own
+    label."""
+    label = F.when(F.col("priority_group") == C.UNMATCHED_AT_RISK, F.lit(UNMATCHED_SUMMARY_LABEL)) \
+        .otherwise(F.col("priority_group"))
+    return (actions.where(F.col("priority_group") != C.STABLE_MONITOR).groupBy(label.alias("label")).agg(
+        F.median(F.col("days_since_last_txn").cast("double")).alias("median_days_since_last_txn"),
+        F.median(F.col("tenure_days_at_cutoff").cast("double")).alias("median_tenure_days"),
+        (F.avg(F.col("latest_is_auto_renew").cast("double")) * 100.0).alias("auto_renew_rate_pct")))
+
+
+def segment_context(plan: DataFrame, medians: DataFrame) -> DataFrame:
+    """C11: plan rows left-joined to the medians through the label alias."""
+    alias = F.when(F.col("priority_group") == C.UNMATCHED_AT_RISK, F.lit(UNMATCHED_SUMMARY_LABEL)) \
+        .otherwise(F.col("priority_group"))
+    return (plan.withColumn("label", alias).join(medians, "label", "left")
+            .select(F.col("priority_group").alias("segment"), "n_customers", "pct_of_base", "churn_rate_pct", "total_HRR",
+                    "median_HRR", "intervention_intensity", "median_days_since_last_txn", "median_tenure_days",
+                    "auto_renew_rate_pct"))
+
+
+def compare_to_champions(plan: DataFrame, vbs: DataFrame) -> DataFrame:
+    """Every group beside the Champions row (both inputs have <= 7 rows; the
+    benchmark is read with whole-frame windows instead of a cross join)."""
+    whole = Window.partitionBy()
+    champ_churn = F.max(F.when(F.col("priority_group") == C.CHAMPIONS, F.col("churn_rate_pct"))).over(whole)
+    champ_med = vbs.where(F.col("segment") == C.CHAMPIONS).select("median_HRR").first()  # one value
+    return plan.select(F.col("priority_group").alias("segment"), F.col("churn_rate_pct").alias("subject_churn_rate_pct"),
+                       F.col("total_HRR").alias("subject_total_hrr"), champ_churn.alias("champions_churn_rate_pct"),
+                       F.lit(champ_med["median_HRR"] if champ_med else None).cast("double").alias("champions_median_hrr"))
+
+
 __all__ = [n for n in dir() if not n.startswith("_")] + ["INTENSITY"]
