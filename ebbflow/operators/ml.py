@@ -1,10 +1,30 @@
-"""Distributed model training and scoring with pyspark.ml."""
+"""Distributed model training, scoring and evaluation with pyspark.ml
+(H1-H11, H26, H29-H31, B26, B34).
+
+Preprocessing is fitted on the training frame only (H3/H4): exact medians for
+imputation and population mean / std for scaling come from ONE aggregation each
+(two fixed-size rows to the driver) and are applied as Catalyst expressions;
+categoricals go through ``StringIndexer(handleInvalid="keep")`` +
+``OneHotEncoder(dropLast=True)`` so the extra 'unseen' slot is dropped and an
+unseen test category encodes as all zeros.  Models are MLlib estimators; scores
+are ``vector_to_array(probability)[1]``; all metrics are the exact distributed
+ones from :mod:`ebbflow.operators.curves`."""
 
 from __future__ import annotations
 
+import random
+import time
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbflow import config as C
+from ebbflow.functions.expr import as_category, hash_uniform
+
 
 def with_balanced_weights(df: DataFrame, label: str = "is_churn", out: str = "class_weight") -> DataFrame:
     """Balanced class weight n / (2 n_class); the two class counts are
@@ -15,3 +35,205 @@ def with_balanced_weights(df: DataFrame, label: str = "is_churn", out: str = "cl
     w_pos = n / (2.0 * pos) if pos else 0.0
     w_neg = n / (2.0 * neg) if neg else 0.0
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)))
+
+
+def with_pos_weight(df: DataFrame, label: str = "is_churn", out: str = "class_weight") -> DataFrame:
+    """Boosted-tree analogue of ``scale_pos_weight``: positives weighted neg/pos."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).alias("pos")).first()
+    pos = float(r["pos"] or 0)
+    ratio = (float(r["n"]) - pos) / pos if pos else 1.0
+    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
+
+
+def stratified_split(df: DataFrame, frac: float = 0.8, salt: str = "split", key: str = "msno",
+                     label: str = "is_churn") -> DataFrame:
+    """H1: hash split (class-independent uniform, so stratified in expectation).
+    Exact per-class counts: threshold each class at its own ``frac`` quantile of u."""
+    u = hash_uniform(F.col(key), F.lit(salt))
+    return df.withColumn("_u", u).withColumn("split", F.when(F.col("_u") < frac, "train").otherwise("test")).drop("_u")
+
+
+def feature_columns(exclude=()) -> tuple[list[str], list[str]]:
+    num = [c for c in C.BINARY_FLAGS + C.NUMERIC_CONTINUOUS if c not in exclude]
+    cat = [c for c in C.CAT_ONEHOT if c not in exclude]
+    return num, cat
+
+
+class Preprocessor:
+    """H3 + H4 fitted on a training frame."""
+
+    def __init__(self, exclude=()):
+        self.num, self.cat = feature_columns(exclude)
+
+    def fit(self, train: DataFrame) -> "Preprocessor":
+        med_row = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in self.num]).first()
+        self.medians = {c: (float(med_row[c]) if med_row[c] is not None else 0.0) for c in self.num}
+        imputed = [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.num]
+        mom = train.agg(*[F.avg(x).alias(f"m_{c}") for x, c in zip(imputed, self.num)],
+                        *[F.stddev_pop(x).alias(f"s_{c}") for x, c in zip(imputed, self.num)]).first()
+        self.means = {c: float(mom[f"m_{c}"]) for c in self.num}
+        self.stds = {c: (float(mom[f"s_{c}"]) if mom[f"s_{c}"] else 1.0) for c in self.num}
+        cat_df = self._cat_strings(train)
+        self.indexer = StringIndexer(inputCols=[f"{c}_s" for c in self.cat], outputCols=[f"{c}_i" for c in self.cat],
+                                     handleInvalid="keep", stringOrderType="frequencyDesc").fit(cat_df)
+        self.encoder = OneHotEncoder(inputCols=[f"{c}_i" for c in self.cat], outputCols=[f"{c}_oh" for c in self.cat],
+                                     dropLast=True, handleInvalid="keep").fit(self.indexer.transform(cat_df))
+        return self
+
+    def _cat_strings(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *[as_category(c, numeric=(c != "gender")).alias(f"{c}_s") for c in self.cat])
+
+    def statistics(self, spark) -> DataFrame:
+        rows = [(c, self.medians[c], self.means[c], self.stds[c]) for c in self.num]
+        return spark.createDataFrame(rows, "column string, median double, mean double, std double")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        scaled = [((F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - F.lit(self.means[c]))
+                   / F.lit(self.stds[c])).alias(f"{c}_z") for c in self.num]
+        d = self._cat_strings(df.select("*", *scaled))
+        d = self.encoder.transform(self.indexer.transform(d))
+        asm = VectorAssembler(inputCols=[f"{c}_z" for c in self.num] + [f"{c}_oh" for c in self.cat],
+                              outputCol="features")
+        return asm.transform(d)
+
+    def encoded_names(self) -> list[tuple[str, str]]:
+        """(encoded name, source feature) of every vector slot (B34 input)."""
+        out = [(f"num__{c}", c) for c in self.num]
+        for c, labels in zip(self.cat, self.indexer.labelsArray):
+            out += [(f"cat__{c}_{lab}", c) for lab in labels]  # 'unseen' slot dropped by dropLast
+        return out
+
+
+def make_classifier(kind: str, **kw):
+    if kind == "logistic_regression":
+        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="class_weight",
+                                  regParam=kw["reg"], elasticNetParam=0.0, standardization=False,
+                                  maxIter=kw.get("max_iter", 1000), tol=1e-6)
+    if kind == "random_forest":
+        return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="class_weight",
+                                      numTrees=kw.get("trees", 200), maxDepth=kw.get("depth", 16),
+                                      minInstancesPerNode=kw.get("min_leaf", 20), featureSubsetStrategy="sqrt",
+                                      seed=C.SEED)
+    if kind == "boosted_trees":
+        return GBTClassifier(featuresCol="features", labelCol="label", weightCol="class_weight",
+                             maxIter=kw.get("trees", 200), maxDepth=kw.get("depth", 6), stepSize=kw.get("lr", 0.1),
+                             subsamplingRate=kw.get("subsample", 1.0),
+                             featureSubsetStrategy=kw.get("colsample", "all"),
+                             minInstancesPerNode=kw.get("min_leaf", 1), seed=C.SEED)
+    raise ValueError(kind)
+
+
+def prepare_labels(df: DataFrame, kind: str, label: str = "is_churn") -> DataFrame:
+    d = df.withColumn("label", F.col(label).cast("double"))
+    return with_pos_weight(d, label) if kind == "boosted_trees" else with_balanced_weights(d, label)
+
+
+class TrainedModel:
+    def __init__(self, kind: str, train: DataFrame, exclude=(), label: str = "is_churn", **kw):
+        t0 = time.time()
+        self.kind, self.exclude = kind, tuple(exclude)
+        self.pre = Preprocessor(exclude).fit(train)
+        tr = self.pre.transform(prepare_labels(train, kind, label))
+        n = tr.count()
+        self.train_rows = n
+        self.model = make_classifier(kind, reg=1.0 / n, **kw).fit(tr)
+        self.fit_seconds = time.time() - t0
+
+    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        p = self.model.transform(self.pre.transform(df))
+        keep = [c for c in df.columns]
+        return p.select(*keep, vector_to_array("probability")[1].alias(out))
+
+
+def rule_baseline(train: DataFrame, test: DataFrame, label: str = "is_churn") -> DataFrame:
+    """flag = auto-renew off (missing -> training median); score = the flag
+    group's training churn rate.  Two aggregates, applied as literals."""
+    med = train.agg(F.percentile(F.col("latest_is_auto_renew").cast("double"), 0.5)).first()[0]
+    med = 1.0 if med is None else float(med)
+    flag = F.coalesce(F.col("latest_is_auto_renew").cast("double"), F.lit(med)) == 0
+    r = train.agg(F.avg(F.when(flag, F.col(label).cast("double"))).alias("off"),
+                  F.avg(F.when(~flag, F.col(label).cast("double"))).alias("on")).first()
+    return test.withColumn("score", F.when(flag, F.lit(r["off"])).otherwise(F.lit(r["on"])))
+
+
+# Search space of the boosted-tree random search.
+PARAM_DIST = {
+    "depth": [3, 4, 5, 6, 8],
+    "lr": [0.01, 0.03, 0.05, 0.1, 0.2],
+    "trees": [100, 200, 300],
+    "min_leaf": [1, 3, 5, 10],
+    "subsample": [0.6, 0.8, 1.0],
+    "colsample": [0.6, 0.8, 1.0],
+}
+
+
+def random_search(train: DataFrame, n_iter: int = 15, exclude=(), seed: int = C.SEED, label: str = "is_churn"):
+    """H9: seeded draws from the parameter lists, one fixed hash validation split,
+    pick the best validation ROC-AUC, refit on the whole training frame."""
+    from ebbflow.operators.curves import ranking_metrics
+    rng = random.Random(seed)
+    keys = list(PARAM_DIST)
+    draws, seen = [], set()
+    while len(draws) < n_iter:
+        d = tuple(rng.choice(PARAM_DIST[k]) for k in keys)
+        if d not in seen:
+            seen.add(d)
+            draws.append(dict(zip(keys, d)))
+    split = stratified_split(train, 0.8, salt="search")
+    fit_part, val_part = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    results = []
+    for params in draws:
+        kw = dict(params, colsample=str(params["colsample"]) if params["colsample"] < 1 else "all")
+        m = TrainedModel("boosted_trees", fit_part, exclude, label, **kw)
+        auc = ranking_metrics(m.score(val_part), "score", label).first()["roc_auc"]
+        results.append((params, auc))
+    best = max(results, key=lambda r: (r[1], -results.index(r)))[0]
+    kw = dict(best, colsample=str(best["colsample"]) if best["colsample"] < 1 else "all")
+    return best, results, TrainedModel("boosted_trees", train, exclude, label, **kw)
+
+
+def linear_driver_importance(tm: TrainedModel, test: DataFrame) -> DataFrame:
+    """H26(a): global mean |coef * (x_scaled - mean)| per encoded slot, dummies
+    summed back to their source feature; exact for the logistic model.  One
+    aggregation over the scored rows."""
+    coef = list(tm.model.coefficients.toArray())
+    names = tm.pre.encoded_names()
+    d = tm.pre.transform(test).select(vector_to_array("features").alias("v"))
+    means = d.agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(len(coef))]).first()
+    contrib = d.agg(*[F.avg(F.abs(F.lit(coef[i]) * (F.col("v")[i] - F.lit(means[f"m{i}"])))).alias(f"c{i}")
+                      for i in range(len(coef))]).first()
+    spark = test.sparkSession
+    rows = [(enc, src, float(contrib[f"c{i}"] or 0.0)) for i, (enc, src) in enumerate(names)]
+    enc = spark.createDataFrame(rows, "encoded string, feature string, contribution double")
+    return (enc.groupBy("feature").agg(F.sum("contribution").alias("mean_abs_contribution"))
+            .withColumn("method", F.lit("linear contribution |coef * (x - mean)|")))
+
+
+def encoded_to_source(tm: TrainedModel) -> DataFrame:
+    """Encoded slot names -> source feature, by prefix strip and the
+    categorical base name."""
+    spark = tm.pre.indexer.sparkSession if hasattr(tm.pre.indexer, "sparkSession") else None
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    names = spark.createDataFrame([(e,) for e, _ in tm.pre.encoded_names()], "encoded string")
+    cats = "|".join(tm.pre.cat)
+    return names.select("encoded", F.when(F.col("encoded").startswith("num__"), F.regexp_extract("encoded", r"^num__(.*)$", 1))
+                        .otherwise(F.regexp_extract("encoded", rf"^cat__({cats})_.*$", 1)).alias("feature"))
+
+
+def driver_direction(tm: TrainedModel, test: DataFrame, feature: str, bins: int = 10) -> DataFrame:
+    """Decile bins of one numeric feature x mean linear contribution and mean score."""
+    idx = [e for e, _ in tm.pre.encoded_names()].index(f"num__{feature}")
+    coef = float(tm.model.coefficients.toArray()[idx])
+    scored = tm.score(test)
+    edges = scored.agg(F.percentile(F.col(feature).cast("double"),
+                                    F.array(*[F.lit(k / bins) for k in range(1, bins)]))).first()[0]
+    x = F.col(feature).cast("double")
+    b = sum((F.when(x > F.lit(float(e)), 1).otherwise(0) for e in edges), F.lit(0))
+    z = (F.coalesce(x, F.lit(tm.pre.medians[feature])) - F.lit(tm.pre.means[feature])) / F.lit(tm.pre.stds[feature])
+    return scored.where(x.isNotNull()).groupBy(b.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
+        F.avg(F.lit(coef) * z).alias("mean_contribution"), F.avg("score").alias("mean_score"))
+
+
+__all__ = ["Pipeline"] + [n for n in dir() if not n.startswith("_")]
