@@ -112,13 +112,60 @@ def corr_with_target(df: DataFrame, cols: list[str], label: str = "is_churn", to
     return ranked.where(F.col("rank") <= top)
 
 
+MOMENTS_SCHEMA = "i int, j int, n double, sx double, sy double, sxy double, sxx double, syy double"
+
+
+def _partition_moments(k: int):
+    """Per-partition pairwise-complete moment sums of k centred columns, as
+    matrix products over an Arrow batch (numpy inside the task)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        n = sx = sxy = sxx = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            m = (~np.isnan(x)).astype(float)
+            xz = np.where(m > 0, x, 0.0)
+            parts = (m.T @ m, xz.T @ m, xz.T @ xz, (xz * xz).T @ m)
+            if n is None:
+                n, sx, sxy, sxx = parts
+            else:
+                n, sx, sxy, sxx = n + parts[0], sx + parts[1], sxy + parts[2], sxx + parts[3]
+        if n is None:
+            return
+        iu, ju = np.triu_indices(k, 1)
+        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju], "sx": sx[iu, ju],
+                            "sy": sx[ju, iu], "sxy": sxy[iu, ju], "sxx": sxx[iu, ju], "syy": sxx[ju, iu]})
+    return run
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All pairs (i < j) in one aggregation, long form."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[_pair_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = wide.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "r")
-    return long.select(F.split("pair", r"\|").getItem(0).alias("feature_a"),
-                       F.split("pair", r"\|").getItem(1).alias("feature_b"), "r")
+    """Pairwise-complete Pearson r of all column pairs (i < j), long form.
+
+    Columns are centred by their global means (one small aggregate), then every
+    task reduces its rows to k x k moment matrices with numpy (``mapInPandas``)
+    and emits one row per pair; a ``groupBy(i, j)`` sums the partitions.  The
+    shuffle is (#partitions x #pairs) rows whatever the table size - no
+    per-pair job, no giant generated aggregate."""
+    spark = df.sparkSession
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    centred = df.select(*[(F.col(c).cast("double") - F.lit(float(means[c] or 0.0))).alias(f"c{k}")
+                          for k, c in enumerate(cols)])
+    mom = (centred.mapInPandas(_partition_moments(len(cols)), MOMENTS_SCHEMA)
+           .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxy", "sxx", "syy"]]))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    cov = n * F.col("sxy") - sx * sy
+    vx, vy = n * F.col("sxx") - sx * sx, n * F.col("syy") - sy * sy
+    # a side that is constant on the pair's complete rows has zero variance; the
+    # centred sums leave rounding residue, so zero is judged relative to n * sxx
+    flat = (vx <= F.lit(1e-10) * n * F.col("sxx")) | (vy <= F.lit(1e-10) * n * F.col("syy"))
+    den = F.when(~flat, F.sqrt(vx * vy))
+    names = spark.createDataFrame([(k, c) for k, c in enumerate(cols)], "k int, name string")
+    r = mom.select("i", "j", F.when(den > 0, cov / den).alias("r"))
+    a = names.withColumnRenamed("k", "i").withColumnRenamed("name", "feature_a")
+    b = names.withColumnRenamed("k", "j").withColumnRenamed("name", "feature_b")
+    return r.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("feature_a", "feature_b", "r")
 
 
 def collinear_pairs(df: DataFrame, cols: list[str], threshold: float = 0.85) -> DataFrame:

@@ -4,31 +4,59 @@
 intermediate results (the two tier thresholds, the two tercile edges, the
 population baselines) are computed once per chain and passed on as literals;
 everything else stays lazy so Catalyst prunes columns and pushes filters into
-the scans of each query.  ``persist=True`` keeps the scored table (read by six
-consumers) in memory-and-disk for multi-output jobs.
+the scans of each query.  The shared chain writes the scored table (read by six
+consumers) once as a reliable checkpoint.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow import config as C
 from ebbflow.config import ROUNDS
 from ebbflow.operators import features, scoring
+from ebbflow.session import ensure_checkpoint_dir
 from ebbflow.sources.testdata import TestTables
 
 
+_SHARED: dict = {}
+
+
 class Chain:
+    """One prediction round over one set of input tables.
+
+    ``Chain(...)`` is the plain lazy graph.  ``Chain.shared(...)`` (what the
+    registered queries use) returns one chain per (application, input folder,
+    round) whose scored table - read by every downstream stage - is written
+    once as a reliable checkpoint in ``spark.checkpoint.dir`` (lineage cut,
+    survives executor loss), and whose fixed-size intermediate results
+    (thresholds, tercile edges, calibrators) are computed once."""
+
+    def __new__(cls, spark: SparkSession, sf_dir: str, round_: str = "v2", persist: bool = False):
+        key = (spark.sparkContext.applicationId, sf_dir, round_)
+        if persist and key in _SHARED:
+            return _SHARED[key]
+        obj = super().__new__(cls)
+        return obj
+
     def __init__(self, spark: SparkSession, sf_dir: str, round_: str = "v2", persist: bool = False):
+        if getattr(self, "_initialised", False):
+            return
         self.spark = spark
         self.sf_dir = sf_dir
         self.round = ROUNDS[round_]
         self.tables = TestTables(spark, sf_dir)
         self.persist = persist
+        self._initialised = True
+        if persist:
+            _SHARED[(spark.sparkContext.applicationId, sf_dir, round_)] = self
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str, round_: str = "v2") -> "Chain":
+        return cls(spark, sf_dir, round_, persist=True)
 
     # -- sources --------------------------------------------------------------
     def transactions(self) -> DataFrame:
@@ -49,15 +77,23 @@ class Chain:
         return features.member_features(self.members(), self.round.cutoff)
 
     def dataset(self) -> DataFrame:
+        if self.persist:
+            # the materialised scored table holds every dataset column
+            return self.scored().select(*[F.col("is_churn_behavioural").alias("is_churn") if c == "is_churn" else c
+                                          for c in features.MODELING_COLUMNS])
+        return self.build_dataset()
+
+    def build_dataset(self) -> DataFrame:
         return features.modeling_dataset(self.labels(), self.members(), self.transactions(), self.round.cutoff,
                                          expire_floor=self.round.expire_floor)
 
     # -- scoring --------------------------------------------------------------
     @cached_property
     def _scored(self) -> DataFrame:
-        df = scoring.attach_scorecard(self.dataset())
+        df = scoring.attach_scorecard(self.build_dataset())
         if self.persist:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            ensure_checkpoint_dir(self.spark)
+            df = df.checkpoint(eager=True)
         return df
 
     def scored(self) -> DataFrame:
@@ -130,5 +166,5 @@ class Chain:
         return serving.customer_360(self)
 
     def unpersist(self) -> None:
-        if self.persist and "_scored" in self.__dict__:
-            self._scored.unpersist()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.round.name)
+        _SHARED.pop(key, None)

@@ -18,7 +18,7 @@ from ebbflow.plans.registry import register
                                "FROM pred p LEFT JOIN (SELECT msno FROM cs WHERE calib_split = 'calib_fit') f ON f.msno = p.msno"))
 def split_flag_semi(spark, sf):
     """Membership of the fit subset as a label (left join on the subset's keys)."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     fit_keys = ch.calib_split.where(F.col("calib_split") == CA.FIT).select("msno").withColumn("_in", F.lit(1))
     return ch.predictions().select("msno").join(fit_keys, "msno", "left").select(
         "msno", F.when(F.col("_in").isNotNull(), CA.FIT).otherwise(CA.EVAL).alias("calib_split"))
@@ -28,7 +28,7 @@ def split_flag_semi(spark, sf):
                                             "SELECT 'proxy_controlled', w, b FROM platt_proxy_controlled"), ["w", "b"]))
 def platt_calibration(spark, sf):
     """1-feature logistic (C = 1) fitted on the fit half, per model."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     rows = [(m, float(c.w), float(c.b)) for m, c in ch.calibrators.items()]
     return finalize(spark.createDataFrame(rows, "model string, w double, b double"))
 
@@ -37,7 +37,7 @@ def platt_calibration(spark, sf):
                                                "SELECT 'proxy_controlled', x, fit FROM iso_proxy_controlled"), ["x", "fit"]))
 def isotonic_calibration(spark, sf):
     """The isotonic fit evaluated at every distinct fit-half score."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     parts = []
     for m, cal in ch.calibrators.items():
         fit = ch.calib_split.where(F.col("calib_split") == CA.FIT)
@@ -56,7 +56,7 @@ def isotonic_calibration(spark, sf):
                                               ["brier_score"]))
 def calibration_comparison(spark, sf):
     """H22 input: eval-half Brier of raw, sigmoid and isotonic per model."""
-    return finalize(Chain(spark, sf).calibration_comparison())
+    return finalize(Chain.shared(spark, sf).calibration_comparison())
 
 
 def _win_sql(m):
@@ -69,7 +69,7 @@ def _win_sql(m):
                                           ["winner_brier", "raw_brier", "pct_improvement"]))
 def calibration_winner(spark, sf):
     """Lowest eval Brier among calibrated methods, improvement over raw."""
-    return finalize(CA.pick_winner(Chain(spark, sf).calibration_comparison()))
+    return finalize(CA.pick_winner(Chain.shared(spark, sf).calibration_comparison()))
 
 
 CAL_COLS = ["msno", "is_churn", "risk_tier", "calib_split", "risk_score_full", "calibrated_probability",
@@ -80,7 +80,7 @@ CAL_COLS = ["msno", "is_churn", "risk_tier", "calib_split", "risk_score_full", "
                                                 ["calibrated_probability", "calibrated_probability_proxy_controlled"]))
 def calibrated_probabilities(spark, sf):
     """Winners applied to every customer; raw scores kept."""
-    return finalize(Chain(spark, sf).calibrated().select(*CAL_COLS))
+    return finalize(Chain.shared(spark, sf).calibrated().select(*CAL_COLS))
 
 
 def _rel_sql(score, src):
@@ -93,13 +93,13 @@ def _rel_sql(score, src):
 @register("reliability_table", sql_final(q(_rel_sql("risk_score_full", "sc")), ["mean_predicted", "observed_rate"]))
 def reliability_table(spark, sf):
     """H19 + E5: mean predicted vs observed rate per quantile bin of the raw score."""
-    return finalize(CA.reliability_table(Chain(spark, sf).scored(), "risk_score_full"))
+    return finalize(CA.reliability_table(Chain.shared(spark, sf).scored(), "risk_score_full"))
 
 
 @register("reliability_calibrated", sql_final(qc(_rel_sql("calibrated_probability", "cal")), ["mean_predicted", "observed_rate"]))
 def reliability_calibrated(spark, sf):
     """H19 on the calibrated probability."""
-    return finalize(CA.reliability_table(Chain(spark, sf).calibrated(), "calibrated_probability"))
+    return finalize(CA.reliability_table(Chain.shared(spark, sf).calibrated(), "calibrated_probability"))
 
 
 @register("quantile_bins", qc(", ed AS (SELECT " + ", ".join(f"quantile_cont(risk_score_full, {k / 10}) AS e{k}" for k in range(1, 10))
@@ -107,7 +107,7 @@ def reliability_calibrated(spark, sf):
                               + " AS INTEGER) AS bin FROM sc CROSS JOIN ed"))
 def quantile_bins(spark, sf):
     """E5: decile bin of each customer's raw score (linear quantile edges, left search)."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     edges = s.agg(F.percentile("risk_score_full", F.array(*[F.lit(k / 10) for k in range(1, 10)]))).first()[0]
     return s.select("msno", CA.quantile_bin(F.col("risk_score_full"), [float(e) for e in edges]).alias("bin"))
 
@@ -117,7 +117,7 @@ def quantile_bins(spark, sf):
                                           ["mean", "median", "min", "max"]))
 def calibrated_by_tier(spark, sf):
     """Calibrated probability distribution within each raw-score tier."""
-    c = Chain(spark, sf).calibrated()
+    c = Chain.shared(spark, sf).calibrated()
     p = F.col("calibrated_probability")
     return finalize(c.groupBy("risk_tier").agg(F.avg(p).alias("mean"), F.median(p).alias("median"),
                                                F.min(p).alias("min"), F.max(p).alias("max")))
@@ -130,7 +130,7 @@ def calibrated_by_tier(spark, sf):
                                      "CAST(COUNT(*) AS BIGINT) AS n FROM cal"))
 def threshold_exceedance(spark, sf):
     """How many customers pass 0.65 / 0.95 on the raw vs calibrated scale."""
-    c = Chain(spark, sf).calibrated()
+    c = Chain.shared(spark, sf).calibrated()
     return c.agg(F.count_if(F.col("risk_score_full") >= 0.65).alias("n_raw_ge_65"),
                   F.count_if(F.col("calibrated_probability") >= 0.65).alias("n_calib_ge_65"),
                   F.count_if(F.col("risk_score_full") >= 0.95).alias("n_raw_ge_95"),
@@ -143,7 +143,7 @@ def threshold_exceedance(spark, sf):
                                              ["mean_raw", "mean_calibrated", "base_rate", "raw_inflation_factor"]))
 def calibration_centering(spark, sf):
     """Mean raw and calibrated score against the base rate."""
-    c = Chain(spark, sf).calibrated()
+    c = Chain.shared(spark, sf).calibrated()
     return finalize(c.agg(F.avg("risk_score_full").alias("mean_raw"), F.avg("calibrated_probability").alias("mean_calibrated"),
                           F.avg("is_churn").alias("base_rate"))
                     .withColumn("raw_inflation_factor", F.col("mean_raw") / F.col("base_rate")))

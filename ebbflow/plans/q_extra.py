@@ -27,7 +27,7 @@ def _bucket_query(name):
 
     @register(name.replace("_bucket", "_buckets"), q(f"SELECT msno, {col}, {bucket_sql(col, edges, labels)} AS {name} FROM ds"))
     def fn(spark, sf):
-        ds = Chain(spark, sf).dataset()
+        ds = Chain.shared(spark, sf).dataset()
         return ds.select("msno", col, X.right_closed_bucket(col, edges, labels).alias(name))
     fn.__doc__ = f"B14: right-closed bucket of {col}; outside or missing -> NULL."
     return fn
@@ -50,7 +50,7 @@ FROM {order_values("risk_tier", C.TIER_ORDER)} o LEFT JOIN w ON w.risk_tier = o.
 
 
 def _pivot(spark, sf, agg):
-    vt = Chain(spark, sf).value_tiers()
+    vt = Chain.shared(spark, sf).value_tiers()
     wide = vt.groupBy("risk_tier").pivot("value_tier", C.TIER_ORDER).agg(agg)
     order = spark.createDataFrame([(v, i + 1) for i, v in enumerate(C.TIER_ORDER)], "risk_tier string, risk_tier_order int")
     return order.join(wide, "risk_tier", "left")
@@ -65,7 +65,7 @@ def risk_value_counts(spark, sf):
 @register("risk_value_pct", sql_final(_pivot_sql("COUNT(*) * 100.0 / (SELECT COUNT(*) FROM vt)", "pct"), list(C.TIER_ORDER)))
 def risk_value_pct(spark, sf):
     """Crosstab normalised over ALL customers (unknown value tier in the denominator)."""
-    n = Chain(spark, sf).value_tiers().count()  # one scalar
+    n = Chain.shared(spark, sf).value_tiers().count()  # one scalar
     return finalize(_pivot(spark, sf, F.count(F.lit(1)) * 100.0 / F.lit(float(n))))
 
 
@@ -85,7 +85,7 @@ def risk_value_avg_hrr(spark, sf):
                                  f"{_rank_sql('risk_score_proxy_controlled')}) x"), ["roc_auc"]))
 def roc_auc(spark, sf):
     """ROC-AUC with tied scores counted one half (trapezoid over distinct scores)."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     parts = [CU.ranking_metrics(s, c).select(F.lit(c).alias("score_column"), "roc_auc")
              for c in ["risk_score_full", "risk_score_proxy_controlled"]]
     return finalize(parts[0].unionByName(parts[1]))
@@ -95,7 +95,7 @@ def roc_auc(spark, sf):
                                            f"UNION ALL {_rank_sql('risk_score_proxy_controlled')}) x"), ["average_precision"]))
 def average_precision(spark, sf):
     """Step-wise average precision (no interpolation)."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     parts = [CU.ranking_metrics(s, c).select(F.lit(c).alias("score_column"), F.col("pr_auc").alias("average_precision"))
              for c in ["risk_score_full", "risk_score_proxy_controlled"]]
     return finalize(parts[0].unionByName(parts[1]))
@@ -113,7 +113,7 @@ SELECT 'pr_auc' AS metric, cp.ap AS recomputed, a.pr_auc AS stored, abs(cp.ap -
 def reproduction_check(spark, sf):
     """PR-AUC recomputed from the stored per-customer predictions against the
     summary's value, within 1e-4 (the job would raise on a miss)."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     stored = CU.ranking_metrics(ch.scored(), "risk_score_full").select(F.lit("pr_auc").alias("metric"), "pr_auc")
     re = CU.ranking_metrics(ch.predictions(), "risk_score_full").select(F.lit("pr_auc").alias("metric"), "pr_auc")
     return finalize(QU.reproduction_check(re, stored, "metric", "pr_auc", 1e-4))
@@ -125,7 +125,7 @@ WHERE risk_tier IN ('High', 'Medium') ORDER BY risk_score_full DESC NULLS LAST,
 def queue_export(spark, sf):
     """A10: the columns of the priority queue that the CSV export writes
     (``sources.readers.export_queue`` writes them from the executors)."""
-    lk = Chain(spark, sf).lookup()
+    lk = Chain.shared(spark, sf).lookup()
     q500 = SV.top_k(SV.filter_lookup(lk, risk_tiers=("High", "Medium")), C.QUEUE_CAP)
     return finalize(q500.select("msno", "risk_tier", "calibrated_probability", "risk_score_full", "total_revenue", "segment"))
 

@@ -21,13 +21,13 @@ DS_DOUBLES = ["cancel_rate", "auto_renew_pct", "avg_payment_plan_days", "avg_rev
 @register("transactions_scan", q("SELECT * FROM txn"))
 def transactions_scan(spark, sf):
     """A1: typed fact scan (adapter over orders)."""
-    return Chain(spark, sf).transactions()
+    return Chain.shared(spark, sf).transactions()
 
 
 @register("members_scan", q("SELECT * FROM mem"))
 def members_scan(spark, sf):
     """A2: typed dimension scan."""
-    return Chain(spark, sf).members()
+    return Chain.shared(spark, sf).members()
 
 
 _LAB = "SELECT msno, is_churn, '{r}' AS round FROM lab"
@@ -37,15 +37,15 @@ _LAB = "SELECT msno, is_churn, '{r}' AS round FROM lab"
                          f"SELECT * FROM ({q(_LAB.format(r='v2'), 'v2')}) b")
 def labels_scan(spark, sf):
     """A3: the behavioural labels of both rounds, one row per customer and round."""
-    v1 = Chain(spark, sf, "v1").labels().withColumn("round", F.lit("v1"))
-    v2 = Chain(spark, sf, "v2").labels().withColumn("round", F.lit("v2"))
+    v1 = Chain.shared(spark, sf, "v1").labels().withColumn("round", F.lit("v1"))
+    v2 = Chain.shared(spark, sf, "v2").labels().withColumn("round", F.lit("v2"))
     return v1.unionByName(v2)
 
 
 @register("cutoff_filter", q("SELECT * FROM txn WHERE transaction_date <= 20010131"))
 def cutoff_filter(spark, sf):
     """B1: leakage boundary (pushed to the scan)."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     return FE.cutoff_filter(ch.transactions(), ch.round.cutoff)
 
 
@@ -54,14 +54,14 @@ def cutoff_filter(spark, sf):
                               "CAST(COUNT(*) FILTER (WHERE transaction_date <= 20010131) AS BIGINT) AS n_used FROM txn"))
 def raw_scan_stats(spark, sf):
     """Count, min, max and the rows inside the cutoff in one scan."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     return FE.raw_scan_stats(ch.transactions(), ch.round.cutoff)
 
 
 @register("transaction_features", sql_final(q("SELECT * FROM tf"), DS_DOUBLES))
 def transaction_features(spark, sf):
     """D1 + D3 + E1 + B5-B9: per paying customer, one aggregation."""
-    return finalize(Chain(spark, sf).transaction_features())
+    return finalize(Chain.shared(spark, sf).transaction_features())
 
 
 @register("latest_transaction", q("SELECT msno, latest_payment_method_id, latest_payment_plan_days, latest_plan_list_price, "
@@ -69,7 +69,7 @@ def transaction_features(spark, sf):
                                   "latest_membership_expire_date FROM lt"))
 def latest_transaction(spark, sf):
     """Most recent transaction per customer (ties broken by transaction id)."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     a = FE.transaction_aggregates(ch.transactions(), ch.round.cutoff)
     return a.select("msno", *[d for _, d in FE.LATEST_COLUMNS])
 
@@ -79,7 +79,7 @@ def latest_transaction(spark, sf):
 def agg_join_latest(spark, sf):
     """Aggregates beside the latest row.  Built as the single-aggregate form
     (no join); the SQL twin is the join form."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     a = FE.transaction_aggregates(ch.transactions(), ch.round.cutoff)
     return a.select("msno", "total_transactions", "total_revenue", "latest_is_auto_renew",
                     "latest_membership_expire_date")
@@ -88,21 +88,21 @@ def agg_join_latest(spark, sf):
 @register("distinct_payment_methods", q("SELECT msno, num_distinct_payment_methods FROM agg"))
 def distinct_payment_methods(spark, sf):
     """D3: exact distinct count of payment methods per customer."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     return FE.transaction_aggregates(ch.transactions(), ch.round.cutoff).select("msno", "num_distinct_payment_methods")
 
 
 @register("member_features", q("SELECT * FROM mf"))
 def member_features(spark, sf):
     """Cleaned demographics and tenure."""
-    return Chain(spark, sf).member_features()
+    return Chain.shared(spark, sf).member_features()
 
 
 @register("bd_clean", q("SELECT msno, bd, CASE WHEN bd BETWEEN 5 AND 100 THEN bd END AS bd_clean, "
                         "CASE WHEN bd < 5 OR bd > 100 THEN 1 ELSE 0 END AS bd_missing FROM mem"))
 def bd_clean(spark, sf):
     """B2: invalid age -> NULL plus flag."""
-    m = Chain(spark, sf).members()
+    m = Chain.shared(spark, sf).members()
     f = FE.member_features(m, C.ROUND_V2.cutoff).select("msno", "bd_clean", "bd_missing")
     return m.select("msno", "bd").join(f, "msno")
 
@@ -110,19 +110,19 @@ def bd_clean(spark, sf):
 @register("gender_missing", q("SELECT msno, gender, gender_missing FROM mf"))
 def gender_missing(spark, sf):
     """Null flag."""
-    return Chain(spark, sf).member_features().select("msno", "gender", "gender_missing")
+    return Chain.shared(spark, sf).member_features().select("msno", "gender", "gender_missing")
 
 
 @register("registered_via_missing", q("SELECT msno, registered_via, registered_via_missing FROM mf"))
 def registered_via_missing(spark, sf):
     """Sentinel flag (value kept)."""
-    return Chain(spark, sf).member_features().select("msno", "registered_via", "registered_via_missing")
+    return Chain.shared(spark, sf).member_features().select("msno", "registered_via", "registered_via_missing")
 
 
 @register("registration_parts", q("SELECT msno, registration_init_time, registration_year, registration_month FROM mf"))
 def registration_parts(spark, sf):
     """Registration year and month."""
-    return Chain(spark, sf).member_features().select("msno", "registration_init_time", "registration_year",
+    return Chain.shared(spark, sf).member_features().select("msno", "registration_init_time", "registration_year",
                                                      "registration_month")
 
 
@@ -130,7 +130,7 @@ def registration_parts(spark, sf):
                             "membership_remaining_days FROM tf"))
 def expire_guard(spark, sf):
     """Sentinel expire date -> flag and NULL remaining days."""
-    return Chain(spark, sf).transaction_features().select(
+    return Chain.shared(spark, sf).transaction_features().select(
         "msno", "latest_membership_expire_date", "membership_expire_date_invalid", "membership_remaining_days")
 
 
@@ -138,13 +138,13 @@ def expire_guard(spark, sf):
                                      "avg_revenue_per_txn, discount_rate FROM tf"), DS_DOUBLES))
 def safe_ratios(spark, sf):
     """Ratios, denominator 0 -> NULL."""
-    return finalize(Chain(spark, sf).transaction_features().select("msno", *DS_DOUBLES))
+    return finalize(Chain.shared(spark, sf).transaction_features().select("msno", *DS_DOUBLES))
 
 
 @register("total_discount", q("SELECT msno, total_list_price, total_revenue, total_discount FROM tf"))
 def total_discount(spark, sf):
     """List minus paid (may be negative)."""
-    return Chain(spark, sf).transaction_features().select("msno", "total_list_price", "total_revenue",
+    return Chain.shared(spark, sf).transaction_features().select("msno", "total_list_price", "total_revenue",
                                                           "total_discount")
 
 
@@ -152,7 +152,7 @@ def total_discount(spark, sf):
                          "tenure_days_at_cutoff FROM ds"))
 def day_diffs(spark, sf):
     """Day differences against the cutoff (tenure may be negative)."""
-    return Chain(spark, sf).dataset().select("msno", "txn_span_days", "days_since_last_txn",
+    return Chain.shared(spark, sf).dataset().select("msno", "txn_span_days", "days_since_last_txn",
                                              "membership_remaining_days", "tenure_days_at_cutoff")
 
 
@@ -161,7 +161,7 @@ def day_diffs(spark, sf):
                                       "FROM lab LEFT JOIN mf ON lab.msno = mf.msno"))
 def join_members_indicator(spark, sf):
     """Labels left-joined to members with a presence flag."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     return FE.join_with_indicator(ch.labels(), ch.member_features().select("msno", "city"), "has_members_data")
 
 
@@ -170,7 +170,7 @@ def join_members_indicator(spark, sf):
                                   "FROM lab LEFT JOIN tf ON lab.msno = tf.msno"))
 def join_txn_indicator(spark, sf):
     """Labels left-joined to transaction features with a presence flag."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     return FE.join_with_indicator(ch.labels(), ch.transaction_features().select("msno", "total_revenue"),
                                   "has_transactions_data")
 
@@ -179,19 +179,19 @@ def join_txn_indicator(spark, sf):
                                 "num_distinct_payment_methods, total_revenue, has_transactions_data FROM ds"))
 def zero_fill_counts(spark, sf):
     """Only the four counts become 0; revenue stays NULL."""
-    return Chain(spark, sf).dataset().select("msno", *C.ZERO_FILL_COUNTS, "total_revenue", "has_transactions_data")
+    return Chain.shared(spark, sf).dataset().select("msno", *C.ZERO_FILL_COUNTS, "total_revenue", "has_transactions_data")
 
 
 @register("modeling_dataset", sql_final(q("SELECT * FROM ds"), DS_DOUBLES))
 def modeling_dataset(spark, sf):
     """C4: the 40-column modeling table of round v2."""
-    return finalize(Chain(spark, sf).dataset())
+    return finalize(Chain.shared(spark, sf).dataset())
 
 
 @register("modeling_dataset_v1", sql_final(q("SELECT * FROM ds", "v1"), DS_DOUBLES))
 def modeling_dataset_v1(spark, sf):
     """H2 input: the same feature code at the v1 cutoff (temporal training set)."""
-    return finalize(Chain(spark, sf, "v1").dataset())
+    return finalize(Chain.shared(spark, sf, "v1").dataset())
 
 
 def _cat_sql(c, numeric=True):
@@ -203,7 +203,7 @@ def _cat_sql(c, numeric=True):
                                      + " FROM ds"))
 def categorical_as_string(spark, sf):
     """Categorical columns as strings, missing is its own 'nan' category."""
-    ds = Chain(spark, sf).dataset()
+    ds = Chain.shared(spark, sf).dataset()
     return ds.select("msno", *[X.as_category(c, numeric=(c != "gender")).alias(c) for c in C.CAT_ONEHOT])
 
 
@@ -214,7 +214,7 @@ def categorical_as_string(spark, sf):
                             "CASE WHEN latest_payment_plan_days IS NULL THEN NULL ELSE greatest(0, least(400, latest_payment_plan_days)) END AS plan_clip FROM ds"))
 def clip_columns(spark, sf):
     """Clip to [lo, hi] keeping NULL."""
-    ds = Chain(spark, sf).dataset()
+    ds = Chain.shared(spark, sf).dataset()
     return finalize(ds.select("msno",
                               X.clip_keep_null("bd_clean", 5, 80).cast("int").alias("bd_clip"),
                               X.clip_keep_null("total_transactions", 0, 50).cast("bigint").alias("txn_clip"),
@@ -246,14 +246,14 @@ def bucket_sql(col, edges, labels):
                                                           for name, (c, e, lab) in BUCKETS.items()) + " FROM ds"))
 def feature_buckets(spark, sf):
     """Right-closed buckets of tenure, transactions, recency, remaining days."""
-    ds = Chain(spark, sf).dataset()
+    ds = Chain.shared(spark, sf).dataset()
     return ds.select("msno", *[X.right_closed_bucket(c, e, lab).alias(name) for name, (c, e, lab) in BUCKETS.items()])
 
 
 @register("sanity_checks")
 def sanity_checks(spark, sf):
     """One aggregate -> (check, value, status) rows; FAIL raises in jobs."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     return finalize(QU.sanity_checks(ch.labels(), ch.dataset(), ch.round.cutoff))
 
 
@@ -269,7 +269,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS n_members,
 FROM mf"""), ["pct_bd_invalid", "pct_via_unknown", "pct_expire_invalid"]))
 def cleaning_counts(spark, sf):
     """Invalid / unknown / future-registration counts and shares."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     return finalize(QU.cleaning_counts(ch.member_features(), ch.transaction_features()))
 
 
@@ -283,8 +283,8 @@ def _round_stats_sql(r):
                                         ["churn_rate", "member_coverage", "txn_coverage"]))
 def label_rate_shift(spark, sf):
     """Per round rows, churn rate and coverage, from the union of both rounds."""
-    v1 = Chain(spark, sf, "v1").dataset().withColumn("round", F.lit("v1"))
-    v2 = Chain(spark, sf, "v2").dataset().withColumn("round", F.lit("v2"))
+    v1 = Chain.shared(spark, sf, "v1").dataset().withColumn("round", F.lit("v1"))
+    v2 = Chain.shared(spark, sf, "v2").dataset().withColumn("round", F.lit("v2"))
     return finalize(QU.label_rate_shift(v1.unionByName(v2)))
 
 
@@ -294,8 +294,8 @@ SELECT CAST((SELECT COUNT(*) FROM a) AS BIGINT) AS n_v1, CAST((SELECT COUNT(*) F
        CAST((SELECT COUNT(*) FROM a) AS BIGINT) AS n_both, CAST(0 AS BIGINT) AS n_only_v1, CAST(0 AS BIGINT) AS n_only_v2""")
 def label_population_overlap(spark, sf):
     """Customers present in both rounds (inner join count, anti joins both ways)."""
-    v1 = Chain(spark, sf, "v1").labels()
-    v2 = Chain(spark, sf, "v2").labels()
+    v1 = Chain.shared(spark, sf, "v1").labels()
+    v2 = Chain.shared(spark, sf, "v2").labels()
     return QU.population_overlap(v1, v2)
 
 
@@ -322,7 +322,7 @@ GROUP BY has_members_data, has_transactions_data"""))
 def missing_blocks(spark, sf):
     """Member columns are missing together iff has_members_data = 0, and
     transaction columns iff has_transactions_data = 0."""
-    return QU.missing_blocks(Chain(spark, sf).dataset())
+    return QU.missing_blocks(Chain.shared(spark, sf).dataset())
 
 
 @register("exact_redundancies", q("""
@@ -333,4 +333,4 @@ UNION ALL SELECT 'cancel_rate = cancellations / transactions', CAST(COUNT(*) FIL
 UNION ALL SELECT 'auto_renew_pct = auto_renew / transactions', CAST(COUNT(*) FILTER (WHERE abs(auto_renew_pct * total_transactions - total_auto_renew) > 1e-6) AS BIGINT), CAST(COUNT(*) FILTER (WHERE auto_renew_pct IS NOT NULL) AS BIGINT) FROM ds"""))
 def exact_redundancies(spark, sf):
     """Published identities checked row by row, long table."""
-    return QU.exact_redundancies(Chain(spark, sf).dataset())
+    return QU.exact_redundancies(Chain.shared(spark, sf).dataset())

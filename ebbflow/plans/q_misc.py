@@ -28,7 +28,7 @@ CG_SQL = ("CASE WHEN risk_score_full >= 0.65 AND is_churn = 1 THEN 'TP' WHEN ris
 
 
 def _errors(spark, sf):
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     return s.withColumn("confusion_group", X.confusion_group("risk_score_full", "is_churn"))
 
 
@@ -63,7 +63,7 @@ def top_category_per_group(spark, sf):
                              "FROM ds LEFT JOIN pred p ON p.msno = ds.msno"))
 def attach_scores(spark, sf):
     """Features left-joined to scores; the completeness count must be zero."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     j = QU.attach_with_completeness(ch.dataset().select("msno"), ch.predictions(), ["risk_tier"])
     return QU.completeness(j, "risk_tier")
 
@@ -77,7 +77,7 @@ FROM sc l LEFT JOIN pred p ON p.msno = l.msno"""))
 def aligned_lookup(spark, sf):
     """Key-aligned lookup of stored predictions for the holdout: unique key,
     full cover, equal labels (order is irrelevant in Spark)."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     preds = ch.predictions().select("msno", F.col("is_churn").alias("p_churn"), F.lit(1).alias("_m"))
     dup = preds.groupBy("msno").count().where(F.col("count") > 1).agg(
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("d")).first()["d"]
@@ -95,7 +95,7 @@ FROM act"""))
 def reconcile_labels(spark, sf):
     """C14: the action plan's stored group vs the label resolved from the
     per-customer segment file: row counts and mismatches."""
-    acts = Chain(spark, sf).customer_actions()
+    acts = Chain.shared(spark, sf).customer_actions()
     stored = acts.select("msno", F.col("priority_group").alias("label"))
     resolved = acts.select("msno", X.priority_group("risk_tier", "segment").alias("label"))
     return QU.reconcile_labels(stored, resolved)
@@ -116,7 +116,7 @@ WHERE f.score_column = 'risk_score_full' AND p.score_column = 'risk_score_proxy_
     ["full_feature_set", "proxy_controlled_set", "abs_diff"]))
 def metric_deltas(spark, sf):
     """Two metric sets side by side (unpivot + join) with their difference."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
 
     def values(col):  # two one-row aggregates -> seven scalars
         r = CU.ranking_metrics(s, col).first().asDict()
@@ -142,7 +142,7 @@ def metric_deltas(spark, sf):
                                      ["threshold", "precision", "recall", "f1", "pct_targeted"]))
 def union_results(spark, sf):
     """G1: per-model result frames stacked by name."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     parts = [ch.sweep(c).select(F.lit(m).alias("model"), "*")
              for m, c in [("full", "risk_score_full"), ("proxy_controlled", "risk_score_proxy_controlled")]]
     return finalize(reduce(DataFrame.unionByName, parts))
@@ -170,7 +170,7 @@ def _intent_sql():
 def question_intent(spark, sf):
     """B35 (re-aimed): first-match keyword intents of every user turn in the
     conversations table, counted per (customer intent, segment intent)."""
-    conv = Chain(spark, sf).tables.conversations().where(F.col("role") == "user")
+    conv = Chain.shared(spark, sf).tables.conversations().where(F.col("role") == "user")
     return conv.select(X.question_intent("text").alias("customer_intent"),
                        X.segment_intent("text").alias("segment_intent")).groupBy(
         "customer_intent", "segment_intent").agg(F.count(F.lit(1)).alias("n_questions"))
@@ -183,6 +183,6 @@ SAMPLE_N = 10_000
 def row_sample(spark, sf):
     """Exact-size seeded sample (10,000 rows): the rows with the smallest
     hash uniforms - a top-k, so no global sort or shuffle of the whole table."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     return (s.select("msno", "risk_score_full", X.hash_uniform(F.col("msno"), F.lit("sample")).alias("_u"))
             .orderBy("_u", "msno").limit(SAMPLE_N).drop("_u"))

@@ -24,11 +24,11 @@ _MODELS: dict = {}
 
 
 def _train(spark, sf) -> DataFrame:
-    return Chain(spark, sf, "v1").scored()
+    return Chain.shared(spark, sf, "v1").scored()
 
 
 def _test(spark, sf) -> DataFrame:
-    return Chain(spark, sf, "v2").scored()
+    return Chain.shared(spark, sf, "v2").scored()
 
 
 def trained(spark, sf, kind, exclude=(), **kw) -> ML.TrainedModel:
@@ -109,7 +109,7 @@ def onehot_stats(spark, sf):
                                                           "avg_revenue_per_txn", "discount_rate"]))
 def proxy_column_set(spark, sf):
     """The proxy-controlled feature set (six label-adjacent columns dropped)."""
-    ds = Chain(spark, sf).dataset()
+    ds = Chain.shared(spark, sf).dataset()
     return finalize(ds.select("msno", "is_churn", *[c for c in C.ALL_FEATURES if c not in C.PROXY_EXCLUDE]))
 
 
@@ -227,7 +227,7 @@ def model_benchmark_frame(spark, sf) -> DataFrame:
     """Per model PR-AUC, ROC-AUC, Brier raw and after isotonic (fit on the
     calibration-fit half, evaluated on the other), precision / recall at the
     High-tier size, rows, seconds, status."""
-    ch = Chain(spark, sf, "v2")
+    ch = Chain.shared(spark, sf, "v2")
     test = CA.with_calib_split(_test(spark, sf))
     k = ch.predictions().where(F.col("risk_tier") == "High").count()
     rows = []

@@ -22,7 +22,7 @@ NUMERIC = C.BINARY_FLAGS + C.NUMERIC_CONTINUOUS
 
 
 def _ds(spark, sf):
-    return Chain(spark, sf).dataset()
+    return Chain.shared(spark, sf).dataset()
 
 
 def _churn_by_sql():
@@ -200,7 +200,7 @@ BOX_D = ["q1", "median", "q3", "whisker_low", "whisker_high"]
     _box_sql("total_revenue", "risk_tier", "vt", "has_transactions_data = 1")])), BOX_D))
 def box_stats(spark, sf):
     """Box-plot statistics (quartiles, 1.5 IQR whiskers clamped to data)."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     ds = ch.dataset()
     vt = ch.value_tiers().where(F.col("has_transactions_data") == 1)
 

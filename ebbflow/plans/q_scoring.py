@@ -22,14 +22,14 @@ SWEEP_D = ["threshold", "precision", "recall", "f1", "pct_targeted"]
                          "is_churn_behavioural FROM sc"))
 def scorecard(spark, sf):
     """Scorecard points, both scores, informative label B and behavioural label A."""
-    return Chain(spark, sf).scored().select("msno", "points", "points_proxy", "risk_score_full",
+    return Chain.shared(spark, sf).scored().select("msno", "points", "points_proxy", "risk_score_full",
                                             "risk_score_proxy_controlled", "is_churn", "is_churn_behavioural")
 
 
 @register("threshold_sweep", sql_final(q("SELECT * FROM sweep"), SWEEP_D))
 def threshold_sweep(spark, sf):
     """19-threshold sweep from one bucket aggregation."""
-    return finalize(Chain(spark, sf).sweep())
+    return finalize(Chain.shared(spark, sf).sweep())
 
 
 @register("threshold_sweep_proxy", sql_final(q("""
@@ -45,19 +45,19 @@ SELECT g.threshold,
 FROM grid g CROSS JOIN sc s GROUP BY g.threshold"""), SWEEP_D))
 def threshold_sweep_proxy(spark, sf):
     """H16 on the proxy-controlled score."""
-    return finalize(Chain(spark, sf).sweep("risk_score_proxy_controlled"))
+    return finalize(Chain.shared(spark, sf).sweep("risk_score_proxy_controlled"))
 
 
 @register("select_thresholds", q("SELECT high AS high_risk_threshold, medium AS medium_risk_threshold FROM th"))
 def select_thresholds(spark, sf):
     """High / Medium thresholds chosen from the sweep."""
-    return SC.select_thresholds(Chain(spark, sf).sweep())
+    return SC.select_thresholds(Chain.shared(spark, sf).sweep())
 
 
 @register("assign_risk_tier", q("SELECT msno, is_churn, risk_score_full, risk_score_proxy_controlled, risk_tier FROM pred"))
 def assign_risk_tier(spark, sf):
     """risk_scoring_predictions (key, label, two scores, tier)."""
-    return Chain(spark, sf).predictions().select("msno", "is_churn", "risk_score_full",
+    return Chain.shared(spark, sf).predictions().select("msno", "is_churn", "risk_score_full",
                                                  "risk_score_proxy_controlled", "risk_tier")
 
 
@@ -77,7 +77,7 @@ LEFT JOIN (SELECT risk_tier, COUNT(*) AS n, AVG(is_churn) AS rate FROM pred GROU
 @register("risk_tier_table", sql_final(q(RTT_SQL), ["pct_of_base", "observed_churn_rate_in_tier"]))
 def risk_tier_table(spark, sf):
     """Per tier n, % of base, observed churn and the score range label."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     medium, high = ch.thresholds
     return finalize(SC.risk_tier_table(ch.scored(), medium, high))
 
@@ -85,7 +85,7 @@ def risk_tier_table(spark, sf):
 @register("score_range_label", q(f"SELECT tier, score_range FROM ({RTT_SQL}) x"))
 def score_range_label(spark, sf):
     """B36: "[lo, hi)" / "[lo, 1.00]" labels of the three tiers."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     medium, high = ch.thresholds
     return SC.risk_tier_table(ch.scored(), medium, high).select("tier", "score_range")
 
@@ -126,7 +126,7 @@ def _cls(scored, score, thr):
 @register("classification_metrics", sql_final(q(CLS_SQL), CLS_D))
 def classification_metrics(spark, sf):
     """H14 + H15: confusion counts, precision, recall, F1, log loss, Brier at 0.5 for both scores."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     return finalize(_cls(s, "risk_score_full", 0.5).unionByName(_cls(s, "risk_score_proxy_controlled", 0.5)))
 
 
@@ -135,7 +135,7 @@ def classification_metrics(spark, sf):
                                      "AS brier_proxy_controlled FROM sc"), ["brier_full", "brier_proxy_controlled"]))
 def brier_score(spark, sf):
     """Mean squared error of the (clipped) score against the label."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     y = F.col("is_churn").cast("double")
     return finalize(s.agg(F.avg(F.pow(X.score_clip("risk_score_full") - y, 2)).alias("brier_full"),
                           F.avg(F.pow(X.score_clip("risk_score_proxy_controlled") - y, 2)).alias("brier_proxy_controlled")))
@@ -144,7 +144,7 @@ def brier_score(spark, sf):
 @register("score_clip", q("SELECT msno, greatest(0.0, least(1.0, (points - 20) / 60.0)) AS clipped FROM sc"))
 def score_clip(spark, sf):
     """A stretched score clipped to [0, 1] before Brier."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     return finalize(s.select("msno", X.score_clip((F.col("points") - 20) / 60.0).alias("clipped")))
 
 
@@ -152,7 +152,7 @@ def score_clip(spark, sf):
                                "WHEN risk_score_full >= 0.65 THEN 'FP' WHEN is_churn = 1 THEN 'FN' ELSE 'TN' END AS confusion_group FROM sc"))
 def confusion_group(spark, sf):
     """TP / FP / FN / TN at 0.65 per customer."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     return s.select("msno", "is_churn", "risk_score_full",
                     X.confusion_group("risk_score_full", "is_churn").alias("confusion_group"))
 
@@ -163,7 +163,7 @@ CM_SQL = f"SELECT * EXCLUDE (score_column, log_loss, brier) FROM ({_cls_sql_both
 @register("confusion_matrix", sql_final(q(CM_SQL), ["threshold", "precision", "recall", "f1"]))
 def confusion_matrix(spark, sf):
     """2 x 2 counts and precision / recall at 0.65."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     return finalize(_cls(s, "risk_score_full", 0.65).drop("score_column", "log_loss", "brier"))
 
 
@@ -171,7 +171,7 @@ def confusion_matrix(spark, sf):
                                             "SUM(1 - is_churn) * 1.0 / SUM(is_churn) AS neg_pos_ratio FROM sc"), ["neg_pos_ratio"]))
 def class_weight_ratio(spark, sf):
     """Negatives / positives (the boosted-tree positive weight)."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     return finalize(s.agg(F.sum(1 - F.col("is_churn")).cast("bigint").alias("n_negative"),
                           F.sum("is_churn").cast("bigint").alias("n_positive"))
                     .withColumn("neg_pos_ratio", F.col("n_negative") / F.col("n_positive")))
@@ -182,7 +182,7 @@ def class_weight_ratio(spark, sf):
 def class_weights(spark, sf):
     """Balanced weights n / (2 n_class) as a column (class counts are two scalars)."""
     from ebbflow.operators import ml
-    return finalize(ml.with_balanced_weights(Chain(spark, sf).scored()).select("msno", "is_churn", "class_weight"))
+    return finalize(ml.with_balanced_weights(Chain.shared(spark, sf).scored()).select("msno", "is_churn", "class_weight"))
 
 
 @register("tier_lift", sql_final(q("""
@@ -191,7 +191,7 @@ SELECT risk_tier, AVG(is_churn) AS churn_rate, (SELECT AVG(is_churn) FROM pred)
 FROM pred GROUP BY risk_tier"""), ["churn_rate", "base_rate", "lift_vs_base"]))
 def tier_lift(spark, sf):
     """Tier churn rate over the base rate."""
-    p = Chain(spark, sf).predictions()
+    p = Chain.shared(spark, sf).predictions()
     g = p.groupBy("risk_tier").agg(F.avg("is_churn").alias("churn_rate"), F.count(F.lit(1)).alias("n"),
                                    F.sum("is_churn").alias("pos"))
     whole = Window.partitionBy()  # three rows
@@ -204,7 +204,7 @@ def tier_lift(spark, sf):
                                   ["threshold", "precision", "churn_lift"]))
 def sweep_lift(spark, sf):
     """Sweep precision over the base rate."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     base = ch.scored().agg(F.avg("is_churn")).first()[0]  # one scalar
     return finalize(ch.sweep().select("threshold", "precision", (F.col("precision") / F.lit(base)).alias("churn_lift")))
 
@@ -223,7 +223,7 @@ FROM (SELECT * FROM (VALUES {", ".join(f"(CAST({t} AS DOUBLE))" for t in TARGETS
     ["precision_target", "resulting_high_threshold", "pct_targeted_at_that_threshold"]))
 def threshold_sensitivity(spark, sf):
     """The High threshold each precision target would pick (7 targets x 19-row sweep)."""
-    sweep = Chain(spark, sf).sweep()
+    sweep = Chain.shared(spark, sf).sweep()
     return finalize(SC.threshold_sensitivity(sweep, TARGETS))
 
 
@@ -233,7 +233,7 @@ def threshold_sensitivity(spark, sf):
                                  ["f1_min", "f1_max", "f1_range", "relative_spread_pct"]))
 def f1_band(spark, sf):
     """F1 spread over thresholds 0.55-0.85."""
-    s = Chain(spark, sf).sweep().where((F.col("threshold") >= 0.55) & (F.col("threshold") <= 0.85))
+    s = Chain.shared(spark, sf).sweep().where((F.col("threshold") >= 0.55) & (F.col("threshold") <= 0.85))
     return finalize(s.agg(F.min("f1").alias("f1_min"), F.max("f1").alias("f1_max"))
                     .withColumn("f1_range", F.col("f1_max") - F.col("f1_min"))
                     .withColumn("relative_spread_pct", F.col("f1_range") / F.col("f1_max") * 100.0))
@@ -254,7 +254,7 @@ FROM (SELECT *, SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECED
                                        ["pr_auc", "roc_auc"]))
 def ranking_metrics(spark, sf):
     """H12 + H13: ROC-AUC (mid-rank ties) and average precision for both scores."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     parts = [CU.ranking_metrics(s, c).select(F.lit(c).alias("score_column"), "pr_auc", "roc_auc")
              for c in ["risk_score_full", "risk_score_proxy_controlled"]]
     return finalize(parts[0].unionByName(parts[1]))
@@ -273,7 +273,7 @@ FROM (SELECT *, SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECED
             FROM sc GROUP BY 1) b) c"""), CURVE_D + ["P", "N"]))
 def curve_points(spark, sf):
     """ROC and PR points at every distinct score."""
-    return finalize(CU.curve(Chain(spark, sf).scored(), "risk_score_full"))
+    return finalize(CU.curve(Chain.shared(spark, sf).scored(), "risk_score_full"))
 
 
 @register("precision_recall_at_k", sql_final(q("""
@@ -287,7 +287,7 @@ SELECT CAST(k.k AS BIGINT) AS k, score AS cutoff_score,
 FROM cum CROSS JOIN k WHERE cn - n < k.k AND cn >= k.k"""), ["cutoff_score", "precision_at_k", "recall_at_k"]))
 def precision_recall_at_k(spark, sf):
     """Precision / recall in the top k = High-tier size, tie block pro rata."""
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     k = ch.predictions().where(F.col("risk_tier") == "High").count()  # one scalar
     return finalize(CU.precision_recall_at_k(ch.scored(), "risk_score_full", k))
 
@@ -323,7 +323,7 @@ SELECT 'proxy' AS model, (SELECT od FROM obs) AS observed_diff, quantile_cont(d,
 @register("bootstrap_pr_auc", sql_final(q(_boot_sql()), ["observed_diff", "ci95_low", "ci95_high"]))
 def bootstrap_pr_auc(spark, sf):
     """Paired Poisson bootstrap (20 replicates) of PR-AUC(proxy) - PR-AUC(full)."""
-    s = Chain(spark, sf).scored()
+    s = Chain.shared(spark, sf).scored()
     longs = (s.select("msno", "is_churn", F.lit("full").alias("model"), F.col("risk_score_full").alias("score"))
              .unionByName(s.select("msno", "is_churn", F.lit("proxy").alias("model"),
                                    F.col("risk_score_proxy_controlled").alias("score"))))
@@ -345,5 +345,5 @@ def risk_summary_json(spark, sf):
     flattened to one row per tier for comparison; ``summary_document`` builds the
     nested row itself."""
     from ebbflow.operators import summary
-    doc = summary.risk_summary_document(Chain(spark, sf))
+    doc = summary.risk_summary_document(Chain.shared(spark, sf))
     return finalize(summary.flatten_risk_summary(doc))

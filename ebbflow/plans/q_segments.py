@@ -22,7 +22,7 @@ CHAR_DOUBLES = ["auto_renew_pct", "avg_revenue_per_txn", "discount_rate", "cance
                                       CHAR_DOUBLES))
 def assign_segment(spark, sf):
     """customer_segments (first-match rules, NULL falls through)."""
-    return finalize(SG.customer_segments(Chain(spark, sf).predictions()))
+    return finalize(SG.customer_segments(Chain.shared(spark, sf).predictions()))
 
 
 def _profile_sql(key, order, src):
@@ -37,13 +37,13 @@ LEFT JOIN (SELECT {key}, COUNT(*) AS n_customers, AVG(is_churn) AS is_churn, {CH
 @register("tier_profile", _profile_sql("risk_tier", C.TIER_ORDER, "pred"))
 def tier_profile(spark, sf):
     """Behaviour means, churn, n, % of base per risk tier."""
-    return finalize(SG.tier_profile(Chain(spark, sf).predictions()))
+    return finalize(SG.tier_profile(Chain.shared(spark, sf).predictions()))
 
 
 @register("segment_summary", _profile_sql("segment", C.SEGMENT_ORDER, "seg"))
 def segment_summary(spark, sf):
     """The same per segment."""
-    return finalize(SG.segment_summary(Chain(spark, sf).segments()))
+    return finalize(SG.segment_summary(Chain.shared(spark, sf).segments()))
 
 
 @register("unmatched_at_risk", sql_final(q("""
@@ -53,7 +53,7 @@ SELECT CAST(COUNT(*) FILTER (WHERE risk_tier IN ('High', 'Medium') AND segment =
          / NULLIF(COUNT(*) FILTER (WHERE risk_tier IN ('High', 'Medium')), 0) AS pct_of_at_risk FROM seg"""), ["pct_of_at_risk"]))
 def unmatched_at_risk(spark, sf):
     """At-risk customers matching no named segment."""
-    return finalize(SG.unmatched_at_risk(Chain(spark, sf).segments()))
+    return finalize(SG.unmatched_at_risk(Chain.shared(spark, sf).segments()))
 
 
 @register("monthly_revenue_rate", sql_final(q("SELECT msno, total_revenue, tenure_days_at_cutoff, "
@@ -61,20 +61,20 @@ def unmatched_at_risk(spark, sf):
                                             ["monthly_revenue_rate"]))
 def monthly_revenue_rate(spark, sf):
     """Revenue per tenure month (floor one month)."""
-    ds = Chain(spark, sf).dataset().select("msno", "total_revenue", "tenure_days_at_cutoff")
+    ds = Chain.shared(spark, sf).dataset().select("msno", "total_revenue", "tenure_days_at_cutoff")
     return finalize(SG.monthly_revenue_rate(ds))
 
 
 @register("tercile_edges", sql_final(q("SELECT e1 AS edge_low, e2 AS edge_high FROM edges"), ["edge_low", "edge_high"]))
 def tercile_edges(spark, sf):
     """E2 edges: linear 1/3 and 2/3 revenue quantiles of customers with transactions."""
-    return finalize(SG.tercile_edges(Chain(spark, sf).scored()))
+    return finalize(SG.tercile_edges(Chain.shared(spark, sf).scored()))
 
 
 @register("value_tiers", q("SELECT msno, is_churn, risk_tier, segment, total_revenue, value_tier FROM vt"))
 def value_tiers(spark, sf):
     """customer_value_tiers (terciles, ties kept together, unknown tier)."""
-    return SG.customer_value_tiers(Chain(spark, sf).value_tiers())
+    return SG.customer_value_tiers(Chain.shared(spark, sf).value_tiers())
 
 
 VBT_D = ["mean", "std", "min", "p25", "p50", "p75", "max"]
@@ -89,7 +89,7 @@ SELECT risk_tier, CAST(COUNT(total_revenue) AS BIGINT) AS count, AVG(CAST(total_
 FROM vt WHERE has_transactions_data = 1 GROUP BY risk_tier"""), VBT_D))
 def value_by_risk_tier(spark, sf):
     """describe() of revenue per tier plus its sum."""
-    return finalize(SG.value_by_risk_tier(Chain(spark, sf).value_tiers()))
+    return finalize(SG.value_by_risk_tier(Chain.shared(spark, sf).value_tiers()))
 
 
 @register("value_by_segment", sql_final(q("""
@@ -99,7 +99,7 @@ SELECT segment, CAST(COUNT(*) AS BIGINT) AS n_customers, median(CAST(total_reven
 FROM vt WHERE has_transactions_data = 1 GROUP BY segment"""), ["median_HRR", "mean_HRR", "pct_of_total_HRR"]))
 def value_by_segment(spark, sf):
     """Revenue count / median / mean / sum per segment and share of total."""
-    return finalize(SG.value_by_segment(Chain(spark, sf).value_tiers()))
+    return finalize(SG.value_by_segment(Chain.shared(spark, sf).value_tiers()))
 
 
 @register("risk_value_cells", sql_final(q("""
@@ -108,7 +108,7 @@ SELECT risk_tier, value_tier, CAST(COUNT(*) AS BIGINT) AS n, COUNT(*) * 100.0 /
 FROM vt GROUP BY risk_tier, value_tier"""), ["pct", "churn_rate_pct", "avg_hrr"]))
 def risk_value_cells(spark, sf):
     """D16/D17 long form: crosstab count, % of all customers, churn, mean revenue."""
-    return finalize(SG.risk_value_cells(Chain(spark, sf).value_tiers()))
+    return finalize(SG.risk_value_cells(Chain.shared(spark, sf).value_tiers()))
 
 
 def _matrix_sql():
@@ -134,26 +134,26 @@ FROM {order_values("risk_tier", C.TIER_ORDER)} o LEFT JOIN wide w ON w.risk_tier
 @register("risk_value_matrix", _matrix_sql())
 def risk_value_matrix(spark, sf):
     """C9 + D16 + D17: the wide risk x value matrix from one pivot with a fixed value list."""
-    return finalize(SG.risk_value_matrix(Chain(spark, sf).value_tiers()))
+    return finalize(SG.risk_value_matrix(Chain.shared(spark, sf).value_tiers()))
 
 
 @register("recommend_cell", q("SELECT msno, risk_tier, value_tier, recommendation FROM act"))
 def recommend_cell(spark, sf):
     """Per-customer risk x value recommendation."""
-    return Chain(spark, sf).customer_actions().select("msno", "risk_tier", "value_tier", "recommendation")
+    return Chain.shared(spark, sf).customer_actions().select("msno", "risk_tier", "value_tier", "recommendation")
 
 
 @register("resolve_priority_group", q("SELECT msno, risk_tier, segment AS segment_file_label, priority_group FROM act"))
 def resolve_priority_group(spark, sf):
     """Residual relabel, original label kept beside it."""
-    return Chain(spark, sf).customer_actions().select("msno", "risk_tier", F.col("segment").alias("segment_file_label"),
+    return Chain.shared(spark, sf).customer_actions().select("msno", "risk_tier", F.col("segment").alias("segment_file_label"),
                                                       "priority_group")
 
 
 @register("lookup_map", q("SELECT msno, recommendation, intervention_intensity FROM act"))
 def lookup_map(spark, sf):
     """Recommendation -> intensity label (fixed 7-entry map)."""
-    return Chain(spark, sf).customer_actions().select("msno", "recommendation", "intervention_intensity")
+    return Chain.shared(spark, sf).customer_actions().select("msno", "recommendation", "intervention_intensity")
 
 
 @register("value_cells", sql_final(q("""
@@ -165,7 +165,7 @@ FROM vt WHERE has_transactions_data = 1 GROUP BY risk_tier, value_tier"""),
     ["pct_of_base", "churn_rate_pct", "median_HRR", "auto_renew_rate_pct"]))
 def value_cells(spark, sf):
     """Per risk x value cell n, % base, churn, median / total revenue, auto-renew rate."""
-    return finalize(SG.value_cells(Chain(spark, sf).value_tiers()))
+    return finalize(SG.value_cells(Chain.shared(spark, sf).value_tiers()))
 
 
 PLAN_SQL = f"""
@@ -192,7 +192,7 @@ PLAN_D = ["pct_of_base", "churn_rate_pct", "total_HRR", "median_HRR", "pct_match
 @register("action_plan", sql_final(q(PLAN_SQL + "\nSELECT * FROM plan"), PLAN_D))
 def action_plan(spark, sf):
     """The seven-row marketing action plan."""
-    return finalize(SG.action_plan(Chain(spark, sf).customer_actions()))
+    return finalize(SG.action_plan(Chain.shared(spark, sf).customer_actions()))
 
 
 @register("segment_group_counts", q("""
@@ -200,7 +200,7 @@ SELECT priority_group, CAST(COUNT(*) AS BIGINT) AS n_plan, CAST(COUNT(*) AS BIGI
 FROM act GROUP BY priority_group"""))
 def segment_group_counts(spark, sf):
     """Group sizes after relabel equal the action plan's."""
-    return SG.segment_group_counts(Chain(spark, sf).customer_actions())
+    return SG.segment_group_counts(Chain.shared(spark, sf).customer_actions())
 
 
 @register("priority_opportunities", sql_final(q(PLAN_SQL + """
@@ -209,7 +209,7 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY total_HRR DESC, priority_group) AS INTEG
 FROM plan WHERE priority_group NOT IN ('Engaged Low-Risk (Champions)', 'Stable / Monitor')"""), ["total_HRR", "churn_rate_pct"]))
 def priority_opportunities(spark, sf):
     """F3 + E3: retention groups ranked by revenue."""
-    return finalize(SG.priority_opportunities(SG.action_plan(Chain(spark, sf).customer_actions())))
+    return finalize(SG.priority_opportunities(SG.action_plan(Chain.shared(spark, sf).customer_actions())))
 
 
 @register("playbook", sql_final(q(PLAN_SQL + """
@@ -220,4 +220,4 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY band, total_HRR DESC, priority_group) AS
        total_HRR, intervention_intensity FROM pb""").replace(") \n, pb AS", "),\npb AS"), ["total_HRR"]))
 def playbook(spark, sf):
     """all seven groups banded retain -> grow -> monitor."""
-    return finalize(SG.playbook(SG.action_plan(Chain(spark, sf).customer_actions())))
+    return finalize(SG.playbook(SG.action_plan(Chain.shared(spark, sf).customer_actions())))

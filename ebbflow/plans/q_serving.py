@@ -31,7 +31,7 @@ def ql(body: str) -> str:
 
 
 def _lk(spark, sf):
-    return Chain(spark, sf).lookup()
+    return Chain.shared(spark, sf).lookup()
 
 
 def _signal_sql():
@@ -211,7 +211,7 @@ def exposure_vs_weighted(spark, sf):
                                         ["high_risk_revenue_exposure"]))
 def revenue_exposure(spark, sf):
     """Exposure recomputed from the matrix cells: sum over value tiers of n x mean revenue (High row)."""
-    m = SG.risk_value_matrix(Chain(spark, sf).value_tiers()).where(F.col("risk_tier") == "High")
+    m = SG.risk_value_matrix(Chain.shared(spark, sf).value_tiers()).where(F.col("risk_tier") == "High")
     expr = sum((F.col(f"n_{v}") * F.coalesce(F.col(f"avg_hrr_{v}"), F.lit(0.0)) for v in C.TIER_ORDER), F.lit(0.0))
     return finalize(m.select(expr.alias("high_risk_revenue_exposure")))
 
@@ -261,7 +261,7 @@ def feature_display_name(spark, sf):
     """Display names of the features observed in the modeling table (map, else
     underscores to spaces and first letter capitalised)."""
     from ebbflow.operators import profile as PR
-    ds = Chain(spark, sf).dataset()
+    ds = Chain.shared(spark, sf).dataset()
     present = PR.to_long(ds, FEATURES_FOR_NAMES).where(F.col("value").isNotNull()).select(
         F.col("column").alias("feature")).distinct()
     m = F.create_map(*[F.lit(x) for kv in SV.FEATURE_DISPLAY_NAMES.items() for x in kv])
@@ -285,7 +285,7 @@ SELECT priority_group, format('{:,}', n_customers) || ' customers (' || printf('
 FROM plan WHERE n_customers > 0"""))
 def rationale_text(spark, sf):
     """Templated rationale per action-plan group (thousands separators, fixed decimals)."""
-    plan = SG.action_plan(Chain(spark, sf).customer_actions()).where(F.col("n_customers") > 0)
+    plan = SG.action_plan(Chain.shared(spark, sf).customer_actions()).where(F.col("n_customers") > 0)
     text = SV._fill(RATIONALE, n=X.py_grouped(F.col("n_customers"), 0), pct=X.py_fixed(F.col("pct_of_base"), 2),
                     churn=X.py_fixed(F.col("churn_rate_pct"), 1), hrr=X.py_grouped(F.col("total_HRR"), 0),
                     med=X.py_grouped(F.col("median_HRR"), 0),
@@ -316,7 +316,7 @@ def segment_context(spark, sf):
     """C11: action-plan row beside the behavioural medians of the segment summary,
     joined through the summary's label alias; a group the summary lacks gets NULLs."""
     from ebbflow.operators import segments as S2
-    acts = Chain(spark, sf).customer_actions()
+    acts = Chain.shared(spark, sf).customer_actions()
     plan = S2.action_plan(acts)
     return finalize(S2.segment_context(plan, S2.segment_medians(acts)))
 
@@ -333,7 +333,7 @@ FROM plan p CROSS JOIN champ"""), ["subject_churn_rate_pct", "subject_total_hrr"
 def compare_to_champions(spark, sf):
     """Each priority group beside the Champions benchmark (churn %, median revenue)."""
     from ebbflow.operators import segments as S2
-    ch = Chain(spark, sf)
+    ch = Chain.shared(spark, sf)
     plan = S2.action_plan(ch.customer_actions())
     vbs = S2.value_by_segment(ch.value_tiers())
     return finalize(S2.compare_to_champions(plan, vbs))
@@ -344,7 +344,7 @@ def compare_to_champions(spark, sf):
                                                 "WHERE has_transactions_data = 1 GROUP BY segment)"), ["total_hrr"]))
 def highest_value_segment(spark, sf):
     """Segment with the largest total revenue (argmax)."""
-    vbs = SG.value_by_segment(Chain(spark, sf).value_tiers())
+    vbs = SG.value_by_segment(Chain.shared(spark, sf).value_tiers())
     return finalize(vbs.agg(F.max_by("segment", "total_HRR").alias("segment"),
                             F.max("total_HRR").cast("double").alias("total_hrr")))
 
@@ -361,7 +361,7 @@ SELECT CAST((SELECT COUNT(*) FROM act) AS BIGINT) AS customers_analyzed,
     ["intervention_share_pct", "save_first_share_pct"]))
 def intervention_totals(spark, sf):
     """Customers in retention groups, high-value count, funnel stages and shares."""
-    acts = Chain(spark, sf).customer_actions()
+    acts = Chain.shared(spark, sf).customer_actions()
     retention = ~F.col("priority_group").isin(*C.NON_RETENTION_GROUPS)
     a = acts.agg(F.count(F.lit(1)).alias("customers_analyzed"),
                  F.count_if(retention).alias("customers_requiring_intervention"),
@@ -377,7 +377,7 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY total_HRR DESC, priority_group) AS INTEG
 FROM plan WHERE priority_group NOT IN ('Engaged Low-Risk (Champions)', 'Stable / Monitor')"""), ["churn_rate_pct", "total_hrr"]))
 def segment_priority_rank(spark, sf):
     """Retention groups ranked 1..n by revenue with their short action."""
-    plan = SG.action_plan(Chain(spark, sf).customer_actions())
+    plan = SG.action_plan(Chain.shared(spark, sf).customer_actions())
     r = SG.priority_opportunities(plan)
     return finalize(r.select(F.col("priority_rank").alias("priority"), F.col("priority_group").alias("segment"),
                              "n_customers", "churn_rate_pct", F.col("total_HRR").alias("total_hrr"),
