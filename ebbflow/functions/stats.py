@@ -1,0 +1,43 @@
+"""Quantile aggregates with one switch for scale.
+
+Exact ``percentile`` / ``median`` (linear interpolation, equal to SQL
+``quantile_cont``) keep a value histogram per group, which is fine for
+integer-valued columns (revenue, day counts, points) but grows with the number
+of distinct values for raw doubles.  Set ``ebbflow.config.EXACT_QUANTILES =
+False`` (or ``spark.conf`` key ``ebbflow.exactQuantiles=false``) on very large
+inputs to switch every quantile in the library to ``approx_percentile`` with
+accuracy 10000 (relative rank error 1e-4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ebbflow import config as C
+
+ACCURACY = 10_000
+
+
+def _exact() -> bool:
+    try:
+        from pyspark.sql import SparkSession
+        s = SparkSession.getActiveSession()
+        if s is not None:
+            v = s.conf.get("ebbflow.exactQuantiles", None)
+            if v is not None:
+                return v.lower() == "true"
+    except Exception:  # noqa: BLE001
+        pass
+    return C.EXACT_QUANTILES
+
+
+def percentile(x: Column | str, p) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    if _exact():
+        return F.percentile(x, p)
+    return F.approx_percentile(x, p, ACCURACY)
+
+
+def median(x: Column | str) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return F.median(x) if _exact() else F.approx_percentile(x, 0.5, ACCURACY)

@@ -4,14 +4,13 @@ Step 1 collapses rows to score blocks ``(score, pos, neg)`` with a partial +
 final aggregation (ties of a real model are rare, of a scorecard common).
 Step 2 needs running sums in descending score order:
 
-* with grouping columns (bootstrap replicate, model) the window is partitioned
-  by them, so every (replicate, model) curve is one task's sort;
-* without grouping columns and few blocks (``SMALL_BLOCKS``) a plain window is
-  used on the reduced frame;
-* otherwise the blocks are range-partitioned by score (descending), checkpointed
-  so the sampled range boundaries stay fixed, per-partition totals (one row per
-  partition) are prefix-summed on the driver and joined back as offsets, and the
-  running sum is a window *within* each range partition plus its offset.
+* when every group (bootstrap replicate x model, or the single curve) has at
+  most ``SMALL_BLOCKS`` blocks, a window partitioned by the group columns;
+* otherwise the blocks are range-partitioned on (group, score desc) and
+  checkpointed so the sampled range boundaries stay fixed; per (range, group)
+  totals get exclusive prefix offsets from a window over the range id (at most
+  one row per range and group), and the running sum is a window *within* each
+  (range, group) plus its offset - a large curve is spread over many tasks.
 
 All of it is exact: AP is sklearn's step sum over distinct thresholds, ROC-AUC
 the trapezoid (= Mann-Whitney with tied pairs counted one half).
@@ -24,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.functions import stats as ST
+
 from ebbflow.functions.expr import hash_uniform
 
 SMALL_BLOCKS = 200_000
@@ -39,31 +40,35 @@ def score_blocks(df: DataFrame, score: str, label: str = "is_churn", weight: str
 
 
 def _running(blocks: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Adds ``cum_<c>`` = sum of c over all blocks with score >= this block's
-    score (same ``by`` group)."""
+    """Adds ``cum_<c>`` = sum of c over all blocks of the same ``by`` group whose
+    score is >= this block's score.
+
+    Small groups (every group <= SMALL_BLOCKS blocks): one window partitioned by
+    ``by``.  Otherwise a group may not fit one task, so the blocks are range-
+    partitioned on (by, score desc) into P ranges and checkpointed (the sampled
+    range bounds must not move between passes); per (range, group) totals - at
+    most P rows per group - get exclusive prefix offsets from a window over the
+    range id, and the final running sum is a window inside each (range, group)
+    plus its offset.  Exact, and no task ever holds a whole large group."""
+    order = F.col("score").desc()
     if by:
-        w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        return blocks.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in cols])
-    n_blocks = blocks.count()
-    if n_blocks <= SMALL_BLOCKS:
-        # bounded frame: the single-partition window sorts at most SMALL_BLOCKS rows
-        w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        biggest = blocks.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    else:
+        biggest = blocks.count()
+    if biggest <= SMALL_BLOCKS:
+        # every window partition holds at most SMALL_BLOCKS rows
+        w = (Window.partitionBy(*by) if by else Window).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return blocks.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in cols])
-    spark = blocks.sparkSession
-    parts = max(2, min(4096, n_blocks // 50_000))
-    ranged = (blocks.repartitionByRange(parts, F.col("score").desc())
+    n_rows = blocks.count()
+    parts = max(2, min(4096, n_rows // 50_000))
+    ranged = (blocks.repartitionByRange(parts, *[F.col(b) for b in by], order)
               .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
-    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols]).collect()  # one row per partition
-    totals = sorted(totals, key=lambda r: r["_pid"])
-    run = {c: 0.0 for c in cols}
-    offsets = []
-    for r in totals:
-        offsets.append((r["_pid"], *[run[c] for c in cols]))
-        for c in cols:
-            run[c] += float(r[c] or 0.0)
-    off = spark.createDataFrame(offsets, ["_pid"] + [f"_off_{c}" for c in cols])
-    w = Window.partitionBy("_pid").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.join(F.broadcast(off), "_pid")  # offsets: one row per range partition
+    totals = ranged.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wp = (Window.partitionBy(*by) if by else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0.0)).alias(f"_off_{c}")
+                                           for c in cols])
+    w = Window.partitionBy("_pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (ranged.join(offsets, ["_pid", *by])
             .select(*blocks.columns, *[(F.sum(c).over(w) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols]))
 
 
@@ -148,7 +153,7 @@ def bootstrap_pr_auc(long_scores: DataFrame, reference: str, n_boot: int = 20, k
     diffs = boot.where(F.col("model") != reference).join(ref_b, "b").select(
         "model", (F.col("pr_auc") - F.col("ref")).alias("d"))
     ci = diffs.groupBy("model").agg(
-        F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("n_boot"))
+        ST.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("n_boot"))
     # one row per model: the whole-frame window is bounded by the model count
     ref_obs = F.max(F.when(F.col("model") == reference, F.col("pr_auc"))).over(Window.partitionBy())
     observed = obs.withColumn("ref_obs", ref_obs).where(F.col("model") != reference).select(

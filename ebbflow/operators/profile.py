@@ -3,7 +3,7 @@
 Wide statistics are computed as ONE aggregation (all columns, all pairs) and
 turned long with ``unpivot``/``stack`` afterwards - never one job per column or
 pair.  Exact quantiles (``percentile``, linear interpolation) are used by
-default so results match SQL; ``EXACT_QUANTILES = False`` switches to
+default so results match SQL; ``config.EXACT_QUANTILES = False`` switches to
 ``approx_percentile`` for raw doubles at very large scale."""
 
 from __future__ import annotations
@@ -13,16 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.functions import stats as ST
+
 from ebbflow.functions.expr import clip_keep_null, right_closed_bucket
 
-EXACT_QUANTILES = True
 
 
 def quantiles(x: Column, probs: list[float]) -> Column:
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if EXACT_QUANTILES:
-        return F.percentile(x, arr)
-    return F.approx_percentile(x, arr, 10000)
+    return ST.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
 
 
 def churn_rate_by(df: DataFrame, col: str, min_count: int = 0, label: str = "is_churn") -> DataFrame:

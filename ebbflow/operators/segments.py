@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.functions import stats as ST
+
 from ebbflow import config as C
 from ebbflow.functions.expr import (INTENSITY, intensity_of, priority_group, recommend_cell,
                                     segment_rule)
@@ -71,7 +73,7 @@ def tercile_edges(scored: DataFrame) -> DataFrame:
     """E2 edges: linear-interpolated 1/3 and 2/3 quantiles of revenue among
     customers with transactions (one aggregate, one row)."""
     valued = scored.where(F.col("has_transactions_data") == 1)
-    q = F.percentile(F.col("total_revenue").cast("double"), F.array(F.lit(1 / 3), F.lit(2 / 3)))
+    q = ST.percentile(F.col("total_revenue").cast("double"), F.array(F.lit(1 / 3), F.lit(2 / 3)))
     return valued.agg(q.alias("q")).select(F.col("q")[0].alias("edge_low"), F.col("q")[1].alias("edge_high"))
 
 
@@ -109,7 +111,7 @@ def value_by_risk_tier(vt: DataFrame) -> DataFrame:
     count, mean, sample std, min, quartiles (linear), max, and the sum."""
     valued = vt.where(F.col("has_transactions_data") == 1)
     x = F.col("total_revenue").cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = ST.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     agg = valued.groupBy("risk_tier").agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
         q.alias("q"), F.max(x).alias("max"), F.sum("total_revenue").cast("bigint").alias("total_HRR_sum"))
@@ -121,7 +123,7 @@ def value_by_segment(vt: DataFrame) -> DataFrame:
     """Count, median, mean, sum of revenue by segment and share of the total."""
     valued = vt.where(F.col("has_transactions_data") == 1)
     agg = valued.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n_customers"), F.median(F.col("total_revenue").cast("double")).alias("median_HRR"),
+        F.count(F.lit(1)).alias("n_customers"), ST.median(F.col("total_revenue").cast("double")).alias("median_HRR"),
         F.avg(F.col("total_revenue").cast("double")).alias("mean_HRR"),
         F.sum("total_revenue").cast("bigint").alias("total_HRR"))
     # one row per segment (six): whole-frame window is bounded
@@ -168,7 +170,7 @@ def value_cells(vt: DataFrame) -> DataFrame:
     agg = vt.where(F.col("has_transactions_data") == 1).groupBy("risk_tier", "value_tier").agg(
         F.count(F.lit(1)).alias("n_customers"),
         F.avg(F.col("is_churn").cast("double")).alias("churn"),
-        F.median(F.col("total_revenue").cast("double")).alias("median_HRR"),
+        ST.median(F.col("total_revenue").cast("double")).alias("median_HRR"),
         F.sum("total_revenue").cast("bigint").alias("total_HRR"),
         F.avg(F.col("latest_is_auto_renew").cast("double")).alias("auto_renew"))
     n_all = vt.agg(F.count(F.lit(1)).alias("N")).first()["N"]  # one scalar
@@ -188,7 +190,7 @@ def action_plan(actions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_customers"),
         F.avg(F.col("is_churn").cast("double")).alias("churn"),
         F.sum(F.when(valued, F.col("total_revenue"))).cast("double").alias("total_HRR"),
-        F.median(F.when(valued, F.col("total_revenue").cast("double"))).alias("median_HRR"))
+        ST.median(F.when(valued, F.col("total_revenue").cast("double"))).alias("median_HRR"))
     rec_counts = actions.groupBy("priority_group", "recommendation").agg(F.count(F.lit(1)).alias("k"))
     # (group, recommendation) pairs are at most 7 x 7 rows; ties -> smallest label
     w = Window.partitionBy("priority_group").orderBy(F.col("k").desc(), F.col("recommendation"))
@@ -255,8 +257,8 @@ def segment_medians(actions: DataFrame) -> DataFrame:
     label = F.when(F.col("priority_group") == C.UNMATCHED_AT_RISK, F.lit(UNMATCHED_SUMMARY_LABEL)) \
         .otherwise(F.col("priority_group"))
     return (actions.where(F.col("priority_group") != C.STABLE_MONITOR).groupBy(label.alias("label")).agg(
-        F.median(F.col("days_since_last_txn").cast("double")).alias("median_days_since_last_txn"),
-        F.median(F.col("tenure_days_at_cutoff").cast("double")).alias("median_tenure_days"),
+        ST.median(F.col("days_since_last_txn").cast("double")).alias("median_days_since_last_txn"),
+        ST.median(F.col("tenure_days_at_cutoff").cast("double")).alias("median_tenure_days"),
         (F.avg(F.col("latest_is_auto_renew").cast("double")) * 100.0).alias("auto_renew_rate_pct")))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.functions import stats as ST
+
 from ebbflow import config as C
 from ebbflow.functions.expr import (id_search, key_risk_signal, priority_group, range_keep_null)
 
@@ -173,7 +175,7 @@ def search_customers(lookup: DataFrame, *, risk_tier=None, value_tier=None, segm
 def population_baselines(lookup: DataFrame) -> DataFrame:
     """Population means and median tenure (one row)."""
     return lookup.agg(
-        F.avg("latest_is_auto_renew").alias("auto_renew_pct"), F.median("tenure_days_at_cutoff").alias("tenure_days_median"),
+        F.avg("latest_is_auto_renew").alias("auto_renew_pct"), ST.median("tenure_days_at_cutoff").alias("tenure_days_median"),
         F.avg("total_transactions").alias("total_transactions_mean"), F.avg("cancel_rate").alias("cancel_rate_mean"),
         F.avg("discount_rate").alias("discount_rate_mean"), F.avg("days_since_last_txn").alias("days_since_last_txn_mean"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ebbflow.functions import stats as ST
+
 from ebbflow.operators import calibration as CA
 from ebbflow.plans.common import finalize, sql_final
 from ebbflow.plans.oracle import q, qc
@@ -108,7 +110,7 @@ def reliability_calibrated(spark, sf):
 def quantile_bins(spark, sf):
     """E5: decile bin of each customer's raw score (linear quantile edges, left search)."""
     s = Chain.shared(spark, sf).scored()
-    edges = s.agg(F.percentile("risk_score_full", F.array(*[F.lit(k / 10) for k in range(1, 10)]))).first()[0]
+    edges = s.agg(ST.percentile("risk_score_full", F.array(*[F.lit(k / 10) for k in range(1, 10)]))).first()[0]
     return s.select("msno", CA.quantile_bin(F.col("risk_score_full"), [float(e) for e in edges]).alias("bin"))
 
 
@@ -119,7 +121,7 @@ def calibrated_by_tier(spark, sf):
     """Calibrated probability distribution within each raw-score tier."""
     c = Chain.shared(spark, sf).calibrated()
     p = F.col("calibrated_probability")
-    return finalize(c.groupBy("risk_tier").agg(F.avg(p).alias("mean"), F.median(p).alias("median"),
+    return finalize(c.groupBy("risk_tier").agg(F.avg(p).alias("mean"), ST.median(p).alias("median"),
                                                F.min(p).alias("min"), F.max(p).alias("max")))
 
 

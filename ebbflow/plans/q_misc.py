@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.functions import stats as ST
+
 from ebbflow import config as C
 from ebbflow.functions import expr as X
 from ebbflow.operators import curves as CU
@@ -37,7 +39,7 @@ def _errors(spark, sf):
 def error_group_medians(spark, sf):
     """Medians of ten features by confusion group at 0.65."""
     e = _errors(spark, sf)
-    return finalize(e.groupBy("confusion_group").agg(*[F.median(F.col(c).cast("double")).alias(c) for c in ERROR_FEATURES]))
+    return finalize(e.groupBy("confusion_group").agg(*[ST.median(F.col(c).cast("double")).alias(c) for c in ERROR_FEATURES]))
 
 
 @register("top_category_per_group", sql_final(q(f"""
@@ -183,6 +185,6 @@ SAMPLE_N = 10_000
 def row_sample(spark, sf):
     """Exact-size seeded sample (10,000 rows): the rows with the smallest
     hash uniforms - a top-k, so no global sort or shuffle of the whole table."""
-    s = Chain.shared(spark, sf).scored()
-    return (s.select("msno", "risk_score_full", X.hash_uniform(F.col("msno"), F.lit("sample")).alias("_u"))
-            .orderBy("_u", "msno").limit(SAMPLE_N).drop("_u"))
+    from ebbflow.operators.sampling import exact_sample
+    s = Chain.shared(spark, sf).scored().select("msno", "risk_score_full")
+    return exact_sample(s, SAMPLE_N, salt="sample")

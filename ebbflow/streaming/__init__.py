@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysis this library rebuilds has no stream source, watermark, event-time
+window or state; every input is a bounded table and the prediction cutoff is
+the only time boundary.  Feature tables for a new cutoff are produced by the
+batch plan (``ebbflow.plans.pipeline.Chain``) and the stage runner
+(``ebbflow.sources.stages``), which already re-runs only what changed."""

@@ -112,3 +112,30 @@ def test_sweep_matches_bruteforce(spark):
         assert got[t]["n_targeted"] == int(pred.sum())
         assert got[t]["precision"] == pytest.approx(tp / pred.sum() if pred.sum() else 0.0)
         assert got[t]["recall"] == pytest.approx(tp / y.sum())
+
+
+def test_range_partitioned_path_with_groups(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = []
+    refs = {}
+    for g in range(3):
+        y = rng.integers(0, 2, 3000)
+        s = rng.random(3000)
+        refs[g] = ap_ref(y, s)
+        rows += [(g, int(a), float(b)) for a, b in zip(y, s)]
+    df = spark.createDataFrame(rows, "g int, is_churn int, score double")
+    monkeypatch.setattr(CU, "SMALL_BLOCKS", 100)
+    got = {r["g"]: r["pr_auc"] for r in CU.ranking_metrics(df, "score", by=["g"]).collect()}
+    for g, v in refs.items():
+        assert got[g] == pytest.approx(v, abs=1e-12)
+
+
+def test_exact_sample_equals_bruteforce_top_n(spark):
+    from ebbflow.functions.expr import hash_uniform
+    from ebbflow.operators.sampling import exact_sample
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select(F.concat(F.lit("C+"), F.col("id").cast("string")).alias("msno"))
+    got = sorted(r["msno"] for r in exact_sample(df, 100).collect())
+    ref = sorted(r["msno"] for r in df.withColumn("u", hash_uniform(F.col("msno"), F.lit("sample")))
+                 .orderBy("u", "msno").limit(100).collect())
+    assert got == ref and len(got) == 100
