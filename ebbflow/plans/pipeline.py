@@ -62,6 +62,10 @@ class Chain:
     def transactions(self) -> DataFrame:
         return self.tables.transactions()
 
+    def transactions_to_cutoff(self) -> DataFrame:
+        """Fact rows a feature may see; the bound reaches the scan."""
+        return self.tables.transactions(date_to=self.round.cutoff)
+
     def members(self) -> DataFrame:
         return self.tables.members()
 
@@ -70,7 +74,7 @@ class Chain:
 
     # -- features -------------------------------------------------------------
     def transaction_features(self) -> DataFrame:
-        return features.transaction_features(self.transactions(), self.round.cutoff,
+        return features.transaction_features(self.transactions_to_cutoff(), self.round.cutoff,
                                              expire_floor=self.round.expire_floor)
 
     def member_features(self) -> DataFrame:
@@ -84,7 +88,7 @@ class Chain:
         return self.build_dataset()
 
     def build_dataset(self) -> DataFrame:
-        return features.modeling_dataset(self.labels(), self.members(), self.transactions(), self.round.cutoff,
+        return features.modeling_dataset(self.labels(), self.members(), self.transactions_to_cutoff(), self.round.cutoff,
                                          expire_floor=self.round.expire_floor)
 
     # -- scoring --------------------------------------------------------------

@@ -47,8 +47,16 @@ class TestTables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def transactions(self) -> DataFrame:
+    def transactions(self, date_from: int | None = None, date_to: int | None = None) -> DataFrame:
+        """Adapted fact table.  Optional inclusive yyyymmdd bounds are applied to the
+        raw ``o_orderdate`` column so they reach the Parquet reader as pushed
+        filters (the derived ``transaction_date`` is not pushable)."""
         o = self.raw("orders")
+        if date_from is not None:
+            o = o.where(F.col("o_orderdate") >= F.to_timestamp_ntz(F.lit(str(date_from)), F.lit("yyyyMMdd")))
+        if date_to is not None:
+            o = o.where(F.col("o_orderdate") < F.date_add(F.to_date(F.lit(str(date_to)), "yyyyMMdd"), 1)
+                        .cast("timestamp_ntz"))
         plan_days = (
             F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), F.lit(30))
             .when(F.substring("o_orderpriority", 1, 1) == "3", F.lit(90))
@@ -101,7 +109,7 @@ class TestTables:
         keys, so each side is shuffled once on msno."""
         r = ROUNDS[round_] if isinstance(round_, str) else round_
         active = (
-            self.transactions()
+            self.transactions(r.window_start, r.window_end)
             .where(F.col("transaction_date").between(r.window_start, r.window_end))
             .select("msno").distinct().withColumn("_active", F.lit(1))
         )
