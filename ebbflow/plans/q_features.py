@@ -250,7 +250,27 @@ def feature_buckets(spark, sf):
     return ds.select("msno", *[X.right_closed_bucket(c, e, lab).alias(name) for name, (c, e, lab) in BUCKETS.items()])
 
 
-@register("sanity_checks")
+def _sanity_sql():
+    rows = [("row_count_preserved", "n_rows", "CASE WHEN n_rows = n_labels THEN 'PASS' ELSE 'FAIL' END"),
+            ("key_unique", "n_keys", "CASE WHEN n_rows = n_keys THEN 'PASS' ELSE 'FAIL' END"),
+            ("churn_rate", "churn", "CASE WHEN churn > 0.05 AND churn < 0.15 THEN 'PASS' ELSE 'WARN' END"),
+            ("max_last_transaction_date", "max_last", "CASE WHEN max_last IS NULL OR max_last <= 20010131 THEN 'PASS' ELSE 'FAIL' END"),
+            ("coverage_members", "cm", "'INFO'"), ("coverage_transactions", "ct", "'INFO'"),
+            ("membership_remaining_days_min", "mrd_min", "'INFO'"), ("membership_remaining_days_max", "mrd_max", "'INFO'"),
+            ("membership_remaining_days_mean", "mrd_mean", "'INFO'"), ("tenure_days_at_cutoff_min", "ten_min", "'INFO'"),
+            ("tenure_days_at_cutoff_max", "ten_max", "'INFO'"), ("tenure_days_at_cutoff_mean", "ten_mean", "'INFO'")]
+    body = ("\n, d AS (SELECT COUNT(*) AS n_rows, COUNT(DISTINCT msno) AS n_keys, AVG(is_churn) AS churn, "
+            "MAX(last_transaction_date) AS max_last, AVG(has_members_data) AS cm, AVG(has_transactions_data) AS ct, "
+            "MIN(membership_remaining_days) AS mrd_min, MAX(membership_remaining_days) AS mrd_max, "
+            "AVG(membership_remaining_days) AS mrd_mean, MIN(tenure_days_at_cutoff) AS ten_min, "
+            "MAX(tenure_days_at_cutoff) AS ten_max, AVG(tenure_days_at_cutoff) AS ten_mean FROM ds), "
+            "nl AS (SELECT COUNT(*) AS n_labels FROM lab)\n"
+            + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CAST({v} AS DOUBLE) AS value, {st} AS status FROM d, nl"
+                                 for c, v, st in rows))
+    return sql_final(q(body), ["value"])
+
+
+@register("sanity_checks", _sanity_sql())
 def sanity_checks(spark, sf):
     """One aggregate -> (check, value, status) rows; FAIL raises in jobs."""
     ch = Chain.shared(spark, sf)
