@@ -7,7 +7,7 @@ followed by work on a frame of at most a few dozen rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.functions import stats as ST
@@ -180,6 +180,77 @@ def value_cells(vt: DataFrame) -> DataFrame:
                       (F.col("auto_renew") * 100.0).alias("auto_renew_rate_pct"))
 
 
+# Per priority group (rule definition, defining characteristics, marketing objective).
+# The five named-segment rule and characteristic sentences restate the segment rules above; the
+# objective sentences and the two residual groups' texts are the original analysis' wording.
+PLAN_TEXTS = {
+    "At-Risk, Auto-Renew Off": (
+        "risk_tier in {High, Medium} AND latest_is_auto_renew = 0",
+        "Elevated risk with auto-renew switched off on the latest transaction.",
+        "Direct auto-renew re-enable nudge + small incentive; lowest-cost, highest-leverage campaign."),
+    "At-Risk Veteran": (
+        "risk_tier in {High, Medium} AND tenure_days_at_cutoff >= 730 (first match after the rule above)",
+        "Elevated risk after two or more years of tenure, auto-renew still on.",
+        "Loyalty/appreciation-toned outreach, not a generic discount."),
+    "At-Risk Newcomer": (
+        "risk_tier in {High, Medium} AND tenure_days_at_cutoff < 180 (first match after the rules above)",
+        "Elevated risk within the first six months of tenure.",
+        "Onboarding-style engagement content; likely a habit-formation problem, not price."),
+    "At-Risk, Price-Sensitive": (
+        "risk_tier in {High, Medium} AND discount_rate > 0.05 (first match after the rules above)",
+        "Elevated risk with a history of paying below list price.",
+        "Pricing/plan-fit conversation or targeted discount."),
+    "Unmatched At-Risk (no segment)": (
+        "risk_tier in {High, Medium} AND none of the 5 segment rules matched (see 07 follow-up validation)",
+        "No single defining behavioral trait; flagged at-risk by the model on signals other than auto-renew, tenure "
+        "extremes, or discounting.",
+        "Standard tier-based treatment per 06_risk_scoring.ipynb; not one of the 5 named segments."),
+    "Engaged Low-Risk (Champions)": (
+        "risk_tier = Low AND total_transactions >= 20 AND latest_is_auto_renew = 1",
+        "Low risk, heavy transaction history, auto-renew on.",
+        "Advocacy/upsell: referrals, plan upgrades, early access -- not a retention play."),
+    "Stable / Monitor": (
+        "everyone else (default bucket) minus the unmatched at-risk residual above -- i.e. Low risk tier with no "
+        "standout behavioral pattern",
+        "Low risk tier; unremarkable auto-renew, tenure, and discount profile -- the majority baseline, not a "
+        "distinguishing segment.",
+        "No special campaign; low churn risk and no standout value signal to act on."),
+}
+
+# Rationale sentence of an action-plan row.
+RATIONALE = ("{n} customers ({pct}% of base) with a {churn}% actual churn rate and {hrr} NT$ in Historical Realized "
+             "Revenue among them (median {med} NT$/customer). {dom}% of this group falls into the '{rec}' cell of the "
+             "risk x value framework from 08_marketing_value_analysis.ipynb, which sets the recommended intensity below.")
+
+
+def plan_texts(spark) -> DataFrame:
+    """The seven-row text dimension (joined by broadcast - fixed size)."""
+    return spark.createDataFrame([(k, *v) for k, v in PLAN_TEXTS.items()],
+                                 "priority_group string, rule_definition string, defining_characteristics string, "
+                                 "marketing_objective string")
+
+
+def rationale(plan: DataFrame) -> Column:
+    """The templated rationale of a plan row (Python-style number formatting)."""
+    from ebbflow.functions.expr import py_fixed, py_grouped
+    from ebbflow.operators.serving import _fill
+    return _fill(RATIONALE, n=py_grouped(F.col("n_customers"), 0), pct=py_fixed(F.col("pct_of_base"), 2),
+                 churn=py_fixed(F.col("churn_rate_pct"), 1), hrr=py_grouped(F.col("total_HRR"), 0),
+                 med=py_grouped(F.col("median_HRR"), 0), dom=py_fixed(F.col("pct_matching_dominant_recommendation"), 0),
+                 rec=F.col("dominant_risk_value_recommendation"))
+
+
+def action_plan_full(actions: DataFrame) -> DataFrame:
+    """D19 with the text columns and the templated rationale (13 columns)."""
+    plan = action_plan(actions)
+    return (plan.join(F.broadcast(plan_texts(actions.sparkSession)), "priority_group", "left")
+            .select("priority_group", "priority_group_order", "rule_definition", "n_customers", "pct_of_base",
+                    "churn_rate_pct", "total_HRR", "median_HRR", "defining_characteristics", "marketing_objective",
+                    "intervention_intensity", "dominant_risk_value_recommendation",
+                    "pct_matching_dominant_recommendation",
+                    F.when(F.col("n_customers") > 0, rationale(plan)).alias("rationale")))
+
+
 def action_plan(actions: DataFrame) -> DataFrame:
     """One row per priority group in fixed order: size, share, churn %, total
     and median revenue (unknown value tier excluded), the modal recommendation

@@ -269,10 +269,7 @@ def feature_display_name(spark, sf):
                                                 X.feature_display_fallback("feature")).alias("display_name"))
 
 
-# Rationale sentence of an action-plan row.
-RATIONALE = ("{n} customers ({pct}% of base) with a {churn}% actual churn rate and {hrr} NT$ in Historical Realized "
-             "Revenue among them (median {med} NT$/customer). {dom}% of this group falls into the '{rec}' cell of the "
-             "risk x value framework from 08_marketing_value_analysis.ipynb, which sets the recommended intensity below.")
+RATIONALE = SG.RATIONALE
 
 
 @register("rationale_text", qc(PLAN_SQL.replace("\n, base AS", ",\nbase AS", 1) + """
@@ -286,12 +283,7 @@ FROM plan WHERE n_customers > 0"""))
 def rationale_text(spark, sf):
     """Templated rationale per action-plan group (thousands separators, fixed decimals)."""
     plan = SG.action_plan(Chain.shared(spark, sf).customer_actions()).where(F.col("n_customers") > 0)
-    text = SV._fill(RATIONALE, n=X.py_grouped(F.col("n_customers"), 0), pct=X.py_fixed(F.col("pct_of_base"), 2),
-                    churn=X.py_fixed(F.col("churn_rate_pct"), 1), hrr=X.py_grouped(F.col("total_HRR"), 0),
-                    med=X.py_grouped(F.col("median_HRR"), 0),
-                    dom=X.py_fixed(F.col("pct_matching_dominant_recommendation"), 0),
-                    rec=F.col("dominant_risk_value_recommendation"))
-    return plan.select("priority_group", text.alias("rationale"))
+    return plan.select("priority_group", SG.rationale(plan).alias("rationale"))
 
 
 SEG_MED_SQL = f"""
