@@ -269,7 +269,7 @@ SELECT score, pos, neg, tp, fp, P, N, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)
 FROM (SELECT *, SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
              SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
              SUM(pos) OVER () AS P, SUM(neg) OVER () AS N
-      FROM (SELECT risk_score_full AS score, SUM(is_churn) * 1.0 AS pos, SUM(1 - is_churn) * 1.0 AS neg
+      FROM (SELECT risk_score_full AS score, CAST(SUM(is_churn) AS DOUBLE) AS pos, CAST(SUM(1 - is_churn) AS DOUBLE) AS neg
             FROM sc GROUP BY 1) b) c"""), CURVE_D + ["P", "N"]))
 def curve_points(spark, sf):
     """ROC and PR points at every distinct score."""

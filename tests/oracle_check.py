@@ -67,6 +67,24 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols, tol=1e-6):
     return None
 
 
+SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT"}
+
+
+def type_mismatches(schema, description) -> list[str]:
+    duck = {d[0]: str(d[1]) for d in description}
+    out = []
+    for f in schema.fields:
+        st = type(f.dataType).__name__
+        want = SPARK_TO_DUCK.get(st)
+        got = duck.get(f.name, "?")
+        if st == "ArrayType":
+            want = SPARK_TO_DUCK.get(type(f.dataType.elementType).__name__, "?") + "[]"
+        if want and got.upper() != want:
+            out.append(f"{f.name}:{want}/{got}")
+    return out
+
+
 def run(sf_dir: str, names: list[str] | None = None) -> dict:
     import __spark_entry__ as E
     from ebbflow.session import local_session
@@ -98,6 +116,9 @@ def run(sf_dir: str, names: list[str] | None = None) -> dict:
             print(name, results[name], flush=True)
             continue
         msg = compare(rows, cols, drows, dcols)
+        tmis = type_mismatches(df.schema, cur.description)
+        if tmis and not msg:
+            msg = "TYPES " + ", ".join(tmis)
         results[name] = msg or "OK"
         print(f"{name}: {results[name]} ({len(rows)} rows, {ts:.1f}s)", flush=True)
     return results
