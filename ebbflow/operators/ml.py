@@ -5,7 +5,7 @@ Preprocessing is fitted on the training frame only (H3/H4): exact medians for
 imputation and population mean / std for scaling come from ONE aggregation each
 (two fixed-size rows to the driver) and are applied as Catalyst expressions;
 categoricals go through ``StringIndexer(handleInvalid="keep")`` +
-``OneHotEncoder(dropLast=True)`` so the extra 'unseen' slot is dropped and an
+``OneHotEncoder(dropLast=True)``: the indexer's extra "unseen" index is the encoder's last slot, which is dropped, so an
 unseen test category encodes as all zeros.  Models are MLlib estimators; scores
 are ``vector_to_array(probability)[1]``; all metrics are the exact distributed
 ones from :mod:`ebbflow.operators.curves`."""
@@ -79,7 +79,7 @@ class Preprocessor:
         self.indexer = StringIndexer(inputCols=[f"{c}_s" for c in self.cat], outputCols=[f"{c}_i" for c in self.cat],
                                      handleInvalid="keep", stringOrderType="frequencyDesc").fit(cat_df)
         self.encoder = OneHotEncoder(inputCols=[f"{c}_i" for c in self.cat], outputCols=[f"{c}_oh" for c in self.cat],
-                                     dropLast=True, handleInvalid="keep").fit(self.indexer.transform(cat_df))
+                                     dropLast=True, handleInvalid="error").fit(self.indexer.transform(cat_df))
         return self
 
     def _cat_strings(self, df: DataFrame) -> DataFrame:
@@ -169,28 +169,37 @@ PARAM_DIST = {
 }
 
 
-def random_search(train: DataFrame, n_iter: int = 15, exclude=(), seed: int = C.SEED, label: str = "is_churn"):
+def random_search(train: DataFrame, n_iter: int = 15, exclude=(), seed: int = C.SEED, label: str = "is_churn",
+                  param_dist: dict | None = None, parallelism: int = 4):
     """H9: seeded draws from the parameter lists, one fixed hash validation split,
-    pick the best validation ROC-AUC, refit on the whole training frame."""
+    pick the best validation ROC-AUC (first draw on ties), refit on the whole
+    training frame.  Candidates are fitted concurrently (``parallelism`` driver
+    threads submitting Spark jobs, like ``TrainValidationSplit``)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from ebbflow.operators.curves import ranking_metrics
+    dist = param_dist or PARAM_DIST
     rng = random.Random(seed)
-    keys = list(PARAM_DIST)
+    keys = list(dist)
+    n_iter = min(n_iter, 1 if not keys else __import__("math").prod(len(dist[k]) for k in keys))
     draws, seen = [], set()
     while len(draws) < n_iter:
-        d = tuple(rng.choice(PARAM_DIST[k]) for k in keys)
+        d = tuple(rng.choice(dist[k]) for k in keys)
         if d not in seen:
             seen.add(d)
             draws.append(dict(zip(keys, d)))
     split = stratified_split(train, 0.8, salt="search")
     fit_part, val_part = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
-    results = []
-    for params in draws:
-        kw = dict(params, colsample=str(params["colsample"]) if params["colsample"] < 1 else "all")
+
+    def evaluate(params):
+        kw = dict(params, colsample=str(params["colsample"]) if params.get("colsample", 1) < 1 else "all")
         m = TrainedModel("boosted_trees", fit_part, exclude, label, **kw)
-        auc = ranking_metrics(m.score(val_part), "score", label).first()["roc_auc"]
-        results.append((params, auc))
+        return params, ranking_metrics(m.score(val_part), "score", label).first()["roc_auc"]
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        results = list(pool.map(evaluate, draws))
     best = max(results, key=lambda r: (r[1], -results.index(r)))[0]
-    kw = dict(best, colsample=str(best["colsample"]) if best["colsample"] < 1 else "all")
+    kw = dict(best, colsample=str(best["colsample"]) if best.get("colsample", 1) < 1 else "all")
     return best, results, TrainedModel("boosted_trees", train, exclude, label, **kw)
 
 
@@ -239,3 +248,42 @@ def driver_direction(tm: TrainedModel, test: DataFrame, feature: str, bins: int
 
 
 __all__ = ["Pipeline"] + [n for n in dir() if not n.startswith("_")]
+
+
+def permutation_partner(df: DataFrame, key: str = "msno", bucket_rows: int = 10_000, salt: str = "perm") -> DataFrame:
+    """Deterministic derangement-like pairing for permutation importance: rows
+    are hashed into buckets of ~``bucket_rows`` rows, ranked inside the bucket by
+    two independent hash orders, and rank r of order 1 is paired with rank r of
+    order 2.  Windows are partitioned by bucket, so no task holds more than a
+    bucket; the number of buckets grows with the table."""
+    n = df.count()
+    buckets = max(1, n // bucket_rows)
+    b = (F.conv(F.substring(F.md5(F.concat(F.col(key), F.lit(salt + "b"))), 1, 8), 16, 10).cast("bigint") % buckets)
+    h1 = hash_uniform(F.col(key), F.lit(salt + "1"))
+    h2 = hash_uniform(F.col(key), F.lit(salt + "2"))
+    from pyspark.sql import Window
+    w1 = Window.partitionBy("_b").orderBy(h1, F.col(key))
+    w2 = Window.partitionBy("_b").orderBy(h2, F.col(key))
+    base = df.select(key, b.alias("_b"))
+    left = base.withColumn("_r", F.row_number().over(w1))
+    right = base.withColumn("_r", F.row_number().over(w2)).withColumnRenamed(key, "partner")
+    return left.join(right, ["_b", "_r"]).select(key, "partner")
+
+
+def permutation_importance(tm: TrainedModel, test: DataFrame, features: list[str], label: str = "is_churn",
+                           key: str = "msno") -> DataFrame:
+    """H26(b): PR-AUC drop when one source feature's values are swapped between
+    paired rows (all other columns kept), one re-scoring pass per feature."""
+    from ebbflow.operators.curves import ranking_metrics
+    pairs = permutation_partner(test, key)
+    base_ap = ranking_metrics(tm.score(test), "score", label).first()["pr_auc"]
+    rows = []
+    for f in features:
+        donor = test.select(F.col(key).alias("partner"), F.col(f).alias("_donor"))
+        swapped = (test.join(pairs, key).join(donor, "partner").drop(f).withColumnRenamed("_donor", f)
+                   .select(*test.columns))
+        ap = ranking_metrics(tm.score(swapped), "score", label).first()["pr_auc"]
+        rows.append((f, float(base_ap), float(ap), float(base_ap - ap)))
+    spark = test.sparkSession
+    return spark.createDataFrame(rows, "feature string, pr_auc_base double, pr_auc_permuted double, importance double") \
+        .withColumn("method", F.lit("permutation (hash-paired rows), PR-AUC drop"))

@@ -193,6 +193,15 @@ def driver_importance(spark, sf):
     return finalize(ML.linear_driver_importance(tm, _test(spark, sf)))
 
 
+@register("permutation_importance")
+def permutation_importance(spark, sf):
+    """H26(b): PR-AUC drop of the proxy-controlled random forest when a source
+    feature is swapped between hash-paired rows (deterministic, bucketed)."""
+    tm = trained(spark, sf, "random_forest", C.PROXY_EXCLUDE, trees=200, depth=16, min_leaf=20)
+    feats = [c for c in C.ALL_FEATURES if c not in C.PROXY_EXCLUDE]
+    return finalize(ML.permutation_importance(tm, _test(spark, sf), feats))
+
+
 @register("top_drivers")
 def top_drivers(spark, sf):
     """top five drivers by importance."""
