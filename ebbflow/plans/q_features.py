@@ -308,10 +308,13 @@ def label_rate_shift(spark, sf):
     return finalize(QU.label_rate_shift(v1.unionByName(v2)))
 
 
-@register("label_population_overlap", """
-WITH a AS (SELECT concat('C+', CAST(c_custkey AS VARCHAR), '/=') AS msno FROM customer)
-SELECT CAST((SELECT COUNT(*) FROM a) AS BIGINT) AS n_v1, CAST((SELECT COUNT(*) FROM a) AS BIGINT) AS n_v2,
-       CAST((SELECT COUNT(*) FROM a) AS BIGINT) AS n_both, CAST(0 AS BIGINT) AS n_only_v1, CAST(0 AS BIGINT) AS n_only_v2""")
+@register("label_population_overlap",
+          f"WITH a AS ({q('SELECT DISTINCT msno FROM lab', 'v1')}), b AS ({q('SELECT DISTINCT msno FROM lab', 'v2')}) "
+          "SELECT CAST(COUNT(a.msno) AS BIGINT) AS n_v1, CAST(COUNT(b.msno) AS BIGINT) AS n_v2, "
+          "CAST(COUNT(*) FILTER (WHERE a.msno IS NOT NULL AND b.msno IS NOT NULL) AS BIGINT) AS n_both, "
+          "CAST(COUNT(*) FILTER (WHERE b.msno IS NULL) AS BIGINT) AS n_only_v1, "
+          "CAST(COUNT(*) FILTER (WHERE a.msno IS NULL) AS BIGINT) AS n_only_v2 "
+          "FROM a FULL OUTER JOIN b ON a.msno = b.msno")
 def label_population_overlap(spark, sf):
     """Customers present in both rounds (inner join count, anti joins both ways)."""
     v1 = Chain.shared(spark, sf, "v1").labels()

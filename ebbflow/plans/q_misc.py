@@ -90,10 +90,13 @@ def aligned_lookup(spark, sf):
 
 
 @register("reconcile_labels", q("""
-SELECT CAST(COUNT(*) AS BIGINT) AS n_stored, CAST(COUNT(*) AS BIGINT) AS n_resolved, CAST(0 AS BIGINT) AS n_unpaired,
-       CAST(COUNT(*) FILTER (WHERE (CASE WHEN risk_tier IN ('High', 'Medium') AND segment = 'Stable / Monitor'
-                                         THEN 'Unmatched At-Risk (no segment)' ELSE segment END) <> priority_group) AS BIGINT) AS n_mismatch
-FROM act"""))
+, st AS (SELECT msno, priority_group AS label FROM act),
+rs AS (SELECT msno, CASE WHEN risk_tier IN ('High', 'Medium') AND segment = 'Stable / Monitor'
+                         THEN 'Unmatched At-Risk (no segment)' ELSE segment END AS label FROM seg)
+SELECT CAST(COUNT(st.label) AS BIGINT) AS n_stored, CAST(COUNT(rs.label) AS BIGINT) AS n_resolved,
+       CAST(COUNT(*) FILTER (WHERE st.label IS NULL OR rs.label IS NULL) AS BIGINT) AS n_unpaired,
+       CAST(COUNT(*) FILTER (WHERE st.label <> rs.label) AS BIGINT) AS n_mismatch
+FROM st FULL OUTER JOIN rs ON st.msno = rs.msno"""))
 def reconcile_labels(spark, sf):
     """C14: the action plan's stored group vs the label resolved from the
     per-customer segment file: row counts and mismatches."""

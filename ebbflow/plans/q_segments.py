@@ -196,8 +196,12 @@ def action_plan(spark, sf):
 
 
 @register("segment_group_counts", q("""
-SELECT priority_group, CAST(COUNT(*) AS BIGINT) AS n_plan, CAST(COUNT(*) AS BIGINT) AS n_relabeled, TRUE AS equal
-FROM act GROUP BY priority_group"""))
+, pl AS (SELECT priority_group, COUNT(*) AS n FROM act GROUP BY 1),
+rl AS (SELECT CASE WHEN risk_tier IN ('High', 'Medium') AND segment = 'Stable / Monitor'
+                   THEN 'Unmatched At-Risk (no segment)' ELSE segment END AS priority_group, COUNT(*) AS n FROM seg GROUP BY 1)
+SELECT COALESCE(pl.priority_group, rl.priority_group) AS priority_group, CAST(COALESCE(pl.n, 0) AS BIGINT) AS n_plan,
+       CAST(COALESCE(rl.n, 0) AS BIGINT) AS n_relabeled, COALESCE(pl.n, 0) = COALESCE(rl.n, 0) AS equal
+FROM pl FULL OUTER JOIN rl ON pl.priority_group = rl.priority_group"""))
 def segment_group_counts(spark, sf):
     """Group sizes after relabel equal the action plan's."""
     return SG.segment_group_counts(Chain.shared(spark, sf).customer_actions())
