@@ -70,3 +70,17 @@ def test_raise_on_fail(spark):
     bad = spark.createDataFrame([("key_unique", 1.0, "FAIL")], "check string, value double, status string")
     with pytest.raises(quality.QualityCheckFailed):
         quality.raise_on_fail(bad)
+
+
+def test_jobs_write_every_stage_and_reuse(spark):
+    from ebbflow.plans import jobs
+    from conftest import SF_SMALL
+    root = tempfile.mkdtemp(prefix="ebbflow-jobs-", dir="/tmp")
+    ds = jobs.build_dataset(spark, SF_SMALL, "v2", root)
+    assert ds.count() == spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
+    out = jobs.scoring_chain(spark, SF_SMALL, "v2", root)
+    assert out["marketing_action_plan"].count() == 7
+    for name in out:
+        assert os.path.exists(f"{root}/{name}/cutoff=20010131/_SUCCESS"), name
+    again = jobs.scoring_chain(spark, SF_SMALL, "v2", root)  # reuse, no rebuild
+    assert again["risk_value_matrix"].count() == 3
