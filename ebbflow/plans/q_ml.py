@@ -209,7 +209,17 @@ def top_drivers(spark, sf):
     return imp.orderBy(F.col("mean_abs_contribution").desc(), F.col("feature")).limit(5)
 
 
-@register("encoded_to_source_feature")
+def _encoded_sql():
+    num = [c for c in C.BINARY_FLAGS + C.NUMERIC_CONTINUOUS if c not in C.PROXY_EXCLUDE]
+    nums = " UNION ALL ".join(f"SELECT 'num__{c}' AS encoded, '{c}' AS feature" for c in num)
+    cats = _onehot_sql().replace("SELECT \"column\", category, CAST(n_train AS BIGINT) AS n_train, "
+                                 "CAST(ROW_NUMBER() OVER (PARTITION BY \"column\" ORDER BY n_train DESC, category) - 1 AS INTEGER) "
+                                 "AS category_index FROM (", "SELECT 'cat__' || \"column\" || '_' || category AS encoded, "
+                                 "\"column\" AS feature FROM (")
+    return f"SELECT * FROM ({cats}) c UNION ALL {nums}"
+
+
+@register("encoded_to_source_feature", _encoded_sql())
 def encoded_to_source_feature(spark, sf):
     """Encoded slot name -> source feature (prefix strip, dummy -> base column)."""
     return ML.encoded_to_source(trained(spark, sf, "logistic_regression", C.PROXY_EXCLUDE))
