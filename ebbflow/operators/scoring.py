@@ -53,34 +53,24 @@ def attach_scorecard(dataset: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(score: Column, grid: list[float]) -> Column:
-    """Index of the highest grid threshold with ``score >= t`` (0 = below all),
-    computed with explicit comparisons so float edges agree with ``>=``."""
-    expr = None
-    for i in range(len(grid), 0, -1):
-        cond = score >= F.lit(grid[i - 1])
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr.otherwise(F.lit(0))
-
-
 def threshold_sweep(df: DataFrame, score: str = "risk_score_full", label: str = "is_churn",
                     grid: list[float] | None = None) -> DataFrame:
     """Precision, recall, F1, % and n targeted (``score >= t``) for each grid
-    threshold.  Rows are first reduced to (bucket, n, positives) - at most
-    len(grid)+1 rows after one partial/final aggregation - and the reverse running
-    sum runs over that tiny frame; the input is never exploded per threshold."""
+    threshold.  ONE pass: two conditional counts per threshold in a single
+    partial + final hash aggregate (explicit ``>=`` so float edges agree with the
+    rule), then the one-row result is exploded into the grid rows - the input is
+    never exploded per threshold and no join or window is needed."""
     grid = grid or C.THRESHOLD_GRID
-    spark = df.sparkSession
-    per_bucket = df.groupBy(_bucket(F.col(score), grid).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    th = spark.createDataFrame([(i + 1, float(t)) for i, t in enumerate(grid)], "bucket int, threshold double")
-    w = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    # the frame below has len(grid)+1 rows, so the single-partition windows are bounded
-    out = (th.join(per_bucket, "bucket", "full").fillna(0, ["n", "pos"])
-           .withColumn("n_targeted", F.sum("n").over(w)).withColumn("tp", F.sum("pos").over(w))
-           .withColumn("N", F.sum("n").over(whole)).withColumn("P", F.sum("pos").over(whole))
-           .where(F.col("threshold").isNotNull()))
+    p = F.col(score)
+    y = F.col(label) == 1
+    aggs = [F.count(F.lit(1)).alias("N"), F.count_if(y).alias("P")]
+    for k, t in enumerate(grid):
+        hit = p >= F.lit(float(t))
+        aggs += [F.count_if(hit).alias(f"n{k}"), F.count_if(hit & y).alias(f"tp{k}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"n{k}").alias("n_targeted"),
+                              F.col(f"tp{k}").alias("tp")) for k, t in enumerate(grid)])
+    out = one.select("N", "P", F.explode(rows).alias("r")).select("N", "P", "r.*")
     prec = F.when(F.col("n_targeted") > 0, F.col("tp") / F.col("n_targeted")).otherwise(0.0)
     rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(0.0)
     f1 = F.when(F.col("n_targeted") + F.col("P") > 0,
