@@ -45,6 +45,29 @@ def stratified_split(spark, sf):
     return ML.stratified_split(_test(spark, sf)).select("msno", "is_churn", "split")
 
 
+SAMPLE_CAP = 300_000  # fixed value: the benchmark's capped training sample
+
+
+def _strat_sql():
+    u = hash_u("msno || 'strat'")
+    return q(f"""
+, cls AS (SELECT is_churn, COUNT(*) AS k FROM sc GROUP BY 1),
+tot AS (SELECT SUM(k) AS n FROM cls),
+raw AS (SELECT is_churn, k, {SAMPLE_CAP} * k * 1.0 / n AS r, floor({SAMPLE_CAP} * k * 1.0 / n) AS f FROM cls, tot),
+rem AS (SELECT *, ROW_NUMBER() OVER (ORDER BY r - f DESC, CAST(is_churn AS VARCHAR)) AS rr FROM raw),
+quota AS (SELECT is_churn, f + CASE WHEN rr <= {SAMPLE_CAP} - (SELECT SUM(f) FROM raw) THEN 1 ELSE 0 END AS take FROM rem),
+ranked AS (SELECT msno, is_churn, ROW_NUMBER() OVER (PARTITION BY is_churn ORDER BY {u}, msno) AS rk FROM sc)
+SELECT r.msno, r.is_churn FROM ranked r JOIN quota q ON q.is_churn = r.is_churn
+WHERE (SELECT n FROM tot) <= {SAMPLE_CAP} OR r.rk <= q.take""", "v1")
+
+
+@register("stratified_sample", _strat_sql())
+def stratified_sample(spark, sf):
+    """H1 (capped stratified sample of the v1 training rows, exact class sizes)."""
+    from ebbflow.operators.sampling import stratified_sample as strat
+    return strat(_train(spark, sf).select("msno", "is_churn"), SAMPLE_CAP)
+
+
 def _tsplit_sql(r, name):
     return q(f"SELECT '{name}' AS split, CAST(COUNT(*) AS BIGINT) AS n_rows, AVG(is_churn) AS churn_rate, "
              f"AVG(has_transactions_data) AS txn_coverage FROM sc", r)

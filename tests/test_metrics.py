@@ -139,3 +139,13 @@ def test_exact_sample_equals_bruteforce_top_n(spark):
     ref = sorted(r["msno"] for r in df.withColumn("u", hash_uniform(F.col("msno"), F.lit("sample")))
                  .orderBy("u", "msno").limit(100).collect())
     assert got == ref and len(got) == 100
+
+
+def test_stratified_sample_exact_class_sizes(spark):
+    from ebbflow.operators.sampling import stratified_sample
+    from pyspark.sql import functions as F
+    df = spark.range(10000).select(F.concat(F.lit("C+"), F.col("id").cast("string")).alias("msno"),
+                                   (F.col("id") % 10 == 0).cast("int").alias("is_churn"))
+    s = stratified_sample(df, 1000)
+    got = {r["is_churn"]: r["count"] for r in s.groupBy("is_churn").count().collect()}
+    assert got == {1: 100, 0: 900}
