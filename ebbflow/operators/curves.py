@@ -136,18 +136,27 @@ def poisson1_weight(u: Column, kmax: int = 20) -> Column:
 
 
 def bootstrap_pr_auc(long_scores: DataFrame, reference: str, n_boot: int = 20, key: str = "msno",
-                     label: str = "is_churn", salt: str = "boot") -> DataFrame:
+                     label: str = "is_churn", salt: str = "boot", batch_size: int = 50) -> DataFrame:
     """Paired Poisson bootstrap of PR-AUC(model) - PR-AUC(reference).
 
     ``long_scores`` has (key, label, model, score).  Replicate b gives row r the
     weight Poisson^-1(md5(key || salt || b)), identical for every model (paired).
-    Replicates are exploded per row, reduced to (b, model, score) blocks by one
-    aggregation, and each (b, model) curve is a window partition.  Output: per
-    non-reference model the observed difference and the 2.5 / 97.5 percentiles
-    (linear interpolation) of the replicate differences."""
-    reps = long_scores.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-    w = poisson1_weight(hash_uniform(F.col(key), F.lit(salt), F.col("b")))
-    boot = ranking_metrics(reps.withColumn("_w", w), "score", label, "_w", ["b", "model"])
+    Replicates run in batches of ``batch_size``: each batch explodes its
+    replicate ids per row, reduces to (b, model, score) blocks with one
+    aggregation and computes every (b, model) curve with the grouped running
+    sums, so a job never holds more than rows x batch_size weighted rows.  Only
+    the per-(b, model) AP values (batch x models rows) come back per batch.
+    Output: per non-reference model the observed difference and the 2.5 / 97.5
+    percentiles (linear interpolation) of the replicate differences."""
+    spark = long_scores.sparkSession
+    ap_rows = []
+    for lo in range(1, n_boot + 1, batch_size):
+        hi = min(n_boot, lo + batch_size - 1)
+        reps = long_scores.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("b"))
+        w = poisson1_weight(hash_uniform(F.col(key), F.lit(salt), F.col("b")))
+        boot = ranking_metrics(reps.withColumn("_w", w), "score", label, "_w", ["b", "model"])
+        ap_rows += [(int(r["b"]), r["model"], r["pr_auc"]) for r in boot.select("b", "model", "pr_auc").collect()]
+    boot = spark.createDataFrame(ap_rows, "b int, model string, pr_auc double")
     obs = ranking_metrics(long_scores, "score", label, None, ["model"])
     ref_b = boot.where(F.col("model") == reference).select("b", F.col("pr_auc").alias("ref"))
     diffs = boot.where(F.col("model") != reference).join(ref_b, "b").select(

@@ -149,3 +149,16 @@ def test_stratified_sample_exact_class_sizes(spark):
     s = stratified_sample(df, 1000)
     got = {r["is_churn"]: r["count"] for r in s.groupBy("is_churn").count().collect()}
     assert got == {1: 100, 0: 900}
+
+
+def test_bootstrap_batches_do_not_change_the_result(spark):
+    from ebbflow.plans.pipeline import Chain
+    from pyspark.sql import functions as F
+    from conftest import SF_SMALL
+    s = Chain.shared(spark, SF_SMALL).scored()
+    longs = (s.select("msno", "is_churn", F.lit("full").alias("model"), F.col("risk_score_full").alias("score"))
+             .unionByName(s.select("msno", "is_churn", F.lit("proxy").alias("model"),
+                                   F.col("risk_score_proxy_controlled").alias("score"))))
+    a = CU.bootstrap_pr_auc(longs, "full", 12, batch_size=50).first()
+    b = CU.bootstrap_pr_auc(longs, "full", 12, batch_size=5).first()
+    assert a == b and a["n_boot"] == 12
