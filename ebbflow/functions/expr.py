@@ -107,7 +107,7 @@ REC_HIGH_TOUCH = "High-touch (phone call, largest offer) -- top-priority cell"
 REC_LOW_COST_CAPPED = "Low-cost only (email/automated) -- capped spend given limited value at stake"
 REC_MODERATE = "Moderate-touch (proactive outreach before they become High-risk)"
 REC_LOW_COST_AUTO = "Low-cost automated (email, in-app nudge)"
-REC_ADVOCACY = "No retention spend -- redirect to advocacy/upsell (see Champions segment, notebook 07)"
+REC_ADVOCACY = "No retention spend -- redirect to advocacy/upsell (see Champions segment)"
 REC_MONITOR = "No action -- monitor only"
 REC_INSUFFICIENT = "Insufficient data (no transaction record)"
 INTENSITY = {

@@ -201,10 +201,10 @@ PLAN_TEXTS = {
         "Elevated risk with a history of paying below list price.",
         "Pricing/plan-fit conversation or targeted discount."),
     "Unmatched At-Risk (no segment)": (
-        "risk_tier in {High, Medium} AND none of the 5 segment rules matched (see 07 follow-up validation)",
+        "risk_tier in {High, Medium} AND none of the 5 segment rules matched",
         "No single defining behavioral trait; flagged at-risk by the model on signals other than auto-renew, tenure "
         "extremes, or discounting.",
-        "Standard tier-based treatment per 06_risk_scoring.ipynb; not one of the 5 named segments."),
+        "Standard tier-based treatment per the risk-tier playbook; not one of the 5 named segments."),
     "Engaged Low-Risk (Champions)": (
         "risk_tier = Low AND total_transactions >= 20 AND latest_is_auto_renew = 1",
         "Low risk, heavy transaction history, auto-renew on.",
@@ -220,7 +220,7 @@ PLAN_TEXTS = {
 # Rationale sentence of an action-plan row.
 RATIONALE = ("{n} customers ({pct}% of base) with a {churn}% actual churn rate and {hrr} NT$ in Historical Realized "
              "Revenue among them (median {med} NT$/customer). {dom}% of this group falls into the '{rec}' cell of the "
-             "risk x value framework from 08_marketing_value_analysis.ipynb, which sets the recommended intensity below.")
+             "risk x value framework, which sets the recommended intensity below.")
 
 
 def plan_texts(spark) -> DataFrame:

@@ -22,7 +22,7 @@ def _rationale_sql(p: str = "p") -> str:
             f"|| ' NT$ in Historical Realized Revenue among them (median ' || format('{{:,.0f}}', {p}.median_HRR) "
             f"|| ' NT$/customer). ' || printf('%.0f', {p}.pct_matching_dominant_recommendation) "
             f"|| '% of this group falls into the {q3[:2]}' || {p}.dominant_risk_value_recommendation "
-            f"|| '{q3[:2]} cell of the risk x value framework from 08_marketing_value_analysis.ipynb, "
+            f"|| '{q3[:2]} cell of the risk x value framework, "
             f"which sets the recommended intensity below.'")
 
 

@@ -277,7 +277,7 @@ SELECT priority_group, format('{:,}', n_customers) || ' customers (' || printf('
        || printf('%.1f', churn_rate_pct) || '% actual churn rate and ' || format('{:,.0f}', total_HRR)
        || ' NT$ in Historical Realized Revenue among them (median ' || format('{:,.0f}', median_HRR) || ' NT$/customer). '
        || printf('%.0f', pct_matching_dominant_recommendation) || '% of this group falls into the '''
-       || dominant_risk_value_recommendation || ''' cell of the risk x value framework from 08_marketing_value_analysis.ipynb, '
+       || dominant_risk_value_recommendation || ''' cell of the risk x value framework, '
        || 'which sets the recommended intensity below.' AS rationale
 FROM plan WHERE n_customers > 0"""))
 def rationale_text(spark, sf):

@@ -31,7 +31,7 @@ def test_rationale_matches_python_formatting(spark):
     n, pct, churn, hrr, med, dom, rec = rows[0][1:]
     exp = (f"{n:,} customers ({pct:.2f}% of base) with a {churn:.1f}% actual churn rate and {hrr:,.0f} NT$ in Historical "
            f"Realized Revenue among them (median {med:,.0f} NT$/customer). {dom:.0f}% of this group falls into the "
-           f"'{rec}' cell of the risk x value framework from 08_marketing_value_analysis.ipynb, which sets the "
+           f"'{rec}' cell of the risk x value framework, which sets the "
            f"recommended intensity below.")
     assert got == exp
 
