@@ -274,7 +274,7 @@ def action_plan(actions: DataFrame) -> DataFrame:
     return plan.select(
         "priority_group", "priority_group_order",
         F.coalesce("n_customers", F.lit(0)).cast("bigint").alias("n_customers"),
-        F.round(F.col("n_customers") / n_total * 100.0, 2).alias("pct_of_base"),
+        F.round(F.coalesce(F.col("n_customers"), F.lit(0)) / n_total * 100.0, 2).alias("pct_of_base"),
         F.round(F.col("churn") * 100.0, 2).alias("churn_rate_pct"),
         F.round(F.coalesce(F.col("total_HRR"), F.lit(0.0)), 2).alias("total_HRR"),
         F.round("median_HRR", 2).alias("median_HRR"),

@@ -306,7 +306,7 @@ def model_benchmark_frame(spark, sf) -> DataFrame:
 @register("model_benchmark")
 def model_benchmark(spark, sf):
     """Benchmark table of all models on the v2 holdout."""
-    return finalize(model_benchmark_frame(spark, sf).drop("fit_seconds", "total_seconds"))
+    return finalize(model_benchmark_frame(spark, sf))
 
 
 @register("leaderboard")

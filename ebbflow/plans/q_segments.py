@@ -178,7 +178,7 @@ md AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY priority_group O
        WHERE rn = 1),
 plan AS (
 SELECT o.priority_group, o.priority_group_order, CAST(COALESCE(b.n, 0) AS BIGINT) AS n_customers,
-       round(b.n * 100.0 / SUM(b.n) OVER (), 2) AS pct_of_base, round(b.churn * 100.0, 2) AS churn_rate_pct,
+       round(COALESCE(b.n, 0) * 100.0 / SUM(b.n) OVER (), 2) AS pct_of_base, round(b.churn * 100.0, 2) AS churn_rate_pct,
        round(COALESCE(CAST(b.hrr AS DOUBLE), 0.0), 2) AS total_HRR, round(b.med, 2) AS median_HRR,
        CASE {" ".join(f"WHEN md.recommendation = {_str(k)} THEN {_str(v)}" for k, v in SG.INTENSITY.items())} END
          AS intervention_intensity,
