@@ -273,15 +273,17 @@ def permutation_partner(df: DataFrame, key: str = "msno", bucket_rows: int = 10_
 def permutation_importance(tm: TrainedModel, test: DataFrame, features: list[str], label: str = "is_churn",
                            key: str = "msno") -> DataFrame:
     """H26(b): PR-AUC drop when one source feature's values are swapped between
-    paired rows (all other columns kept), one re-scoring pass per feature."""
+    paired rows (all other columns kept).  The partner's feature values are
+    attached with ONE join and the result is checkpointed; each feature is then a
+    column swap + one re-scoring pass (no further joins)."""
     from ebbflow.operators.curves import ranking_metrics
     pairs = permutation_partner(test, key)
+    donor = test.select(F.col(key).alias("partner"), *[F.col(f).alias(f"_p_{f}") for f in features])
+    wide = test.join(pairs, key).join(donor, "partner").drop("partner").checkpoint(eager=True)
     base_ap = ranking_metrics(tm.score(test), "score", label).first()["pr_auc"]
     rows = []
     for f in features:
-        donor = test.select(F.col(key).alias("partner"), F.col(f).alias("_donor"))
-        swapped = (test.join(pairs, key).join(donor, "partner").drop(f).withColumnRenamed("_donor", f)
-                   .select(*test.columns))
+        swapped = wide.select(*[F.col(f"_p_{c}").alias(c) if c == f else F.col(c) for c in test.columns])
         ap = ranking_metrics(tm.score(swapped), "score", label).first()["pr_auc"]
         rows.append((f, float(base_ap), float(ap), float(base_ap - ap)))
     spark = test.sparkSession
