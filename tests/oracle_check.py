@@ -45,7 +45,11 @@ def _key(row):
     return tuple((0, "") if x is None else (1, str(x)) for x in row)
 
 
-def compare(spark_rows, spark_cols, duck_rows, duck_cols, tol=1e-6):
+TOL = float(os.environ.get("ORACLE_TOL", "1e-6"))
+
+
+def compare(spark_rows, spark_cols, duck_rows, duck_cols, tol=None):
+    tol = TOL if tol is None else tol
     if sorted(spark_cols) != sorted(duck_cols):
         return f"columns differ: spark-only {sorted(set(spark_cols) - set(duck_cols))} duck-only {sorted(set(duck_cols) - set(spark_cols))}"
     if len(spark_rows) != len(duck_rows):
