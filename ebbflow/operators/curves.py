@@ -39,7 +39,7 @@ def score_blocks(df: DataFrame, score: str, label: str = "is_churn", weight: str
             .groupBy(*by, "score").agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg")))
 
 
-def _running(blocks: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+def _running(blocks: DataFrame, by: list[str], cols: list[str], biggest: int | None = None) -> DataFrame:
     """Adds ``cum_<c>`` = sum of c over all blocks of the same ``by`` group whose
     score is >= this block's score.
 
@@ -51,9 +51,9 @@ def _running(blocks: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     range id, and the final running sum is a window inside each (range, group)
     plus its offset.  Exact, and no task ever holds a whole large group."""
     order = F.col("score").desc()
-    if by:
+    if biggest is None and by:
         biggest = blocks.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    else:
+    elif biggest is None:
         biggest = blocks.count()
     if biggest <= SMALL_BLOCKS:
         # every window partition holds at most SMALL_BLOCKS rows
@@ -77,12 +77,14 @@ def curve(df: DataFrame, score: str, label: str = "is_churn", weight=None, by: l
     ROC (fpr, tpr) and PR (precision, recall) coordinates at that threshold."""
     by = by or []
     blocks = score_blocks(df, score, label, weight, by)
-    cum = _running(blocks, by, ["pos", "neg"])
-    tot = Window.partitionBy(*by) if by else None
     if by:
+        cum = _running(blocks, by, ["pos", "neg"])
+        tot = Window.partitionBy(*by)
         cum = cum.withColumn("P", F.sum("pos").over(tot)).withColumn("N", F.sum("neg").over(tot))
     else:
-        t = blocks.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # two scalars
+        # block count and class totals in one pass (three scalars)
+        t = blocks.agg(F.count(F.lit(1)).alias("k"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+        cum = _running(blocks, by, ["pos", "neg"], int(t["k"]))
         cum = cum.withColumn("P", F.lit(float(t["P"] or 0.0))).withColumn("N", F.lit(float(t["N"] or 0.0)))
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return cum.select(
@@ -110,8 +112,9 @@ def precision_recall_at_k(df: DataFrame, score: str, k: int, label: str = "is_ch
     """Precision and recall among the k highest scores; the tie block that
     straddles position k contributes its positives in proportion."""
     blocks = score_blocks(df, score, label)
-    cum = _running(blocks.withColumn("n", F.col("pos") + F.col("neg")), [], ["pos", "n"])
-    total_pos = blocks.agg(F.sum("pos")).first()[0] or 0.0  # one scalar
+    t = blocks.agg(F.count(F.lit(1)).alias("k"), F.sum("pos").alias("P")).first()  # two scalars
+    cum = _running(blocks.withColumn("n", F.col("pos") + F.col("neg")), [], ["pos", "n"], int(t["k"]))
+    total_pos = t["P"] or 0.0
     above_n = F.col("cum_n") - F.col("n")
     above_pos = F.col("cum_pos") - F.col("pos")
     cut = cum.where((above_n < F.lit(k)) & (F.col("cum_n") >= F.lit(k)))

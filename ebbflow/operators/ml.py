@@ -12,9 +12,11 @@ ones from :mod:`ebbflow.operators.curves`."""
 
 from __future__ import annotations
 
+import math
 import random
 import time
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -125,6 +127,32 @@ def make_classifier(kind: str, **kw):
     raise ValueError(kind)
 
 
+# Bytes of one assembled training row per feature slot (dense doubles) and the
+# target bytes per partition of the cached training frame.
+SLOT_BYTES = 8
+PARTITION_BYTES = 64 << 20
+
+
+def training_partitions(spark, n_rows: int, n_slots: int) -> int:
+    """Partitions for an iterative fit: each L-BFGS / tree-level step is one job
+    over every partition, so the count follows the data size (``PARTITION_BYTES``
+    per partition, ``ebbflow.ml.partitionBytes`` overrides) instead of the
+    shuffle setting - a small frame is not split into tasks that cost more to
+    schedule than to run, a large one still spreads over the cluster."""
+    target = int(spark.conf.get("ebbflow.ml.partitionBytes", str(PARTITION_BYTES)))
+    est = n_rows * (n_slots + 3) * SLOT_BYTES
+    return max(1, math.ceil(est / max(1, target)))
+
+
+def sized(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` with ``parts`` partitions: narrow ``coalesce`` when shrinking,
+    a round-robin ``repartition`` only when more parallelism is needed."""
+    have = df.rdd.getNumPartitions()
+    if have == parts:
+        return df
+    return df.coalesce(parts) if have > parts else df.repartition(parts)
+
+
 def prepare_labels(df: DataFrame, kind: str, label: str = "is_churn") -> DataFrame:
     d = df.withColumn("label", F.col(label).cast("double"))
     return with_pos_weight(d, label) if kind == "boosted_trees" else with_balanced_weights(d, label)
@@ -135,10 +163,18 @@ class TrainedModel:
         t0 = time.time()
         self.kind, self.exclude = kind, tuple(exclude)
         self.pre = Preprocessor(exclude).fit(train)
-        tr = self.pre.transform(prepare_labels(train, kind, label))
-        n = tr.count()
+        tr = self.pre.transform(prepare_labels(train, kind, label)).select("features", "label", "class_weight")
+        n = train.count()
         self.train_rows = n
-        self.model = make_classifier(kind, reg=1.0 / n, **kw).fit(tr)
+        slots = len(self.pre.encoded_names())
+        # the estimator iterates over this frame: sized to the data and kept
+        # (memory, spilling to disk) for the fit; lost blocks recompute from
+        # the checkpointed input
+        tr = sized(tr, training_partitions(train.sparkSession, n, slots)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.model = make_classifier(kind, reg=1.0 / n, **kw).fit(tr)
+        finally:
+            tr.unpersist()
         self.fit_seconds = time.time() - t0
 
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,8 +138,13 @@ def proxy_column_set(spark, sf):
 
 
 def _eval_row(scored: DataFrame, model: str, feature_set: str, train_rows: int, fit_s: float) -> DataFrame:
-    r = CU.ranking_metrics(scored, "score").first()
-    m = SC.classification_metrics(scored, "score", "is_churn", 0.5).first()
+    # scored once (model transform), read by both metric passes
+    scored = scored.select("is_churn", "score").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        r = CU.ranking_metrics(scored, "score").first()
+        m = SC.classification_metrics(scored, "score", "is_churn", 0.5).first()
+    finally:
+        scored.unpersist()
     spark = scored.sparkSession
     return spark.createDataFrame(
         [(model, feature_set, r["pr_auc"], r["roc_auc"], m["precision"], m["recall"], m["f1"], m["log_loss"], m["brier"],
