@@ -292,6 +292,8 @@ def model_benchmark_frame(spark, sf) -> DataFrame:
             else:
                 tm = make()
                 scored, n_train, fit_s = tm.score(test), tm.train_rows, tm.fit_seconds
+            # scored once, read by every metric pass below
+            scored = scored.select("is_churn", "calib_split", "score").persist(StorageLevel.MEMORY_AND_DISK)
             r = CU.ranking_metrics(scored, "score").first()
             brier = scored.agg(F.avg(F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) - F.col("is_churn"), 2))).first()[0]
             iso = CA.fit_isotonic(scored.where(F.col("calib_split") == CA.FIT), "score")
@@ -301,6 +303,7 @@ def model_benchmark_frame(spark, sf) -> DataFrame:
             rows.append((name, "completed", r["pr_auc"], r["roc_auc"], brier, brier_iso,
                          pk["precision_at_k"] if pk else None, pk["recall_at_k"] if pk else None,
                          n_train, float(fit_s), time.time() - t0))
+            scored.unpersist()
         except Exception as e:  # noqa: BLE001 - recorded as a status, like the original benchmark
             rows.append((name, f"not completed: {type(e).__name__}", None, None, None, None, None, None, None, None,
                          time.time() - t0))
