@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,20 @@ from ebbflow.functions.expr import clip_keep_null, right_closed_bucket
 
 
 
+BROADCAST_MAX_ROWS = 100_000
+
+
+def join_per_group(big: DataFrame, per_group: DataFrame, on: list[str] | str) -> DataFrame:
+    """Attach a per-group row (statistics of a low-cardinality group) to every
+    row of ``big``.  The per-group side is persisted and counted first: up to
+    ``BROADCAST_MAX_ROWS`` rows it is broadcast (a shuffle on a two- or
+    three-valued key would put all rows into two or three tasks); beyond that
+    the join is left to Spark's shuffle join, where AQE can split skewed keys."""
+    per_group = per_group.persist(StorageLevel.MEMORY_AND_DISK)
+    small = per_group.count() <= BROADCAST_MAX_ROWS
+    return big.join(F.broadcast(per_group) if small else per_group, on)
+
+
 def quantiles(x: Column, probs: list[float]) -> Column:
     return ST.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
 
@@ -188,7 +203,7 @@ def histogram_by_class(df: DataFrame, col: str, bins: int, clip: tuple | None =
     lo = F.when(F.col("hi") == F.col("lo"), F.col("lo") - 0.5).otherwise(F.col("lo"))
     hi = F.when(F.col("hi") == F.col("lo"), F.col("hi") + 0.5).otherwise(F.col("hi"))
     rng = rng.select(label, lo.alias("lo"), hi.alias("hi"), "n")
-    j = d.join(F.broadcast(rng), label)  # one row per class
+    j = join_per_group(d, rng, label)  # one row per class
     b = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))).cast("int"))
     g = j.groupBy(label, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"), F.first("lo").alias("lo"),
                                             F.first("hi").alias("hi"), F.first("n").alias("n"))
@@ -205,7 +220,7 @@ def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     q = d.groupBy(*by).agg(quantiles(x, [0.25, 0.5, 0.75]).alias("q"), F.count(F.lit(1)).alias("n"))
     q = q.select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    j = d.join(F.broadcast(q), by)  # one row per group
+    j = join_per_group(d, q, by)  # one row per group
     return j.groupBy(*by).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"),
