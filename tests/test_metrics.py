@@ -162,3 +162,14 @@ def test_bootstrap_batches_do_not_change_the_result(spark):
     a = CU.bootstrap_pr_auc(longs, "full", 12, batch_size=50).first()
     b = CU.bootstrap_pr_auc(longs, "full", 12, batch_size=5).first()
     assert a == b and a["n_boot"] == 12
+
+
+def test_per_group_join_same_result_broadcast_or_shuffle(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ebbflow.operators import profile as PR
+    df = spark.range(2000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 101).cast("double").alias("v"))
+    a = sorted(PR.box_stats(df, "v", ["g"]).collect())
+    monkeypatch.setattr(PR, "BROADCAST_MAX_ROWS", 0)  # force the shuffle-join branch
+    b = sorted(PR.box_stats(df, "v", ["g"]).collect())
+    assert a == b and len(a) == 3

@@ -45,3 +45,32 @@ def test_logistic_model_scores_in_unit_interval(spark):
     tm = ML.TrainedModel("logistic_regression", Chain(spark, SF_SMALL, "v1").scored(), C.PROXY_EXCLUDE, max_iter=50)
     r = tm.score(Chain(spark, SF_SMALL, "v2").scored()).agg(F.min("score"), F.max("score")).first()
     assert 0.0 <= r[0] <= r[1] <= 1.0
+
+
+def test_training_partitions_follow_data_size(spark):
+    assert ML.training_partitions(spark, 15_000, 60) == 1
+    # 10M rows x 63 doubles ~ 5 GB -> ~75 partitions of 64 MiB
+    assert ML.training_partitions(spark, 10_000_000, 60) == -(-10_000_000 * 63 * 8 // (64 << 20))
+    df = spark.range(100).repartition(7)
+    assert ML.sized(df, 2).rdd.getNumPartitions() == 2
+    assert ML.sized(df, 9).rdd.getNumPartitions() == 9
+    assert ML.sized(df, 2).count() == 100
+
+
+def test_one_pass_permutation_importance_equals_per_feature_passes(spark):
+    """Brute force: swap one feature with the paired rows, score, PR-AUC; once per feature."""
+    from ebbflow.operators.curves import ranking_metrics
+    train = Chain(spark, SF_SMALL, "v1").scored()
+    test = Chain(spark, SF_SMALL, "v2").scored()
+    tm = ML.TrainedModel("logistic_regression", train, C.PROXY_EXCLUDE)
+    feats = ["auto_renew_pct", "total_transactions", "city"]
+    got = {r["feature"]: r for r in ML.permutation_importance(tm, test, feats).collect()}
+    pairs = ML.permutation_partner(test)
+    donor = test.select(F.col("msno").alias("partner"), *[F.col(f).alias(f"_p_{f}") for f in feats])
+    wide = test.join(pairs, "msno").join(donor, "partner")
+    base = ranking_metrics(tm.score(test), "score").first()["pr_auc"]
+    for f in feats:
+        swapped = wide.select(*[F.col(f"_p_{c}").alias(c) if c == f else F.col(c) for c in test.columns])
+        ap = ranking_metrics(tm.score(swapped), "score").first()["pr_auc"]
+        assert abs(got[f]["pr_auc_base"] - base) < 1e-12
+        assert abs(got[f]["pr_auc_permuted"] - ap) < 1e-12
