@@ -6,7 +6,8 @@ blocks.
 
 * sigmoid (Platt): L2-regularised (C = 1, intercept free) 1-feature logistic
   regression solved by Newton's method; each iteration is one aggregation over
-  the blocks and two numbers come back to the driver;
+  the blocks (all score columns at once, grouped by column) and five sums per
+  column come back to the driver;
 * isotonic: ``pyspark.ml.regression.IsotonicRegression`` on the blocks
   (label = block churn rate, weight = block size); prediction clips outside the
   fitted range and interpolates linearly between fitted points.
@@ -39,30 +40,58 @@ def blocks(df: DataFrame, score: str, label: str = "is_churn") -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label)).cast("double").alias("pos"))
 
 
-def fit_platt(fit_df: DataFrame, score: str, label: str = "is_churn", C: float = 1.0,
-              max_iter: int = 50, tol: float = 1e-13) -> tuple[float, float]:
-    """Returns (w, b) minimising sum(log loss) + w^2 / (2C)."""
-    b_df = blocks(fit_df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
-    w = b = 0.0
+def _newton_step(g, w: float, b: float, C: float) -> tuple[float, float]:
+    gw, gb = g["gw"] + w / C, g["gb"]
+    hww, hwb, hbb = g["hww"] + 1.0 / C, g["hwb"], g["hbb"]
+    det = hww * hbb - hwb * hwb
+    return (hbb * gw - hwb * gb) / det, (hww * gb - hwb * gw) / det
+
+
+def fit_platt_many(fit_df: DataFrame, scores: list[str], label: str = "is_churn", C: float = 1.0,
+                   max_iter: int = 50, tol: float = 1e-13) -> list[tuple[float, float]]:
+    """(w, b) per score column minimising sum(log loss) + w^2 / (2C).  The score
+    blocks of every column are one persisted frame tagged by column; each Newton
+    iteration is ONE grouped aggregation for all columns (one row per column
+    comes back), and a column stops moving once its own step is below ``tol``."""
+    tagged = [blocks(fit_df, s, label).withColumn("m", F.lit(k)) for k, s in enumerate(scores)]
+    b_df = tagged[0]
+    for t in tagged[1:]:
+        b_df = b_df.unionByName(t)
+    b_df = b_df.persist(StorageLevel.MEMORY_AND_DISK)
+    params = [(0.0, 0.0) for _ in scores]
+    done = [False] * len(scores)
     try:
         for _ in range(max_iter):
-            p = 1.0 / (1.0 + F.exp(-(F.lit(w) * F.col("x") + F.lit(b))))
+            live = [k for k in range(len(scores)) if not done[k]]
+            if not live:
+                break
+            w_col, b_col = F.lit(0.0), F.lit(0.0)
+            for k in live:
+                w_col = F.when(F.col("m") == k, F.lit(params[k][0])).otherwise(w_col)
+                b_col = F.when(F.col("m") == k, F.lit(params[k][1])).otherwise(b_col)
+            p = 1.0 / (1.0 + F.exp(-(w_col * F.col("x") + b_col)))
             r = F.col("n") * p - F.col("pos")
             h = F.col("n") * p * (1 - p)
-            g = b_df.agg(F.sum(r * F.col("x")).alias("gw"), F.sum(r).alias("gb"),
+            rows = (b_df.where(F.col("m").isin(*live)).groupBy("m")
+                    .agg(F.sum(r * F.col("x")).alias("gw"), F.sum(r).alias("gb"),
                          F.sum(h * F.col("x") * F.col("x")).alias("hww"), F.sum(h * F.col("x")).alias("hwb"),
-                         F.sum(h).alias("hbb")).first()
-            gw, gb = g["gw"] + w / C, g["gb"]
-            hww, hwb, hbb = g["hww"] + 1.0 / C, g["hwb"], g["hbb"]
-            det = hww * hbb - hwb * hwb
-            dw = (hbb * gw - hwb * gb) / det
-            db = (hww * gb - hwb * gw) / det
-            w, b = w - dw, b - db
-            if abs(dw) < tol and abs(db) < tol:
-                break
+                         F.sum(h).alias("hbb")).collect())
+            for g in rows:
+                k = g["m"]
+                w, b = params[k]
+                dw, db = _newton_step(g, w, b, C)
+                params[k] = (w - dw, b - db)
+                if abs(dw) < tol and abs(db) < tol:
+                    done[k] = True
     finally:
         b_df.unpersist()
-    return w, b
+    return params
+
+
+def fit_platt(fit_df: DataFrame, score: str, label: str = "is_churn", C: float = 1.0,
+              max_iter: int = 50, tol: float = 1e-13) -> tuple[float, float]:
+    """Returns (w, b) minimising sum(log loss) + w^2 / (2C)."""
+    return fit_platt_many(fit_df, [score], label, C, max_iter, tol)[0]
 
 
 def apply_platt(score: str | Column, w: float, b: float) -> Column:
@@ -86,12 +115,20 @@ def apply_isotonic(model, df: DataFrame, score: str, out: str) -> DataFrame:
 class Calibrator:
     """Fits both methods on the fit half of one score column and applies the winner."""
 
-    def __init__(self, split_df: DataFrame, score: str, label: str = "is_churn"):
+    def __init__(self, split_df: DataFrame, score: str, label: str = "is_churn",
+                 platt: tuple[float, float] | None = None):
         fit = split_df.where(F.col("calib_split") == FIT)
         self.score = score
-        self.w, self.b = fit_platt(fit, score, label)
+        self.w, self.b = platt if platt is not None else fit_platt(fit, score, label)
         self.iso = fit_isotonic(fit, score, label)
 
+    @classmethod
+    def for_scores(cls, split_df: DataFrame, scores: list[str], label: str = "is_churn") -> list["Calibrator"]:
+        """One calibrator per score column; the sigmoid fits share their Newton passes."""
+        fit = split_df.where(F.col("calib_split") == FIT)
+        params = fit_platt_many(fit, scores, label)
+        return [cls(split_df, s, label, platt=pr) for s, pr in zip(scores, params)]
+
     def add(self, df: DataFrame, method: str, out: str) -> DataFrame:
         if method == "sigmoid":
             return df.withColumn(out, apply_platt(self.score, self.w, self.b))

@@ -143,8 +143,8 @@ class Chain:
     @cached_property
     def calibrators(self) -> dict:
         from ebbflow.operators import calibration as CA
-        return {"full": CA.Calibrator(self.calib_split, "risk_score_full"),
-                "proxy_controlled": CA.Calibrator(self.calib_split, "risk_score_proxy_controlled")}
+        full, proxy = CA.Calibrator.for_scores(self.calib_split, ["risk_score_full", "risk_score_proxy_controlled"])
+        return {"full": full, "proxy_controlled": proxy}
 
     def calibration_comparison(self) -> DataFrame:
         from ebbflow.operators import calibration as CA
