@@ -18,6 +18,8 @@ the trapezoid (= Mann-Whitney with tied pairs counted one half).
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -159,7 +161,7 @@ def bootstrap_pr_auc(long_scores: DataFrame, reference: str, n_boot: int = 20, k
         w = poisson1_weight(hash_uniform(F.col(key), F.lit(salt), F.col("b")))
         boot = ranking_metrics(reps.withColumn("_w", w), "score", label, "_w", ["b", "model"])
         ap_rows += [(int(r["b"]), r["model"], r["pr_auc"]) for r in boot.select("b", "model", "pr_auc").collect()]
-    boot = spark.createDataFrame(ap_rows, "b int, model string, pr_auc double")
+    boot = small_frame(spark, ap_rows, "b int, model string, pr_auc double")
     obs = ranking_metrics(long_scores, "score", label, None, ["model"])
     ref_b = boot.where(F.col("model") == reference).select("b", F.col("pr_auc").alias("ref"))
     diffs = boot.where(F.col("model") != reference).join(ref_b, "b").select(

@@ -12,6 +12,8 @@ ones from :mod:`ebbflow.operators.curves`."""
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 import math
 import random
 import time
@@ -89,7 +91,7 @@ class Preprocessor:
 
     def statistics(self, spark) -> DataFrame:
         rows = [(c, self.medians[c], self.means[c], self.stds[c]) for c in self.num]
-        return spark.createDataFrame(rows, "column string, median double, mean double, std double")
+        return small_frame(spark, rows, "column string, median double, mean double, std double")
 
     def transform(self, df: DataFrame) -> DataFrame:
         scaled = [((F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - F.lit(self.means[c]))
@@ -251,7 +253,7 @@ def linear_driver_importance(tm: TrainedModel, test: DataFrame) -> DataFrame:
                       for i in range(len(coef))]).first()
     spark = test.sparkSession
     rows = [(enc, src, float(contrib[f"c{i}"] or 0.0)) for i, (enc, src) in enumerate(names)]
-    enc = spark.createDataFrame(rows, "encoded string, feature string, contribution double")
+    enc = small_frame(spark, rows, "encoded string, feature string, contribution double")
     return (enc.groupBy("feature").agg(F.sum("contribution").alias("mean_abs_contribution"))
             .withColumn("method", F.lit("linear contribution |coef * (x - mean)|")))
 
@@ -262,7 +264,7 @@ def encoded_to_source(tm: TrainedModel) -> DataFrame:
     spark = tm.pre.indexer.sparkSession if hasattr(tm.pre.indexer, "sparkSession") else None
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()
-    names = spark.createDataFrame([(e,) for e, _ in tm.pre.encoded_names()], "encoded string")
+    names = small_frame(spark, [(e,) for e, _ in tm.pre.encoded_names()], "encoded string")
     cats = "|".join(tm.pre.cat)
     return names.select("encoded", F.when(F.col("encoded").startswith("num__"), F.regexp_extract("encoded", r"^num__(.*)$", 1))
                         .otherwise(F.regexp_extract("encoded", rf"^cat__({cats})_.*$", 1)).alias("feature"))
@@ -333,5 +335,5 @@ def permutation_importance(tm: TrainedModel, test: DataFrame, features: list[str
     base_ap = float(aps[base])
     rows = [(f, base_ap, float(aps[f]), float(base_ap - aps[f])) for f in features]
     spark = test.sparkSession
-    return spark.createDataFrame(rows, "feature string, pr_auc_base double, pr_auc_permuted double, importance double") \
+    return small_frame(spark, rows, "feature string, pr_auc_base double, pr_auc_permuted double, importance double") \
         .withColumn("method", F.lit("permutation (hash-paired rows), PR-AUC drop"))

@@ -8,6 +8,8 @@ default so results match SQL; ``config.EXACT_QUANTILES = False`` switches to
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -174,7 +176,7 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     # centred sums leave rounding residue, so zero is judged relative to n * sxx
     flat = (vx <= F.lit(1e-10) * n * F.col("sxx")) | (vy <= F.lit(1e-10) * n * F.col("syy"))
     den = F.when(~flat, F.sqrt(vx * vy))
-    names = spark.createDataFrame([(k, c) for k, c in enumerate(cols)], "k int, name string")
+    names = small_frame(spark, [(k, c) for k, c in enumerate(cols)], "k int, name string")
     r = mom.select("i", "j", F.when(den > 0, cov / den).alias("r"))
     a = names.withColumnRenamed("k", "i").withColumnRenamed("name", "feature_a")
     b = names.withColumnRenamed("k", "j").withColumnRenamed("name", "feature_b")

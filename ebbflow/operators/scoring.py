@@ -8,6 +8,8 @@ code runs on MLlib scores."""
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +117,7 @@ def risk_tier_table(scored: DataFrame, medium: float, high: float, score: str =
     """N, % of base and observed churn per tier, with the score range label.
     One aggregation; the three tier rows are always present."""
     spark = scored.sparkSession
-    tiers = spark.createDataFrame(
+    tiers = small_frame(spark,
         [("High", float(high), 1.0001, 1), ("Medium", float(medium), float(high), 2), ("Low", 0.0, float(medium), 3)],
         "tier string, lo double, hi double, tier_order int")
     per = scored.groupBy(risk_tier(score, medium, high).alias("tier")).agg(
@@ -157,7 +159,7 @@ def threshold_sensitivity(sweep: DataFrame, targets: list[float]) -> DataFrame:
     (lowest threshold reaching it, else the first highest-precision one) and the
     share targeted there.  ``targets`` x sweep is at most 7 x 19 rows."""
     spark = sweep.sparkSession
-    t = spark.createDataFrame([(float(x),) for x in targets], "precision_target double")
+    t = small_frame(spark, [(float(x),) for x in targets], "precision_target double")
     fallback = sweep.agg(F.max_by("threshold", F.struct(F.col("precision"), -F.col("threshold"))).alias("fb")).first()["fb"]
     hit = (t.join(sweep, sweep["precision"] >= t["precision_target"], "left")
            .groupBy("precision_target").agg(F.min("threshold").alias("hit")))

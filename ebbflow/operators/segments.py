@@ -7,6 +7,8 @@ followed by work on a frame of at most a few dozen rows."""
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ebbflow.functions.expr import (INTENSITY, intensity_of, priority_group, rec
 
 
 def _order_frame(spark, name: str, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v, i + 1) for i, v in enumerate(values)], f"{name} string, {name}_order int")
+    return small_frame(spark, [(v, i + 1) for i, v in enumerate(values)], f"{name} string, {name}_order int")
 
 
 def assign_segments(pred: DataFrame) -> DataFrame:
@@ -225,7 +227,7 @@ RATIONALE = ("{n} customers ({pct}% of base) with a {churn}% actual churn rate a
 
 def plan_texts(spark) -> DataFrame:
     """The seven-row text dimension (joined by broadcast - fixed size)."""
-    return spark.createDataFrame([(k, *v) for k, v in PLAN_TEXTS.items()],
+    return small_frame(spark, [(k, *v) for k, v in PLAN_TEXTS.items()],
                                  "priority_group string, rule_definition string, defining_characteristics string, "
                                  "marketing_objective string")
 

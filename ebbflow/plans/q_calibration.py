@@ -3,6 +3,8 @@ probabilities, reliability bins and calibrated-scale checks (C8, E5, H19-H23, D2
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 from pyspark.sql import functions as F
 
 from ebbflow.functions import stats as ST
@@ -32,7 +34,7 @@ def platt_calibration(spark, sf):
     """1-feature logistic (C = 1) fitted on the fit half, per model."""
     ch = Chain.shared(spark, sf)
     rows = [(m, float(c.w), float(c.b)) for m, c in ch.calibrators.items()]
-    return finalize(spark.createDataFrame(rows, "model string, w double, b double"))
+    return finalize(small_frame(spark, rows, "model string, w double, b double"))
 
 
 @register("isotonic_calibration", sql_final(qc("SELECT 'full' AS model, x, fit FROM iso_full UNION ALL "

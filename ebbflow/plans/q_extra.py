@@ -4,6 +4,8 @@ the matrix pivots, single ranking metrics, reproduction check, queue export
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 from pyspark.sql import functions as F
 
 from ebbflow import config as C
@@ -52,7 +54,7 @@ FROM {order_values("risk_tier", C.TIER_ORDER)} o LEFT JOIN w ON w.risk_tier = o.
 def _pivot(spark, sf, agg):
     vt = Chain.shared(spark, sf).value_tiers()
     wide = vt.groupBy("risk_tier").pivot("value_tier", C.TIER_ORDER).agg(agg)
-    order = spark.createDataFrame([(v, i + 1) for i, v in enumerate(C.TIER_ORDER)], "risk_tier string, risk_tier_order int")
+    order = small_frame(spark, [(v, i + 1) for i, v in enumerate(C.TIER_ORDER)], "risk_tier string, risk_tier_order int")
     return order.join(wide, "risk_tier", "left")
 
 

@@ -3,6 +3,8 @@ question intents and sampling (B35, B37, C6, C7, C14, C15, D20, D21, G1)."""
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -129,7 +131,7 @@ def metric_deltas(spark, sf):
         return r
     f, p = values("risk_score_full"), values("risk_score_proxy_controlled")
     rows = [(m, f[m], p[m], f[m] - p[m]) for m in METRICS]
-    return finalize(spark.createDataFrame(rows, "metric string, full_feature_set double, proxy_controlled_set double, "
+    return finalize(small_frame(spark, rows, "metric string, full_feature_set double, proxy_controlled_set double, "
                                                 "abs_diff double"))
 
 

@@ -4,6 +4,8 @@ round v1 and evaluated on round v2, rule baseline, importance, benchmark
 
 from __future__ import annotations
 
+from ebbflow.sources.literal import small_frame
+
 import time
 from functools import reduce
 
@@ -119,7 +121,7 @@ def onehot_stats(spark, sf):
     encoder's index (frequency desc, ties alphabetical); unseen test values -> all-zero."""
     train = _train(spark, sf)
     pre = ML.Preprocessor().fit(train)
-    idx = spark.createDataFrame([(c, lab, i) for c, labels in zip(pre.cat, pre.indexer.labelsArray)
+    idx = small_frame(spark, [(c, lab, i) for c, labels in zip(pre.cat, pre.indexer.labelsArray)
                                  for i, lab in enumerate(labels)], "column string, category string, category_index int")
     from ebbflow.functions.expr import as_category
     counts = reduce(DataFrame.unionByName, [
@@ -146,7 +148,7 @@ def _eval_row(scored: DataFrame, model: str, feature_set: str, train_rows: int,
     finally:
         scored.unpersist()
     spark = scored.sparkSession
-    return spark.createDataFrame(
+    return small_frame(spark,
         [(model, feature_set, r["pr_auc"], r["roc_auc"], m["precision"], m["recall"], m["f1"], m["log_loss"], m["brier"],
           int(train_rows), float(fit_s))],
         "model string, feature_set string, pr_auc double, roc_auc double, precision double, recall double, f1 double, "
@@ -314,7 +316,7 @@ def model_benchmark_frame(spark, sf) -> DataFrame:
         except Exception as e:  # noqa: BLE001 - recorded as a status, like the original benchmark
             rows.append((name, f"not completed: {type(e).__name__}", None, None, None, None, None, None, None, None,
                          time.time() - t0))
-    return spark.createDataFrame(rows, "model string, status string, pr_auc double, roc_auc double, brier double, "
+    return small_frame(spark, rows, "model string, status string, pr_auc double, roc_auc double, brier double, "
                                        "brier_after_isotonic double, precision_at_k double, recall_at_k double, "
                                        "train_rows bigint, fit_seconds double, total_seconds double")
 
