@@ -32,22 +32,30 @@ from ebbflow import config as C
 from ebbflow.functions.expr import as_category, hash_uniform
 
 
-def with_balanced_weights(df: DataFrame, label: str = "is_churn", out: str = "class_weight") -> DataFrame:
+def class_counts(df: DataFrame, label: str = "is_churn") -> tuple[int, int]:
+    """(rows, positives): two scalars from one aggregation."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).alias("pos")).first()
+    return int(r["n"]), int(r["pos"] or 0)
+
+
+def with_balanced_weights(df: DataFrame, label: str = "is_churn", out: str = "class_weight",
+                          counts: tuple[int, int] | None = None) -> DataFrame:
     """Balanced class weight n / (2 n_class); the two class counts are
     scalars brought to the driver."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).alias("pos")).first()
-    n, pos = float(r["n"]), float(r["pos"] or 0)
+    n, pos = counts or class_counts(df, label)
+    n, pos = float(n), float(pos)
     neg = n - pos
     w_pos = n / (2.0 * pos) if pos else 0.0
     w_neg = n / (2.0 * neg) if neg else 0.0
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)))
 
 
-def with_pos_weight(df: DataFrame, label: str = "is_churn", out: str = "class_weight") -> DataFrame:
+def with_pos_weight(df: DataFrame, label: str = "is_churn", out: str = "class_weight",
+                    counts: tuple[int, int] | None = None) -> DataFrame:
     """Boosted-tree analogue of ``scale_pos_weight``: positives weighted neg/pos."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).alias("pos")).first()
-    pos = float(r["pos"] or 0)
-    ratio = (float(r["n"]) - pos) / pos if pos else 1.0
+    n, pos = counts or class_counts(df, label)
+    pos = float(pos)
+    ratio = (float(n) - pos) / pos if pos else 1.0
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
 
 
@@ -155,9 +163,11 @@ def sized(df: DataFrame, parts: int) -> DataFrame:
     return df.coalesce(parts) if have > parts else df.repartition(parts)
 
 
-def prepare_labels(df: DataFrame, kind: str, label: str = "is_churn") -> DataFrame:
+def prepare_labels(df: DataFrame, kind: str, label: str = "is_churn",
+                   counts: tuple[int, int] | None = None) -> DataFrame:
     d = df.withColumn("label", F.col(label).cast("double"))
-    return with_pos_weight(d, label) if kind == "boosted_trees" else with_balanced_weights(d, label)
+    return (with_pos_weight(d, label, counts=counts) if kind == "boosted_trees"
+            else with_balanced_weights(d, label, counts=counts))
 
 
 class TrainedModel:
@@ -165,8 +175,9 @@ class TrainedModel:
         t0 = time.time()
         self.kind, self.exclude = kind, tuple(exclude)
         self.pre = Preprocessor(exclude).fit(train)
-        tr = self.pre.transform(prepare_labels(train, kind, label)).select("features", "label", "class_weight")
-        n = train.count()
+        counts = class_counts(train, label)  # one pass: rows for the sizing, classes for the weights
+        tr = self.pre.transform(prepare_labels(train, kind, label, counts)).select("features", "label", "class_weight")
+        n = counts[0]
         self.train_rows = n
         slots = len(self.pre.encoded_names())
         # the estimator iterates over this frame: sized to the data and kept
