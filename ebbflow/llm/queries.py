@@ -3,11 +3,25 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm.common import table
+from ebbflow.llm import langid
+from ebbflow.llm.common import is_remainder, table
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
+from ebbflow.llm.secrets import secret_spans
 
 
 @register("op1_quality_rules")
 def op1_quality_rules(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"))
+
+
+@register("op4_secret_scans")
+def op4_secret_scans(spark, sf_dir):
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@register("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = is_remainder("doc_id", 4, 2)
+    return langid.predict(docs, langid.fit(docs.filter(~held_out)), held_out)
