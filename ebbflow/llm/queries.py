@@ -3,11 +3,12 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import langid
+from ebbflow.llm import langid, packing
 from ebbflow.llm.common import is_remainder, table
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
 from ebbflow.llm.secrets import secret_spans
+from ebbflow.llm.vocab import public_path
 
 
 @register("op1_quality_rules")
@@ -25,3 +26,8 @@ def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = is_remainder("doc_id", 4, 2)
     return langid.predict(docs, langid.fit(docs.filter(~held_out)), held_out)
+
+
+@register("op6_best_fit_packing")
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
