@@ -112,13 +112,15 @@ def fill(lengths: np.ndarray, left: np.ndarray, config: np.ndarray, capacity: in
     """Best fit: the longest lengths still open go into the room the configuration leaves."""
     config = config.copy()
     room = capacity - int(config @ lengths)
-    k = int(np.searchsorted(lengths, room, "right")) - 1
-    while room > 0 and k >= 0:
-        n = min(room // int(lengths[k]), int(left[k] - config[k]))
-        if n > 0:
-            config[k] += n
-            room -= n * int(lengths[k])
-        k = min(k - 1, int(np.searchsorted(lengths, room, "right")) - 1)
+    spare = np.flatnonzero(left > config)
+    sizes = lengths[spare]
+    k = int(np.searchsorted(sizes, room, "right")) - 1
+    while k >= 0:
+        at = spare[k]
+        n = min(room // int(sizes[k]), int(left[at] - config[at]))
+        config[at] += n
+        room -= n * int(sizes[k])
+        k = min(k - 1, int(np.searchsorted(sizes, room, "right")) - 1)
     return config
 
 

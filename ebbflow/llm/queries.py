@@ -3,7 +3,7 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import langid, packing
+from ebbflow.llm import bytebpe, langid, packing
 from ebbflow.llm.common import is_remainder, table
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
@@ -31,3 +31,10 @@ def op5_language_id(spark, sf_dir):
 @register("op6_best_fit_packing")
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+
+
+@register("op7_byte_bpe")
+def op7_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    return bytebpe.encode_documents(
+        table(spark, sf_dir, "documents"), public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
