@@ -3,7 +3,7 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import bytebpe, langid, packing
+from ebbflow.llm import bytebpe, langid, lbl, packing
 from ebbflow.llm.common import is_remainder, table
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
@@ -38,3 +38,8 @@ def op7_byte_bpe(spark, sf_dir):
     import public_tokenizers
     return bytebpe.encode_documents(
         table(spark, sf_dir, "documents"), public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op3_lm_scoring")
+def op3_lm_scoring(spark, sf_dir):
+    return lbl.score(table(spark, sf_dir, "documents"), is_remainder("doc_id", 7, 2))
