@@ -187,3 +187,29 @@ def group_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 def owners(off: np.ndarray) -> np.ndarray:
     """Index of the range each element belongs to."""
     return np.repeat(np.arange(len(off) - 1), np.diff(off))
+
+
+def sorted_groups(batches, key: str) -> Iterator[pa.RecordBatch]:
+    """Groups of a partition that is sorted by ``key`` (never null), a record batch each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key)
+        new = pc.not_equal(k.slice(1), k.slice(0, len(k) - 1))
+        cuts = np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1
+        if held and held[-1].column(key)[-1] != k[0]:
+            yield _joined(held)
+            held = []
+        at = 0
+        for c in cuts:
+            held.append(batch.slice(at, int(c) - at))
+            yield _joined(held)
+            held, at = [], int(c)
+        held.append(batch.slice(at))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -3,7 +3,7 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import bytebpe, langid, lbl, packing
+from ebbflow.llm import bytebpe, jaccard, langid, lbl, packing
 from ebbflow.llm.common import is_remainder, table
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
@@ -43,3 +43,8 @@ def op7_byte_bpe(spark, sf_dir):
 @register("op3_lm_scoring")
 def op3_lm_scoring(spark, sf_dir):
     return lbl.score(table(spark, sf_dir, "documents"), is_remainder("doc_id", 7, 2))
+
+
+@register("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
