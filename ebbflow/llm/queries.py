@@ -3,7 +3,7 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import bytebpe, jaccard, langid, lbl, packing
+from ebbflow.llm import bytebpe, jaccard, langid, lbl, packing, substrings
 from ebbflow.llm.common import is_remainder, table
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
@@ -48,3 +48,8 @@ def op3_lm_scoring(spark, sf_dir):
 @register("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op8_suffix_array_dedup")
+def op8_suffix_array_dedup(spark, sf_dir):
+    return substrings.dedup_digest(table(spark, sf_dir, "documents"))
