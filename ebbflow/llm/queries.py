@@ -3,7 +3,7 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import bytebpe, jaccard, langid, lbl, packing, substrings
+from ebbflow.llm import bytebpe, covertree, jaccard, langid, lbl, packing, substrings
 from ebbflow.llm.common import is_remainder, table
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
@@ -53,3 +53,23 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 @register("op8_suffix_array_dedup")
 def op8_suffix_array_dedup(spark, sf_dir):
     return substrings.dedup_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op9_exact_topk", sql="""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda k: q.v[k] * c.v[k])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+""")
+def op9_exact_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return covertree.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
