@@ -3,7 +3,7 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import bytebpe, covertree, jaccard, langid, lbl, packing, substrings
+from ebbflow.llm import bytebpe, covertree, html, jaccard, langid, lbl, packing, substrings
 from ebbflow.llm.common import is_remainder, table
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
@@ -73,3 +73,8 @@ WHERE rank <= 5
 def op9_exact_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return covertree.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@register("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages"))
