@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from ebbflow.llm.common import SpanHash, U64, mix64, ngram_hash, shuffle_parts, sorted_groups, stored, text_slices, word_spans
 from ebbflow.llm.components import components
 
+NO_ID = (1 << 63) - 1  # order of a null doc_id: last
+
 
 @dataclass(frozen=True)
 class JoinRules:
@@ -321,3 +323,24 @@ def near_duplicates(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFram
     return found.sketch.select("doc_id", "key", "size").join(per_set, "key", "left").select(
         "doc_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("size").alias("n_shingles"))
+
+
+def keep_one_of_each(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
+    """``docs`` with one document of each class: the least doc_id (null last), then the least
+    text hash.  Texts without a shingle all stay."""
+    found = join(docs, rules)
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "mark")
+    members = found.sketch.filter("size > 0").select("key", place.alias("place")).join(found.classes.select("key", "root"), "key")
+    keepers = members.groupBy("root").agg(F.min("place").alias("kept"))
+    # a class of one row keeps it; the others tell which rows go
+    gone = members.join(keepers, "root").filter("place != kept").select("place.ord", "place.mark").distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"), F.xxhash64("text").alias("mark"))
+    rows = rows.join(gone, ["ord", "mark"], "left_anti")
+    twice = members.groupBy("place").count().filter("count > 1").select("place.ord", "place.mark")
+    if not twice.isEmpty():  # rows equal in doc_id and text: one stays
+        twice = stored(twice, "repeated-rows")
+        rows = rows.join(twice, ["ord", "mark"], "left_anti").unionByName(
+            rows.join(twice, ["ord", "mark"], "left_semi").dropDuplicates(["ord", "mark"]))
+    return rows.select("row.*")

@@ -200,12 +200,16 @@ def predict(docs: DataFrame, model: LanguageCode, held_out) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageCode) -> DataFrame:
-    """``docs`` without the rows whose text has no language (null or no letter)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` without the rows whose text has no language: null texts and those without a
+    letter (all that is known where no language was learned)."""
 
     def run(batches):
         for batch in batches:
-            lang, _, _ = _predict(batch, shared.value)
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            texts = batch.column("text").to_pylist()
+            letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            lang = _predict(batch, shared.value)[0] if model_known else [None] * len(texts)
+            yield batch.filter(pa.array([k and x != UNKNOWN for k, x in zip(letters, lang)], pa.bool_()))
 
+    model_known = bool(model.languages)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(run, docs.schema)
