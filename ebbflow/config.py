@@ -47,9 +47,6 @@ CURRENCY_RATE = 2.62
 ERROR_ANALYSIS_THRESHOLD = 0.65
 SEED = 42
 
-# Exact linear-interpolated quantiles (match SQL); False -> approx_percentile at scale.
-EXACT_QUANTILES = True
-
 
 # Feature roles (fixed lists of the original modeling dataset).
 CAT_ONEHOT = ["city", "gender", "registered_via", "latest_payment_method_id",

@@ -173,8 +173,8 @@ def range_keep_null(c: str | Column, lo: float, hi: float) -> Column:
 
 
 def score_clip(c: str | Column) -> Column:
-    """Clip to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col_or(c).cast("double")))
+    """Clip to [0, 1]; a missing score stays missing."""
+    return clip_keep_null(col_or(c).cast("double"), 0.0, 1.0)
 
 
 def to_display_currency(c: str | Column) -> Column:

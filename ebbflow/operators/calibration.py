@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions import stats as ST
+from ebbflow.functions import ranged as RA
 
 from ebbflow.functions.expr import hash_uniform
 
@@ -171,15 +171,13 @@ def reliability_table(df: DataFrame, score: str, label: str = "is_churn", n_bins
     """Mean predicted vs observed rate per quantile bin (linear quantile
     edges; empty bins dropped).  The nine inner edges are one small aggregate."""
     probs = [k / n_bins for k in range(1, n_bins)]
-    edges = df.agg(ST.percentile(F.col(score).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("e")).first()["e"]
+    edges = RA.quantile_row(df, {"e": (score, probs)})["e"]
     x = F.col(score).cast("double")
     return df.groupBy(quantile_bin(x, [float(e) for e in edges]).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_predicted"),
         F.avg(F.col(label).cast("double")).alias("observed_rate"))
 
 
-def platt_params(cal: Calibrator) -> tuple[float, float]:
-    return cal.w, cal.b
 
 
 __all__ = ["with_calib_split", "fit_platt", "apply_platt", "fit_isotonic", "apply_isotonic", "Calibrator",

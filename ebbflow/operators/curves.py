@@ -2,15 +2,9 @@
 
 Step 1 collapses rows to score blocks ``(score, pos, neg)`` with a partial +
 final aggregation (ties of a real model are rare, of a scorecard common).
-Step 2 needs running sums in descending score order:
-
-* when every group (bootstrap replicate x model, or the single curve) has at
-  most ``SMALL_BLOCKS`` blocks, a window partitioned by the group columns;
-* otherwise the blocks are range-partitioned on (group, score desc) and
-  checkpointed so the sampled range boundaries stay fixed; per (range, group)
-  totals get exclusive prefix offsets from a window over the range id (at most
-  one row per range and group), and the running sum is a window *within* each
-  (range, group) plus its offset - a large curve is spread over many tasks.
+Step 2 takes running sums and group totals in descending score order from
+``functions.ranged`` (blocks range-partitioned on (group, score), computed once;
+prefix offsets and totals from the per-range totals, never a window over a group).
 
 All of it is exact: AP is sklearn's step sum over distinct thresholds, ROC-AUC
 the trapezoid (= Mann-Whitney with tied pairs counted one half).
@@ -25,12 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions import stats as ST
-
 from ebbflow.functions.expr import hash_uniform
-
-SMALL_BLOCKS = 200_000
-
+from ebbflow.functions.ranged import quantiles, running_sums
 
 def score_blocks(df: DataFrame, score: str, label: str = "is_churn", weight: str | Column | None = None,
                  by: list[str] | None = None) -> DataFrame:
@@ -41,53 +31,13 @@ def score_blocks(df: DataFrame, score: str, label: str = "is_churn", weight: str
             .groupBy(*by, "score").agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg")))
 
 
-def _running(blocks: DataFrame, by: list[str], cols: list[str], biggest: int | None = None) -> DataFrame:
-    """Adds ``cum_<c>`` = sum of c over all blocks of the same ``by`` group whose
-    score is >= this block's score.
-
-    Small groups (every group <= SMALL_BLOCKS blocks): one window partitioned by
-    ``by``.  Otherwise a group may not fit one task, so the blocks are range-
-    partitioned on (by, score desc) into P ranges and checkpointed (the sampled
-    range bounds must not move between passes); per (range, group) totals - at
-    most P rows per group - get exclusive prefix offsets from a window over the
-    range id, and the final running sum is a window inside each (range, group)
-    plus its offset.  Exact, and no task ever holds a whole large group."""
-    order = F.col("score").desc()
-    if biggest is None and by:
-        biggest = blocks.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    elif biggest is None:
-        biggest = blocks.count()
-    if biggest <= SMALL_BLOCKS:
-        # every window partition holds at most SMALL_BLOCKS rows
-        w = (Window.partitionBy(*by) if by else Window).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return blocks.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in cols])
-    n_rows = blocks.count()
-    parts = max(2, min(4096, n_rows // 50_000))
-    ranged = (blocks.repartitionByRange(parts, *[F.col(b) for b in by], order)
-              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
-    totals = ranged.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wp = (Window.partitionBy(*by) if by else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0.0)).alias(f"_off_{c}")
-                                           for c in cols])
-    w = Window.partitionBy("_pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.join(offsets, ["_pid", *by])
-            .select(*blocks.columns, *[(F.sum(c).over(w) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols]))
-
-
 def curve(df: DataFrame, score: str, label: str = "is_churn", weight=None, by: list[str] | None = None) -> DataFrame:
     """One row per distinct score with cumulative TP/FP, totals, and the
     ROC (fpr, tpr) and PR (precision, recall) coordinates at that threshold."""
     by = by or []
     blocks = score_blocks(df, score, label, weight, by)
-    if by:
-        cum = _running(blocks, by, ["pos", "neg"])
-        tot = Window.partitionBy(*by)
-        cum = cum.withColumn("P", F.sum("pos").over(tot)).withColumn("N", F.sum("neg").over(tot))
-    else:
-        # block count and class totals in one pass (three scalars)
-        t = blocks.agg(F.count(F.lit(1)).alias("k"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-        cum = _running(blocks, by, ["pos", "neg"], int(t["k"]))
-        cum = cum.withColumn("P", F.lit(float(t["P"] or 0.0))).withColumn("N", F.lit(float(t["N"] or 0.0)))
+    cum = running_sums(blocks, by, [F.col("score").desc()], ["pos", "neg"])
+    cum = cum.withColumnsRenamed({"all_pos": "P", "all_neg": "N"})
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return cum.select(
         *by, "score", "pos", "neg", tp.alias("tp"), fp.alias("fp"), "P", "N",
@@ -114,17 +64,14 @@ def precision_recall_at_k(df: DataFrame, score: str, k: int, label: str = "is_ch
     """Precision and recall among the k highest scores; the tie block that
     straddles position k contributes its positives in proportion."""
     blocks = score_blocks(df, score, label)
-    t = blocks.agg(F.count(F.lit(1)).alias("k"), F.sum("pos").alias("P")).first()  # two scalars
-    cum = _running(blocks.withColumn("n", F.col("pos") + F.col("neg")), [], ["pos", "n"], int(t["k"]))
-    total_pos = t["P"] or 0.0
+    cum = running_sums(blocks.withColumn("n", F.col("pos") + F.col("neg")), [], [F.col("score").desc()], ["pos", "n"])
     above_n = F.col("cum_n") - F.col("n")
     above_pos = F.col("cum_pos") - F.col("pos")
     cut = cum.where((above_n < F.lit(k)) & (F.col("cum_n") >= F.lit(k)))
     positives = above_pos + (F.lit(k) - above_n) * F.col("pos") / F.col("n")
     return cut.select(F.lit(k).cast("bigint").alias("k"), F.col("score").alias("cutoff_score"),
                       (positives / F.lit(k)).alias("precision_at_k"),
-                      (positives / F.lit(float(total_pos)) if total_pos else F.lit(None).cast("double"))
-                      .alias("recall_at_k"))
+                      F.when(F.col("all_pos") > 0, positives / F.col("all_pos")).alias("recall_at_k"))
 
 
 def poisson1_weight(u: Column, kmax: int = 20) -> Column:
@@ -140,8 +87,8 @@ def poisson1_weight(u: Column, kmax: int = 20) -> Column:
     return expr.otherwise(F.lit(kmax + 1)).cast("double")
 
 
-def bootstrap_pr_auc(long_scores: DataFrame, reference: str, n_boot: int = 20, key: str = "msno",
-                     label: str = "is_churn", salt: str = "boot", batch_size: int = 50) -> DataFrame:
+def bootstrap_pr_auc(long_scores: DataFrame, reference: str, n_boot: int = 500, key: str = "msno",
+                     label: str = "is_churn", salt: str = "boot", batch_size: int = 125) -> DataFrame:
     """Paired Poisson bootstrap of PR-AUC(model) - PR-AUC(reference).
 
     ``long_scores`` has (key, label, model, score).  Replicate b gives row r the
@@ -166,8 +113,8 @@ def bootstrap_pr_auc(long_scores: DataFrame, reference: str, n_boot: int = 20, k
     ref_b = boot.where(F.col("model") == reference).select("b", F.col("pr_auc").alias("ref"))
     diffs = boot.where(F.col("model") != reference).join(ref_b, "b").select(
         "model", (F.col("pr_auc") - F.col("ref")).alias("d"))
-    ci = diffs.groupBy("model").agg(
-        ST.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("n_boot"))
+    ci = quantiles(diffs, ["model"], {"q": ("d", [0.025, 0.975])}).join(
+        diffs.groupBy("model").agg(F.count(F.lit(1)).alias("n_boot")), "model")
     # one row per model: the whole-frame window is bounded by the model count
     ref_obs = F.max(F.when(F.col("model") == reference, F.col("pr_auc"))).over(Window.partitionBy())
     observed = obs.withColumn("ref_obs", ref_obs).where(F.col("model") != reference).select(

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions import stats as ST
+from ebbflow.functions import ranged as RA
 
 from ebbflow import config as C
 from ebbflow.functions.expr import as_category, hash_uniform
@@ -80,8 +80,8 @@ class Preprocessor:
         self.num, self.cat = feature_columns(exclude)
 
     def fit(self, train: DataFrame) -> "Preprocessor":
-        med_row = train.agg(*[ST.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in self.num]).first()
-        self.medians = {c: (float(med_row[c]) if med_row[c] is not None else 0.0) for c in self.num}
+        med_row = RA.quantile_row(train, {c: (c, 0.5) for c in self.num})
+        self.medians = {c: (float(med_row[c]) if med_row is not None and med_row[c] is not None else 0.0) for c in self.num}
         imputed = [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.num]
         mom = train.agg(*[F.avg(x).alias(f"m_{c}") for x, c in zip(imputed, self.num)],
                         *[F.stddev_pop(x).alias(f"s_{c}") for x, c in zip(imputed, self.num)]).first()
@@ -199,7 +199,7 @@ class TrainedModel:
 def rule_baseline(train: DataFrame, test: DataFrame, label: str = "is_churn") -> DataFrame:
     """flag = auto-renew off (missing -> training median); score = the flag
     group's training churn rate.  Two aggregates, applied as literals."""
-    med = train.agg(ST.percentile(F.col("latest_is_auto_renew").cast("double"), 0.5)).first()[0]
+    med = RA.quantile_row(train, {"m": ("latest_is_auto_renew", 0.5)})["m"]
     med = 1.0 if med is None else float(med)
     flag = F.coalesce(F.col("latest_is_auto_renew").cast("double"), F.lit(med)) == 0
     r = train.agg(F.avg(F.when(flag, F.col(label).cast("double"))).alias("off"),
@@ -286,8 +286,7 @@ def driver_direction(tm: TrainedModel, test: DataFrame, feature: str, bins: int
     idx = [e for e, _ in tm.pre.encoded_names()].index(f"num__{feature}")
     coef = float(tm.model.coefficients.toArray()[idx])
     scored = tm.score(test)
-    edges = scored.agg(ST.percentile(F.col(feature).cast("double"),
-                                    F.array(*[F.lit(k / bins) for k in range(1, bins)]))).first()[0]
+    edges = RA.quantile_row(scored, {"e": (feature, [k / bins for k in range(1, bins)])})["e"]
     x = F.col(feature).cast("double")
     b = sum((F.when(x > F.lit(float(e)), 1).otherwise(0) for e in edges), F.lit(0))
     z = (F.coalesce(x, F.lit(tm.pre.medians[feature])) - F.lit(tm.pre.means[feature])) / F.lit(tm.pre.stds[feature])

@@ -2,9 +2,7 @@
 
 Wide statistics are computed as ONE aggregation (all columns, all pairs) and
 turned long with ``unpivot``/``stack`` afterwards - never one job per column or
-pair.  Exact quantiles (``percentile``, linear interpolation) are used by
-default so results match SQL; ``config.EXACT_QUANTILES = False`` switches to
-``approx_percentile`` for raw doubles at very large scale."""
+pair.  Quantiles are exact (linear interpolation), taken from ``functions.ranged``."""
 
 from __future__ import annotations
 
@@ -16,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions import stats as ST
+from ebbflow.functions import ranged as RA
 
 from ebbflow.functions.expr import clip_keep_null, right_closed_bucket
 
@@ -36,10 +34,6 @@ def join_per_group(big: DataFrame, per_group: DataFrame, on: list[str] | str) ->
     return big.join(F.broadcast(per_group) if small else per_group, on)
 
 
-def quantiles(x: Column, probs: list[float]) -> Column:
-    return ST.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-
-
 def churn_rate_by(df: DataFrame, col: str, min_count: int = 0, label: str = "is_churn") -> DataFrame:
     """Churn % and count per category (NULL category dropped), groups below
     ``min_count`` removed, ranked by rate desc."""
@@ -87,25 +81,29 @@ def to_long(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
 
 def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per numeric column missing %, min, median, mean, max, distinct count and
-    the share of the most frequent value.  Long form, one groupBy(column)."""
-    long = to_long(df, cols)
-    stats = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_present"), F.min("value").alias("min"),
-        quantiles(F.col("value"), [0.5]).getItem(0).alias("median"), F.avg("value").alias("mean"),
-        F.max("value").alias("max"), F.count_distinct("value").alias("n_distinct"))
-    freq = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
-    top = freq.groupBy("column").agg(F.max("k").alias("top_count"))
-    return stats.join(top, "column", "left").select(
+    the share of the most frequent value."""
+    sums = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"mean_{k}") for k, c in enumerate(cols)])
+    wide = sums.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"mean_{k}").alias("mean"))
+                                                for k, c in enumerate(cols)])).alias("_s")).select("n", "_s.*")
+    # one row per column and distinct value, counted in the tasks; everything else follows from it
+    freq = to_long(df, cols).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
+    per = freq.groupBy("column").agg(
+        F.sum("k").alias("n_present"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.count(F.lit(1)).alias("n_distinct"), F.max("k").alias("top_count"))
+    medians = RA.quantiles(df, [], {c: (c, 0.5) for c in cols}).unpivot([], cols, "column", "median")
+    stats = wide.join(per, "column", "left").join(medians, "column", "left").withColumns(
+        {"n_present": F.coalesce("n_present", F.lit(0)), "n_distinct": F.coalesce("n_distinct", F.lit(0))})
+    return stats.select(
         "column", ((F.col("n") - F.col("n_present")) * 100.0 / F.col("n")).alias("pct_missing"), "min", "median",
         "mean", "max", "n_distinct", (F.col("top_count") * 100.0 / F.col("n_present")).alias("top_share_pct"))
 
 
 def target_means(df: DataFrame, cols: list[str], label: str = "is_churn") -> DataFrame:
     """Mean of each feature per class, one row per feature."""
-    long = to_long(df, cols, [label])
-    return long.groupBy("column").agg(
-        F.avg(F.when(F.col(label) == 0, F.col("value"))).alias("mean_not_churned"),
-        F.avg(F.when(F.col(label) == 1, F.col("value"))).alias("mean_churned"))
+    wide = df.agg(*[F.struct(
+        F.lit(c).alias("column"), F.avg(F.when(F.col(label) == 0, F.col(c).cast("double"))).alias("mean_not_churned"),
+        F.avg(F.when(F.col(label) == 1, F.col(c).cast("double"))).alias("mean_churned")).alias(f"_{k}") for k, c in enumerate(cols)])
+    return wide.select(F.explode(F.array(*[F.col(f"_{k}") for k in range(len(cols))])).alias("_s")).select("_s.*")
 
 
 def _pair_corr(x: str, y: str) -> Column:
@@ -189,10 +187,9 @@ def collinear_pairs(df: DataFrame, cols: list[str], threshold: float = 0.85) ->
 
 def grouped_quartiles(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """Quartiles of a (clipped) value per group."""
-    q = quantiles(value, [0.25, 0.5, 0.75])
-    return (df.where(value.isNotNull()).groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-            .select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")))
+    d = df.where(value.isNotNull())
+    return RA.with_quantiles(d.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), d, by,
+                             {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)})
 
 
 def histogram_by_class(df: DataFrame, col: str, bins: int, clip: tuple | None = None,
@@ -219,8 +216,7 @@ def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles and whiskers (furthest data within 1.5 IQR) per group."""
     x = F.col(value).cast("double")
     d = df.where(x.isNotNull())
-    q = d.groupBy(*by).agg(quantiles(x, [0.25, 0.5, 0.75]).alias("q"), F.count(F.lit(1)).alias("n"))
-    q = q.select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = grouped_quartiles(d, x, by)
     iqr = F.col("q3") - F.col("q1")
     j = join_per_group(d, q, by)  # one row per group
     return j.groupBy(*by).agg(

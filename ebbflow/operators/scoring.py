@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow import config as C
-from ebbflow.functions.expr import hash_uniform, risk_tier, score_range_label
+from ebbflow.functions.expr import clip_keep_null, hash_uniform, risk_tier, score_range_label
 
 
 def scorecard_points(proxy: bool = False) -> Column:
@@ -138,7 +138,7 @@ def classification_metrics(df: DataFrame, score: str, label: str = "is_churn", t
     p = F.col(score).cast("double")
     y = F.col(label).cast("double")
     pred = p >= F.lit(threshold)
-    pc = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
+    pc = clip_keep_null(p, eps, 1 - eps)
     agg = df.agg(
         F.count_if(pred & (y == 1)).alias("tp"), F.count_if(pred & (y == 0)).alias("fp"),
         F.count_if(~pred & (y == 1)).alias("fn"), F.count_if(~pred & (y == 0)).alias("tn"),

@@ -12,7 +12,7 @@ from ebbflow.sources.literal import small_frame
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions import stats as ST
+from ebbflow.functions import ranged as RA
 
 from ebbflow import config as C
 from ebbflow.functions.expr import (INTENSITY, intensity_of, priority_group, recommend_cell,
@@ -67,7 +67,8 @@ def unmatched_at_risk(seg: DataFrame) -> DataFrame:
 
 def monthly_revenue_rate(df: DataFrame) -> DataFrame:
     """Total revenue over tenure months, floored at one month."""
-    months = F.greatest(F.col("tenure_days_at_cutoff") / F.lit(C.MONTH_DAYS), F.lit(1.0))
+    tenure = F.col("tenure_days_at_cutoff")  # greatest() skips nulls: a missing tenure must stay missing
+    months = F.when(tenure.isNotNull(), F.greatest(tenure / F.lit(C.MONTH_DAYS), F.lit(1.0)))
     return df.withColumn("monthly_revenue_rate", F.col("total_revenue") / months)
 
 
@@ -75,8 +76,7 @@ def tercile_edges(scored: DataFrame) -> DataFrame:
     """E2 edges: linear-interpolated 1/3 and 2/3 quantiles of revenue among
     customers with transactions (one aggregate, one row)."""
     valued = scored.where(F.col("has_transactions_data") == 1)
-    q = ST.percentile(F.col("total_revenue").cast("double"), F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return valued.agg(q.alias("q")).select(F.col("q")[0].alias("edge_low"), F.col("q")[1].alias("edge_high"))
+    return RA.quantiles(valued, [], {"edge_low": ("total_revenue", 1 / 3), "edge_high": ("total_revenue", 2 / 3)})
 
 
 def collect_tercile_edges(scored: DataFrame) -> tuple[float | None, float | None]:
@@ -113,21 +113,21 @@ def value_by_risk_tier(vt: DataFrame) -> DataFrame:
     count, mean, sample std, min, quartiles (linear), max, and the sum."""
     valued = vt.where(F.col("has_transactions_data") == 1)
     x = F.col("total_revenue").cast("double")
-    q = ST.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     agg = valued.groupBy("risk_tier").agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        q.alias("q"), F.max(x).alias("max"), F.sum("total_revenue").cast("bigint").alias("total_HRR_sum"))
-    return agg.select("risk_tier", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
-                      F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max", "total_HRR_sum")
+        F.max(x).alias("max"), F.sum("total_revenue").cast("bigint").alias("total_HRR_sum"))
+    out = RA.with_quantiles(agg, valued, ["risk_tier"], {"p25": (x, 0.25), "p50": (x, 0.5), "p75": (x, 0.75)})
+    return out.select("risk_tier", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "total_HRR_sum")
 
 
 def value_by_segment(vt: DataFrame) -> DataFrame:
     """Count, median, mean, sum of revenue by segment and share of the total."""
     valued = vt.where(F.col("has_transactions_data") == 1)
     agg = valued.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n_customers"), ST.median(F.col("total_revenue").cast("double")).alias("median_HRR"),
-        F.avg(F.col("total_revenue").cast("double")).alias("mean_HRR"),
+        F.count(F.lit(1)).alias("n_customers"), F.avg(F.col("total_revenue").cast("double")).alias("mean_HRR"),
         F.sum("total_revenue").cast("bigint").alias("total_HRR"))
+    agg = RA.with_quantiles(agg, valued, ["segment"], {"median_HRR": ("total_revenue", 0.5)}).select(
+        "segment", "n_customers", "median_HRR", "mean_HRR", "total_HRR")
     # one row per segment (six): whole-frame window is bounded
     return agg.withColumn("pct_of_total_HRR",
                           F.col("total_HRR") / F.sum("total_HRR").over(Window.partitionBy()) * 100.0)
@@ -169,12 +169,13 @@ def risk_value_matrix(vt: DataFrame) -> DataFrame:
 def value_cells(vt: DataFrame) -> DataFrame:
     """Per risk x value cell (valued customers): n, % of base, churn,
     median and total revenue, auto-renew rate."""
-    agg = vt.where(F.col("has_transactions_data") == 1).groupBy("risk_tier", "value_tier").agg(
+    valued = vt.where(F.col("has_transactions_data") == 1)
+    agg = valued.groupBy("risk_tier", "value_tier").agg(
         F.count(F.lit(1)).alias("n_customers"),
         F.avg(F.col("is_churn").cast("double")).alias("churn"),
-        ST.median(F.col("total_revenue").cast("double")).alias("median_HRR"),
         F.sum("total_revenue").cast("bigint").alias("total_HRR"),
         F.avg(F.col("latest_is_auto_renew").cast("double")).alias("auto_renew"))
+    agg = RA.with_quantiles(agg, valued, ["risk_tier", "value_tier"], {"median_HRR": ("total_revenue", 0.5)})
     n_all = vt.agg(F.count(F.lit(1)).alias("N")).first()["N"]  # one scalar
     return agg.select("risk_tier", "value_tier", "n_customers",
                       (F.col("n_customers") / F.lit(float(n_all)) * 100.0).alias("pct_of_base"),
@@ -262,8 +263,8 @@ def action_plan(actions: DataFrame) -> DataFrame:
     base = actions.groupBy("priority_group").agg(
         F.count(F.lit(1)).alias("n_customers"),
         F.avg(F.col("is_churn").cast("double")).alias("churn"),
-        F.sum(F.when(valued, F.col("total_revenue"))).cast("double").alias("total_HRR"),
-        ST.median(F.when(valued, F.col("total_revenue").cast("double"))).alias("median_HRR"))
+        F.sum(F.when(valued, F.col("total_revenue"))).cast("double").alias("total_HRR"))
+    base = RA.with_quantiles(base, actions, ["priority_group"], {"median_HRR": (F.when(valued, F.col("total_revenue")), 0.5)})
     rec_counts = actions.groupBy("priority_group", "recommendation").agg(F.count(F.lit(1)).alias("k"))
     # (group, recommendation) pairs are at most 7 x 7 rows; ties -> smallest label
     w = Window.partitionBy("priority_group").orderBy(F.col("k").desc(), F.col("recommendation"))
@@ -329,10 +330,10 @@ def segment_medians(actions: DataFrame) -> DataFrame:
     label."""
     label = F.when(F.col("priority_group") == C.UNMATCHED_AT_RISK, F.lit(UNMATCHED_SUMMARY_LABEL)) \
         .otherwise(F.col("priority_group"))
-    return (actions.where(F.col("priority_group") != C.STABLE_MONITOR).groupBy(label.alias("label")).agg(
-        ST.median(F.col("days_since_last_txn").cast("double")).alias("median_days_since_last_txn"),
-        ST.median(F.col("tenure_days_at_cutoff").cast("double")).alias("median_tenure_days"),
-        (F.avg(F.col("latest_is_auto_renew").cast("double")) * 100.0).alias("auto_renew_rate_pct")))
+    named = actions.where(F.col("priority_group") != C.STABLE_MONITOR).withColumn("label", label)
+    agg = named.groupBy("label").agg((F.avg(F.col("latest_is_auto_renew").cast("double")) * 100.0).alias("auto_renew_rate_pct"))
+    return RA.with_quantiles(agg, named, ["label"], {
+        "median_days_since_last_txn": ("days_since_last_txn", 0.5), "median_tenure_days": ("tenure_days_at_cutoff", 0.5)})
 
 
 def segment_context(plan: DataFrame, medians: DataFrame) -> DataFrame:

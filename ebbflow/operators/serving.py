@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions import stats as ST
+from ebbflow.functions import ranged as RA
 
 from ebbflow import config as C
 from ebbflow.functions.expr import (id_search, key_risk_signal, priority_group, range_keep_null)
@@ -174,10 +174,14 @@ def search_customers(lookup: DataFrame, *, risk_tier=None, value_tier=None, segm
 
 def population_baselines(lookup: DataFrame) -> DataFrame:
     """Population means and median tenure (one row)."""
-    return lookup.agg(
-        F.avg("latest_is_auto_renew").alias("auto_renew_pct"), ST.median("tenure_days_at_cutoff").alias("tenure_days_median"),
-        F.avg("total_transactions").alias("total_transactions_mean"), F.avg("cancel_rate").alias("cancel_rate_mean"),
+    means = lookup.agg(
+        F.avg("latest_is_auto_renew").alias("auto_renew_pct"), F.avg("total_transactions").alias("total_transactions_mean"), F.avg("cancel_rate").alias("cancel_rate_mean"),
         F.avg("discount_rate").alias("discount_rate_mean"), F.avg("days_since_last_txn").alias("days_since_last_txn_mean"))
+    # one row each
+    row = RA.quantile_row(lookup, {"m": ("tenure_days_at_cutoff", 0.5)})
+    median = F.lit(None if row is None else row["m"]).cast("double")
+    return means.select("auto_renew_pct", median.alias("tenure_days_median"), "total_transactions_mean", "cancel_rate_mean",
+                        "discount_rate_mean", "days_since_last_txn_mean")
 
 
 def _fill(template: str, **parts: Column) -> Column:

@@ -7,7 +7,7 @@ from ebbflow.sources.literal import small_frame
 
 from pyspark.sql import functions as F
 
-from ebbflow.functions import stats as ST
+from ebbflow.functions import ranged as RA
 
 from ebbflow.operators import calibration as CA
 from ebbflow.plans.common import finalize, sql_final
@@ -112,7 +112,7 @@ def reliability_calibrated(spark, sf):
 def quantile_bins(spark, sf):
     """E5: decile bin of each customer's raw score (linear quantile edges, left search)."""
     s = Chain.shared(spark, sf).scored()
-    edges = s.agg(ST.percentile("risk_score_full", F.array(*[F.lit(k / 10) for k in range(1, 10)]))).first()[0]
+    edges = RA.quantile_row(s, {"e": ("risk_score_full", [k / 10 for k in range(1, 10)])})["e"]
     return s.select("msno", CA.quantile_bin(F.col("risk_score_full"), [float(e) for e in edges]).alias("bin"))
 
 
@@ -123,8 +123,8 @@ def calibrated_by_tier(spark, sf):
     """Calibrated probability distribution within each raw-score tier."""
     c = Chain.shared(spark, sf).calibrated()
     p = F.col("calibrated_probability")
-    return finalize(c.groupBy("risk_tier").agg(F.avg(p).alias("mean"), ST.median(p).alias("median"),
-                                               F.min(p).alias("min"), F.max(p).alias("max")))
+    agg = c.groupBy("risk_tier").agg(F.avg(p).alias("mean"), F.min(p).alias("min"), F.max(p).alias("max"))
+    return finalize(RA.with_quantiles(agg, c, ["risk_tier"], {"median": (p, 0.5)}).select("risk_tier", "mean", "median", "min", "max"))
 
 
 @register("threshold_exceedance", qc("SELECT CAST(COUNT(*) FILTER (WHERE risk_score_full >= 0.65) AS BIGINT) AS n_raw_ge_65, "

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions import stats as ST
+from ebbflow.functions import ranged as RA
 
 from ebbflow import config as C
 from ebbflow.functions import expr as X
@@ -41,7 +41,7 @@ def _errors(spark, sf):
 def error_group_medians(spark, sf):
     """Medians of ten features by confusion group at 0.65."""
     e = _errors(spark, sf)
-    return finalize(e.groupBy("confusion_group").agg(*[ST.median(F.col(c).cast("double")).alias(c) for c in ERROR_FEATURES]))
+    return finalize(RA.quantiles(e, ["confusion_group"], {c: (c, 0.5) for c in ERROR_FEATURES}))
 
 
 @register("top_category_per_group", sql_final(q(f"""
@@ -168,19 +168,19 @@ def _intent_sql():
     seg = ("CASE WHEN " + has("champion") + " AND " + has("important", "why") + " THEN 'champions_importance' WHEN "
            + has("prioriti") + " AND " + has("which", "segment") + " THEN 'which_segment_priority' WHEN "
            + has("high-touch", "high touch", "deserve") + " THEN 'high_touch_candidates' ELSE 'segment_overview' END")
-    return (f"SELECT customer_intent, segment_intent, CAST(COUNT(*) AS BIGINT) AS n_questions FROM ("
-            f"SELECT {cust} AS customer_intent, {seg} AS segment_intent FROM (SELECT lower(text) AS t FROM conversations "
-            f"WHERE role = 'user')) GROUP BY ALL")
+    return (f"SELECT role, customer_intent, segment_intent, CAST(COUNT(*) AS BIGINT) AS n_questions FROM ("
+            f"SELECT {cust} AS customer_intent, {seg} AS segment_intent, role FROM (SELECT lower(text) AS t, role FROM conversations"
+            f")) GROUP BY ALL")
 
 
 @register("question_intent", _intent_sql())
 def question_intent(spark, sf):
-    """B35 (re-aimed): first-match keyword intents of every user turn in the
-    conversations table, counted per (customer intent, segment intent)."""
-    conv = Chain.shared(spark, sf).tables.conversations().where(F.col("role") == "user")
-    return conv.select(X.question_intent("text").alias("customer_intent"),
+    """B35 (re-aimed): first-match keyword intents of every turn in the
+    conversations table, counted per (role, customer intent, segment intent)."""
+    conv = Chain.shared(spark, sf).tables.conversations()
+    return conv.select("role", X.question_intent("text").alias("customer_intent"),
                        X.segment_intent("text").alias("segment_intent")).groupBy(
-        "customer_intent", "segment_intent").agg(F.count(F.lit(1)).alias("n_questions"))
+        "role", "customer_intent", "segment_intent").agg(F.count(F.lit(1)).alias("n_questions"))
 
 
 SAMPLE_N = 10_000

@@ -114,7 +114,7 @@ def corr_with_target(spark, sf):
 
 VALUE_CANDIDATES = ["total_revenue", "avg_revenue_per_txn", "latest_actual_amount_paid", "tenure_days_at_cutoff",
                     "total_transactions", "monthly_revenue_rate"]
-MRR_SQL = "total_revenue / greatest(tenure_days_at_cutoff / 30.44, 1.0)"
+MRR_SQL = "CASE WHEN tenure_days_at_cutoff IS NOT NULL THEN total_revenue / greatest(tenure_days_at_cutoff / 30.44, 1.0) END"
 
 
 def _pairs(cols):

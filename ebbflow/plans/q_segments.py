@@ -57,7 +57,7 @@ def unmatched_at_risk(spark, sf):
 
 
 @register("monthly_revenue_rate", sql_final(q("SELECT msno, total_revenue, tenure_days_at_cutoff, "
-                                              "total_revenue / greatest(tenure_days_at_cutoff / 30.44, 1.0) AS monthly_revenue_rate FROM ds"),
+                                              "CASE WHEN tenure_days_at_cutoff IS NOT NULL THEN total_revenue / greatest(tenure_days_at_cutoff / 30.44, 1.0) END AS monthly_revenue_rate FROM ds"),
                                             ["monthly_revenue_rate"]))
 def monthly_revenue_rate(spark, sf):
     """Revenue per tenure month (floor one month)."""

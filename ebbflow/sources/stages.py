@@ -9,7 +9,6 @@ stage boundary.  The root defaults to the session's ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +71,3 @@ def require_stage(spark: SparkSession, name: str, cutoff: int | None = None, roo
         if missing:
             raise MissingStageError(f"{name} (missing columns {missing})", path)
     return df
-
-
-def local_exists(path: str) -> bool:
-    return os.path.exists(path)

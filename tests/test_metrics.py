@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ebbflow.functions import ranged as RA
 from ebbflow.operators import curves as CU
 from ebbflow.operators import scoring as SC
 
@@ -53,13 +54,13 @@ def test_weighted_ap_matches_reference(spark):
     assert r["pr_auc"] == pytest.approx(ap_ref(y, s, w), abs=1e-12)
 
 
-def test_range_partitioned_running_sums_equal_simple_window(spark, monkeypatch):
+def test_many_ranges_equal_one_range(spark, monkeypatch):
     rng = np.random.default_rng(7)
     y = rng.integers(0, 2, 5000)
     s = rng.random(5000)
     df = frame(spark, y, s)
     simple = CU.ranking_metrics(df, "score").first()
-    monkeypatch.setattr(CU, "SMALL_BLOCKS", 10)
+    monkeypatch.setattr(RA, "ROWS_PER_RANGE", 200)
     ranged = CU.ranking_metrics(df, "score").first()
     assert ranged["pr_auc"] == pytest.approx(simple["pr_auc"], abs=1e-12)
     assert ranged["roc_auc"] == pytest.approx(simple["roc_auc"], abs=1e-12)
@@ -124,7 +125,7 @@ def test_range_partitioned_path_with_groups(spark, monkeypatch):
         refs[g] = ap_ref(y, s)
         rows += [(g, int(a), float(b)) for a, b in zip(y, s)]
     df = spark.createDataFrame(rows, "g int, is_churn int, score double")
-    monkeypatch.setattr(CU, "SMALL_BLOCKS", 100)
+    monkeypatch.setattr(RA, "ROWS_PER_RANGE", 500)
     got = {r["g"]: r["pr_auc"] for r in CU.ranking_metrics(df, "score", by=["g"]).collect()}
     for g, v in refs.items():
         assert got[g] == pytest.approx(v, abs=1e-12)
