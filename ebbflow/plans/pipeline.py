@@ -5,11 +5,13 @@ intermediate results (the two tier thresholds, the two tercile edges, the
 population baselines) are computed once per chain and passed on as literals;
 everything else stays lazy so Catalyst prunes columns and pushes filters into
 the scans of each query.  The shared chain writes the scored table (read by six
-consumers) once as a reliable checkpoint.
+consumers) once as a Parquet stage, so each consumer reads only its columns and
+pushes its filters.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from ebbflow import config as C
 from ebbflow.config import ROUNDS
 from ebbflow.operators import features, scoring
 from ebbflow.session import ensure_checkpoint_dir
+from ebbflow.sources.stages import input_identity
 from ebbflow.sources.testdata import TestTables
 
 
@@ -29,18 +32,19 @@ class Chain:
     """One prediction round over one set of input tables.
 
     ``Chain(...)`` is the plain lazy graph.  ``Chain.shared(...)`` (what the
-    registered queries use) returns one chain per (application, input folder,
+    registered queries use) returns one chain per (application, input identity,
     round) whose scored table - read by every downstream stage - is written
-    once as a reliable checkpoint in ``spark.checkpoint.dir`` (lineage cut,
-    survives executor loss), and whose fixed-size intermediate results
+    once as Parquet below ``spark.checkpoint.dir`` (lineage cut, survives
+    executor loss, column pruning and pushed filters for every reader), and whose fixed-size intermediate results
     (thresholds, tercile edges, calibrators) are computed once."""
 
     def __new__(cls, spark: SparkSession, sf_dir: str, round_: str = "v2", persist: bool = False):
-        key = (spark.sparkContext.applicationId, sf_dir, round_)
-        if persist and key in _SHARED:
-            return _SHARED[key]
-        obj = super().__new__(cls)
-        return obj
+        if persist:
+            # files replaced under the same path get a chain of their own
+            known = _SHARED.get((spark.sparkContext.applicationId, sf_dir, round_))
+            if known is not None and known.source == input_identity(spark, sf_dir):
+                return known
+        return super().__new__(cls)
 
     def __init__(self, spark: SparkSession, sf_dir: str, round_: str = "v2", persist: bool = False):
         if getattr(self, "_initialised", False):
@@ -50,6 +54,7 @@ class Chain:
         self.round = ROUNDS[round_]
         self.tables = TestTables(spark, sf_dir)
         self.persist = persist
+        self.source = input_identity(spark, sf_dir) if persist else None
         self._initialised = True
         if persist:
             _SHARED[(spark.sparkContext.applicationId, sf_dir, round_)] = self
@@ -96,10 +101,15 @@ class Chain:
     def _scored(self) -> DataFrame:
         df = scoring.attach_scorecard(self.build_dataset())
         if self.persist:
-            ensure_checkpoint_dir(self.spark)
-            df = df.checkpoint(eager=True)
+            path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/chain/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            df = self.spark.read.schema(df.schema).parquet(path)
         return df
 
+    def use_scored(self, df: DataFrame) -> None:
+        """Read the scored table from a committed stage instead of building it."""
+        self.__dict__["_scored"] = df
+
     def scored(self) -> DataFrame:
         return self._scored
 
@@ -170,5 +180,4 @@ class Chain:
         return serving.customer_360(self)
 
     def unpersist(self) -> None:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.round.name)
-        _SHARED.pop(key, None)
+        _SHARED.pop((self.spark.sparkContext.applicationId, self.sf_dir, self.round.name), None)

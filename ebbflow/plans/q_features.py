@@ -44,9 +44,9 @@ def labels_scan(spark, sf):
 
 @register("cutoff_filter", q("SELECT * FROM txn WHERE transaction_date <= 20010131"))
 def cutoff_filter(spark, sf):
-    """B1: leakage boundary (pushed to the scan)."""
+    """B1: leakage boundary; the bound on the raw order date reaches the scan."""
     ch = Chain.shared(spark, sf)
-    return FE.cutoff_filter(ch.transactions(), ch.round.cutoff)
+    return FE.cutoff_filter(ch.transactions_to_cutoff(), ch.round.cutoff)
 
 
 @register("raw_scan_stats", q("SELECT CAST(COUNT(*) AS BIGINT) AS n_raw, MIN(transaction_date) AS raw_min_date, "
@@ -70,7 +70,7 @@ def transaction_features(spark, sf):
 def latest_transaction(spark, sf):
     """Most recent transaction per customer (ties broken by transaction id)."""
     ch = Chain.shared(spark, sf)
-    a = FE.transaction_aggregates(ch.transactions(), ch.round.cutoff)
+    a = FE.transaction_aggregates(ch.transactions_to_cutoff(), ch.round.cutoff)
     return a.select("msno", *[d for _, d in FE.LATEST_COLUMNS])
 
 
@@ -80,7 +80,7 @@ def agg_join_latest(spark, sf):
     """Aggregates beside the latest row.  Built as the single-aggregate form
     (no join); the SQL twin is the join form."""
     ch = Chain.shared(spark, sf)
-    a = FE.transaction_aggregates(ch.transactions(), ch.round.cutoff)
+    a = FE.transaction_aggregates(ch.transactions_to_cutoff(), ch.round.cutoff)
     return a.select("msno", "total_transactions", "total_revenue", "latest_is_auto_renew",
                     "latest_membership_expire_date")
 
@@ -89,7 +89,7 @@ def agg_join_latest(spark, sf):
 def distinct_payment_methods(spark, sf):
     """D3: exact distinct count of payment methods per customer."""
     ch = Chain.shared(spark, sf)
-    return FE.transaction_aggregates(ch.transactions(), ch.round.cutoff).select("msno", "num_distinct_payment_methods")
+    return FE.transaction_aggregates(ch.transactions_to_cutoff(), ch.round.cutoff).select("msno", "num_distinct_payment_methods")
 
 
 @register("member_features", q("SELECT * FROM mf"))

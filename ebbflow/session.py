@@ -9,6 +9,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+class SharedFolderMissing(RuntimeError):
+    """The session names no shared folder for intermediate data."""
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ebbflow") -> SparkSession:
     """A local session for tests and benchmarks (UI off, AQE on, UTC)."""
     spark = (
@@ -31,12 +35,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only when
-    the session has none (local tests)."""
+    """Return the cluster's ``spark.checkpoint.dir``.  A scratch folder is made only for a
+    local session without the setting (tests, bench); on a cluster its absence is an error,
+    because executors do not share a machine's temporary folders."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise SharedFolderMissing("spark.checkpoint.dir is not set: intermediate tables need a folder all executors share")
     path = tempfile.mkdtemp(prefix="ebbflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

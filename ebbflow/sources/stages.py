@@ -9,6 +9,7 @@ stage boundary.  The root defaults to the session's ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,16 +41,32 @@ def _committed(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def stage_path(spark: SparkSession, name: str, cutoff: int | None = None, root: str | None = None) -> str:
+def input_identity(spark: SparkSession, folder: str) -> str:
+    """A short name for the present content of an input folder: its path and the names, sizes and
+    times of the files below it.  Replaced inputs get another identity."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.md5("\n".join([str(fs.makeQualified(path)), *sorted(found)]).encode()).hexdigest()[:16]
+
+
+def stage_path(spark: SparkSession, name: str, cutoff: int | None = None, root: str | None = None,
+               source: str | None = None) -> str:
+    """``<root>/<name>[/input=<identity>][/cutoff=<cutoff>]``; ``source`` is an input identity or a run id."""
+    inputs = f"/input={source}" if source is not None else ""
     suffix = f"/cutoff={cutoff}" if cutoff is not None else ""
-    return f"{stage_root(spark, root)}/{name}{suffix}"
+    return f"{stage_root(spark, root)}/{name}{inputs}{suffix}"
 
 
 def run_stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], cutoff: int | None = None,
-              root: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+              root: str | None = None, partition_by: list[str] | None = None, source: str | None = None) -> DataFrame:
     """Reuse-or-build: read the committed stage output, else build, write, read.
     Key columns keep their string type through the Parquet schema."""
-    path = stage_path(spark, name, cutoff, root)
+    path = stage_path(spark, name, cutoff, root, source)
     if not _committed(spark, path):
         writer = build().write.mode("overwrite")
         if partition_by:
@@ -59,10 +76,10 @@ def run_stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], cu
 
 
 def require_stage(spark: SparkSession, name: str, cutoff: int | None = None, root: str | None = None,
-                  schema: StructType | None = None) -> DataFrame:
+                  schema: StructType | None = None, source: str | None = None) -> DataFrame:
     """Load an upstream stage or raise a typed error naming it; optionally
     check that the expected columns are present."""
-    path = stage_path(spark, name, cutoff, root)
+    path = stage_path(spark, name, cutoff, root, source)
     if not _committed(spark, path):
         raise MissingStageError(name, path)
     df = spark.read.parquet(path)

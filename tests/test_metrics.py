@@ -174,3 +174,38 @@ def test_per_group_join_same_result_broadcast_or_shuffle(spark, monkeypatch):
     monkeypatch.setattr(PR, "BROADCAST_MAX_ROWS", 0)  # force the shuffle-join branch
     b = sorted(PR.box_stats(df, "v", ["g"]).collect())
     assert a == b and len(a) == 3
+
+
+@pytest.mark.parametrize("rows_per_range", [200_000, 7])
+def test_ranged_quantiles_match_numpy(spark, rows_per_range):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for g in (None, "a", "b"):
+        x = np.round(rng.normal(size=101), 1 if g == "a" else 6)
+        want[g] = x
+        rows += [(g, float(v), None if g == "b" else float(v * 2)) for v in x] + [(g, None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    probs = [0.0, 0.025, 1 / 3, 0.5, 0.9, 1.0]
+    got = {r["g"]: r for r in RA.quantiles(df, ["g"], {"q": ("x", probs), "m": ("y", 0.5)}, rows_per_range).collect()}
+    for g, x in want.items():
+        assert got[g]["q"] == pytest.approx(list(np.quantile(x, probs)), abs=1e-12)
+        assert got[g]["m"] is None if g == "b" else got[g]["m"] == pytest.approx(np.median(2 * x), abs=1e-12)
+
+
+def test_grouped_curves_are_not_dealt_by_group_alone(spark):
+    df = spark.createDataFrame([(g, k % 2, k / 10.0) for g in range(2) for k in range(9)], "g int, is_churn int, score double")
+    plan = CU.curve(df, "score", by=["g"])._jdf.queryExecution().executedPlan().toString()
+    # the rows themselves move by (range, group) only; the group-wise window runs on per-range totals
+    body = plan.split("Window")[1]
+    assert "hashpartitioning(_range" in plan and "_range" in body
+
+
+def test_missing_values_stay_missing(spark):
+    from ebbflow.functions import expr as X
+    from ebbflow.operators import segments
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(None, 100), (10, 100), (61, 122)], "tenure_days_at_cutoff int, total_revenue int")
+    rates = [r[0] for r in segments.monthly_revenue_rate(df).select("monthly_revenue_rate").collect()]
+    assert rates[0] is None and rates[1] == 100 and rates[2] == pytest.approx(122 / (61 / 30.44))
+    scores = spark.createDataFrame([(None,), (-1.0,), (0.5,), (7.0,)], "s double")
+    assert [r[0] for r in scores.select(X.score_clip(F.col("s"))).collect()] == [None, 0.0, 0.5, 1.0]

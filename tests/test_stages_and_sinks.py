@@ -81,6 +81,60 @@ def test_jobs_write_every_stage_and_reuse(spark):
     out = jobs.scoring_chain(spark, SF_SMALL, "v2", root)
     assert out["marketing_action_plan"].count() == 7
     for name in out:
-        assert os.path.exists(f"{root}/{name}/cutoff=20010131/_SUCCESS"), name
+        path = stages.stage_path(spark, name, 20010131, root, stages.input_identity(spark, SF_SMALL))
+        assert os.path.exists(f"{path}/_SUCCESS"), name
     again = jobs.scoring_chain(spark, SF_SMALL, "v2", root)  # reuse, no rebuild
     assert again["risk_value_matrix"].count() == 3
+
+
+def test_two_inputs_under_one_root_do_not_mix(spark):
+    from ebbflow.plans import jobs
+    from conftest import SF_MID, SF_SMALL
+    root = tempfile.mkdtemp(prefix="ebbflow-jobs-", dir="/tmp")
+    counts = [jobs.build_dataset(spark, sf, "v2", root).count() for sf in (SF_SMALL, SF_MID, SF_SMALL)]
+    assert counts == [150, 1500, 150]
+
+
+def test_scoring_chain_needs_the_committed_dataset(spark):
+    from ebbflow.plans import jobs
+    from conftest import SF_SMALL
+    root = tempfile.mkdtemp(prefix="ebbflow-jobs-", dir="/tmp")
+    with pytest.raises(stages.MissingStageError, match="modeling_dataset"):
+        jobs.scoring_chain(spark, SF_SMALL, "v2", root)
+
+
+@pytest.mark.parametrize("value", [None, 1.5, -0.1])
+def test_bad_probabilities_are_never_committed(spark, value):
+    from ebbflow.operators import quality
+    from ebbflow.plans import jobs
+    df = spark.createDataFrame([("a", 0.5), ("b", value)], "msno string, calibrated_probability double")
+    with pytest.raises(quality.QualityCheckFailed):
+        jobs.checked_probabilities(df, ["calibrated_probability"])
+
+
+def test_shared_stage_is_pruned_and_pushed(spark):
+    from ebbflow.plans.pipeline import Chain
+    from conftest import SF_SMALL
+    s = Chain.shared(spark, SF_SMALL).scored()
+    plan = s.where(F.col("msno") == "C+1/=").select("msno", "risk_score_full")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(msno,C+1/=)" in plan and "ReadSchema: struct<msno:string,risk_score_full:double>" in plan
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from ebbflow import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(session.SharedFolderMissing):
+        session.ensure_checkpoint_dir(Session())
