@@ -171,10 +171,10 @@ def prepare_labels(df: DataFrame, kind: str, label: str = "is_churn",
 
 
 class TrainedModel:
-    def __init__(self, kind: str, train: DataFrame, exclude=(), label: str = "is_churn", **kw):
+    def __init__(self, kind: str, train: DataFrame, exclude=(), label: str = "is_churn", pre: Preprocessor | None = None, **kw):
         t0 = time.time()
         self.kind, self.exclude = kind, tuple(exclude)
-        self.pre = Preprocessor(exclude).fit(train)
+        self.pre = pre or Preprocessor(exclude).fit(train)  # fitted once where many models share a frame
         counts = class_counts(train, label)  # one pass: rows for the sizing, classes for the weights
         tr = self.pre.transform(prepare_labels(train, kind, label, counts)).select("features", "label", "class_weight")
         n = counts[0]
@@ -240,9 +240,11 @@ def random_search(train: DataFrame, n_iter: int = 15, exclude=(), seed: int = C.
     split = stratified_split(train, 0.8, salt="search")
     fit_part, val_part = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
 
+    shared = Preprocessor(exclude).fit(fit_part)
+
     def evaluate(params):
         kw = dict(params, colsample=str(params["colsample"]) if params.get("colsample", 1) < 1 else "all")
-        m = TrainedModel("boosted_trees", fit_part, exclude, label, **kw)
+        m = TrainedModel("boosted_trees", fit_part, exclude, label, pre=shared, **kw)
         return params, ranking_metrics(m.score(val_part), "score", label).first()["roc_auc"]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

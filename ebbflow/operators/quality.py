@@ -60,6 +60,16 @@ def raise_on_fail(checks: DataFrame) -> DataFrame:
     return checks
 
 
+def aligned_lookup(holdout: DataFrame, stored: DataFrame) -> DataFrame:
+    """Cover, duplicate keys and label mismatches of stored predictions against the holdout."""
+    per_key = stored.groupBy("msno").agg(F.count(F.lit(1)).alias("_k"), F.max("is_churn").alias("p_churn"))
+    dup = per_key.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("d")).first()["d"]
+    j = holdout.select("msno", "is_churn").join(per_key, "msno", "left")
+    return j.agg(F.count(F.lit(1)).alias("n_holdout"), F.count("_k").alias("n_matched"),
+                 F.lit(dup).cast("bigint").alias("n_duplicate_keys"), F.count_if(F.col("_k").isNull()).alias("n_missing"),
+                 F.count_if(F.col("p_churn") != F.col("is_churn")).alias("n_label_mismatch"))
+
+
 def cleaning_counts(mf: DataFrame, tf: DataFrame) -> DataFrame:
     """Invalid age, unknown channel, future registration, missing gender,
     sentinel expire dates - counts and percentages, one row."""

@@ -287,12 +287,12 @@ def action_plan(actions: DataFrame) -> DataFrame:
     )
 
 
-def segment_group_counts(actions: DataFrame) -> DataFrame:
+def segment_group_counts(stored_plan: DataFrame, segments: DataFrame) -> DataFrame:
     """Size of each priority group recomputed from the per-customer labels
-    (file label + B18 relabel) beside the action-plan count; must be equal."""
-    relabeled = actions.groupBy(priority_group("risk_tier", "segment").alias("priority_group")).agg(
+    (file label + B18 relabel) beside the stored action plan's count; must be equal."""
+    relabeled = segments.groupBy(priority_group("risk_tier", "segment").alias("priority_group")).agg(
         F.count(F.lit(1)).alias("n_relabeled"))
-    plan = actions.groupBy("priority_group").agg(F.count(F.lit(1)).alias("n_plan"))
+    plan = stored_plan.where(F.col("n_customers") > 0).select("priority_group", F.col("n_customers").alias("n_plan"))
     return (plan.join(relabeled, "priority_group", "full")
             .select("priority_group", F.coalesce("n_plan", F.lit(0)).cast("bigint").alias("n_plan"),
                     F.coalesce("n_relabeled", F.lit(0)).cast("bigint").alias("n_relabeled"),

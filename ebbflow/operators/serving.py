@@ -25,6 +25,28 @@ SHORT_ACTION_BY_SEGMENT = {
     "Stable / Monitor": "Monitor only",
 }
 
+# Why a segment is approached, in one sentence.
+SHORT_WHY_BY_SEGMENT = {
+    "At-Risk, Auto-Renew Off": "Customer subscription state indicates elevated retention risk.",
+    "At-Risk Veteran": "Long-tenured customer showing risk signals despite auto-renew being on.",
+    "At-Risk Newcomer": "New customer (under 6 months) already showing elevated risk.",
+    "At-Risk, Price-Sensitive": "Heavy historical discount usage alongside elevated risk.",
+    "Unmatched At-Risk (no segment)": "Elevated risk without a clear single driver -- treated with the standard tier-based playbook.",
+    "Engaged Low-Risk (Champions)": "Low risk and high historical value -- a growth, not retention, case.",
+    "Stable / Monitor": "Low risk and no standout value signal to act on.",
+}
+
+# What to avoid with a segment.
+AVOID_BY_SEGMENT = {
+    "At-Risk, Auto-Renew Off": "Don't lead with a discount -- the framework's highest-leverage response here is a low-cost auto-renew nudge, not a price concession.",
+    "At-Risk Veteran": "Avoid a generic acquisition-style script -- this is a long-tenured customer with auto-renew already on; treat as loyalty/appreciation outreach, not a new-customer pitch.",
+    "At-Risk Newcomer": "Avoid leading with a discount -- this group is defined by short tenure (under 6 months), not by discount usage, so the framework's play here is onboarding support rather than a price concession.",
+    "At-Risk, Price-Sensitive": "Avoid a high-touch, high-cost campaign -- this segment's defining signal is discount usage, so the framework calls for a pricing/plan-fit conversation, not premium outreach.",
+    "Unmatched At-Risk (no segment)": "Avoid a specialized script -- this customer didn't match any defined segment pattern, so the standard tier-based playbook applies, not a customized one.",
+    "Engaged Low-Risk (Champions)": "Avoid retention spend entirely -- this is a growth/advocacy case, not a churn risk, per the framework.",
+    "Stable / Monitor": "Avoid proactive outreach -- no risk or value signal currently in the framework justifies spend on this customer.",
+}
+
 # Display names of model features.
 FEATURE_DISPLAY_NAMES = {
     "latest_is_auto_renew": "Auto-renew status (most recent)",
@@ -213,6 +235,33 @@ def customer_deviations(lookup: DataFrame, base: dict) -> DataFrame:
     return lookup.select("msno", F.when(F.size(arr) == 0, F.array(F.lit(DEV_NONE))).otherwise(arr).alias("deviations"))
 
 
+def recommendations(plan: DataFrame) -> DataFrame:
+    """The recommendation of each priority group from its action-plan row: action, objective,
+    intensity, rationale, why and what to avoid."""
+    g = F.col("priority_group")
+    return plan.select(
+        g.alias("segment"), _map(SHORT_ACTION_BY_SEGMENT, g, "Standard outreach").alias("recommended_action"),
+        F.col("marketing_objective").alias("objective"), "intervention_intensity", "rationale",
+        _map(SHORT_WHY_BY_SEGMENT, g, "Elevated model risk for this segment.").alias("why"),
+        _map(AVOID_BY_SEGMENT, g, "").alias("avoid"))
+
+
+def customer_recommendations(lookup: DataFrame, recommended: DataFrame) -> DataFrame:
+    """The recommendation of each customer's segment (seven rows, broadcast)."""
+    return lookup.select("msno", "segment").join(
+        F.broadcast(recommended.select("segment", "recommended_action", "intervention_intensity", "why", "avoid")), "segment", "left")
+
+
+def compare_customers_to_champions(lookup: DataFrame, champions) -> DataFrame:
+    """C12 for customers: each one's calibrated probability and revenue beside the Champions' churn
+    rate and median revenue (one row, given)."""
+    return lookup.select(
+        "msno", F.col("calibrated_probability").alias("subject_calibrated_probability"),
+        F.col("total_revenue").cast("double").alias("subject_hrr"),
+        F.lit(champions["champions_churn_rate_pct"]).cast("double").alias("champions_churn_rate_pct"),
+        F.lit(champions["champions_median_hrr"]).cast("double").alias("champions_median_hrr"))
+
+
 def kpi_metrics(lookup: DataFrame) -> DataFrame:
     """D26 + D27: headline counts and revenue in one conditional aggregation."""
     high = F.col("risk_tier") == "High"

@@ -21,7 +21,7 @@ from ebbflow import config as C
 from ebbflow.config import ROUNDS
 from ebbflow.operators import features, scoring
 from ebbflow.session import ensure_checkpoint_dir
-from ebbflow.sources.stages import input_identity
+from ebbflow.sources.stages import input_identity, run_stage
 from ebbflow.sources.testdata import TestTables
 
 
@@ -125,6 +125,11 @@ class Chain:
         medium, high = self.thresholds
         return scoring.assign_tiers(self.scored(), medium, high)
 
+    def committed(self, name: str, build) -> DataFrame:
+        """The committed stage ``name`` of this input and cutoff, written first if it is not there."""
+        ensure_checkpoint_dir(self.spark)
+        return run_stage(self.spark, name, build, self.round.cutoff, source=self.source or input_identity(self.spark, self.sf_dir))
+
     # -- segments / value / plan ---------------------------------------------
     def segments(self) -> DataFrame:
         from ebbflow.operators import segments

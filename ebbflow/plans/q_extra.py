@@ -117,7 +117,9 @@ def reproduction_check(spark, sf):
     summary's value, within 1e-4 (the job would raise on a miss)."""
     ch = Chain.shared(spark, sf)
     stored = CU.ranking_metrics(ch.scored(), "risk_score_full").select(F.lit("pr_auc").alias("metric"), "pr_auc")
-    re = CU.ranking_metrics(ch.predictions(), "risk_score_full").select(F.lit("pr_auc").alias("metric"), "pr_auc")
+    kept = ch.committed("risk_scoring_predictions", lambda: ch.predictions().select(
+        "msno", "is_churn", "risk_score_full", "risk_score_proxy_controlled", "risk_tier"))
+    re = CU.ranking_metrics(kept, "risk_score_full").select(F.lit("pr_auc").alias("metric"), "pr_auc")
     return finalize(QU.reproduction_check(re, stored, "metric", "pr_auc", 1e-4))
 
 

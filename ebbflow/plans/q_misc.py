@@ -31,6 +31,10 @@ CG_SQL = ("CASE WHEN risk_score_full >= 0.65 AND is_churn = 1 THEN 'TP' WHEN ris
           "WHEN is_churn = 1 THEN 'FN' ELSE 'TN' END")
 
 
+def stage_predictions(ch: Chain) -> DataFrame:
+    return ch.predictions().select("msno", "is_churn", "risk_score_full", "risk_score_proxy_controlled", "risk_tier")
+
+
 def _errors(spark, sf):
     s = Chain.shared(spark, sf).scored()
     return s.withColumn("confusion_group", X.confusion_group("risk_score_full", "is_churn"))
@@ -68,7 +72,8 @@ def top_category_per_group(spark, sf):
 def attach_scores(spark, sf):
     """Features left-joined to scores; the completeness count must be zero."""
     ch = Chain.shared(spark, sf)
-    j = QU.attach_with_completeness(ch.dataset().select("msno"), ch.predictions(), ["risk_tier"])
+    stored = ch.committed("risk_scoring_predictions", lambda: stage_predictions(ch))
+    j = QU.attach_with_completeness(ch.build_dataset().select("msno"), stored, ["risk_tier"])
     return QU.completeness(j, "risk_tier")
 
 
@@ -82,13 +87,8 @@ def aligned_lookup(spark, sf):
     """Key-aligned lookup of stored predictions for the holdout: unique key,
     full cover, equal labels (order is irrelevant in Spark)."""
     ch = Chain.shared(spark, sf)
-    preds = ch.predictions().select("msno", F.col("is_churn").alias("p_churn"), F.lit(1).alias("_m"))
-    dup = preds.groupBy("msno").count().where(F.col("count") > 1).agg(
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("d")).first()["d"]
-    j = ch.scored().select("msno", "is_churn").join(preds, "msno", "left")
-    return j.agg(F.count(F.lit(1)).alias("n_holdout"), F.count("_m").alias("n_matched"),
-                 F.lit(dup).cast("bigint").alias("n_duplicate_keys"), F.count_if(F.col("_m").isNull()).alias("n_missing"),
-                 F.count_if(F.col("p_churn") != F.col("is_churn")).alias("n_label_mismatch"))
+    stored = ch.committed("risk_scoring_predictions", lambda: stage_predictions(ch))
+    return QU.aligned_lookup(ch.scored(), stored)
 
 
 @register("reconcile_labels", q("""
@@ -102,9 +102,11 @@ FROM st FULL OUTER JOIN rs ON st.msno = rs.msno"""))
 def reconcile_labels(spark, sf):
     """C14: the action plan's stored group vs the label resolved from the
     per-customer segment file: row counts and mismatches."""
-    acts = Chain.shared(spark, sf).customer_actions()
-    stored = acts.select("msno", F.col("priority_group").alias("label"))
-    resolved = acts.select("msno", X.priority_group("risk_tier", "segment").alias("label"))
+    ch = Chain.shared(spark, sf)
+    acts = ch.customer_actions()
+    stored = ch.committed("customer_actions", lambda: acts.select("msno", "priority_group", "risk_tier", "segment")).select(
+        "msno", F.col("priority_group").alias("label"))
+    resolved = ch.segments().select("msno", X.priority_group("risk_tier", "segment").alias("label"))
     return QU.reconcile_labels(stored, resolved)
 
 

@@ -204,7 +204,9 @@ SELECT COALESCE(pl.priority_group, rl.priority_group) AS priority_group, CAST(CO
 FROM pl FULL OUTER JOIN rl ON pl.priority_group = rl.priority_group"""))
 def segment_group_counts(spark, sf):
     """Group sizes after relabel equal the action plan's."""
-    return SG.segment_group_counts(Chain.shared(spark, sf).customer_actions())
+    ch = Chain.shared(spark, sf)
+    plan = ch.committed("marketing_action_plan", lambda: SG.action_plan_full(ch.customer_actions()))
+    return SG.segment_group_counts(plan, ch.segments())
 
 
 @register("priority_opportunities", sql_final(q(PLAN_SQL + """

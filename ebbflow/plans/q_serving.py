@@ -379,3 +379,67 @@ def segment_priority_rank(spark, sf):
 
 
 __all__ = ["Window"]
+
+
+def _text_case(texts: dict, col: str, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {_str(k)} THEN {_str(v)}" for k, v in texts.items()) + f" ELSE {_str(default)} END"
+
+
+_RECOMMEND = (f"{_text_case(SV.SHORT_ACTION_BY_SEGMENT, 'g', 'Standard outreach')} AS recommended_action, "
+              f"{_text_case(SV.SHORT_WHY_BY_SEGMENT, 'g', 'Elevated model risk for this segment.')} AS why, "
+              f"{_text_case(SV.AVOID_BY_SEGMENT, 'g', '')} AS avoid")
+_PLAN = PLAN_SQL.replace("\n, base AS", ",\nbase AS", 1)
+
+
+@register("recommend_action", qc(_PLAN + f"""
+SELECT g AS segment, objective, intervention_intensity, {_RECOMMEND}
+FROM (SELECT priority_group AS g, intervention_intensity,
+             {_text_case({k: v[2] for k, v in SG.PLAN_TEXTS.items()}, 'priority_group', '')} AS objective FROM plan)"""))
+def recommend_action(spark, sf):
+    """Per segment the recommended action, objective, intensity, why and what to avoid
+    (the rationale text is in ``marketing_action_plan``)."""
+    plan = SG.action_plan_full(Chain.shared(spark, sf).customer_actions())
+    return SV.recommendations(plan).drop("rationale")
+
+
+@register("recommend_action_customer", ql(", pl AS (SELECT * FROM (" + f"""
+SELECT msno, g AS segment, {_RECOMMEND} FROM (SELECT msno, segment AS g FROM lk)))
+SELECT pl.* FROM pl"""))
+def recommend_action_customer(spark, sf):
+    """B20 for customers: the recommendation of each customer's segment."""
+    ch = Chain.shared(spark, sf)
+    rec = SV.recommendations(SG.action_plan_full(ch.customer_actions()))
+    return SV.customer_recommendations(ch.lookup(), rec).drop("intervention_intensity")
+
+
+@register("kpi_by_segment", sql_final(qc(_PLAN + "\nSELECT priority_group AS segment, CAST(COALESCE(n_customers, 0) AS BIGINT) AS n_customers, "
+                                         "churn_rate_pct, total_HRR FROM plan"), ["churn_rate_pct", "total_HRR"]))
+def kpi_by_segment(spark, sf):
+    """The by-segment list of the KPI tool, seven rows."""
+    plan = SG.action_plan(Chain.shared(spark, sf).customer_actions())
+    return finalize(plan.select(F.col("priority_group").alias("segment"), F.coalesce("n_customers", F.lit(0)).cast("bigint").alias("n_customers"),
+                                "churn_rate_pct", "total_HRR"))
+
+
+@register("kpi_by_tier", sql_final(ql("""
+SELECT risk_tier AS tier, CAST(COUNT(*) AS BIGINT) AS n_customers, COUNT(*) * 100.0 / (SELECT COUNT(*) FROM lk) AS pct_of_base,
+       AVG(is_churn) * 100.0 AS observed_churn_rate_pct FROM lk GROUP BY risk_tier"""), ["pct_of_base", "observed_churn_rate_pct"]))
+def kpi_by_tier(spark, sf):
+    """The risk-tier list of the KPI tool."""
+    lk = _lk(spark, sf)
+    tiers = lk.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("n_customers"), (F.avg(F.col("is_churn").cast("double")) * 100.0).alias("rate"))
+    share = F.col("n_customers") * 100.0 / F.sum("n_customers").over(Window.partitionBy())  # three rows
+    return finalize(tiers.select(F.col("risk_tier").alias("tier"), "n_customers", share.alias("pct_of_base"), F.col("rate").alias("observed_churn_rate_pct")))
+
+
+@register("compare_customer_to_champions", sql_final(ql(f"""
+SELECT lk.msno, lk.calibrated_probability AS subject_calibrated_probability, CAST(lk.total_revenue AS DOUBLE) AS subject_hrr,
+       (SELECT round(AVG(is_churn) * 100.0, 2) FROM act WHERE priority_group = {_str(C.CHAMPIONS)}) AS champions_churn_rate_pct,
+       (SELECT median(CAST(total_revenue AS DOUBLE)) FROM vt WHERE has_transactions_data = 1 AND segment = {_str(C.CHAMPIONS)})
+         AS champions_median_hrr
+FROM lk"""), ["subject_calibrated_probability", "subject_hrr", "champions_churn_rate_pct", "champions_median_hrr"]))
+def compare_customer_to_champions(spark, sf):
+    """C12 for customers: each one beside the Champions benchmark."""
+    ch = Chain.shared(spark, sf)
+    bench = SG.compare_to_champions(SG.action_plan(ch.customer_actions()), SG.value_by_segment(ch.value_tiers()))
+    return finalize(SV.compare_customers_to_champions(ch.lookup(), bench.first()))  # seven rows, the benchmark the same in each

@@ -88,3 +88,32 @@ def test_high_tier_default_label_is_relabelled(spark):
     lk = Chain(spark, SF_MID).lookup()
     bad = lk.where(F.col("risk_tier").isin("High", "Medium") & (F.col("segment") == C.STABLE_MONITOR)).count()
     assert bad == 0
+
+
+def test_corrupted_stages_are_noticed(spark, chain_small):
+    """Each check against a stored stage must fail on a damaged one."""
+    from pyspark.sql import functions as F
+
+    from ebbflow.operators import curves as CU
+    from ebbflow.operators import quality as QU
+    from ebbflow.operators import segments as SG
+    from ebbflow.plans.q_misc import stage_predictions
+    good = stage_predictions(chain_small)
+    first = good.agg(F.min("msno")).first()[0]
+    missing = good.where(F.col("msno") != first)
+    assert QU.completeness(QU.attach_with_completeness(chain_small.dataset().select("msno"), missing, ["risk_tier"]), "risk_tier").first()["n_missing"] == 1
+    flipped = good.withColumn("is_churn", F.when(F.col("msno") == first, 1 - F.col("is_churn")).otherwise(F.col("is_churn")))
+    assert QU.aligned_lookup(chain_small.scored(), flipped).first()["n_label_mismatch"] == 1
+    twice = good.unionByName(good.where(F.col("msno") == first))
+    row = QU.aligned_lookup(chain_small.scored(), twice).first()
+    assert (row["n_duplicate_keys"], row["n_holdout"], row["n_missing"]) == (1, 150, 0)
+    label = chain_small.customer_actions().select("msno", F.col("priority_group").alias("label"))
+    wrong = label.withColumn("label", F.when(F.col("msno") == first, F.lit("other")).otherwise(F.col("label")))
+    assert QU.reconcile_labels(wrong, label).first()["n_mismatch"] == 1
+    plan = SG.action_plan(chain_small.customer_actions())
+    off = plan.withColumn("n_customers", F.col("n_customers") + 1)
+    assert not any(r["equal"] for r in SG.segment_group_counts(off, chain_small.segments()).collect())
+    assert all(r["equal"] for r in SG.segment_group_counts(plan, chain_small.segments()).collect())
+    stored = CU.ranking_metrics(good, "risk_score_full").select(F.lit("pr_auc").alias("metric"), (F.col("pr_auc") + 0.01).alias("pr_auc"))
+    now = CU.ranking_metrics(good, "risk_score_full").select(F.lit("pr_auc").alias("metric"), "pr_auc")
+    assert not QU.reproduction_check(now, stored, "metric", "pr_auc", 1e-4).first()["ok"]
