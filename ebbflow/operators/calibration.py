@@ -40,10 +40,16 @@ def blocks(df: DataFrame, score: str, label: str = "is_churn") -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label)).cast("double").alias("pos"))
 
 
+class CalibrationError(ValueError):
+    """A calibrator cannot be fitted to these rows."""
+
+
 def _newton_step(g, w: float, b: float, C: float) -> tuple[float, float]:
     gw, gb = g["gw"] + w / C, g["gb"]
     hww, hwb, hbb = g["hww"] + 1.0 / C, g["hwb"], g["hbb"]
     det = hww * hbb - hwb * hwb
+    if not abs(det) > 1e-300:
+        raise CalibrationError("the sigmoid fit is singular: the scores or the labels do not vary")
     return (hbb * gw - hwb * gb) / det, (hww * gb - hwb * gw) / det
 
 
@@ -59,7 +65,7 @@ def fit_platt_many(fit_df: DataFrame, scores: list[str], label: str = "is_churn"
         b_df = b_df.unionByName(t)
     b_df = b_df.persist(StorageLevel.MEMORY_AND_DISK)
     params = [(0.0, 0.0) for _ in scores]
-    done = [False] * len(scores)
+    done, last = [False] * len(scores), [math.inf] * len(scores)
     try:
         for _ in range(max_iter):
             live = [k for k in range(len(scores)) if not done[k]]
@@ -81,10 +87,12 @@ def fit_platt_many(fit_df: DataFrame, scores: list[str], label: str = "is_churn"
                 w, b = params[k]
                 dw, db = _newton_step(g, w, b, C)
                 params[k] = (w - dw, b - db)
-                if abs(dw) < tol and abs(db) < tol:
-                    done[k] = True
+                last[k] = max(abs(dw), abs(db))
+                done[k] = last[k] < tol
     finally:
         b_df.unpersist()
+    if max(last) > 1e-6:  # tol asks for rounding level; this is what a fit must reach
+        raise CalibrationError(f"the sigmoid fit did not settle in {max_iter} Newton steps")
     return params
 
 

@@ -60,3 +60,10 @@ def test_calibrated_probabilities_in_unit_interval(chain_small):
     c = chain_small.calibrated()
     r = c.agg({"calibrated_probability": "min"}).first()[0], c.agg({"calibrated_probability": "max"}).first()[0]
     assert 0.0 <= r[0] <= r[1] <= 1.0
+
+
+def test_degenerate_scores_are_an_error(spark):
+    from ebbflow.operators import calibration as CA
+    one = spark.createDataFrame([(1, 1.0)] * 5, "is_churn int, s double")
+    with pytest.raises(CA.CalibrationError):
+        CA.fit_platt(one, "s")
