@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from ebbflow.llm import bytebpe, covertree, html, jaccard, langid, lbl, packing, substrings
 from ebbflow.llm.common import is_remainder, table
+from ebbflow.llm.oracles import dedup_sql, jaccard_sql, quality_sql
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
 from ebbflow.llm.secrets import secret_spans
 from ebbflow.llm.vocab import public_path
 
 
-@register("op1_quality_rules")
+@register("op1_quality_rules", sql=quality_sql())
 def op1_quality_rules(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"))
 
@@ -45,12 +46,12 @@ def op3_lm_scoring(spark, sf_dir):
     return lbl.score(table(spark, sf_dir, "documents"), is_remainder("doc_id", 7, 2))
 
 
-@register("op10_ngram_jaccard_join")
+@register("op10_ngram_jaccard_join", sql=jaccard_sql())
 def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@register("op8_suffix_array_dedup")
+@register("op8_suffix_array_dedup", sql=dedup_sql())
 def op8_suffix_array_dedup(spark, sf_dir):
     return substrings.dedup_digest(table(spark, sf_dir, "documents"))
 
