@@ -150,17 +150,14 @@ def training_partitions(spark, n_rows: int, n_slots: int) -> int:
     shuffle setting - a small frame is not split into tasks that cost more to
     schedule than to run, a large one still spreads over the cluster."""
     target = int(spark.conf.get("ebbflow.ml.partitionBytes", str(PARTITION_BYTES)))
-    est = n_rows * (n_slots + 3) * SLOT_BYTES
+    est = n_rows * (n_slots + 3) * SLOT_BYTES  # as if dense: an upper bound for sparse vectors
     return max(1, math.ceil(est / max(1, target)))
 
 
 def sized(df: DataFrame, parts: int) -> DataFrame:
-    """``df`` with ``parts`` partitions: narrow ``coalesce`` when shrinking,
-    a round-robin ``repartition`` only when more parallelism is needed."""
-    have = df.rdd.getNumPartitions()
-    if have == parts:
-        return df
-    return df.coalesce(parts) if have > parts else df.repartition(parts)
+    """``df`` dealt evenly over ``parts`` partitions.  Never a narrow ``coalesce``: it would pull the
+    feature transform above it into the same few tasks."""
+    return df.repartition(parts)
 
 
 def prepare_labels(df: DataFrame, kind: str, label: str = "is_churn",
@@ -297,8 +294,6 @@ def driver_direction(tm: TrainedModel, test: DataFrame, feature: str, bins: int
         F.avg(F.lit(coef) * z).alias("mean_contribution"), F.avg("score").alias("mean_score"))
 
 
-__all__ = ["Pipeline"] + [n for n in dir() if not n.startswith("_")]
-
 
 def permutation_partner(df: DataFrame, key: str = "msno", bucket_rows: int = 10_000, salt: str = "perm") -> DataFrame:
     """Deterministic derangement-like pairing for permutation importance: rows

@@ -124,7 +124,7 @@ FROM lng f JOIN lng p ON f.metric = p.metric
 WHERE f.score_column = 'risk_score_full' AND p.score_column = 'risk_score_proxy_controlled'"""),
     ["full_feature_set", "proxy_controlled_set", "abs_diff"]))
 def metric_deltas(spark, sf):
-    """Two metric sets side by side (unpivot + join) with their difference."""
+    """Two metric sets side by side with their difference, from four one-row aggregates."""
     s = Chain.shared(spark, sf).scored()
 
     def values(col):  # two one-row aggregates -> seven scalars

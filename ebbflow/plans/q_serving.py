@@ -260,10 +260,10 @@ def _display_sql():
 def feature_display_name(spark, sf):
     """Display names of the features observed in the modeling table (map, else
     underscores to spaces and first letter capitalised)."""
-    from ebbflow.operators import profile as PR
     ds = Chain.shared(spark, sf).dataset()
-    present = PR.to_long(ds, FEATURES_FOR_NAMES).where(F.col("value").isNotNull()).select(
-        F.col("column").alias("feature")).distinct()
+    # one wide aggregate; a row per feature follows from its single row
+    seen = ds.agg(*[F.count(c).alias(c) for c in FEATURES_FOR_NAMES]).unpivot([], FEATURES_FOR_NAMES, "feature", "n")
+    present = seen.where(F.col("n") > 0)
     m = F.create_map(*[F.lit(x) for kv in SV.FEATURE_DISPLAY_NAMES.items() for x in kv])
     return present.select("feature", F.coalesce(F.element_at(m, F.col("feature")),
                                                 X.feature_display_fallback("feature")).alias("display_name"))
