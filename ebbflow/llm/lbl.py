@@ -36,7 +36,7 @@ class LblRules:
 
     n_words: int = 2000       # classes of single words
     n_rare: int = 47          # classes of rarer words
-    n_head: int = 262_144     # most frequent words whose counts every task knows
+    n_head: int = 131_072     # at most so many of the most frequent words are known to every task
     dim: int = 16
     noise: int = 8            # noise samples a token
     steps: int = 60
@@ -98,6 +98,23 @@ class Head:
     counts: np.ndarray
 
 
+def frequent(counts: DataFrame, rules: LblRules) -> Head:
+    """The words above the least count that leaves at most ``n_head`` of them.  Only a histogram of
+    counts by sixteenths of a power of two and those words reach the driver."""
+    step = F.floor(F.log2("n") * 16)
+    steps = sorted(((r.step, r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, taken = None, 0
+    for k, n in steps:
+        if taken + n > rules.n_head:
+            break
+        least, taken = k, taken + n
+    rows = counts.filter(F.lit(False) if least is None else step >= least).select("word", "n").toArrow()
+    n = rows.column("n").to_numpy().astype(np.int64)
+    words = rows.column("word").cast(pa.binary()).to_pylist()
+    order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
+    return Head([words[k] for k in order], n[order])
+
+
 TOKENS = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, rare_log double, "
           "classes binary, word string, n long")
 
@@ -248,8 +265,7 @@ def score(docs: DataFrame, held_out, rules: LblRules = LblRules()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id"), held_out.alias("held_out"), "text")
     counts = stored(word_counts(docs.filter("not held_out"), rules), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(rules.n_head).select("word", "n").collect()  # n_head rows at most
-    head = Head([r.word.encode() for r in top], np.array([r.n for r in top], np.int64))
+    head = frequent(counts, rules)
     by_class = {r.rare: (r.n, r.v) for r in counts.groupBy("rare").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     ends = docs.filter("not held_out").count()
     total = sum(n for n, _ in by_class.values()) + ends
