@@ -177,10 +177,6 @@ def transitions(tokens: DataFrame, rules: LblRules) -> np.ndarray:
                 pair = np.append(x, rules.end)
                 pair[1:] += x * size
                 pair[0] += rules.end * size
-                if len(pair) > size:
-                    total += np.bincount(pair, minlength=size * size) if len(pair) > size * size // 8 else 0
-                    if len(pair) > size * size // 8:
-                        continue
                 np.add.at(total, pair, 1)
         for b in range(0, size, step):
             part = total[b * size:(b + step) * size]
