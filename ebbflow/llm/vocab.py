@@ -29,12 +29,12 @@ class WordIds:
 
     MARKS = ".,;:!?)]}\"*#$%&|"
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, chunk_entries: int = 250_000, part_entries: int = 600_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
-        self.limit = cache_entries
+        self.limits = chunk_entries, part_entries  # about 200 bytes an entry
 
     def _split(self, chunk: bytes) -> tuple[str, str]:
         text = chunk.decode()
@@ -52,9 +52,9 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        if len(self.chunks) > self.limit:
+        if len(self.chunks) > self.limits[0]:
             self.chunks.clear()
-        if len(self.parts) > self.limit:
+        if len(self.parts) > self.limits[1]:
             self.parts = {"": b""}
         known, parts = self.chunks, self.parts
         new = list(set().union(*split).difference(known)) if split else []
