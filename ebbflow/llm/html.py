@@ -43,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt rtc ruby s samp small "
     "span strike strong sub sup time tt u var wbr img br".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())   # their end tags reach through open blocks
+SCOPES = frozenset("table td th caption html template object marquee applet".split())
 CHROME = frozenset("head nav footer aside form menu dialog button select option datalist svg math object audio video canvas map".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 CHROME_NAMES = frozenset(
@@ -79,23 +81,37 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
     """(article blocks, open blocks) of a page; the open ones only if it has no article."""
     article: list[str] = []
     loose: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []   # tag, chrome, inside an article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []   # tag, chrome, inside an article, chrome by itself, an article
     chrome = inside = found = False
-    text: list[str] = []
+    text: list[str] = []                       # of the open block, without what is chrome
 
     def flush():
         if text:
-            words = entities.unescape("".join(text)).split() if not chrome else None
+            words = entities.unescape("".join(text)).split()
             if words:
                 (article if inside else loose).append(" ".join(words))
             text.clear()
 
+    def push(tag, own, article=False):
+        nonlocal chrome, inside
+        chrome, inside = chrome or own, inside or (article and not (chrome or own))
+        stack.append((tag, chrome, inside, own, article))
+
+    def cut(k, rest=()):
+        """Ends the stacked elements from ``k`` on; those of ``rest`` stay."""
+        nonlocal chrome, inside
+        del stack[k:]
+        chrome, inside = stack[-1][1:3] if stack else (False, False)
+        for tag, _, _, own, article in rest:
+            push(tag, own, article)
+
     at = 0
     length = len(page)
     while at < length:
         m = TAG.search(page, at)
         if m is None:
-            text.append(page[at:])
+            if not chrome:
+                text.append(page[at:])
             break
         if m.start() > at and not chrome:
             text.append(page[at:m.start()])
@@ -105,13 +121,20 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
             continue
         tag = name.lower()
         if m[1]:                                # an end tag
-            if tag in INLINE or tag in VOID:
+            if tag in VOID:
+                continue
+            if tag in INLINE:                   # ends a stacked element of that name; the block goes on
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        cut(k, [x for x in stack[k:] if x[0] not in INLINE])
+                        break
+                    if stack[k][0] not in INLINE and (tag not in FORMATTING or stack[k][0] in SCOPES):
+                        break
                 continue
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
-                    chrome, inside = stack[-1][1:] if stack else (False, False)
+                    cut(k)
                     break
             continue
         if tag in RAW:
@@ -121,24 +144,24 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
         if tag in INLINE:
             if tag == "br" and not chrome:
                 text.append(" ")
-            elif m[3] and not m[3].endswith("/") and _is_chrome(tag, m[3], inside):
-                flush()                         # an inline element that is chrome is a container of its own
-                stack.append((tag, True, inside))
-                chrome = True
+            elif tag not in VOID and not m[3].endswith("/") and (
+                    stack and stack[-1][0] in INLINE or m[3] and _is_chrome(tag, m[3], inside)):
+                push(tag, True)                 # chrome, or nested in such an element: up to its end tag
             continue
         flush()
         if tag in VOID or m[3].endswith("/"):
             continue
-        if stack and stack[-1][0] == "p" and tag in CLOSES_P:
-            stack.pop()
-            chrome, inside = stack[-1][1:] if stack else (False, False)
+        if tag in CLOSES_P:                     # with the inline elements left open in it
+            k = len(stack) - 1
+            while k >= 0 and stack[k][0] in INLINE:
+                k -= 1
+            if k >= 0 and stack[k][0] == "p":
+                cut(k)
         if tag in ("article", "main") or (m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I)):
-            own = _is_chrome(tag, m[3], inside)
-            stack.append((tag, chrome or own, inside or not (chrome or own)))
-            found = found or stack[-1][2]
+            push(tag, _is_chrome(tag, m[3], inside), True)
+            found = found or inside
         else:
-            stack.append((tag, chrome or _is_chrome(tag, m[3], inside), inside))
-        chrome, inside = stack[-1][1:]
+            push(tag, _is_chrome(tag, m[3], inside))
     flush()
     return (article, []) if found else ([], loose)
 

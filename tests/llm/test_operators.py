@@ -89,6 +89,19 @@ def test_html_blocks():
     assert html.blocks("<p>a<p>b</div><div hidden>c</div>") == ([], ["a", "b"])
 
 
+@pytest.mark.parametrize("page, article, loose", [
+    ('<p>Text <i aria-hidden="true">x</i> more text</p>', [], ["Text more text"]),
+    ('<body><a class="skip-link" href="#m">Skip</a><main><p>Body</p></main></body>', ["Body"], []),
+    ('<p>Before <span class="ad">Buy <span>now</span> here</span> after</p>', [], ["Before after"]),
+    ('<article><p>One <img class="social" src="x"> two<p>Three <b id="share">x<p>four</article>', ["One two", "Three", "four"], []),
+    ('<div>a <span hidden>b<div>c</div>d</span> e</div>f', [], ["a", "e", "f"]),
+    ('<a class="skip-link" href="#m"><p>Skip</a><main><p>Body</main>', ["Body"], []),
+    ('<p>a<i class="ad">b</p><p>c</i> d</p>', [], ["a", "c d"]),
+])
+def test_html_inline_chrome(page, article, loose):
+    assert html.blocks(page) == (article, loose)
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_html_host_search(spark, hot):
     def words(tag, n):
