@@ -61,6 +61,18 @@ def test_edge_rows(edges, name):
         assert all(r.class_id is None and r.n_links == (1 if r.n_shingles else 0) for r in got if r.doc_id is None)
 
 
+def test_repeated_rows_keep_the_first_passage(spark):
+    """Rows equal in doc_id and text are one document: its text stays in each, later documents lose it."""
+    passage = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, passage), (1, passage), (2, passage + " end"), (None, passage[::-1]), (None, passage[::-1]), (3, "x " + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(passage)
+    got = sorted(((r.doc_id or 9, r.n_bytes, r.n_removed) for r in substrings.dedup_digest(df).collect()))
+    assert got == [(1, n, 0), (1, n, 0), (2, n + 4, n), (3, n + 2, n), (9, n, 0), (9, n, 0)]
+    texts = sorted(((r.doc_id or 9, r.text) for r in substrings.remove_repeats(df).collect()))
+    assert texts == [(1, passage), (1, passage), (2, " end"), (3, "x "), (9, passage[::-1]), (9, passage[::-1])]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages(spark, empty_docs, edges, k):
     name, stage = corpus_pipeline.STAGES[k]
