@@ -3,8 +3,11 @@ stand in a credential context.
 
 The guess cost of a value is the least log10 number of guesses over all ways to cut
 it into dictionary words, dates, repeats, keyboard walks or counting runs, and
-brute-force spans (dynamic programming over cut points).  A value whose cost reaches
-``min_cost`` is reported as kind ``guess`` unless a fixed pattern already covers it.
+brute-force spans (dynamic programming over cut points); the dictionary is the common
+credential words and then the words of the public vocabularies, by rank.  A value whose cost
+reaches ``min_cost`` is reported as kind ``guess`` unless a fixed pattern already covers it.
+A quoted value goes up to its closing quote (not past an empty line); one without quotes ends
+at white space, a quote or one of ``<>,;|``.
 
 Defined results: a null or empty text has no spans and the digest of the empty
 string; repeated rows are scanned one by one; other columns are ignored; an empty
@@ -14,6 +17,7 @@ table gives an empty result.  Whole texts are scanned; offsets are code points.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -22,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbflow.llm.vocab import public_path, ranks
+
 ASSIGN = re.compile(
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -33,9 +39,13 @@ KINDS = ("assign", "access", "hex", "guess")
 CONTEXT_WORDS = ("passphrase", "passcode", "password", "passwd", "pwd", "credential", "secret", "token", "auth",
                  "api key", "api-key", "api_key", "apikey", "access key", "access_key", "private key", "private_key",
                  "client_key", "login key", "bearer")
+_SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_QUOTED = "|".join(rf"{q}((?:[^{q}\\\n]|\\[^\n]|\\?\n(?![ \t\r]*\n))++){q}" for q in "\"'`")
+#: the value is the one group that took part: between double, single or back quotes, or bare
 CONTEXT = re.compile(
-    r"(?i:" + "|".join(map(re.escape, sorted(CONTEXT_WORDS, key=len, reverse=True))) + r")s?[\"']?"
-    r"(?:\x20{0,8}(?:=>|:=|[:=])\x20{0,8}|\x20(?i:is)\x20|(?<=[Bb]earer)\x20)[\"'`]?([^\s\"'`<>,;|]+)", re.ASCII)
+    r"(?i:" + "|".join(map(re.escape, sorted(CONTEXT_WORDS, key=len, reverse=True))) + r")s?[\"'`]?"
+    rf"(?:{_SPACE}*+(?:=>|:=|[:=]){_SPACE}*+|{_SPACE}++(?i:is){_SPACE}++|(?<=[Bb][Ee][Aa][Rr][Ee][Rr]){_SPACE}++)"
+    rf"(?:{_QUOTED}|[\"'`]?([^\s\"'`<>,;|]+))", re.ASCII)
 
 COMMON_WORDS = (
     "password pass word admin user root guest login welcome hello letmein master secret token key test demo example "
@@ -57,7 +67,17 @@ class GuessRules:
     max_part: int = 32      # longest dictionary, date, repeat or walk segment; brute-force spans have no bound
 
 
-_RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
+def _public_words() -> list[str]:
+    """Whole words of three letters or more of the public vocabularies, commonest first."""
+    found = [(k, t.decode("utf-8", "ignore")[1:]) for t, k in ranks(public_path("byte_bpe_multi_50k.tiktoken")).items() if t[:1] == b" "]
+    for name, mark in (("byte_bpe_50k.json", "\u0120"), ("word_bpe_49k.json", "</w>")):
+        with open(public_path(name), encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        found += [(k, t.replace(mark, "")) for t, k in vocab.items() if mark in t and t.isascii() or t[:1] == mark]
+    return [w.lower() for _, w in sorted(found) if len(w) >= 3 and w.isalpha()]
+
+
+_RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(COMMON_WORDS + _public_words()))}
 _LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("@4310$57", "aaeiosst")
 _DATE = re.compile(
@@ -79,7 +99,7 @@ def guess_cost(value: str, max_part: int = GuessRules.max_part) -> float:
     low = value.lower()
     plain = low.translate(_LEET)
     pools = 0
-    for c in set(value):
+    for c in set(value) - {" "}:
         pools |= 1 << _pool(c)
     per_char = _POOL_BITS[pools]
     best = [0.0] + [math.inf] * n
@@ -89,6 +109,8 @@ def guess_cost(value: str, max_part: int = GuessRules.max_part) -> float:
         step = best[i] + per_char
         if step < best[i + 1]:
             best[i + 1] = step
+        if value[i] == " " and cut < best[i + 1]:
+            best[i + 1] = cut               # a space between words is no guess of its own
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             cost = _RANK.get(low[i:j])
             if cost is None and (cost := _RANK.get(plain[i:j])) is not None:
@@ -125,9 +147,10 @@ def scan(text: str, rules: GuessRules = GuessRules()) -> list[tuple[int, int, in
     if any(w in low for w in CONTEXT_WORDS):
         base = list(found)
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?)]}")
-            s, e = m.start(1), m.start(1) + len(value)
-            if len(value) < rules.min_length or value.isalpha() or any(a <= s and e <= b for a, _, b in base):
+            k = m.lastindex
+            value = m[k].rstrip(".!?)]}") if k == 4 else m[k]
+            s, e = m.start(k), m.start(k) + len(value)
+            if len(value) < rules.min_length or any(a <= s and e <= b for a, _, b in base):
                 continue
             if guess_cost(value, rules.max_part) >= rules.min_cost:
                 found.append((s, 3, e))

@@ -236,6 +236,23 @@ def test_guess_spans_and_redaction():
     assert "vT7#" not in clean and "ed4186" not in clean and "dragon1234" in clean and clean.startswith("the passphrase")
 
 
+@pytest.mark.parametrize("text, value", [
+    ("pwd: QhZrTkWpLmXvBn", "QhZrTkWpLmXvBn"),
+    ("Authorization: Bearer QhZrTkWpLmXvBnYc", "QhZrTkWpLmXvBnYc"),
+    ('passphrase: "correct horse battery staple"', "correct horse battery staple"),
+    ('pwd: "aB3$kQ9!x,Lm7#Tz"', "aB3$kQ9!x,Lm7#Tz"),
+    ("'pwd' => 'aB3$\"kQ9!x,Lm7#Tz'", 'aB3$"kQ9!x,Lm7#Tz'),
+    ("pwd\t=\t\n            vT7#kQ9!pL2z.", "vT7#kQ9!pL2z"),
+    ("the passcode\n is\u00a0vT7#kQ9!pL2z", "vT7#kQ9!pL2z"),
+    ('pwd: "vT7#kQ9!pL2z', "vT7#kQ9!pL2z"),              # no closing quote
+    ("secret: extraordinary", None), ("token: authentication", None), ("the password is unforgettable", None),
+    ('"password": "Please enter your password"', None), ("secrets: internationalization", None),
+])
+def test_guess_values(text, value):
+    assert [text[s:e] for s, k, e in secrets.scan(text) if k == 3] == ([value] if value else [])
+    assert value is None or value not in secrets.redact(text, secrets.scan(text))
+
+
 # ------------------------------------------------------------------ 5 language ID
 def test_language_held_out(docs):
     held = is_remainder("doc_id", 4, 2)
