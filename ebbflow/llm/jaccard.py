@@ -6,7 +6,7 @@ the shingles whose hash, seeded by the path so far, lies below ``width / size``,
 down the path of every pick; after two picks the paths are buckets.  Buckets over
 ``bucket_limit`` are split by further picks; those that stay large (families of near
 copies) are compared block against block.  Runs repeat until a pair of the target
-similarity shares a bucket with the target probability.  Inside a bucket all pairs are
+similarity shares a bucket with the target probability, also if all its buckets are split.  Inside a bucket all pairs are
 compared exactly on their sets; a pair that shares several buckets counts in the least one
 alone, so links need not be emitted as pairs: each bucket gives its members' link counts
 and a spanning forest, and the forests are joined to classes.
@@ -46,8 +46,12 @@ class JoinRules:
     @property
     def runs(self) -> int:
         """Repeats after which a pair at the threshold shares a two-pick path with the target probability."""
+        return self.runs_for(2)
+
+    def runs_for(self, picks: int) -> int:
+        """The same for paths of ``picks`` picks."""
         mean, p = self.similarity * self.width, 1.0
-        for _ in range(2):
+        for _ in range(picks):
             p = 1 - math.exp(-mean * p)
         return math.ceil(math.log(1 - self.target_recall) / math.log(1 - p))
 
@@ -90,7 +94,8 @@ def extend(values: np.ndarray, soff: np.ndarray, doc: np.ndarray, path: np.ndarr
 
 
 def run_seeds(rules: JoinRules) -> np.ndarray:
-    return mix64(np.arange(1, rules.runs + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    """A seed for each run; as many as the longest paths need, for any bucket may be split."""
+    return mix64(np.arange(1, rules.runs_for(max(2, rules.max_level)) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def set_key(values: np.ndarray, soff: np.ndarray) -> list[bytes]:

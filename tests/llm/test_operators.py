@@ -444,6 +444,14 @@ def test_jaccard_runs():
     assert jaccard.JoinRules(target_recall=0.9).runs < 6
 
 
+def test_jaccard_runs_of_split_buckets():
+    """Paths of ``max_level`` picks, which replace those of a split bucket, keep the target as well."""
+    rules, p = jaccard.JoinRules(), 1.0
+    for _ in range(rules.max_level):
+        p = 1 - math.exp(-rules.similarity * rules.width * p)
+    assert 1 - (1 - p) ** len(jaccard.run_seeds(rules)) >= rules.target_recall
+
+
 def test_components(spark):
     from ebbflow.llm.components import components
     edges = [(k, k + 1) for k in range(0, 30)] + [(100, 101), (101, 102), (7, 7), (200, 205), (205, 201)]
