@@ -1,17 +1,19 @@
 """Main-text extraction from raw HTML with a host suffix array.
 
-A page is cut into blocks in one pass over its tags.  Blocks inside an explicit article (or
-main) element are the text; navigation, headers, footers, asides, forms, adverts, notices and
-comments (by element, role or class name) are chrome.  Pages without an explicit article leave
-open blocks, and those are settled by repetition: the token streams of a host's open blocks are
-searched for runs of ``run`` tokens that stand on distinct pages, covered tokens are removed as
-boilerplate, and the unique runs stay.
-
+A page is cut into blocks in one pass over its tags.  Navigation, headers, footers, asides,
+forms, adverts, notices and comments (by element, role or class name) are chrome.  What is left
+stands inside an explicit article (or main) element or is open, and both are settled by
+repetition.  The token streams of a host's open blocks are searched for runs of ``run`` tokens
+that stand on distinct pages; covered tokens are removed as boilerplate, and the unique runs
+stay.  A run inside articles is removed if ``article_pages`` different articles of the host and
+``article_share`` of them hold it, so a paragraph that two pages share stays, and an article of
+which less than ``article_rest`` would be left (a near copy) stays whole.
 The search is the suffix array of the host's concatenated streams, dealt out so that no host
 sits in one task: streams are cut into pieces by anchors (least hash of a token gram inside each
 run), equal pieces of a host are combined in an aggregation, and only anchors with several
 different pieces reach the arrays, shard by shard.  An anchor with very many different pieces
-is aggregated run by run instead.
+is aggregated run by run instead.  For articles the anchors are counted first, and the runs at
+those that enough articles hold are aggregated.
 
 Defined results: a null or empty html gives an empty text; repeated rows are one page to the
 search and each gets the result; a null url is a host of its own; other columns are ignored; an
@@ -78,18 +80,25 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def blocks(page: str) -> tuple[list[str], list[str]]:
-    """(article blocks, open blocks) of a page; the open ones only if it has no article."""
-    article: list[str] = []
-    loose: list[str] = []
+    """(article blocks, open blocks) of a page."""
+    found = zones(page)
+    return [b for k, b in found if k], [b for k, b in found if not k]
+
+
+def zones(page: str) -> list[tuple[int, str]]:
+    """The blocks of a page that are not chrome, in order, each with the number of the outermost
+    article or main element it stands in (0: in none)."""
+    found: list[tuple[int, str]] = []
+    elements = 0
     stack: list[tuple[str, bool, bool, bool, bool]] = []   # tag, chrome, inside an article, chrome by itself, an article
-    chrome = inside = found = False
+    chrome = inside = False
     text: list[str] = []                       # of the open block, without what is chrome
 
     def flush():
         if text:
             words = entities.unescape("".join(text)).split()
             if words:
-                (article if inside else loose).append(" ".join(words))
+                found.append((elements if inside else 0, " ".join(words)))
             text.clear()
 
     def push(tag, own, article=False):
@@ -158,12 +167,13 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
             if k >= 0 and stack[k][0] == "p":
                 cut(k)
         if tag in ("article", "main") or (m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I)):
+            before = inside
             push(tag, _is_chrome(tag, m[3], inside), True)
-            found = found or inside
+            elements += inside and not before
         else:
             push(tag, _is_chrome(tag, m[3], inside))
     flush()
-    return (article, []) if found else ([], loose)
+    return [x for x in found if x[0]] if elements else found   # open blocks only where there is no article
 
 
 # ------------------------------------------------------------------ the host search
@@ -173,6 +183,9 @@ class HostRules:
     gram: int = 4
     hot_pieces: int = 4096    # different pieces of an anchor beyond which runs are aggregated singly
     shard_tokens: int = 1 << 16
+    article_pages: int = 3    # different articles of a host that hold a run of boilerplate, at least,
+    article_share: float = 0.5  # and at least this share of them
+    article_rest: float = 0.5   # an article of which less would stay is a near copy of others, not boilerplate
 
 
 def token_hash(words: list[str]) -> np.ndarray:
@@ -311,7 +324,71 @@ def covered_tokens(open_pages: DataFrame, rules: HostRules) -> DataFrame:
     return listed.select("page", F.transform("spans", lambda x: F.struct(x.s.alias("s"), (x.s + x.runs + rules.run - 1).alias("e"))).alias("spans"))
 
 
-PARSED = "page_id long, url string, page long, host string, article array<string>, open array<string>"
+ANCHORS = "hkey long, anchor long"
+FORTY_BITS = -1 << 24   # of an anchor are counted: one that clashes is compared in vain, none is missed
+ARTICLE_RUNS = "hkey long, one long, two long, twin long, page long, at int"
+
+
+def _stream(own: list[str]) -> np.ndarray:
+    return token_hash([w for b in own for w in b.split(" ")])
+
+
+def _article_anchors(articles: DataFrame, rules: HostRules) -> DataFrame:
+    """The different anchors of each article."""
+
+    def run(batches):
+        for big in batches:
+            for k in range(0, big.num_rows, 256):
+                batch = big.slice(k, 256)
+                found = [np.unique(np.array([a for *_, a in pieces_of(_stream(own), 0, rules)], np.int64) & FORTY_BITS)
+                         for own in batch.column("article").to_pylist()]
+                hkey = np.repeat(batch.column("hkey").to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(hkey), pa.array(np.concatenate(found))], ["hkey", "anchor"])
+
+    return articles.select("hkey", "article").mapInArrow(run, ANCHORS)
+
+
+def _article_runs(articles: DataFrame, rules: HostRules) -> DataFrame:
+    """The runs at the anchors in ``anchors``, with their place."""
+
+    def run(batches):
+        names = [f.split()[0] for f in ARTICLE_RUNS.split(", ")]
+        for big in batches:
+            for k in range(0, big.num_rows, 64):
+                batch = big.slice(k, 64)
+                for hkey, twin, page, own, wanted in zip(*(batch.column(c).to_pylist() for c in ("hkey", "twin", "page", "article", "anchors"))):
+                    tokens, wanted = _stream(own), set(wanted)
+                    at = [np.arange(s, s + n) for s, n, a in pieces_of(tokens, 0, rules) if a & FORTY_BITS in wanted]
+                    if not at:
+                        continue
+                    at = np.concatenate(at)
+                    one, two = ngram_hash(tokens, rules.run)[at], ngram_hash(mix64(tokens), rules.run)[at]
+                    cols = [pa.array(np.full(len(at), x, np.int64)) for x in (hkey, twin, page)]
+                    yield pa.RecordBatch.from_arrays(
+                        [cols[0], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *cols[1:], pa.array(at.astype(np.int32))], names)
+
+    return articles.select("hkey", "twin", "page", "article", "anchors").mapInArrow(run, ARTICLE_RUNS)
+
+
+def covered_articles(articles: DataFrame, rules: HostRules) -> DataFrame:
+    """(page, spans) as of ``covered_tokens`` for article streams: a run is boilerplate if
+    ``article_pages`` different articles of the host and ``article_share`` of them hold it.  An
+    anchor that fewer pages hold cannot have such a run, so only the others are compared."""
+    articles = articles.withColumn("hkey", F.xxhash64("host")).withColumn("twin", F.xxhash64("article"))
+    needed = articles.groupBy("hkey").agg(F.count_distinct("twin").alias("n")).select(
+        "hkey", F.greatest(F.lit(rules.article_pages), F.ceil(F.col("n") * rules.article_share)).alias("needed"))
+    needed = stored(needed, "host-articles")
+    anchors = _article_anchors(articles, rules).groupBy("hkey", "anchor").count().filter(F.col("count") >= rules.article_pages)
+    wanted = anchors.join(needed, "hkey").filter("count >= needed").groupBy("hkey").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = stored(wanted, "host-anchors")
+    runs = stored(_article_runs(articles.join(wanted, "hkey"), rules), "article-runs")
+    keys = ["hkey", "one", "two"]
+    shared = runs.select(*keys, "twin").distinct().groupBy(*keys).count().join(needed, "hkey").filter("count >= needed").select(*keys)
+    spans = runs.join(shared, keys).groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    return spans.select("page", F.transform("at", lambda x: F.struct(x.alias("s"), (x + rules.run).alias("e"))).alias("spans"))
+
+
+PARSED = "page_id long, url string, page long, host string, article array<string>, open array<string>, element array<int>"
 SCHEMA = "page_id long, url string, text string, n_chars long, n_tokens_removed long"
 
 
@@ -320,11 +397,12 @@ def parsed(pages: DataFrame) -> DataFrame:
         for big in batches:
             for k in range(0, big.num_rows, 256):
                 batch = big.slice(k, 256)
-                own = [blocks(x or "") for x in batch.column("html").to_pylist()]
+                own = [zones(x or "") for x in batch.column("html").to_pylist()]
                 kind = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in ("page_id", "url", "page", "host")]
-                    + [pa.array([a for a, _ in own], kind), pa.array([o for _, o in own], kind)], [f.split()[0] for f in PARSED.split(", ")])
+                    + [pa.array([[b for n, b in x if n] for x in own], kind), pa.array([[b for n, b in x if not n] for x in own], kind),
+                       pa.array([[n for n, _ in x] for x in own], pa.list_(pa.int32()))], [f.split()[0] for f in PARSED.split(", ")])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     return pages.select(
@@ -334,33 +412,44 @@ def parsed(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
     cut = stored(parsed(pages), "pages")
-    with_open = F.size("open") > 0
-    covered = covered_tokens(cut.filter(with_open).select("host", "page", "open").distinct(), rules)
+    covered = stored(covered_tokens(cut.filter(F.size("open") > 0).select("host", "page", "open").distinct(), rules), "open-spans")
+    in_articles = cut.filter(F.size("article") > 0).select("host", "page", "article")   # repeated rows: the same twin and page
+    in_articles = stored(covered_articles(in_articles, rules), "article-spans")
+
+    def left_of(own, spans, least=0.0):
+        """The blocks without their covered tokens, and the number of these; all of them if less than a share of ``least`` stays."""
+        gone: set[int] = set()
+        for x in spans or ():
+            gone.update(range(x["s"], x["e"]))
+        if not gone or least and len(gone) > (1 - least) * sum(b.count(" ") + 1 for b in own):
+            return own, 0
+        at, out = 0, []
+        for b in own:
+            words = b.split(" ")
+            out.append(" ".join(w for n, w in enumerate(words, at) if n not in gone))
+            at += len(words)
+        return out, len(gone)
 
     def keep(batches):
         for big in batches:
             for k in range(0, big.num_rows, 512):
                 batch = big.slice(k, 512)
                 texts, removed = [], []
-                for own, spans in zip(batch.column("open").to_pylist(), batch.column("spans").to_pylist()):
-                    gone: set[int] = set()
-                    for x in spans or ():
-                        gone.update(range(x["s"], x["e"]))
-                    at, out = 0, []
-                    for b in own:
-                        words = b.split(" ")
-                        left = [w for n, w in enumerate(words, at) if n not in gone]
-                        at += len(words)
-                        if left:
-                            out.append(" ".join(left))
-                    texts.append("\n\n".join(out))
-                    removed.append(len(gone))
+                for article, loose, element, in_open, in_article in zip(
+                        *(batch.column(c).to_pylist() for c in ("article", "open", "element", "open_spans", "article_spans"))):
+                    loose, n_open = left_of(loose, in_open)
+                    article, n_article = left_of(article, in_article, rules.article_rest)
+                    parts = {True: iter(article), False: iter(loose)}
+                    own = [(n, next(parts[n > 0])) for n in element]
+                    texts.append("\n\n".join(b for _, b in own if b))
+                    removed.append(n_open + n_article)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())],
                     ["page_id", "url", "text", "n_tokens_removed"])
 
-    settled = cut.filter(~with_open).select("page_id", "url", F.array_join("article", "\n\n").alias("text"), F.lit(0).cast("long").alias("n_tokens_removed"))
-    searched = cut.filter(with_open).join(covered, "page", "left").select("page_id", "url", "open", "spans").mapInArrow(
+    found = cut.join(covered.withColumnRenamed("spans", "open_spans"), "page", "left").join(
+        in_articles.withColumnRenamed("spans", "article_spans"), "page", "left")
+    found = found.select("page_id", "url", "article", "open", "element", "open_spans", "article_spans").mapInArrow(
         keep, "page_id long, url string, text string, n_tokens_removed long")
-    return settled.unionByName(searched).select(
+    return found.select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_tokens_removed")

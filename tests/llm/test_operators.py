@@ -121,6 +121,23 @@ def test_html_host_search(spark, hot):
     assert got[53].text == words("s", 20) + "\n\n" + words("s", 20)
 
 
+def test_html_article_boilerplate(spark):
+    """A notice in most articles of a host goes, a paragraph of two articles stays, copies of one page are one article."""
+    def words(tag, n):
+        return " ".join(f"{tag}{k}" for k in range(n))
+    notice, shared, rows = words("n", 20), words("s", 20), []
+    for i in range(8):
+        own = f"<p>{words(f'u{i}x', 25)}</p>" + (f"<p>{shared}</p>" if i < 2 else "") + (f"<p>{notice}</p>" if i != 7 else "")
+        rows.append((i, f"http://h.org/{i}", f"<article>{own}</article>"))
+    rows += [(20 + i, f"http://copies.org/{i}", f"<main><p>{words('c', 40)}</p></main>") for i in range(5)]
+    rows += [(30 + i, f"http://near.org/{i}", f"<main><p>{words('c', 40)} {i}</p></main>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_tokens_removed) for r in html.main_text(df).collect()}
+    for i in range(8):
+        assert got[i] == (words(f"u{i}x", 25) + ("\n\n" + shared if i < 2 else ""), 20 if i != 7 else 0)
+    assert all(got[20 + i] == (words("c", 40), 0) and got[30 + i] == (words("c", 40) + f" {i}", 0) for i in range(5))
+
+
 def test_html_whole_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = html.main_text(pages).collect()
