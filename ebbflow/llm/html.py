@@ -7,7 +7,10 @@ repetition.  The token streams of a host's open blocks are searched for runs of
 that stand on distinct pages; covered tokens are removed as boilerplate, and the unique runs
 stay.  A run inside articles is removed if ``article_pages`` different articles of the host and
 ``article_share`` of them hold it, so a paragraph that two pages share stays, and an article of
-which less than ``article_rest`` would be left (a near copy) stays whole.
+which less than ``article_rest`` would be left (a near copy) stays whole.  Then the main text
+of a page is its articles if one of them holds as many tokens as the open blocks, and else the
+open blocks with the articles that are not much shorter (``beside``), in the page's order.
+
 The search is the suffix array of the host's concatenated streams, dealt out so that no host
 sits in one task: streams are cut into pieces by anchors (least hash of a token gram inside each
 run), equal pieces of a host are combined in an aggregation, and only anchors with several
@@ -173,7 +176,7 @@ def zones(page: str) -> list[tuple[int, str]]:
         else:
             push(tag, _is_chrome(tag, m[3], inside))
     flush()
-    return [x for x in found if x[0]] if elements else found   # open blocks only where there is no article
+    return found
 
 
 # ------------------------------------------------------------------ the host search
@@ -186,6 +189,7 @@ class HostRules:
     article_pages: int = 3    # different articles of a host that hold a run of boilerplate, at least,
     article_share: float = 0.5  # and at least this share of them
     article_rest: float = 0.5   # an article of which less would stay is a near copy of others, not boilerplate
+    beside: float = 0.25      # an article element with less than this share of an open main text is a teaser
 
 
 def token_hash(words: list[str]) -> np.ndarray:
@@ -441,7 +445,15 @@ def main_text(pages: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
                     article, n_article = left_of(article, in_article, rules.article_rest)
                     parts = {True: iter(article), False: iter(loose)}
                     own = [(n, next(parts[n > 0])) for n in element]
-                    texts.append("\n\n".join(b for _, b in own if b))
+                    tokens: dict[int, int] = {}
+                    for n, b in own:
+                        tokens[n] = tokens.get(n, 0) + (b.count(" ") + 1 if b else 0)
+                    outside = tokens.pop(0, 0)
+                    if max(tokens.values(), default=0) >= outside:   # the articles are the main text
+                        main, n_open = set(tokens), 0
+                    else:
+                        main = {0} | {n for n, c in tokens.items() if c >= rules.beside * outside}
+                    texts.append("\n\n".join(b for n, b in own if b and n in main))
                     removed.append(n_open + n_article)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())],

@@ -138,6 +138,20 @@ def test_html_article_boilerplate(spark):
     assert all(got[20 + i] == (words("c", 40), 0) and got[30 + i] == (words("c", 40) + f" {i}", 0) for i in range(5))
 
 
+def test_html_open_main_text(spark):
+    """A body in a plain div beside teasers or an empty main is the text; a short open line beside an article is not."""
+    def words(tag, n):
+        return " ".join(f"{tag}{k}" for k in range(n))
+    body = words("b", 60)
+    pages = [f"<div><p>{body}</p></div><article><p>{words('t', 9)}</p></article><article><p>{words('v', 9)}</p></article>",
+             f"<main></main><div><p>{words('c', 60)}</p></div>",
+             f"<div>{words('d', 9)}</div><article><p>{words('e', 40)}</p></article>",
+             f"<article><p>{words('f', 40)}</p></article><div>{words('g', 50)}</div>"]
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert got == {0: body, 1: words("c", 60), 2: words("e", 40), 3: words("f", 40) + "\n\n" + words("g", 50)}
+
+
 def test_html_whole_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = html.main_text(pages).collect()
