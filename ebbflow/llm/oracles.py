@@ -83,3 +83,29 @@ c AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
 k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT g.doc_id, c.class_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, CAST(len(g.g) AS BIGINT) AS n_shingles
 FROM g JOIN c ON c.a = g.doc_id LEFT JOIN k ON k.a = g.doc_id"""
+
+
+def phrases_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    grams = "\nUNION ALL ".join(
+        f"SELECT lang, list_slice(w, i, i + {m - 1}) AS g, count(*) AS f FROM p, unnest(range(1, len(w) - {m - 2})) t(i) GROUP BY ALL HAVING count(*) >= 30" for m in (1, 2, 3, 4))
+    return f"""
+WITH p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang,
+                        unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+                 FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED ({grams}),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+k AS (SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c
+      JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, c.k)
+      JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, c.k + 1, len(c.g))),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+x AS (SELECT lang, list_slice(g, i, i + m - 1) AS g, max(a) AS longer
+      FROM (SELECT *, unnest(range(1, len(g) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(g))) AS m FROM c)) GROUP BY ALL),
+o AS (SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM s LEFT JOIN x ON x.lang = s.lang AND x.g = s.g
+      WHERE x.longer IS NULL OR 100 * x.longer < 80 * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score
+      FROM o JOIN n ON n.lang = o.lang) WHERE rank <= 2000"""
