@@ -109,3 +109,17 @@ o AS (SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM s LEFT JOIN x ON x.la
 SELECT lang, rank, phrase, a, l, r, n, score
 FROM (SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score
       FROM o JOIN n ON n.lang = o.lang) WHERE rank <= 2000"""
+
+
+def near_vectors_sql(least: float = 0.95) -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v
+      WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+      WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= {least}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT c.a AS vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.component_id, c.a = c.component_id AS kept
+FROM c LEFT JOIN k ON k.a = c.a"""

@@ -3,9 +3,9 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import bytebpe, covertree, html, jaccard, langid, lbl, packing, phrases, substrings
+from ebbflow.llm import bytebpe, covertree, epsilongrid, html, jaccard, langid, lbl, packing, phrases, substrings
 from ebbflow.llm.common import is_remainder, table
-from ebbflow.llm.oracles import dedup_sql, jaccard_sql, phrases_sql, quality_sql
+from ebbflow.llm.oracles import dedup_sql, jaccard_sql, near_vectors_sql, phrases_sql, quality_sql
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
 from ebbflow.llm.secrets import secret_spans
@@ -84,3 +84,8 @@ def op2_html_extraction(spark, sf_dir):
 @register("op11_phrase_collocations", sql=phrases_sql())
 def op11_phrase_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op12_embedding_near_dedup", sql=near_vectors_sql())
+def op12_embedding_near_dedup(spark, sf_dir):
+    return epsilongrid.near_duplicates(table(spark, sf_dir, "embeddings"))
