@@ -123,3 +123,22 @@ c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT c.a AS vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.component_id, c.a = c.component_id AS kept
 FROM c LEFT JOIN k ON k.a = c.a"""
+
+
+def hard_negatives_sql() -> str:
+    return """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id,
+             CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * c.v[k])) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10"""

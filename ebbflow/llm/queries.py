@@ -3,9 +3,11 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-from ebbflow.llm import bytebpe, covertree, epsilongrid, html, jaccard, langid, lbl, packing, phrases, substrings
+from pyspark.sql import functions as F
+
+from ebbflow.llm import angular, bytebpe, covertree, epsilongrid, html, jaccard, langid, lbl, packing, phrases, substrings
 from ebbflow.llm.common import is_remainder, table
-from ebbflow.llm.oracles import dedup_sql, jaccard_sql, near_vectors_sql, phrases_sql, quality_sql
+from ebbflow.llm.oracles import dedup_sql, hard_negatives_sql, jaccard_sql, near_vectors_sql, phrases_sql, quality_sql
 from ebbflow.llm.quality import line_quality
 from ebbflow.llm.registry import register
 from ebbflow.llm.secrets import secret_spans
@@ -89,3 +91,11 @@ def op11_phrase_collocations(spark, sf_dir):
 @register("op12_embedding_near_dedup", sql=near_vectors_sql())
 def op12_embedding_near_dedup(spark, sf_dir):
     return epsilongrid.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_hard_negatives", sql=hard_negatives_sql())
+def op13_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return angular.mine(vectors, vectors.filter("vec_id % 100 = 0"))
