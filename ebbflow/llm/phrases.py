@@ -6,11 +6,11 @@ over their lead columns sums them to the counts of every shorter prefix, which a
 of all phrases (an occurrence of a phrase is the prefix of exactly one window).  The ROLLUP's
 level of the language alone is the number of words.
 
-A pass before it counts hashes of words and of word pairs.  A phrase of ``least`` occurrences
-holds no word and no pair with fewer, so a window ends where one begins; the sums that can
-matter stay exact.  The words and pairs that reach ``least`` are known to the tasks by a bitmap
-of at most ``2 ** bitmap_bits`` bits: where it is too small for a corpus, windows are cut less
-often and results stay the same.
+Passes before it count hashes of words and word pairs, then of triples of frequent pairs.  A
+phrase of ``least`` occurrences holds no part with fewer, so a window ends where one begins; the
+sums that can matter stay exact.  The parts that reach ``least`` are known to the tasks by a
+bitmap of at most ``2 ** bitmap_bits`` bits: where it is too small for a corpus, windows are cut
+less often and results stay the same.
 
 Words are 64-bit ids of (language, word); the dictionary of frequent words shows whether two
 of them share an id, and then all is done again with another seed.
@@ -64,12 +64,26 @@ class Words:
         self.ends = np.flatnonzero(ink & (~after | edge[1:])) + 1
         self.doc = np.searchsorted(off, self.starts, "right") - 1
         self.id = mix64(SpanHash(data, seed)(self.starts, self.ends) ^ lang[self.doc])
-        self.id[self.id == 0] = U64(1)      # 0 pads
+        self.id = np.maximum(self.id & ~U64(1), U64(2))     # even: a word, odd: a longer phrase, 0: a pad
         piece = np.cumsum(_PIECE_END[data])[self.starts] if len(data) else np.zeros(0, np.int64)
         self.joined = np.zeros(len(self.id), bool)
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.doc[1:] == self.doc[:-1])
-        self.pair = np.zeros(len(self.id), U64)
-        self.pair[:-1] = mix64(self.id[:-1] * U64(0xD6E8FEB86659FD93) + self.id[1:] + U64(1))
+
+    def parts(self, sizes: int, bitmap: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each size up to ``sizes``: the hash of the words from each place on, and whether they
+        stand in one piece and all their shorter parts are in the bitmap."""
+        n = len(self.id)
+        out = [(self.id, np.ones(n, bool))]
+        for m in range(1, sizes):
+            gram, open_ = out[-1]
+            known = open_ if bitmap is None else open_ & _has(bitmap, gram)
+            longer, goes = np.zeros(n, U64), np.zeros(n, bool)
+            if n > m:
+                longer[:n - m] = mix64(gram[:n - m] * U64(0xD6E8FEB86659FD93) + self.id[m:]) | U64(1)
+                goes[:n - 1] = known[:-1] & known[1:]
+                goes &= self.joined
+            out.append((longer, goes))
+        return out
 
     def text(self, at: np.ndarray) -> list[str]:
         raw = self.data.tobytes()
@@ -89,20 +103,54 @@ def _digest(text: str, seed: int) -> bytes:
 def _slices(batches, seed: int):
     for batch in batches:
         names, lang = _languages(batch.column("lang"), seed)
-        for i, j, data, off in text_slices(batch, "text", 4 << 20):
+        for i, j, data, off in text_slices(batch, "text"):
             yield names[i:j], Words(data, off, lang[i:j], seed)
 
 
-def _frequent(docs: DataFrame, rules: PhraseRules, seed: int) -> DataFrame:
-    """Hashes of the words and pairs with ``least`` occurrences or more."""
+class Counted:
+    """Equal columns of a task counted together, over many slices and in bounded memory."""
+
+    def __init__(self, height: int, limit: int = 1 << 20):
+        self.limit = limit
+        self.table, self.n = np.zeros((height, 0), U64), np.zeros(0, np.int64)
+
+    def _merged(self, table: np.ndarray, n: np.ndarray):
+        order = np.argsort(table[0]) if len(table) == 1 else np.lexsort(table[::-1])
+        table = table[:, order]
+        first = np.flatnonzero(np.append(True, (table[:, 1:] != table[:, :-1]).any(axis=0))[:table.shape[1]])
+        return table[:, first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+    def add(self, table: np.ndarray):
+        """Count the columns of ``table``; yields what is given away, where it gets too much."""
+        own, n = self._merged(table, np.ones(table.shape[1], np.int64))
+        self.table, self.n = np.concatenate([self.table, own], axis=1), np.concatenate([self.n, n])
+        if len(self.n) > 2 * self.limit:
+            self.table, self.n = self._merged(self.table, self.n)
+            if 2 * len(self.n) > 3 * self.limit:
+                yield from self.rest()
+
+    def rest(self):
+        if len(self.n):
+            table, n = self._merged(self.table, self.n)
+            self.table, self.n = table[:, :0], n[:0]
+            for k in range(0, len(n), 1 << 17):
+                yield table[:, k:k + (1 << 17)], n[k:k + (1 << 17)]
+
+
+def _frequent(docs: DataFrame, sizes: range, bitmap, rules: PhraseRules, seed: int) -> DataFrame:
+    """Hashes of the phrases of these sizes with ``least`` occurrences or more."""
 
     def run(batches):
+        held = Counted(1)
         for _, w in _slices(batches, seed):
-            gram, n = np.unique(np.concatenate([w.id, w.pair[w.joined]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+            parts = w.parts(sizes[-1], bitmap and bitmap.value)[sizes[0] - 1:]
+            for gram, n in held.add(np.concatenate([g[goes] for g, goes in parts])[None]):
+                yield pa.RecordBatch.from_arrays([pa.array(gram[0].view(np.int64)), pa.array(n)], ["gram", "n"])
+        for gram, n in held.rest():
+            yield pa.RecordBatch.from_arrays([pa.array(gram[0].view(np.int64)), pa.array(n)], ["gram", "n"])
 
     counted = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= rules.least).select("gram")
+    return counted.filter(F.col("n") >= rules.least)
 
 
 def _bitmap(frequent: DataFrame, rules: PhraseRules) -> np.ndarray:
@@ -143,34 +191,33 @@ def _windows(docs: DataFrame, bitmap, rules: PhraseRules, seed: int) -> DataFram
                                           ["lang", *columns, "n", "word"])
 
     def run(batches):
-        flags, seen = bitmap.value, np.zeros(0, U64)
+        flags, seen, tongue = bitmap.value, np.zeros(0, U64), {}
+        held, alone = Counted(1 + rules.longest, 1 << 19), Counter()
+
+        def windows(found):
+            for table, n in found:
+                yield batch_of([names_of[x] for x in table[0].tolist()], table[1:], n)
+
+        names_of: list[str] = []
         for names, w in _slices(batches, seed):
-            n = len(w.id)
-            alive = _has(flags, w.id)
-            linked = w.joined & _has(flags, w.pair) & alive
-            linked[:-1] &= alive[1:]
-            # words that no phrase holds: they count for their language alone
-            dead = Counter(np.array(names, object)[w.doc[~alive]])
-            if dead:
-                yield batch_of(list(dead), np.zeros((rules.longest, len(dead)), U64), np.array(list(dead.values())))
-            one = np.flatnonzero(alive & ~linked)
-            ids, at, count = np.unique(w.id[one], return_index=True, return_counts=True)
-            if len(ids):
-                table = np.zeros((rules.longest, len(ids)), U64)
-                table[0] = ids
-                yield batch_of([names[d] for d in w.doc[one[at]]], table, count)
-            open_ = np.flatnonzero(linked)
-            if len(open_):
-                table = np.zeros((rules.longest, len(open_)), U64)
-                goes = np.ones(len(open_), bool)
-                for k in range(rules.longest):
-                    if k:
-                        goes &= linked[np.minimum(open_ + k - 1, n - 1)]
-                    table[k, goes] = w.id[open_[goes] + k]
-                order = np.lexsort(table[::-1])
-                table, open_ = table[:, order], open_[order]
-                first = np.flatnonzero(np.append(True, (table[:, 1:] != table[:, :-1]).any(axis=0)))
-                yield batch_of([names[d] for d in w.doc[open_[first]]], table[:, first], np.diff(np.append(first, len(open_))))
+            for name in names:
+                if name not in tongue:
+                    tongue[name] = len(names_of)
+                    names_of.append(name)
+            lang = np.array([tongue[x] for x in names], U64)
+            *parts, (_, last) = w.parts(rules.longest, flags)
+            parts = [(goes & _has(flags, gram)) for gram, goes in parts] + [last]
+            alive = parts[0]
+            # rare words count for their language alone
+            for name, count in zip(names, np.bincount(w.doc[~alive], minlength=len(names)).tolist()):
+                alone[name] += count
+            open_ = np.flatnonzero(alive)
+            table = np.zeros((1 + rules.longest, len(open_)), U64)
+            table[0] = lang[w.doc[open_]]
+            for k in range(rules.longest):
+                goes = parts[k][open_]      # the first k + 1 words may be frequent
+                table[k + 1, goes] = w.id[open_[goes] + k]
+            yield from windows(held.add(table))
             ids, at = np.unique(w.id[alive], return_index=True)
             fresh = ~np.isin(ids, seen)
             ids, at = ids[fresh], np.flatnonzero(alive)[at[fresh]]
@@ -179,6 +226,9 @@ def _windows(docs: DataFrame, bitmap, rules: PhraseRules, seed: int) -> DataFram
                 table = np.zeros((rules.longest, len(ids)), U64)
                 table[0] = ids
                 yield batch_of([names[d] for d in w.doc[at]], table, np.zeros(len(ids)), w.text(at))
+        yield from windows(held.rest())
+        if alone:
+            yield batch_of(list(alone), np.zeros((rules.longest, len(alone)), U64), np.array(list(alone.values())))
 
     return docs.mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in columns) + ", n long, word string")
 
@@ -189,12 +239,15 @@ def counted(docs: DataFrame, rules: PhraseRules) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
     for seed in range(1, 9):
-        frequent = stored(_frequent(docs, rules, seed), "frequent-grams")
+        frequent = stored(_frequent(docs, range(1, 3), None, rules, seed), "frequent-grams")
         bitmap = spark.sparkContext.broadcast(_bitmap(frequent, rules))
+        for size in range(3, rules.longest):
+            frequent = frequent.union(stored(_frequent(docs, range(size, size + 1), bitmap, rules, seed), "frequent-grams"))
+            bitmap = spark.sparkContext.broadcast(_bitmap(frequent, rules))
         rows = stored(_windows(docs, bitmap, rules, seed), "windows")
         words = rows.filter("word IS NOT NULL").groupBy(F.col("w1").alias("id")).agg(
             F.min(F.struct("lang", "word")).alias("one"), F.max(F.struct("lang", "word")).alias("other"))
-        words = stored(words.select("id", F.col("one.word").alias("word"), (F.col("one") != F.col("other")).alias("clash")), "words")
+        words = stored(words.select("id", "one.word", (F.col("one") != F.col("other")).alias("clash")), "words")
         if words.filter("clash").isEmpty():
             break
     else:
