@@ -48,6 +48,7 @@ class MiningRules:
     sample: int = 4096          # rows that the references are chosen from
     anchor_group: int = 4096    # anchors of a task (about)
     part_rows: int = 1 << 20    # most rows of a part (about)
+    least_rows: int = 4096      # no more parts than that many rows need
     run: int = 256              # rows and anchors bounded together
 
 
@@ -279,7 +280,9 @@ def mine(vectors: DataFrame, anchors: DataFrame, rules: MiningRules = MiningRule
     asked = taking_part(anchors).distinct().withColumn("aid", F.monotonically_increasing_id())
     asked = stored(with_angles(asked, refs, rules), "anchors")
     n_groups = max(1, math.ceil(asked.count() / rules.anchor_group))
-    n_parts = max(math.ceil(2 * shuffle_parts(spark) / n_groups), math.ceil(rows.count() / rules.part_rows), 1)
+    n_rows = rows.count()
+    n_parts = min(math.ceil(2 * shuffle_parts(spark) / n_groups), math.ceil(n_rows / rules.least_rows))
+    n_parts = max(n_parts, math.ceil(n_rows / rules.part_rows), 1)
     asked = asked.withColumn("group", F.pmod(F.xxhash64("aid"), F.lit(n_groups)).cast("int"))
     ends = F.lit(-(1 << 62)), F.lit(1 << 62)
     open_ = asked.withColumn("lo", F.array(ends[0])).withColumn("hi", F.array(ends[1]))
