@@ -291,8 +291,8 @@ def mine(vectors: DataFrame, anchors: DataFrame, rules: MiningRules = MiningRule
         F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("positives"))
     positives = stored(positives, "anchor-positives")
     # in whole numbers: low % of the positive's score rounded up, high % rounded down
-    lo = F.expr(f"transform(positives, p -> -((-{rules.low} * p.score - pmod(-{rules.low} * p.score, 100)) div 100))")
-    hi = F.expr(f"transform(positives, p -> ({rules.high} * p.score - pmod({rules.high} * p.score, 100)) div 100)")
+    lo = F.expr(f"transform(positives, p -> -((({-rules.low}) * p.score - pmod(({-rules.low}) * p.score, 100)) div 100))")
+    hi = F.expr(f"transform(positives, p -> (({rules.high}) * p.score - pmod(({rules.high}) * p.score, 100)) div 100)")
     windows = asked.join(positives, "aid").withColumn("lo", lo).withColumn("hi", hi)
     negatives = _best(stored(_search(windows, rows, refs, False, rules.negatives, n_groups, n_parts, rules), "negatives"), rules.negatives)
     named = negatives.join(positives, "aid").withColumn("p", F.get("positives", F.col("slot")))

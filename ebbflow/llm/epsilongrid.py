@@ -47,7 +47,7 @@ class GridRules:
     block_bytes: int = 1 << 18  # vectors of a block
     group_bits: int = 3         # 8 blocks are compared with 8 in a task
     fan_bits: int = 4           # intervals of an interval
-    leaf: int = 256             # rows of the last intervals
+    leaf: int = 128             # rows of the last intervals
 
     @property
     def eps(self) -> float:
@@ -330,8 +330,8 @@ def join(vectors: DataFrame, rules: GridRules = GridRules()) -> Found:
     members = members_of(vectors)
     basis = directions(members, rules)
     blocks = stored(blocks_of(members, basis, kind, rules), "grid-blocks")
-    bits = int(blocks.agg(F.max("seq")).first()[0] or 0).bit_length()
-    bits += -bits % rules.group_bits        # a group of blocks does not pass the end of a range
+    # a group of blocks does not pass the end of a range
+    bits = max(int(blocks.agg(F.max("seq")).first()[0] or 0).bit_length(), rules.group_bits)
     blocks = blocks.withColumn("ord", F.shiftleft(F.col("part").cast("long"), bits) + F.col("seq"))
     pairs = near_blocks(blocks.drop("members", "copies", "raw"), rules)
     pair = F.struct(F.shiftright("a", rules.group_bits).alias("low"), F.shiftright("b", rules.group_bits).alias("other"))
