@@ -71,13 +71,17 @@ def quantiles(df: DataFrame, by: list[str], specs: dict[str, tuple[Column | str,
                 here = (F.col("_q") == k) & (F.col("cum__n") - F.col("_n") <= rank) & (rank < F.col("cum__n"))
                 picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{k}_{j}"))
             picks.append(F.max(F.when(F.col("_q") == k, place - F.floor(place))).alias(f"_f_{k}_{j}"))
-        one = [F.when(F.col(f"_f_{k}_{j}") == 0, F.col(f"_lo_{k}_{j}")).otherwise(
-            (1 - F.col(f"_f_{k}_{j}")) * F.col(f"_lo_{k}_{j}") + F.col(f"_f_{k}_{j}") * F.col(f"_hi_{k}_{j}"))
-            for j in range(len(probs) if isinstance(probs, list) else 1)]
+        one = [_between(F.col(f"_lo_{k}_{j}"), F.col(f"_hi_{k}_{j}"), F.col(f"_f_{k}_{j}"))
+               for j in range(len(probs) if isinstance(probs, list) else 1)]
         parts.append((F.array(*one) if isinstance(probs, list) else one[0]).alias(name))
     return cum.groupBy(*by).agg(*picks).select(*by, *parts)
 
 
+def _between(lo: Column, hi: Column, share: Column) -> Column:
+    """Linear interpolation that is exact inside a block of ties and never leaves [lo, hi]."""
+    return F.when((share == 0) | (lo == hi), lo).otherwise(F.least(hi, lo + share * (hi - lo)))
+
+
 def with_quantiles(agg: DataFrame, df: DataFrame, by: list[str], specs: dict) -> DataFrame:
     """``agg`` (a row per group) with the quantile columns of ``df`` beside it."""
     return _same(agg, quantiles(df, by, specs), by, "left")

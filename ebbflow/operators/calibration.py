@@ -8,8 +8,8 @@ blocks.
   regression solved by Newton's method; each iteration is one aggregation over
   the blocks (all score columns at once, grouped by column) and five sums per
   column come back to the driver;
-* isotonic: ``pyspark.ml.regression.IsotonicRegression`` on the blocks
-  (label = block churn rate, weight = block size); prediction clips outside the
+* isotonic: adjacent violators pooled inside score ranges and across their
+  borders (:mod:`ebbflow.operators.isotonic`); prediction clips outside the
   fitted range and interpolates linearly between fitted points.
 """
 
@@ -18,13 +18,13 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.functions import ranged as RA
 
 from ebbflow.functions.expr import hash_uniform
+from ebbflow.operators import isotonic
 
 FIT, EVAL = "calib_fit", "calib_eval"
 
@@ -107,17 +107,13 @@ def apply_platt(score: str | Column, w: float, b: float) -> Column:
     return 1.0 / (1.0 + F.exp(-(F.lit(w) * x.cast("double") + F.lit(b))))
 
 
-def fit_isotonic(fit_df: DataFrame, score: str, label: str = "is_churn"):
-    blk = blocks(fit_df, score, label).select("x", "n", (F.col("pos") / F.col("n")).alias("rate"))
-    return IsotonicRegression(featuresCol="x", labelCol="rate", weightCol="n", isotonic=True).fit(blk)
+def fit_isotonic(fit_df: DataFrame, score: str, label: str = "is_churn", rows_per_range: int | None = None) -> isotonic.IsotonicFit:
+    return isotonic.fit(blocks(fit_df.where(F.col(label).isNotNull()), score, label), rows_per_range)
 
 
-def apply_isotonic(model, df: DataFrame, score: str, out: str) -> DataFrame:
-    """Evaluates the fitted step/linear function in the JVM (binary search over
-    the model's boundaries), clipping outside the fitted range."""
-    tmp = "_iso_x"
-    m = model.copy().setFeaturesCol(tmp).setPredictionCol(out)
-    return m.transform(df.withColumn(tmp, F.col(score).cast("double"))).drop(tmp)
+def apply_isotonic(model: isotonic.IsotonicFit, df: DataFrame, score: str, out: str) -> DataFrame:
+    """The fitted values, clipped outside the fitted range."""
+    return isotonic.apply(model, df, score, out)
 
 
 class Calibrator:

@@ -59,12 +59,37 @@ def with_pos_weight(df: DataFrame, label: str = "is_churn", out: str = "class_we
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
 
 
+def train_quotas(counts: dict, frac: float) -> dict:
+    """Training rows of each class: ``floor(frac * n)`` in all, dealt by largest remainder (ties to
+    the smaller label), so the sizes are exact."""
+    take = math.floor(frac * sum(counts.values()))
+    raw = {c: frac * k for c, k in counts.items()}
+    out = {c: math.floor(v) for c, v in raw.items()}
+    for c in sorted(raw, key=lambda c: (out[c] - raw[c], str(c)))[:take - sum(out.values())]:
+        out[c] += 1
+    return out
+
+
 def stratified_split(df: DataFrame, frac: float = 0.8, salt: str = "split", key: str = "msno",
                      label: str = "is_churn") -> DataFrame:
-    """H1: hash split (class-independent uniform, so stratified in expectation).
-    Exact per-class counts: threshold each class at its own ``frac`` quantile of u."""
+    """H1: class-stratified split with exact class sizes.  In each class the rows with the smallest
+    hash uniforms (ties by key) train; the place of the cut comes from ranged running sums over the
+    distinct uniforms, so a class is never sorted in one task.  Two values a class reach the driver."""
     u = hash_uniform(F.col(key), F.lit(salt))
-    return df.withColumn("_u", u).withColumn("split", F.when(F.col("_u") < frac, "train").otherwise("test")).drop("_u")
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    quota = train_quotas(counts, frac)
+    blocks = df.groupBy(F.col(label).alias("_c"), u.alias("_u")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = RA.running_sums(blocks, ["_c"], [F.col("_u")], ["_n"])
+    need = small_frame(df.sparkSession, [(c, k) for c, k in quota.items()], f"_q {dict(df.dtypes)[label]}, take bigint")
+    cut = cum.join(F.broadcast(need), F.col("_c").eqNullSafe(F.col("_q"))).where(
+        (F.col("cum__n") - F.col("_n") < F.col("take")) & (F.col("take") <= F.col("cum__n")))
+    goes = F.lit(False)
+    for c, at, left in cut.select("_c", "_u", F.col("take") - F.col("cum__n") + F.col("_n")).collect():
+        own = F.col(label).eqNullSafe(F.lit(c))
+        # the rows at the cut itself (of one uniform: as a rule one row)
+        last = df.where(own & (u == at)).select(key).orderBy(key).limit(left).agg(F.max(key)).first()[0]
+        goes = goes | (own & ((u < at) | ((u == at) & (F.col(key) <= F.lit(last)))))
+    return df.withColumn("split", F.when(goes, "train").otherwise("test"))
 
 
 def feature_columns(exclude=()) -> tuple[list[str], list[str]]:

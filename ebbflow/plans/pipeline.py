@@ -11,7 +11,6 @@ pushes its filters.
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,12 +98,10 @@ class Chain:
     # -- scoring --------------------------------------------------------------
     @cached_property
     def _scored(self) -> DataFrame:
-        df = scoring.attach_scorecard(self.build_dataset())
-        if self.persist:
-            path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/chain/{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            df = self.spark.read.schema(df.schema).parquet(path)
-        return df
+        def build():
+            return scoring.attach_scorecard(self.build_dataset())
+        # a stage named by input and cutoff: another session over the same input reads it
+        return self.committed("scored_chain", build) if self.persist else build()
 
     def use_scored(self, df: DataFrame) -> None:
         """Read the scored table from a committed stage instead of building it."""

@@ -21,6 +21,7 @@ from ebbflow.plans.common import finalize, sql_final
 from ebbflow.plans.oracle import hash_u, q
 from ebbflow.plans.pipeline import Chain
 from ebbflow.plans.registry import register
+from ebbflow.sources.stages import input_identity
 
 _MODELS: dict = {}
 
@@ -34,16 +35,26 @@ def _test(spark, sf) -> DataFrame:
 
 
 def trained(spark, sf, kind, exclude=(), **kw) -> ML.TrainedModel:
-    key = (id(spark), sf, kind, tuple(exclude), tuple(sorted(kw.items())))
+    key = (spark.sparkContext.applicationId, input_identity(spark, sf), kind, tuple(exclude), tuple(sorted(kw.items())))
     if key not in _MODELS:
         _MODELS[key] = ML.TrainedModel(kind, _train(spark, sf), exclude, **kw)
     return _MODELS[key]
 
 
-@register("stratified_split", q(f"SELECT msno, is_churn, CASE WHEN {hash_u(chr(109) + 'sno || ' + repr('split'))} < 0.8 "
-                                "THEN 'train' ELSE 'test' END AS split FROM sc"))
+def _split_sql(frac=0.8):
+    u = hash_u("msno || 'split'")
+    return q(f"""
+, cls AS (SELECT is_churn, COUNT(*) AS k FROM sc GROUP BY 1),
+raw AS (SELECT is_churn, {frac}::DOUBLE * k AS r, floor({frac}::DOUBLE * k) AS f FROM cls),
+rem AS (SELECT *, ROW_NUMBER() OVER (ORDER BY f - r, CAST(is_churn AS VARCHAR)) AS rr FROM raw),
+quota AS (SELECT is_churn, f + CASE WHEN rr <= (SELECT floor({frac}::DOUBLE * SUM(k)) FROM cls) - (SELECT SUM(f) FROM raw) THEN 1 ELSE 0 END AS take FROM rem),
+ranked AS (SELECT msno, is_churn, ROW_NUMBER() OVER (PARTITION BY is_churn ORDER BY {u}, msno) AS rk FROM sc)
+SELECT r.msno, r.is_churn, CASE WHEN r.rk <= q.take THEN 'train' ELSE 'test' END AS split FROM ranked r JOIN quota q ON q.is_churn = r.is_churn""")
+
+
+@register("stratified_split", _split_sql())
 def stratified_split(spark, sf):
-    """H1: 80/20 hash split (stable under repartitioning)."""
+    """H1: 80/20 split, stratified by class with exact class sizes (stable under repartitioning)."""
     return ML.stratified_split(_test(spark, sf)).select("msno", "is_churn", "split")
 
 

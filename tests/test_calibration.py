@@ -67,3 +67,41 @@ def test_degenerate_scores_are_an_error(spark):
     one = spark.createDataFrame([(1, 1.0)] * 5, "is_churn int, s double")
     with pytest.raises(CA.CalibrationError):
         CA.fit_platt(one, "s")
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "mixed", "flat"])
+def test_isotonic_in_ranges_equals_the_pooled_fit(spark, shape):
+    """Nearly all scores distinct and ranges far smaller than the pools: borders must settle."""
+    rng = np.random.default_rng(11)
+    x = rng.random(1500)
+    p = {"rising": x, "falling": 1 - x, "mixed": .5 + .4 * np.sin(9 * x), "flat": np.full(1500, .3)}[shape]
+    y = (rng.random(1500) < p).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)] + [(None, 1)], "s double, is_churn int")
+    xs, fit = pava(x, y)
+    for per in (40, 100_000):
+        model = CA.fit_isotonic(df, "s", rows_per_range=per)
+        got = {r["s"]: r["p"] for r in CA.apply_isotonic(model, df, "s", "p").collect()}
+        assert got.pop(None) is None
+        assert np.allclose([got[float(v)] for v in xs], fit, atol=1e-12)
+        assert (model.rounds == 1) == (per == 100_000) or shape == "rising"
+        step = np.interp(probe := rng.random(50), xs, fit)
+        one = CA.apply_isotonic(model, spark.createDataFrame([(float(v),) for v in probe], "s double"), "s", "p").collect()
+        assert np.allclose([r["p"] for r in sorted(one, key=lambda r: r["s"])], step[np.argsort(probe)], atol=1e-9)
+
+
+def test_isotonic_without_rows(spark):
+    none = spark.createDataFrame([], "s double, is_churn int")
+    model = CA.fit_isotonic(none, "s")
+    assert [r["p"] for r in CA.apply_isotonic(model, spark.createDataFrame([(.5,), (None,)], "s double"), "s", "p").collect()] == [None, None]
+
+
+def test_quantile_edges_are_exact_inside_ties(spark):
+    from ebbflow.functions.ranged import quantile_row
+    v = 0.19311888359140536
+    df = spark.createDataFrame([(0.1,)] * 30 + [(v,)] * 311 + [(0.7,)] * 20, "x double")
+    probs = [k / 100 for k in range(1, 100)]
+    got = quantile_row(df, {"q": ("x", probs)})["q"]
+    values = sorted([0.1] * 30 + [v] * 311 + [0.7] * 20)
+    for p, g in zip(probs, got):
+        lo, hi = values[int(np.floor(p * 360))], values[int(np.ceil(p * 360))]
+        assert g == lo if lo == hi else lo <= g <= hi

@@ -209,3 +209,20 @@ def test_missing_values_stay_missing(spark):
     assert rates[0] is None and rates[1] == 100 and rates[2] == pytest.approx(122 / (61 / 30.44))
     scores = spark.createDataFrame([(None,), (-1.0,), (0.5,), (7.0,)], "s double")
     assert [r[0] for r in scores.select(X.score_clip(F.col("s"))).collect()] == [None, 0.0, 0.5, 1.0]
+
+
+def test_stratified_split_has_exact_class_sizes(spark):
+    from ebbflow.operators import ml as ML
+    from pyspark.sql import functions as F
+    rows = [(f"C+{k}", int(k % 7 == 0)) for k in range(1003)] + [("n1", None), ("n2", None), ("n3", None)]
+    df = spark.createDataFrame(rows, "msno string, is_churn int")
+    out = ML.stratified_split(df, 0.8)
+    got = {(r["is_churn"], r["split"]): r["count"] for r in out.groupBy("is_churn", "split").count().collect()}
+    quota = ML.train_quotas({0: 859, 1: 144, None: 3}, 0.8)
+    assert sum(quota.values()) == 804 and all(abs(quota[c] - .8 * k) < 1 for c, k in ((0, 859), (1, 144), (None, 3)))
+    assert {c: got[c, "train"] for c in quota} == quota and out.count() == 1006
+    again = {r["msno"]: r["split"] for r in ML.stratified_split(df.repartition(7), 0.8).collect()}
+    assert again == {r["msno"]: r["split"] for r in out.collect()}
+    assert ML.stratified_split(df.limit(0)).collect() == []
+    one = ML.stratified_split(df.where("is_churn = 1"), 0.5).groupBy("split").count().collect()
+    assert sorted(r["count"] for r in one) == [72, 72]
