@@ -74,50 +74,93 @@ def precision_recall_at_k(df: DataFrame, score: str, k: int, label: str = "is_ch
                       F.when(F.col("all_pos") > 0, positives / F.col("all_pos")).alias("recall_at_k"))
 
 
-def poisson1_weight(u: Column, kmax: int = 20) -> Column:
-    """Inverse-CDF Poisson(1) draw from a uniform column: the smallest k with
-    CDF(k) > u.  Thresholds follow from the pmf e^-1 / k!."""
-    cdf, acc = [], 0.0
-    for k in range(kmax + 1):
-        acc += math.exp(-1.0) / math.factorial(k)
-        cdf.append(acc)
-    expr = None
-    for k, c in enumerate(cdf):
-        expr = F.when(u < F.lit(c), F.lit(k)) if expr is None else expr.when(u < F.lit(c), F.lit(k))
-    return expr.otherwise(F.lit(kmax + 1)).cast("double")
-
-
-def bootstrap_pr_auc(long_scores: DataFrame, reference: str, n_boot: int = 500, key: str = "msno",
-                     label: str = "is_churn", salt: str = "boot", batch_size: int = 125) -> DataFrame:
+#: largest mean whose draws come from a table; attempts of the rejection draw above it
+TABLE_MEAN, ATTEMPTS = 9, 16
+
+
+def _poisson_cdf(mean: int) -> list[float]:
+    """P(X <= 0), P(X <= 1), .. as far as a 32-bit uniform can tell them from one."""
+    out, term, total = [], math.exp(-mean), 0.0
+    while total < 1 - 2.0 ** -33 and len(out) < 80:
+        total += term
+        out.append(total)
+        term *= mean / len(out)
+    return out
+
+
+def poisson_count_weight(n: Column, text: Column) -> Column:
+    """A Poisson(n) draw for a whole number n >= 1: the sum of n Poisson(1) weights, at a cost that does
+    not depend on n.  Up to ``TABLE_MEAN`` the inverse distribution function of a uniform of ``text``,
+    above it transformed rejection (exact; the proposal is a ratio of uniforms, accepted nine times of ten)."""
+    table = F.array(*[F.array(*[F.lit(c) for c in _poisson_cdf(m)]) for m in range(1, TABLE_MEAN + 1)])
+    small = F.size(F.filter(F.element_at(table, n.cast("int")), lambda c: c <= hash_uniform(text, F.lit(":0")))).cast("double")
+    mean = n.cast("double")
+    b = 0.931 + 2.53 * F.sqrt(mean)
+    a = -0.059 + 0.02483 * b
+
+    def attempt(j):
+        digest = F.md5(F.concat(text, F.lit(":"), j.cast("string")))
+        part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+        u, v = (part(1) + 0.5) / 4294967296.0 - 0.5, (part(9) + 1.0) / 4294967296.0
+        us = 0.5 - F.abs(u)
+        k = F.floor((2.0 * a / us + b) * u + mean + 0.43).cast("double")
+        z = k + 1.0         # ln k! by its series; the acceptance below asks for k >= 0
+        log_k = (F.when(k < 10, F.log(F.element_at(F.array(*[F.lit(float(math.factorial(i))) for i in range(10)]), F.least(F.greatest(k, F.lit(0.0)), F.lit(9.0)).cast("int") + 1)))
+                 .otherwise((z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1.0 / (12.0 * z) - 1.0 / (360.0 * z * z * z)))
+        inner = (us >= 0.07) & (v <= 0.9277 - 3.6224 / (b - 2.0))
+        outer = (k >= 0) & ((us >= 0.013) | (v <= us)) & (
+            F.log(v) + F.log(1.1239 + 1.1328 / (b - 3.4)) - F.log(a / (us * us) + b) <= -mean + k * F.log(mean) - log_k)
+        return F.when(inner | outer, k)
+
+    large = F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), F.lit(None).cast("double"), lambda got, j: F.coalesce(got, attempt(j)))
+    return F.when(n <= TABLE_MEAN, small).otherwise(F.coalesce(large, mean))
+
+
+def score_cells(df: DataFrame, scores: dict[str, str], label: str = "is_churn") -> DataFrame:
+    """Rows collapsed to cells of equal label and equal scores of all models, with their count ``n``
+    and a text that names the cell."""
+    cols = [F.col(c).cast("double").alias(m) for m, c in scores.items()]
+    cells = df.select(F.col(label).cast("int").alias("y"), *cols).groupBy("y", *scores).agg(F.count(F.lit(1)).alias("n"))
+    text = F.format_string("%d" + "|%.15f" * len(scores), F.col("y"), *[F.col(m) for m in scores])
+    return cells.where(F.col("y").isNotNull()).withColumn("cell", text)
+
+
+def bootstrap_pr_auc(df: DataFrame, scores: dict[str, str], reference: str, n_boot: int = 500, label: str = "is_churn",
+                     salt: str = "boot", batch_rows: int = 20_000_000) -> DataFrame:
     """Paired Poisson bootstrap of PR-AUC(model) - PR-AUC(reference).
 
-    ``long_scores`` has (key, label, model, score).  Replicate b gives row r the
-    weight Poisson^-1(md5(key || salt || b)), identical for every model (paired).
-    Replicates run in batches of ``batch_size``: each batch explodes its
-    replicate ids per row, reduces to (b, model, score) blocks with one
-    aggregation and computes every (b, model) curve with the grouped running
-    sums, so a job never holds more than rows x batch_size weighted rows.  Only
-    the per-(b, model) AP values (batch x models rows) come back per batch.
-    Output: per non-reference model the observed difference and the 2.5 / 97.5
-    percentiles (linear interpolation) of the replicate differences."""
-    spark = long_scores.sparkSession
-    ap_rows = []
-    for lo in range(1, n_boot + 1, batch_size):
-        hi = min(n_boot, lo + batch_size - 1)
-        reps = long_scores.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("b"))
-        w = poisson1_weight(hash_uniform(F.col(key), F.lit(salt), F.col("b")))
-        boot = ranking_metrics(reps.withColumn("_w", w), "score", label, "_w", ["b", "model"])
-        ap_rows += [(int(r["b"]), r["model"], r["pr_auc"]) for r in boot.select("b", "model", "pr_auc").collect()]
+    ``scores`` maps model names to score columns of ``df`` (a row per customer).  Rows of equal
+    label and equal scores under every model move together, so they are one cell with a count and
+    a replicate gives the cell one Poisson(count) weight: the law is that of a Poisson(1) weight a
+    row, the cost is that of the cells.  The weight is a function of the cell and the replicate
+    alone and is shared by all models (paired).  Replicates run in batches of at most about
+    ``batch_rows`` weighted cells; a grouped ranged curve gives all (replicate, model) values.
+    Output: per non-reference model the observed difference and the 2.5 / 97.5 percentiles
+    (linear interpolation) of the replicate differences."""
+    spark = df.sparkSession
+    cells = score_cells(df, scores, label).persist()
+    try:
+        n_cells = max(1, cells.count())
+        step = max(1, min(n_boot, batch_rows // (n_cells * len(scores))))
+        by_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in scores])).alias("s")
+        ap_rows = []
+        for lo in range(1, n_boot + 1, step):
+            reps = F.explode(F.sequence(F.lit(lo), F.lit(min(n_boot, lo + step - 1)))).alias("b")
+            drawn = cells.select("*", reps).withColumn("_w", poisson_count_weight(F.col("n"), F.concat("cell", F.lit(salt), F.col("b").cast("string"))))
+            long = drawn.where("_w > 0").select("b", "y", "_w", by_model).select("b", "y", "_w", "s.*")
+            boot = ranking_metrics(long, "score", "y", "_w", ["b", "model"])
+            ap_rows += [(int(r["b"]), r["model"], r["pr_auc"]) for r in boot.select("b", "model", "pr_auc").collect()]
+        observed = ranking_metrics(cells.select("y", "n", by_model).select("y", "n", "s.*"), "score", "y", F.col("n").cast("double"), ["model"])
+        seen = {r["model"]: r["pr_auc"] for r in observed.collect()}        # a row a model
+    finally:
+        cells.unpersist()
     boot = small_frame(spark, ap_rows, "b int, model string, pr_auc double")
-    obs = ranking_metrics(long_scores, "score", label, None, ["model"])
     ref_b = boot.where(F.col("model") == reference).select("b", F.col("pr_auc").alias("ref"))
     diffs = boot.where(F.col("model") != reference).join(ref_b, "b").select(
         "model", (F.col("pr_auc") - F.col("ref")).alias("d"))
     ci = quantiles(diffs, ["model"], {"q": ("d", [0.025, 0.975])}).join(
         diffs.groupBy("model").agg(F.count(F.lit(1)).alias("n_boot")), "model")
-    # one row per model: the whole-frame window is bounded by the model count
-    ref_obs = F.max(F.when(F.col("model") == reference, F.col("pr_auc"))).over(Window.partitionBy())
-    observed = obs.withColumn("ref_obs", ref_obs).where(F.col("model") != reference).select(
-        "model", (F.col("pr_auc") - F.col("ref_obs")).alias("observed_diff"))
-    return observed.join(ci, "model").select("model", "observed_diff", F.col("q")[0].alias("ci95_low"),
-                                             F.col("q")[1].alias("ci95_high"), "n_boot")
+    base = seen.get(reference)
+    rows = [(m, v - base) for m, v in seen.items() if m != reference and v is not None and base is not None]
+    return small_frame(spark, rows, "model string, observed_diff double").join(ci, "model").select(
+        "model", "observed_diff", F.col("q")[0].alias("ci95_low"), F.col("q")[1].alias("ci95_high"), "n_boot")

@@ -11,7 +11,7 @@ from ebbflow.functions import expr as X
 from ebbflow.operators import curves as CU
 from ebbflow.operators import scoring as SC
 from ebbflow.plans.common import finalize, sql_final
-from ebbflow.plans.oracle import q
+from ebbflow.plans.oracle import hash_u, q
 from ebbflow.plans.pipeline import Chain
 from ebbflow.plans.registry import register
 
@@ -296,20 +296,29 @@ BOOT_N = 500
 
 
 def _boot_sql(n_boot=BOOT_N):
-    from ebbflow.plans.oracle import hash_u
-    import math
-    cdf, acc = [], 0.0
-    for k in range(21):
-        acc += math.exp(-1.0) / math.factorial(k)
-        cdf.append(acc)
-    pois = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(cdf)) + " ELSE 21 END"
+    """The same draws by the same rule, spelled for DuckDB: a table of distribution functions for
+    small cells, and every attempt of the rejection draw at once (the first accepted counts)."""
+    def part(digest, at):
+        return f"CAST(('0x' || substr({digest}, {at}, 8)) AS BIGINT)"
+    tables = ", ".join("[" + ", ".join(f"CAST({c!r} AS DOUBLE)" for c in CU._poisson_cdf(m)) + "]" for m in range(1, CU.TABLE_MEAN + 1))
     return f"""
-, longs AS (SELECT msno, is_churn, 'full' AS model, risk_score_full AS score FROM sc
-            UNION ALL SELECT msno, is_churn, 'proxy', risk_score_proxy_controlled FROM sc),
-reps AS (SELECT l.*, r.b, {hash_u("l.msno || 'boot' || CAST(r.b AS VARCHAR)")} AS u
-         FROM longs l CROSS JOIN range(1, {n_boot + 1}) r(b)),
-wts AS (SELECT *, CAST({pois} AS DOUBLE) AS w FROM reps),
-blocks AS (SELECT b, model, score, SUM(w * is_churn) AS pos, SUM(w * (1 - is_churn)) AS neg FROM wts GROUP BY ALL),
+, cells AS (SELECT is_churn AS y, risk_score_full AS s_full, risk_score_proxy_controlled AS s_proxy, COUNT(*) AS n FROM sc GROUP BY ALL),
+reps AS (SELECT c.*, CAST(n AS DOUBLE) AS lam, r.b, printf('%d|%.15f|%.15f', CAST(y AS INTEGER), s_full, s_proxy) || 'boot' || CAST(r.b AS VARCHAR) AS t
+         FROM cells c CROSS JOIN range(1, {n_boot + 1}) r(b)),
+tries AS (SELECT *, 0.931 + 2.53 * sqrt(lam) AS bb, -0.059 + 0.02483 * (0.931 + 2.53 * sqrt(lam)) AS aa,
+                 ({part('h', 1)} + 0.5) / 4294967296.0 - 0.5 AS u, ({part('h', 9)} + 1.0) / 4294967296.0 AS v
+          FROM (SELECT r.*, j, md5(t || ':' || CAST(j AS VARCHAR)) AS h FROM reps r CROSS JOIN range(1, {CU.ATTEMPTS + 1}) x(j) WHERE n > {CU.TABLE_MEAN})),
+ks AS (SELECT *, 0.5 - abs(u) AS us, floor((2.0 * aa / (0.5 - abs(u)) + bb) * u + lam + 0.43) AS k FROM tries),
+ok AS (SELECT *, CASE WHEN k < 0 THEN 0 ELSE lgamma(k + 1) END AS lk FROM ks),
+hit AS (SELECT t, arg_min(k, j) AS w FROM ok
+        WHERE (us >= 0.07 AND v <= 0.9277 - 3.6224 / (bb - 2.0))
+           OR (k >= 0 AND (us >= 0.013 OR v <= us)
+               AND ln(v) + ln(1.1239 + 1.1328 / (bb - 3.4)) - ln(aa / (us * us) + bb) <= -lam + k * ln(lam) - lk) GROUP BY t),
+wts AS (SELECT r.*, CASE WHEN r.n <= {CU.TABLE_MEAN} THEN CAST(len(list_filter([{tables}][CAST(least(r.n, {CU.TABLE_MEAN}) AS INTEGER)],
+                     lambda c: c <= {hash_u("r.t || ':0'")})) AS DOUBLE) ELSE coalesce(hit.w, r.lam) END AS w
+        FROM reps r LEFT JOIN hit ON hit.t = r.t),
+longs AS (SELECT b, y, w, 'full' AS model, s_full AS score FROM wts UNION ALL SELECT b, y, w, 'proxy', s_proxy FROM wts),
+blocks AS (SELECT b, model, score, SUM(w * y) AS pos, SUM(w * (1 - y)) AS neg FROM longs GROUP BY ALL),
 cum AS (SELECT *, SUM(pos) OVER (PARTITION BY b, model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
                SUM(neg) OVER (PARTITION BY b, model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
                SUM(pos) OVER (PARTITION BY b, model) AS P FROM blocks),
@@ -324,10 +333,7 @@ SELECT 'proxy' AS model, (SELECT od FROM obs) AS observed_diff, quantile_cont(d,
 def bootstrap_pr_auc(spark, sf):
     """Paired Poisson bootstrap (500 replicates) of PR-AUC(proxy) - PR-AUC(full)."""
     s = Chain.shared(spark, sf).scored()
-    longs = (s.select("msno", "is_churn", F.lit("full").alias("model"), F.col("risk_score_full").alias("score"))
-             .unionByName(s.select("msno", "is_churn", F.lit("proxy").alias("model"),
-                                   F.col("risk_score_proxy_controlled").alias("score"))))
-    return finalize(CU.bootstrap_pr_auc(longs, "full", BOOT_N))
+    return finalize(CU.bootstrap_pr_auc(s, {"full": "risk_score_full", "proxy": "risk_score_proxy_controlled"}, "full", BOOT_N))
 
 
 @register("risk_summary_json", sql_final(q(f"""

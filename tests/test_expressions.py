@@ -107,8 +107,25 @@ def test_question_intent_first_match(spark):
     assert out == ["discount", "why_at_risk", "why_at_risk", "what_to_do", "unknown"]
 
 
-def test_poisson_weights_have_unit_mean(spark):
-    from ebbflow.operators.curves import poisson1_weight
-    df = spark.range(200_000).select(X.hash_uniform(F.col("id").cast("string"), F.lit("b")).alias("u"))
-    r = df.select(poisson1_weight(F.col("u")).alias("w")).agg(F.avg("w"), F.variance("w")).first()
-    assert math.isclose(r[0], 1.0, abs_tol=0.01) and math.isclose(r[1], 1.0, abs_tol=0.02)
+def test_poisson_count_weights_have_the_mean_and_variance_of_their_count(spark):
+    from ebbflow.operators.curves import poisson_count_weight
+    for n, rows in ((1, 100_000), (9, 50_000), (10, 50_000), (37, 50_000), (5_000_000, 20_000)):
+        df = spark.range(rows).select(poisson_count_weight(F.lit(n), F.concat(F.lit("t"), F.col("id").cast("string"))).alias("w"))
+        r = df.agg(F.avg("w"), F.variance("w"), F.min("w"), F.count_if(F.col("w") != F.floor("w")), F.skewness("w")).first()
+        spread = math.sqrt(n / rows)
+        assert abs(r[0] - n) < 5 * spread and math.isclose(r[1], n, rel_tol=.06) and r[2] >= 0 and r[3] == 0
+        assert math.isclose(r[4], 1 / math.sqrt(n), abs_tol=.1)
+
+
+def test_poisson_draws_follow_their_distribution(spark):
+    from collections import Counter
+
+    from ebbflow.operators.curves import poisson_count_weight
+    for n in (4, 14):
+        rows = 60_000
+        df = spark.range(rows).select(poisson_count_weight(F.lit(n), F.concat(F.lit("x"), F.col("id").cast("string"))).alias("w"))
+        got = Counter({int(r["w"]): r["count"] for r in df.groupBy("w").count().collect()})
+        want = {k: rows * math.exp(-n + k * math.log(n) - math.lgamma(k + 1)) for k in range(60)}
+        chi = sum((got[k] - e) ** 2 / e for k, e in want.items() if e >= 5)
+        cells = sum(e >= 5 for e in want.values())
+        assert chi < cells + 5 * math.sqrt(2 * cells)

@@ -154,17 +154,38 @@ def test_stratified_sample_exact_class_sizes(spark):
 
 def test_bootstrap_batches_do_not_change_the_result(spark):
     from ebbflow.plans.pipeline import Chain
-    from pyspark.sql import functions as F
     from conftest import SF_SMALL
     s = Chain.shared(spark, SF_SMALL).scored()
-    longs = (s.select("msno", "is_churn", F.lit("full").alias("model"), F.col("risk_score_full").alias("score"))
-             .unionByName(s.select("msno", "is_churn", F.lit("proxy").alias("model"),
-                                   F.col("risk_score_proxy_controlled").alias("score"))))
-    a = CU.bootstrap_pr_auc(longs, "full", 12, batch_size=50).first()
-    b = CU.bootstrap_pr_auc(longs, "full", 12, batch_size=5).first()
+    scores = {"full": "risk_score_full", "proxy": "risk_score_proxy_controlled"}
+    a = CU.bootstrap_pr_auc(s, scores, "full", 12).first()
+    b = CU.bootstrap_pr_auc(s, scores, "full", 12, batch_rows=1).first()
     assert a == b and a["n_boot"] == 12
 
 
+def test_bootstrap_on_cells_agrees_with_resampled_rows(spark):
+    """A table with ten copies of each row: the interval is that of Poisson(1) weights a row."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 60)
+    f, p = np.round(.4 * y + rng.random(60) * .6, 2), np.round(.2 * y + rng.random(60) * .8, 2)
+    rows = [(int(a), float(b), float(c)) for a, b, c in zip(y, f, p)] * 10
+    df = spark.createDataFrame(rows + [(None, .5, .5)], "is_churn int, f double, p double")
+    got = CU.bootstrap_pr_auc(df, {"full": "f", "proxy": "p"}, "full", 300).first()
+
+    def ap(w, s):
+        blocks = {v: (w[(s == v) & (Y == 1)].sum(), w[s == v].sum()) for v in set(s)}
+        tp = n = out = 0.0
+        for v in sorted(blocks, reverse=True):
+            tp, n = tp + blocks[v][0], n + blocks[v][1]
+            out += blocks[v][0] * (tp / n if n else 0)
+        return out / max(w[Y == 1].sum(), 1)
+    Y, S, P = (np.array(c) for c in zip(*rows))
+    d = [ap(w, P) - ap(w, S) for w in rng.poisson(1, (300, len(rows)))]
+    ones = np.ones(len(rows))
+    assert got["observed_diff"] == pytest.approx(ap(ones, P) - ap(ones, S), abs=1e-12)
+    spread = np.std(d)
+    assert abs(got["ci95_low"] - np.quantile(d, .025)) < .6 * spread and abs(got["ci95_high"] - np.quantile(d, .975)) < .6 * spread
+
+
 def test_per_group_join_same_result_broadcast_or_shuffle(spark, monkeypatch):
     from pyspark.sql import functions as F
 
