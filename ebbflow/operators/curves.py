@@ -16,11 +16,11 @@ from ebbflow.sources.literal import small_frame
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.expr import hash_uniform
-from ebbflow.functions.ranged import quantiles, running_sums
+from ebbflow.functions.ranged import running_sums
 
 def score_blocks(df: DataFrame, score: str, label: str = "is_churn", weight: str | Column | None = None,
                  by: list[str] | None = None) -> DataFrame:
@@ -31,12 +31,13 @@ def score_blocks(df: DataFrame, score: str, label: str = "is_churn", weight: str
             .groupBy(*by, "score").agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg")))
 
 
-def curve(df: DataFrame, score: str, label: str = "is_churn", weight=None, by: list[str] | None = None) -> DataFrame:
+def curve(df: DataFrame, score: str, label: str = "is_churn", weight=None, by: list[str] | None = None,
+          rows_per_range: int | None = None) -> DataFrame:
     """One row per distinct score with cumulative TP/FP, totals, and the
     ROC (fpr, tpr) and PR (precision, recall) coordinates at that threshold."""
     by = by or []
     blocks = score_blocks(df, score, label, weight, by)
-    cum = running_sums(blocks, by, [F.col("score").desc()], ["pos", "neg"])
+    cum = running_sums(blocks, by, [F.col("score").desc()], ["pos", "neg"], rows_per_range)
     cum = cum.withColumnsRenamed({"all_pos": "P", "all_neg": "N"})
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return cum.select(
@@ -47,10 +48,10 @@ def curve(df: DataFrame, score: str, label: str = "is_churn", weight=None, by: l
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str = "is_churn", weight=None,
-                    by: list[str] | None = None) -> DataFrame:
+                    by: list[str] | None = None, rows_per_range: int | None = None) -> DataFrame:
     """H12 + H13: ROC-AUC and average precision per ``by`` group."""
     by = by or []
-    c = curve(df, score, label, weight, by)
+    c = curve(df, score, label, weight, by, rows_per_range)
     ap_term = F.col("pos") * F.col("precision")
     roc_term = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
     agg = c.groupBy(*by).agg(F.sum(ap_term).alias("_ap"), F.sum(roc_term).alias("_roc"),
@@ -76,6 +77,12 @@ def precision_recall_at_k(df: DataFrame, score: str, k: int, label: str = "is_ch
 
 #: largest mean whose draws come from a table; attempts of the rejection draw above it
 TABLE_MEAN, ATTEMPTS = 9, 16
+DRAWS_PER_TASK = 30_000
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _poisson_cdf(mean: int) -> list[float]:
@@ -93,20 +100,23 @@ def poisson_count_weight(n: Column, text: Column) -> Column:
     not depend on n.  Up to ``TABLE_MEAN`` the inverse distribution function of a uniform of ``text``,
     above it transformed rejection (exact; the proposal is a ratio of uniforms, accepted nine times of ten)."""
     table = F.array(*[F.array(*[F.lit(c) for c in _poisson_cdf(m)]) for m in range(1, TABLE_MEAN + 1)])
-    small = F.size(F.filter(F.element_at(table, n.cast("int")), lambda c: c <= hash_uniform(text, F.lit(":0")))).cast("double")
+    small = _let(hash_uniform(text, F.lit(":0")), lambda u: F.size(F.filter(F.element_at(table, n.cast("int")), lambda c: c <= u))).cast("double")
     mean = n.cast("double")
     b = 0.931 + 2.53 * F.sqrt(mean)
     a = -0.059 + 0.02483 * b
 
+    factorials = F.array(*[F.log(F.lit(float(math.factorial(i)))) for i in range(10)])
+
     def attempt(j):
-        digest = F.md5(F.concat(text, F.lit(":"), j.cast("string")))
-        part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
-        u, v = (part(1) + 0.5) / 4294967296.0 - 0.5, (part(9) + 1.0) / 4294967296.0
-        us = 0.5 - F.abs(u)
-        k = F.floor((2.0 * a / us + b) * u + mean + 0.43).cast("double")
-        z = k + 1.0         # ln k! by its series; the acceptance below asks for k >= 0
-        log_k = (F.when(k < 10, F.log(F.element_at(F.array(*[F.lit(float(math.factorial(i))) for i in range(10)]), F.least(F.greatest(k, F.lit(0.0)), F.lit(9.0)).cast("int") + 1)))
-                 .otherwise((z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1.0 / (12.0 * z) - 1.0 / (360.0 * z * z * z)))
+        part = lambda digest, at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+        uniforms = lambda digest: F.struct(((part(digest, 1) + 0.5) / 4294967296.0 - 0.5).alias("u"), ((part(digest, 9) + 1.0) / 4294967296.0).alias("v"))
+        return _let(F.md5(F.concat(text, F.lit(":"), j.cast("string"))), lambda digest: _let(uniforms(digest), lambda r: _let(
+            F.floor((2.0 * a / (0.5 - F.abs(r["u"])) + b) * r["u"] + mean + 0.43).cast("double"), lambda k: accepted(r["u"], r["v"], k))))
+
+    def accepted(u, v, k):
+        us, z = 0.5 - F.abs(u), k + 1.0         # ln k! by its series; the acceptance asks for k >= 0
+        log_k = F.when(k < 10, F.element_at(factorials, F.least(F.greatest(k, F.lit(0.0)), F.lit(9.0)).cast("int") + 1)).otherwise(
+            (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1.0 / (12.0 * z) - 1.0 / (360.0 * z * z * z))
         inner = (us >= 0.07) & (v <= 0.9277 - 3.6224 / (b - 2.0))
         outer = (k >= 0) & ((us >= 0.013) | (v <= us)) & (
             F.log(v) + F.log(1.1239 + 1.1328 / (b - 3.4)) - F.log(a / (us * us) + b) <= -mean + k * F.log(mean) - log_k)
@@ -146,21 +156,29 @@ def bootstrap_pr_auc(df: DataFrame, scores: dict[str, str], reference: str, n_bo
         ap_rows = []
         for lo in range(1, n_boot + 1, step):
             reps = F.explode(F.sequence(F.lit(lo), F.lit(min(n_boot, lo + step - 1)))).alias("b")
-            drawn = cells.select("*", reps).withColumn("_w", poisson_count_weight(F.col("n"), F.concat("cell", F.lit(salt), F.col("b").cast("string"))))
-            long = drawn.where("_w > 0").select("b", "y", "_w", by_model).select("b", "y", "_w", "s.*")
-            boot = ranking_metrics(long, "score", "y", "_w", ["b", "model"])
+            # a cell and replicate costs a few microseconds: partitions by that work, not by bytes
+            parts = max(1, min(n_cells, n_cells * step // DRAWS_PER_TASK))
+            drawn = cells.repartition(parts, "cell").select("*", reps).withColumn("_w", poisson_count_weight(F.col("n"), F.concat("cell", F.lit(salt), F.col("b").cast("string"))))
+            long = drawn.select("b", "y", "_w", by_model).select("b", "y", "_w", "s.*")
+            boot = ranking_metrics(long, "score", "y", "_w", ["b", "model"], DRAWS_PER_TASK)
             ap_rows += [(int(r["b"]), r["model"], r["pr_auc"]) for r in boot.select("b", "model", "pr_auc").collect()]
         observed = ranking_metrics(cells.select("y", "n", by_model).select("y", "n", "s.*"), "score", "y", F.col("n").cast("double"), ["model"])
         seen = {r["model"]: r["pr_auc"] for r in observed.collect()}        # a row a model
     finally:
         cells.unpersist()
-    boot = small_frame(spark, ap_rows, "b int, model string, pr_auc double")
-    ref_b = boot.where(F.col("model") == reference).select("b", F.col("pr_auc").alias("ref"))
-    diffs = boot.where(F.col("model") != reference).join(ref_b, "b").select(
-        "model", (F.col("pr_auc") - F.col("ref")).alias("d"))
-    ci = quantiles(diffs, ["model"], {"q": ("d", [0.025, 0.975])}).join(
-        diffs.groupBy("model").agg(F.count(F.lit(1)).alias("n_boot")), "model")
-    base = seen.get(reference)
-    rows = [(m, v - base) for m, v in seen.items() if m != reference and v is not None and base is not None]
-    return small_frame(spark, rows, "model string, observed_diff double").join(ci, "model").select(
-        "model", "observed_diff", F.col("q")[0].alias("ci95_low"), F.col("q")[1].alias("ci95_high"), "n_boot")
+    by_rep: dict[int, dict[str, float]] = {}
+    for b, m, ap in ap_rows:                # replicates x models values
+        by_rep.setdefault(b, {})[m] = ap
+    rows = []
+    for m in scores:
+        diffs = sorted(r[m] - r[reference] for r in by_rep.values() if r.get(m) is not None and r.get(reference) is not None)
+        if m != reference and diffs and seen.get(m) is not None and seen.get(reference) is not None:
+            rows.append((m, seen[m] - seen[reference], _percentile(diffs, 0.025), _percentile(diffs, 0.975), len(diffs)))
+    return small_frame(spark, rows, "model string, observed_diff double, ci95_low double, ci95_high double, n_boot bigint")
+
+
+def _percentile(ordered: list[float], p: float) -> float:
+    """Linear interpolation between sorted values."""
+    place = p * (len(ordered) - 1)
+    lo, hi = ordered[math.floor(place)], ordered[math.ceil(place)]
+    return lo + (place - math.floor(place)) * (hi - lo)
