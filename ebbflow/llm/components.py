@@ -6,6 +6,7 @@ checksum a round.  Each round is checkpointed in the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
     raise RuntimeError("the components did not settle")
+
+
+class Forest:
+    """Disjoint sets over the rows of one task; a set is named by its least row."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        top = self.up[at]
+        while True:
+            more = self.up[top]
+            if (more == top).all():
+                return top
+            top = more
+
+    def join(self, link: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+        """Join the members of a matrix of links: labels spread over it until they settle."""
+        r, c, big = self.roots(rows), self.roots(cols), len(self.up)
+        new_r, new_c = r.copy(), c.copy()
+        while True:
+            after_r = np.minimum(new_r, np.where(link, new_c[None, :], big).min(axis=1))
+            after_c = np.minimum(new_c, np.where(link, after_r[:, None], big).min(axis=0))
+            if (after_r == new_r).all() and (after_c == new_c).all():
+                break
+            new_r, new_c = after_r, after_c
+        for old, new in {*zip(r.tolist(), new_r.tolist()), *zip(c.tolist(), new_c.tolist())}:
+            a, b = int(self.roots(np.array([old]))[0]), int(self.roots(np.array([new]))[0])
+            self.up[max(a, b)] = min(a, b)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbflow.llm.common import shuffle_parts, sorted_groups, stored
-from ebbflow.llm.components import components
+from ebbflow.llm.components import Forest, components
 
 
 @dataclass(frozen=True)
@@ -193,33 +193,6 @@ def near_blocks(blocks: DataFrame, rules: GridRules) -> DataFrame:
     return pairs
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self, at: np.ndarray) -> np.ndarray:
-        top = self.up[at]
-        while True:
-            more = self.up[top]
-            if (more == top).all():
-                return top
-            top = more
-
-    def join(self, link: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
-        """Join the members of a matrix of links: labels spread over it until they settle."""
-        r, c, big = self.roots(rows), self.roots(cols), len(self.up)
-        new_r, new_c = r.copy(), c.copy()
-        while True:
-            after_r = np.minimum(new_r, np.where(link, new_c[None, :], big).min(axis=1))
-            after_c = np.minimum(new_c, np.where(link, after_r[:, None], big).min(axis=0))
-            if (after_r == new_r).all() and (after_c == new_c).all():
-                break
-            new_r, new_c = after_r, after_c
-        for old, new in {*zip(r.tolist(), new_r.tolist()), *zip(c.tolist(), new_c.tolist())}:
-            a, b = int(self.roots(np.array([old]))[0]), int(self.roots(np.array([new]))[0])
-            self.up[max(a, b)] = min(a, b)
-
-
 def linked(u: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
     """Matrix of the pairs of unit rows with a cosine of ``least`` or more.  Single precision leaves
     out what its error bound allows; a rounding tie of the double sum is summed exactly."""
@@ -239,7 +212,7 @@ class Joiner:
     def __init__(self, u: np.ndarray, p: np.ndarray, copies: np.ndarray, rules: GridRules):
         self.u, self.p, self.rules, self.copies = u, p, rules, copies
         self.links = np.zeros(len(u), np.int64)
-        self.forest = _Forest(len(u))
+        self.forest = Forest(len(u))
         self.limit = rules.eps ** 2 + 1e-9
         self.boxes: dict = {}
         self.compared = 0

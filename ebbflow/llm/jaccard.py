@@ -4,13 +4,17 @@ A text is the set of its five-word shingles (a text of one to four words has one
 all its words).  Equal sets are one member with a copy count.  In each run a set picks
 the shingles whose hash, seeded by the path so far, lies below ``width / size``, and goes
 down the path of every pick; after two picks the paths are buckets.  Buckets over
-``bucket_limit`` are split by further picks; those that stay large (families of near
-copies) are compared block against block.  Runs repeat until a pair of the target
+``bucket_limit`` are split by further picks.  Runs repeat until a pair of the target
 similarity shares a bucket with the target probability, also if all its buckets are split.  Inside a bucket all pairs are
 compared exactly on their sets; a pair that shares several buckets counts in the least one
 alone, so links need not be emitted as pairs: each bucket gives its members' link counts
 and a spanning forest, and the forests are joined to classes.
 
+Buckets that stay large hold families of near copies, whose members share many of them.  Large
+buckets with a common member make one family, and a member is in one family at most; all pairs of
+a family are compared once, blocks of members against blocks, and no bucket answers for them again.
+So a member costs a row a block of its family, however many buckets it shares with it.
+
 Defined results: a null, empty or wordless text has no shingles, no links and a class of
 its own; rows with equal shingle sets (copies, repeated rows) link to each other; a class
 is named by its least doc_id (null if it has none); other columns are ignored; an empty
@@ -24,11 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.llm.common import SpanHash, U64, mix64, ngram_hash, shuffle_parts, sorted_groups, stored, text_slices, word_spans
-from ebbflow.llm.components import components
+from ebbflow.llm.components import Forest, components
 
 NO_ID = (1 << 63) - 1  # order of a null doc_id: last
 
@@ -41,6 +46,8 @@ class JoinRules:
     target_recall: float = 0.999
     bucket_limit: int = 1024
     block_shingles: int = 1 << 21
+    family_block: int = 4096     # members of a block of a family
+    tile: int = 512              # members compared at once inside blocks
     max_level: int = 4
 
     @property
@@ -202,17 +209,18 @@ def _overlaps(values: np.ndarray, soff: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pair_mask(bucket: int, lists: pa.Array, side: np.ndarray, block: tuple[int, int]) -> np.ndarray:
-    """Pairs (upper triangle) that this bucket and block answer for: no lesser bucket holds both."""
+def _pair_mask(bucket: int, lists: pa.Array, family: pa.Array) -> np.ndarray:
+    """Pairs (upper triangle) that this bucket answers for: no lesser bucket and no family holds both."""
     m = len(lists)
-    _, off, data = lists, lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    off, data = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(m), np.diff(off))
     flat = data[off[0]:off[-1]]
     lesser = flat < bucket
     flat, doc = flat[lesser], doc[lesser]
     mask = np.triu(np.ones((m, m), bool), 1)
-    if block[0] != block[1]:
-        mask &= side[:, None] != side[None, :]
+    known, name = family.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(family, 0).to_numpy()
+    if known.any():
+        mask &= ~(known[:, None] & known[None, :] & (name[:, None] == name[None, :]))
     if len(flat):
         uniq, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
         many = count[inverse] > 1
@@ -225,41 +233,40 @@ def _pair_mask(bucket: int, lists: pa.Array, side: np.ndarray, block: tuple[int,
     return mask
 
 
-def _block(batch: pa.RecordBatch):
-    side = batch.column("side").to_numpy()
-    return batch.column("bucket")[0].as_py(), side, (batch.column("a")[0].as_py(), batch.column("b")[0].as_py())
-
-
 def _needed(rows: DataFrame) -> DataFrame:
-    """The rows of (group, ..., buckets) that take part in a pair their group answers for."""
-    columns = ["group", "bucket", "a", "b", "side", "key"]
+    """The rows (bucket, key, buckets, family, copies) that take part in a pair their bucket answers for."""
+    columns = ["bucket", "key", "buckets", "family", "copies"]
 
     def run(batches):
-        for group in sorted_groups(batches, "group"):
-            bucket, side, block = _block(group)
-            mask = _pair_mask(bucket, group.column("buckets"), side, block)
+        for group in sorted_groups(batches, "bucket"):
+            mask = _pair_mask(group.column("bucket")[0].as_py(), group.column("buckets"), group.column("family"))
             use = mask.any(axis=0) | mask.any(axis=1)
             if use.any():
-                yield group.filter(pa.array(use)).select(columns + ["buckets", "copies"])
+                yield group.filter(pa.array(use)).select(columns)
+
+    schema = "bucket long, key binary, buckets array<long>, family long, copies long"
+    return rows.repartition("bucket").sortWithinPartitions("bucket").select(*columns).mapInArrow(run, schema)
 
-    schema = "group binary, bucket long, a int, b int, side int, key binary, buckets array<long>, copies long"
-    return rows.repartition("group").sortWithinPartitions("group").select(*columns, "buckets", "copies").mapInArrow(run, schema)
+
+LINKED = "key binary, root binary, links long"
+
+
+def _permille(rules: JoinRules) -> int:
+    """The similarity in thousandths: overlap / union >= similarity in whole numbers."""
+    return round(rules.similarity * 1000)
 
 
 def _linked(rows: DataFrame, rules: JoinRules) -> DataFrame:
-    """For the members of each group: links found (other documents), and the root of their local tree."""
+    """For the members of each bucket: links found (other documents), and the root of their local tree."""
 
     def run(batches):
-        for group in sorted_groups(batches, "group"):
-            bucket, side, block = _block(group)
-            mask = _pair_mask(bucket, group.column("buckets"), side, block)
+        for group in sorted_groups(batches, "bucket"):
+            mask = _pair_mask(group.column("bucket")[0].as_py(), group.column("buckets"), group.column("family"))
             values, soff = _packed(group.column("shingles"))
             size = np.diff(soff)
             both = _overlaps(values, soff)
-            # overlap / union >= similarity, in whole numbers a thousandth apart
-            permille = round(rules.similarity * 1000)
             union = size[:, None] + size[None, :] - both
-            link = mask & (both * 1000 >= permille * union)
+            link = mask & (both * 1000 >= _permille(rules) * union)
             if not link.any():
                 continue
             link |= link.T
@@ -276,8 +283,86 @@ def _linked(rows: DataFrame, rules: JoinRules) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(use)), keys.take(pa.array(label[use])), pa.array((link @ copies)[use], pa.int64())], ["key", "root", "links"])
 
-    parts = rows.repartition("group").sortWithinPartitions("group")
-    return parts.mapInArrow(run, "key binary, root binary, links long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LINKED)
+
+
+def families(big: DataFrame) -> DataFrame:
+    """(key, family) of the members of large buckets (bucket, key): buckets with a common member are one family."""
+    least = stored(big.groupBy("key").agg(F.min("bucket").alias("least")), "least-buckets")
+    edges = big.join(least, "key").filter("bucket <> least").select(F.col("bucket").alias("u"), F.col("least").alias("v")).distinct()
+    roots = components(edges)
+    return least.join(roots, F.col("least") == F.col("node"), "left").select("key", F.coalesce("root", "least").alias("family"))
+
+
+def _cross(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Intersection sizes of the sets of one side with those of the other."""
+    (va, oa), (vb, ob) = left, right
+    shared = np.intersect1d(np.unique(va), np.unique(vb), assume_unique=True)
+    out = np.zeros((len(oa) - 1, len(ob) - 1), np.float32)
+    sides = []
+    for values, off in (left, right):
+        at = np.searchsorted(shared, values)
+        hit = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == values) if len(shared) else np.zeros(0, np.int64)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], np.repeat(np.arange(len(off) - 1), np.diff(off))[hit][order], len(off) - 1))
+    for k in range(0, len(shared), 4096):
+        x = []
+        for col, doc, m in sides:
+            lo, hi = np.searchsorted(col, [k, k + 4096])
+            dense = np.zeros((m, min(4096, len(shared) - k)), np.float32)
+            dense[doc[lo:hi], col[lo:hi] - k] = 1
+            x.append(dense)
+        out += x[0] @ x[1].T
+    return out
+
+
+def _family_linked(rows: DataFrame, rules: JoinRules) -> DataFrame:
+    """The same as ``_linked`` for pairs of blocks (group, a, b) of a family, tile by tile."""
+
+    def run(batches):
+        for group in sorted_groups(batches, "group"):
+            a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+            group = group.take(pa.array(np.argsort(group.column("side").to_numpy(), kind="stable")))
+            side, keys, copies = group.column("side").to_numpy(), group.column("key"), group.column("copies").to_numpy()
+            values, soff = _packed(group.column("shingles"))
+            middle = int(np.searchsorted(side, b)) if a != b else 0      # rows of b
+            forest, links = Forest(len(side)), np.zeros(len(side), np.int64)
+            tiles = lambda lo, hi: [(k, min(k + rules.tile, hi)) for k in range(lo, hi, rules.tile)]
+            part = lambda t: (values[soff[t[0]]:soff[t[1]]], soff[t[0]:t[1] + 1] - soff[t[0]])
+            left, right = tiles(0, middle if a != b else len(side)), tiles(middle, len(side))
+            for s in left:
+                for t in right:
+                    if a == b and t < s:
+                        continue
+                    both = _cross(part(s), part(t))
+                    union = np.diff(soff[s[0]:s[1] + 1])[:, None] + np.diff(soff[t[0]:t[1] + 1])[None, :] - both
+                    link = both * 1000 >= _permille(rules) * union
+                    if s == t:
+                        np.fill_diagonal(link, False)
+                    if not link.any():
+                        continue
+                    x, y = np.arange(*s), np.arange(*t)
+                    links[x] += link @ copies[y]
+                    if s != t:
+                        links[y] += copies[x] @ link
+                    forest.join(link, x, y)
+            use = np.flatnonzero(links)
+            if len(use):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(use)), keys.take(pa.array(forest.roots(use))), pa.array(links[use])],
+                                                 ["key", "root", "links"])
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, LINKED)
+
+
+def _family_rows(member: DataFrame, reps: DataFrame, rules: JoinRules) -> DataFrame:
+    """(group, a, b, side, key, copies): each member once for each block of its family."""
+    sized = member.join(reps.select("key", "size", "copies"), "key")
+    blocks = sized.groupBy("family").agg(F.ceil(F.greatest(
+        F.count("*") / rules.family_block, F.sum("size") / rules.block_shingles)).cast("int").alias("blocks"))
+    placed = sized.join(blocks, "family").withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other"))
+    return placed.select(F.concat_ws("-", "family", "a", "b").alias("group"), "a", "b", "side", "key", "copies")
 
 
 @dataclass
@@ -302,15 +387,14 @@ def join(docs: DataFrame, rules: JoinRules = JoinRules()) -> Join:
             break
         split = _counted(_deeper(big.select("bucket", "key", "size").join(sets, "key"), rules).distinct())
         rows = stored(rows.filter(F.col("members") <= rules.bucket_limit).unionByName(split.select(rows.columns)), "paths")
+    large = (F.col("members") > rules.bucket_limit) | (F.col("shingle_sum") > rules.block_shingles)
+    member = stored(families(rows.filter(large).select("bucket", "key")), "families")
+    rows = rows.filter(~large)
     lists = rows.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
-    blocks = F.ceil(F.greatest(F.col("members") / rules.bucket_limit, F.col("shingle_sum") / rules.block_shingles)).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("bucket", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side"))
-    group = F.concat(F.unhex(F.lpad(F.hex("bucket"), 16, "0")), F.unhex(F.lpad(F.hex("a"), 8, "0")), F.unhex(F.lpad(F.hex("b"), 8, "0")))
-    listed = lists.join(reps.select("key", "copies"), "key")
-    needed = _needed(placed.withColumn("group", group).join(listed, "key"))
-    found = stored(_linked(needed.join(sets, "key"), rules), "links")
+    listed = lists.join(reps.select("key", "copies"), "key").join(member, "key", "left")
+    needed = _needed(rows.select("bucket", "key").join(listed, "key"))
+    found = _linked(needed.join(sets, "key"), rules)
+    found = stored(found.unionByName(_family_linked(_family_rows(member, reps, rules).join(sets, "key"), rules)), "links")
     roots = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")).distinct())
     links = found.groupBy("key").agg(F.sum("links").alias("found"))
     classes = reps.select("key", "first_id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")

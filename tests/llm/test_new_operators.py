@@ -190,3 +190,44 @@ def test_bounds_hold():
     low, high = angular.score_bounds(low, high, norm, norm, norm)
     score = v @ v.T
     assert (low <= score).all() and (score <= high).all() and ((high - low) < 2 * np.outer(norm, norm)).mean() > .5
+
+
+# ------------------------------------------------------------------ 10 families of near copies
+
+
+def test_family_rows_are_linear(spark):
+    """One family of near copies: a constant number of rows a member at three sizes, all links found."""
+    from ebbflow.llm import jaccard
+    words = [f"w{k}" for k in range(120)]
+    for m in (500, 1000, 2000):
+        rows = [(k, " ".join(words[:k % 120] + [f"x{k}"] + words[k % 120 + 1:])) for k in range(m)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        rules = jaccard.JoinRules(bucket_limit=100, family_block=4096, tile=128)
+        got = jaccard.near_duplicates(df, rules).collect()
+        assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {m - 1}
+        big = spark.createDataFrame([(b, bytes([k % 256, k // 256])) for k in range(m) for b in range(7)], "bucket long, key binary")
+        member = jaccard.families(big)
+        assert member.select("family").distinct().count() == 1 and member.count() == m
+        reps = member.select("key").selectExpr("key", "cast(120 as long) size", "cast(1 as long) copies")
+        assert jaccard._family_rows(member, reps, rules).count() == m
+
+
+def test_families_equal_brute_force(spark):
+    """Large buckets at a small limit, overlapping families, copies and blocks of a few members."""
+    from ebbflow.llm import jaccard
+    rng = np.random.default_rng(7)
+    texts = []
+    for f in range(4):
+        base = [f"f{f}w{k}" for k in range(60)]
+        for k in range(40):
+            own = list(base)
+            for at in rng.integers(0, 60, rng.integers(0, 3)):
+                own[at] = f"n{rng.integers(0, 9)}"
+            texts.append(" ".join(own + ["tail"] * int(rng.integers(0, 4))))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t) for k, t in enumerate(texts[:20])]
+    sets = [frozenset(tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))) for _, t in rows]
+    links = [sum(1000 * len(a & b) >= 800 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = jaccard.JoinRules(bucket_limit=8, family_block=16, tile=8, target_recall=1 - 1e-7)
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(df, rules).collect()}
+    assert [got[i] for i, _ in rows] == links
