@@ -200,16 +200,17 @@ def predict(docs: DataFrame, model: LanguageCode, held_out) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageCode) -> DataFrame:
-    """``docs`` without the rows whose text has no language: null texts and those without a
-    letter (all that is known where no language was learned)."""
+    """``docs`` without the rows that language ID rejects: texts without a language (null, or
+    without a letter) and ambiguous ones, whose prediction scores below ``ambiguous_below``.  Where
+    no language was learned, texts with a letter stay."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
-            lang = _predict(batch, shared.value)[0] if model_known else [None] * len(texts)
-            yield batch.filter(pa.array([k and x != UNKNOWN for k, x in zip(letters, lang)], pa.bool_()))
+            if not shared.value.languages:
+                yield batch.filter(pa.array([bool(t) and any(map(str.isalpha, t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+                continue
+            lang, _, unsure = _predict(batch, shared.value)
+            yield batch.filter(pa.array([x != UNKNOWN and not u for x, u in zip(lang, unsure)], pa.bool_()))
 
-    model_known = bool(model.languages)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(run, docs.schema)
