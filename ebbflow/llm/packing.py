@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import stored, text_buffers, slices
+from ebbflow.llm.common import stored, text_slices
 from ebbflow.llm.vocab import word_ids
 
 
@@ -56,14 +56,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, rules: PackRules = PackRules())
         seen = np.zeros(rules.capacity + 1, np.int64)
         end = np.array([rules.end_id], "<u4").tobytes()
         for batch in batches:
-            data, off = text_buffers(batch.column("text"))
-            raw = data.tobytes()
             ids = batch.column("doc_id").to_pylist()
-            for i, j in slices(off):
+            for i, j, data, off in text_slices(batch, "text"):
                 rows = []
-                encoded = word_ids(tokenizer_path).encode([raw[off[d]:off[d + 1]] for d in range(i, j)])
-                for d, own in zip(range(i, j), encoded):
-                    own += end
+                encoded, at = word_ids(tokenizer_path).encode(data, off)
+                encoded, at = encoded.astype("<u4").tobytes(), (4 * at).tolist()
+                for d, a, b in zip(range(i, j), at[:-1], at[1:]):
+                    own = encoded[a:b] + end
                     total = len(own) // 4
                     for k, start in enumerate(range(0, total, rules.capacity)):
                         length = min(rules.capacity, total - start)
