@@ -227,9 +227,13 @@ def _pair_mask(bucket: int, lists: pa.Array, family: pa.Array) -> np.ndarray:
         if many.any():
             col, doc = inverse[many], doc[many]
             col = np.unique(col, return_inverse=True)[1]
-            x = np.zeros((m, int(col.max()) + 1), np.float32)
-            x[doc, col] = 1
-            mask &= (x @ x.T) == 0
+            order = np.argsort(col, kind="stable")
+            col, doc = col[order], doc[order]
+            for k in range(0, int(col[-1]) + 1, 4096):      # in strips: a wide matrix would fill a worker
+                lo, hi = np.searchsorted(col, [k, k + 4096])
+                x = np.zeros((m, 4096), np.float32)
+                x[doc[lo:hi], col[lo:hi] - k] = 1
+                mask &= (x @ x.T) == 0
     return mask
 
 

@@ -72,6 +72,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, rules: PackRules = PackRules())
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int32() if n in ("piece", "part") else pa.int64()) for n, c in zip(names, cols)], names)
+        word_ids(tokenizer_path).forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 

@@ -36,7 +36,7 @@ class WordIds:
     is two pre-tokens, of which the first is lower-cased: its parts are units of their own, so
     ``Word``, ``word,`` and ``word.`` cost one encoding.  Caches are emptied when full."""
 
-    def __init__(self, path: str, unit_entries: int = 600_000, part_entries: int = 250_000):
+    def __init__(self, path: str, unit_entries: int = 300_000, part_entries: int = 150_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.units: dict[bytes, bytes] = {}
@@ -117,6 +117,10 @@ class WordIds:
         lower = data + ((np.cumsum(step[:-1], dtype=np.int8) > 0) & (data >= 65) & (data <= 90)) * np.uint8(32)
         return lower, unit_starts, unit_ends, unit_plain, n
 
+    def forget(self) -> None:
+        """Give the caches back: a worker outlives its task and goes on to other stages."""
+        self.units, self.parts = {}, {"": b""}
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a slice in a row, and where each text's begin.  Each distinct unit of
         the slice (by two 64-bit hashes) is looked up once."""
