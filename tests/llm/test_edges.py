@@ -111,6 +111,27 @@ def test_stage_keeps_clean_documents(spark, docs):
     assert left == {r.class_id for r in classes}
 
 
+def test_pipeline_end_to_end(spark, tmp_path):
+    """``run`` over a folder: every stage's decision reaches the packed rows, whose ids are those of the kept text."""
+    prose = [" ".join(f"plain{k} words{j} go on and on here" for j in range(30)) for k in range(6)]
+    rows = [(k, t, "en") for k, t in enumerate(prose)] + [(10, prose[0], "en"), (11, None, None), (12, "123 456", "en"),
+                                                          (13, "my note password=ed4186779a4aeb1eeb ends here", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {*range(6), 13}               # copies and texts without a language are gone
+    packed = {}
+    for r in got:
+        packed.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in packed.values():                                   # gapless from 0, within the capacity
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+
+
 def test_other_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string, text string, host string")
     assert html.main_text(pages).collect() == []
