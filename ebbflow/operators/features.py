@@ -81,7 +81,11 @@ def transaction_features(txn: DataFrame, cutoff: int, tie_break: str | None = "t
                          expire_floor: int = C.EXPIRE_DATE_MIN_VALID) -> DataFrame:
     """Per paying customer: aggregates, latest values, safe ratios (B6), total
     discount (B7), expire-date sentinel guard (B5) and day differences (B9)."""
-    a = transaction_aggregates(txn, cutoff, tie_break)
+    return features_of(transaction_aggregates(txn, cutoff, tie_break), cutoff, expire_floor)
+
+
+def features_of(a: DataFrame, cutoff: int, expire_floor: int = C.EXPIRE_DATE_MIN_VALID) -> DataFrame:
+    """The feature columns over the aggregates of each customer at the cutoff."""
     expire_invalid = F.col("latest_membership_expire_date") < F.lit(expire_floor)
     cut = F.lit(cutoff)
     return a.select(
@@ -143,8 +147,11 @@ MODELING_COLUMNS = ["msno", "is_churn"] + MEMBER_FEATURE_COLUMNS[1:] + ["has_mem
 def modeling_dataset(labels: DataFrame, members: DataFrame, txn: DataFrame, cutoff: int,
                      tie_break: str | None = "txn_id", expire_floor: int = C.EXPIRE_DATE_MIN_VALID) -> DataFrame:
     """C4: labels left-joined to member and transaction features (40 columns)."""
-    mf = member_features(members, cutoff)
-    tf = transaction_features(txn, cutoff, tie_break, expire_floor)
+    return assemble(labels, member_features(members, cutoff), transaction_features(txn, cutoff, tie_break, expire_floor))
+
+
+def assemble(labels: DataFrame, mf: DataFrame, tf: DataFrame) -> DataFrame:
+    """Labels beside the features of members and transactions."""
     df = join_with_indicator(labels.select("msno", "is_churn"), mf, "has_members_data")
     df = join_with_indicator(df, tf, "has_transactions_data")
     return zero_fill_counts(df).select(*MODELING_COLUMNS)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ebbflow import config as C
 from ebbflow.config import ROUNDS
-from ebbflow.operators import features, scoring
+from ebbflow.operators import features, scoring, states
 from ebbflow.session import ensure_checkpoint_dir
 from ebbflow.sources.stages import input_identity, run_stage
 from ebbflow.sources.testdata import TestTables
@@ -95,6 +95,28 @@ class Chain:
         return features.modeling_dataset(self.labels(), self.members(), self.transactions_to_cutoff(), self.round.cutoff,
                                          expire_floor=self.round.expire_floor)
 
+    # -- merged states ----------------------------------------------------------
+    def _states_stage(self, name: str, build, cutoff: int | None = None) -> DataFrame:
+        ensure_checkpoint_dir(self.spark)
+        return run_stage(self.spark, name, build, cutoff, source=self.source or input_identity(self.spark, self.sf_dir))
+
+    def monthly_states(self) -> DataFrame:
+        """States by customer and month over the whole fact: one stage for every cutoff and round."""
+        return self._states_stage("monthly_states", lambda: states.laid_out(
+            states.partial_states(states.with_month(self.transactions()), ["msno", "month"])))
+
+    def state_at(self, cutoff: int) -> DataFrame:
+        """The state of each customer at a cutoff: whole months from the stage, the edge month from the fact."""
+        edge = states.edge_month(cutoff)
+        return states.state_at(self.monthly_states(), cutoff, self.tables.transactions(*edge) if edge else None)
+
+    def snapshot(self, cutoff: int) -> DataFrame:
+        """The state at a cutoff as a stage of its own, to go on from."""
+        return self._states_stage("customer_states", lambda: self.state_at(cutoff), cutoff)
+
+    def features_from_states(self, state: DataFrame) -> DataFrame:
+        return features.features_of(states.aggregates(state), self.round.cutoff, self.round.expire_floor)
+
     # -- scoring --------------------------------------------------------------
     @cached_property
     def _scored(self) -> DataFrame:
