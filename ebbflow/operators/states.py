@@ -8,7 +8,7 @@ the set of payment methods and the latest row.  States of disjoint sets of rows
 * ``advance`` adds later rows to a state per customer, so the next cutoff reads only what came after the last one.
 
 A merge meets at most one row a month and customer, so a customer with a third of all fact rows is no larger
-than any other.  Rows without a date belong to no cutoff and are left out, as the cutoff filter does; a missing
+than any other, and states can lie in buckets of the customer (``sources.buckets``): a merge is then no shuffle.  Rows without a date belong to no cutoff and are left out, as the cutoff filter does; a missing
 payment method is in no set; an empty fact gives no states.
 """
 
@@ -57,12 +57,6 @@ def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
         F.max_by("latest", "latest_at").alias("latest"))
 
 
-def laid_out(states: DataFrame) -> DataFrame:
-    """Monthly states in the order of their months, so that a bound on the month skips files and row groups.
-    Ranges run over (month, customer): a busy month takes several."""
-    return states.repartitionByRange("month", "msno").sortWithinPartitions("month", "msno")
-
-
 def edge_month(cutoff: int) -> tuple[int, int] | None:
     """(first day, cutoff) of the month that the cutoff cuts, or None where it is a month's last day."""
     year, month, day = cutoff // 10000, cutoff // 100 % 100, cutoff % 100

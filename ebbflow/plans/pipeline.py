@@ -20,6 +20,7 @@ from ebbflow import config as C
 from ebbflow.config import ROUNDS
 from ebbflow.operators import features, scoring, states
 from ebbflow.session import ensure_checkpoint_dir
+from ebbflow.sources.buckets import bucketed_stage
 from ebbflow.sources.stages import input_identity, run_stage
 from ebbflow.sources.testdata import TestTables
 
@@ -95,15 +96,16 @@ class Chain:
         return features.modeling_dataset(self.labels(), self.members(), self.transactions_to_cutoff(), self.round.cutoff,
                                          expire_floor=self.round.expire_floor)
 
-    # -- merged states ----------------------------------------------------------
-    def _states_stage(self, name: str, build, cutoff: int | None = None) -> DataFrame:
+    # -- merged states, in buckets of the customer -------------------------------
+    def _bucketed(self, name: str, build, cutoff: int | None = None, sort: list[str] | None = None) -> DataFrame:
         ensure_checkpoint_dir(self.spark)
-        return run_stage(self.spark, name, build, cutoff, source=self.source or input_identity(self.spark, self.sf_dir))
+        return bucketed_stage(self.spark, name, build, sort=sort, cutoff=cutoff,
+                              source=self.source or input_identity(self.spark, self.sf_dir))
 
     def monthly_states(self) -> DataFrame:
         """States by customer and month over the whole fact: one stage for every cutoff and round."""
-        return self._states_stage("monthly_states", lambda: states.laid_out(
-            states.partial_states(states.with_month(self.transactions()), ["msno", "month"])))
+        return self._bucketed("monthly_states", lambda: states.partial_states(
+            states.with_month(self.transactions()), ["msno", "month"]), sort=["month", "msno"])
 
     def state_at(self, cutoff: int) -> DataFrame:
         """The state of each customer at a cutoff: whole months from the stage, the edge month from the fact."""
@@ -112,11 +114,19 @@ class Chain:
 
     def snapshot(self, cutoff: int) -> DataFrame:
         """The state at a cutoff as a stage of its own, to go on from."""
-        return self._states_stage("customer_states", lambda: self.state_at(cutoff), cutoff)
+        return self._bucketed("customer_states", lambda: self.state_at(cutoff), cutoff)
 
     def features_from_states(self, state: DataFrame) -> DataFrame:
         return features.features_of(states.aggregates(state), self.round.cutoff, self.round.expire_floor)
 
+    def dataset_from_states(self) -> DataFrame:
+        """The modeling dataset over stages in equal buckets: states are merged and labels, members and features
+        joined where they lie."""
+        labels = self._bucketed("labels", self.labels, self.round.cutoff)
+        members = self._bucketed("members", self.members)
+        return features.assemble(labels, features.member_features(members, self.round.cutoff),
+                                 self.features_from_states(self.state_at(self.round.cutoff)))
+
     # -- scoring --------------------------------------------------------------
     @cached_property
     def _scored(self) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Registered queries over fact states that can be merged (A8, D1, D3, E1; C4 over them)."""
+"""Registered queries over fact states that can be merged (A8, D1, D3, E1; C1, C2, C4 over them)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ebbflow.config import ROUNDS
-from ebbflow.operators import features as FE
 from ebbflow.operators import states as ST
 from ebbflow.plans.common import finalize, sql_final
 from ebbflow.plans.oracle import q
@@ -71,7 +70,6 @@ def mid_month_aggregates(spark, sf):
 
 @register("modeling_dataset_from_states", sql_final(q("SELECT * FROM ds"), DS_DOUBLES))
 def modeling_dataset_from_states(spark, sf):
-    """C4 over merged states: the 40-column modeling table of round v2."""
-    ch = Chain.shared(spark, sf)
-    tf = ch.features_from_states(ch.state_at(ch.round.cutoff))
-    return finalize(FE.assemble(ch.labels(), ch.member_features(), tf))
+    """C1, C2, C4 over merged states: the 40-column modeling table of round v2, without a shuffle once the
+    bucketed stages are there."""
+    return finalize(Chain.shared(spark, sf).dataset_from_states())

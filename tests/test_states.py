@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.operators import features as FE
 from ebbflow.operators import states as ST
+from ebbflow.sources.buckets import bucketed_stage
 from tests.test_features import TXN_SCHEMA
 
 ROWS = [("a", 1, 10, 30, 100, 100, 1, 20170101, 20170131, 0),
@@ -22,7 +23,7 @@ def _rows(df):
 
 
 def _months(txn):
-    return ST.laid_out(ST.partial_states(ST.with_month(txn), ["msno", "month"]))
+    return ST.partial_states(ST.with_month(txn), ["msno", "month"])
 
 
 @pytest.mark.parametrize("cutoff", [20161231, 20170101, 20170131, 20170227, 20170228, 20170301, 20170314, 20170315, 20170331])
@@ -70,3 +71,41 @@ def test_second_cutoff_reads_no_fact_outside_its_edge_month(spark, chain_small):
     assert "LessThan(month,200012)" in plan
     direct = FE.transaction_aggregates(chain_small.transactions(), 20001215)
     assert _rows(ST.aggregates(chain_small.state_at(20001215))) == _rows(direct)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_modeling_dataset_on_bucketed_stages_has_no_exchange(spark, chain_small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    try:
+        ds = chain_small.dataset_from_states()
+        assert "Exchange" not in _plan(ds) and "SortMergeJoin" in _plan(ds)
+        assert "Exchange" in _plan(chain_small.build_dataset())
+        assert _rows(ds) == _rows(chain_small.build_dataset())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_new_session_declares_the_committed_buckets_again(spark, tmp_path):
+    txn = spark.createDataFrame(ROWS, TXN_SCHEMA)
+    first = bucketed_stage(spark, "months", lambda: _months(txn), root=str(tmp_path))
+    expected = _rows(first)
+    table = first.inputFiles() and [t.name for t in spark.catalog.listTables() if t.name.startswith("stage_")]
+    for name in table:
+        if spark.sql(f"DESCRIBE FORMATTED {name}").where(F.col("data_type").contains(str(tmp_path))).count():
+            spark.sql(f"DROP TABLE {name}")  # forgets the entry, as the end of a session does; files stay
+
+    def never():
+        raise AssertionError("a committed stage was built again")
+
+    again = bucketed_stage(spark, "months", never, root=str(tmp_path))
+    assert _rows(again) == expected
+    assert "Exchange" not in _plan(ST.merge_states(again.drop("month"), ["msno"]))
+
+
+def test_empty_table_in_buckets(spark, tmp_path):
+    empty = spark.createDataFrame([], TXN_SCHEMA)
+    assert bucketed_stage(spark, "empty", lambda: empty, root=str(tmp_path)).count() == 0
+    assert bucketed_stage(spark, "empty", lambda: empty, root=str(tmp_path)).columns == empty.columns
