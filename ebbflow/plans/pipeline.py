@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ebbflow import config as C
 from ebbflow.config import ROUNDS
-from ebbflow.operators import features, scoring, states
+from ebbflow.operators import features, keyindex, scoring, states
 from ebbflow.session import ensure_checkpoint_dir
 from ebbflow.sources.buckets import bucketed_stage
 from ebbflow.sources.stages import input_identity, run_stage
@@ -154,10 +154,11 @@ class Chain:
         medium, high = self.thresholds
         return scoring.assign_tiers(self.scored(), medium, high)
 
-    def committed(self, name: str, build) -> DataFrame:
+    def committed(self, name: str, build, options: dict[str, str] | None = None) -> DataFrame:
         """The committed stage ``name`` of this input and cutoff, written first if it is not there."""
         ensure_checkpoint_dir(self.spark)
-        return run_stage(self.spark, name, build, self.round.cutoff, source=self.source or input_identity(self.spark, self.sf_dir))
+        return run_stage(self.spark, name, build, self.round.cutoff, options=options,
+                         source=self.source or input_identity(self.spark, self.sf_dir))
 
     # -- segments / value / plan ---------------------------------------------
     def segments(self) -> DataFrame:
@@ -213,5 +214,16 @@ class Chain:
         from ebbflow.operators import serving
         return serving.customer_360(self)
 
+    def lookup_by_key(self) -> DataFrame:
+        """The customer-360 table in the order of its keys, with bloom filters: for reads of one key."""
+        return self.committed("lookup_by_key", lambda: keyindex.key_ordered(self.lookup()), keyindex.bloom_options("msno"))
+
+    def search_key(self, needle: str) -> DataFrame:
+        """Key, tier and segment of the customers whose key holds the needle, from posting lists."""
+        table = self.lookup_by_key()
+        lists = self.committed("key_postings", lambda: keyindex.postings(table, keep=["risk_tier", "segment"]))
+        counts = self.committed("key_posting_counts", lambda: keyindex.posting_counts(lists))
+        return keyindex.search(table, lists, counts, needle)
+
     def unpersist(self) -> None:
         _SHARED.pop((self.spark.sparkContext.applicationId, self.sf_dir, self.round.name), None)

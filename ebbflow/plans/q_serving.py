@@ -70,6 +70,18 @@ def customer_lookup(spark, sf):
     return finalize(_lk(spark, sf).where(F.col("msno") == "C+10/="))
 
 
+@register("customer_by_key", sql_final(ql("\nSELECT * FROM lk WHERE msno = 'C+10/='"), LK_D))
+def customer_by_key(spark, sf):
+    """B32 over the key-ordered stage: bounds and bloom filters leave one row group to read."""
+    return finalize(Chain.shared(spark, sf).lookup_by_key().where(F.col("msno") == "C+10/="))
+
+
+@register("id_search_postings", ql("\nSELECT msno, risk_tier, segment FROM lk WHERE contains(lower(msno), lower('C+12'))"))
+def id_search_postings(spark, sf):
+    """B23 over posting lists: the needle's shortest trigram list, checked exactly."""
+    return Chain.shared(spark, sf).search_key("C+12")
+
+
 @register("range_keep_null", ql("\nSELECT msno, total_revenue FROM lk WHERE total_revenue BETWEEN 50 AND 300 OR total_revenue IS NULL"))
 def range_keep_null(spark, sf):
     """Inclusive revenue range, customers without revenue kept."""

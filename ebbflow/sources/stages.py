@@ -63,12 +63,13 @@ def stage_path(spark: SparkSession, name: str, cutoff: int | None = None, root:
 
 
 def run_stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], cutoff: int | None = None,
-              root: str | None = None, partition_by: list[str] | None = None, source: str | None = None) -> DataFrame:
-    """Reuse-or-build: read the committed stage output, else build, write, read.
+              root: str | None = None, partition_by: list[str] | None = None, source: str | None = None,
+              options: dict[str, str] | None = None) -> DataFrame:
+    """Reuse-or-build: read the committed stage output, else build, write with the given options, read.
     Key columns keep their string type through the Parquet schema."""
     path = stage_path(spark, name, cutoff, root, source)
     if not _committed(spark, path):
-        writer = build().write.mode("overwrite")
+        writer = build().write.mode("overwrite").options(**(options or {}))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
