@@ -22,8 +22,11 @@ smaller slot, then the smaller bin; between nodes to the one nearer the root, th
 
 from __future__ import annotations
 
+import math
+import random
+import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -392,8 +395,6 @@ def score_all(models: list[BoostedModel], df: DataFrame, out: str = "scores") ->
 def fit_boosted(train: DataFrame, rules: list[BoostRules], label: str = "is_churn", key: str | Column = "msno",
                 pre=None) -> list[BoostedModel]:
     """Fits every model of ``rules`` over the same binned rows, in shared passes."""
-    import time
-
     from ebbflow.operators import ml as ML
     t0 = time.time()
     pre = pre or ML.Preprocessor().fit(train)
@@ -446,3 +447,63 @@ def fit_boosted(train: DataFrame, rules: list[BoostRules], label: str = "is_chur
         blocks.frame.unpersist()
     took = time.time() - t0
     return [BoostedModel(r, pre, edges, t, n, took, passes) for r, t in zip(rules, trees)]
+
+
+# Search space of the boosted-tree random search.
+PARAM_DIST = {
+    "depth": [3, 4, 5, 6, 8],
+    "lr": [0.01, 0.03, 0.05, 0.1, 0.2],
+    "trees": [100, 200, 300],
+    "min_hess": [1.0, 3.0, 5.0, 10.0],
+    "subsample": [0.6, 0.8, 1.0],
+    "colsample": [0.6, 0.8, 1.0],
+}
+
+
+def draws(n_iter: int, param_dist: dict, seed: int) -> list[dict]:
+    """Seeded draws from the parameter lists, each combination once (at most as many as there are)."""
+    rng, keys, out = random.Random(seed), list(param_dist), []
+    while len(out) < min(n_iter, math.prod(len(v) for v in param_dist.values())):
+        d = {k: rng.choice(param_dist[k]) for k in keys}
+        if d not in out:
+            out.append(d)
+    return out
+
+
+def random_search(train: DataFrame, feature_sets: dict, n_iter: int = 15, seed: int = C.SEED, label: str = "is_churn",
+                  param_dist: dict | None = None) -> list[dict]:
+    """H9: the same draws for each feature set (name -> excluded features), fitted on one class-stratified part of
+    ``train`` in shared passes and compared by ROC-AUC on the rest, which is scored once for all.  Returns a dict a
+    candidate: feature_set, draw, the parameters, roc_auc, best (first of the highest ROC-AUC in its set)."""
+    from ebbflow.operators import ml as ML
+    from ebbflow.operators.curves import ranking_metrics
+    drawn = draws(n_iter, param_dist or PARAM_DIST, seed)
+    found = [dict(feature_set=name, draw=i, **d) for name in feature_sets for i, d in enumerate(drawn)]
+    rules = [BoostRules(**drawn[c["draw"]], exclude=tuple(feature_sets[c["feature_set"]]), seed=seed) for c in found]
+    split = ML.stratified_split(train, 0.8, salt="search", label=label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        models = fit_boosted(split.where(F.col("split") == "train"), rules, label)
+        scored = score_all(models, split.where(F.col("split") == "test"), "_scores").select(
+            label, F.posexplode("_scores").alias("model", "score"))
+        auc = {r["model"]: r["roc_auc"] for r in ranking_metrics(scored, "score", label, None, ["model"]).collect()}
+    finally:
+        split.unpersist()
+    for k, c in enumerate(found):
+        c["roc_auc"] = auc.get(k)
+    for name in feature_sets:
+        own = [c for c in found if c["feature_set"] == name]
+        top = max((c["roc_auc"] for c in own if c["roc_auc"] is not None), default=None)
+        first = next(c for c in own if c["roc_auc"] == top)
+        for c in own:
+            c["best"] = c is first
+    return found
+
+
+def tuned_models(train: DataFrame, found: list[dict], feature_sets: dict, seed: int = C.SEED,
+                 label: str = "is_churn") -> dict[str, BoostedModel]:
+    """The best candidate of each feature set, fitted on all of ``train`` (one run of shared passes)."""
+    best = [c for c in found if c["best"]]
+    names = [f.name for f in fields(BoostRules)]
+    rules = [BoostRules(**{k: v for k, v in c.items() if k in names}, exclude=tuple(feature_sets[c["feature_set"]]), seed=seed)
+             for c in best]
+    return dict(zip([c["feature_set"] for c in best], fit_boosted(train, rules, label)))

@@ -15,7 +15,6 @@ from __future__ import annotations
 from ebbflow.sources.literal import small_frame
 
 import math
-import random
 import time
 
 from pyspark import StorageLevel
@@ -229,53 +228,6 @@ def rule_baseline(train: DataFrame, test: DataFrame, label: str = "is_churn") ->
     return test.withColumn("score", F.when(flag, F.lit(r["off"])).otherwise(F.lit(r["on"])))
 
 
-# Search space of the boosted-tree random search.
-PARAM_DIST = {
-    "depth": [3, 4, 5, 6, 8],
-    "lr": [0.01, 0.03, 0.05, 0.1, 0.2],
-    "trees": [100, 200, 300],
-    "min_leaf": [1, 3, 5, 10],
-    "subsample": [0.6, 0.8, 1.0],
-    "colsample": [0.6, 0.8, 1.0],
-}
-
-
-def random_search(train: DataFrame, n_iter: int = 15, exclude=(), seed: int = C.SEED, label: str = "is_churn",
-                  param_dist: dict | None = None, parallelism: int = 4):
-    """H9: seeded draws from the parameter lists, one fixed hash validation split,
-    pick the best validation ROC-AUC (first draw on ties), refit on the whole
-    training frame.  Candidates are fitted concurrently (``parallelism`` driver
-    threads submitting Spark jobs, like ``TrainValidationSplit``)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from ebbflow.operators.curves import ranking_metrics
-    dist = param_dist or PARAM_DIST
-    rng = random.Random(seed)
-    keys = list(dist)
-    n_iter = min(n_iter, 1 if not keys else __import__("math").prod(len(dist[k]) for k in keys))
-    draws, seen = [], set()
-    while len(draws) < n_iter:
-        d = tuple(rng.choice(dist[k]) for k in keys)
-        if d not in seen:
-            seen.add(d)
-            draws.append(dict(zip(keys, d)))
-    split = stratified_split(train, 0.8, salt="search")
-    fit_part, val_part = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
-
-    shared = Preprocessor(exclude).fit(fit_part)
-
-    def evaluate(params):
-        kw = dict(params, colsample=str(params["colsample"]) if params.get("colsample", 1) < 1 else "all")
-        m = TrainedModel("boosted_trees", fit_part, exclude, label, pre=shared, **kw)
-        return params, ranking_metrics(m.score(val_part), "score", label).first()["roc_auc"]
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(evaluate, draws))
-    best = max(results, key=lambda r: (r[1], -results.index(r)))[0]
-    kw = dict(best, colsample=str(best["colsample"]) if best.get("colsample", 1) < 1 else "all")
-    return best, results, TrainedModel("boosted_trees", train, exclude, label, **kw)
-
-
 def linear_driver_importance(tm: TrainedModel, test: DataFrame) -> DataFrame:
     """H26(a): global mean |coef * (x_scaled - mean)| per encoded slot, dummies
     summed back to their source feature; exact for the logistic model.  One

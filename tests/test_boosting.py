@@ -122,3 +122,28 @@ def test_one_class_and_null_labels(spark, train, models):
     half = train.withColumn("is_churn", F.when(F.col("bd_missing") == 1, F.lit(None)).otherwise(F.col("is_churn")))
     kept = B.fit_boosted(train.where("bd_missing = 0 OR bd_missing IS NULL"), r, pre=models[0].pre)[0]
     assert B.fit_boosted(half, r, pre=models[0].pre)[0].train_rows == kept.train_rows
+
+
+def test_random_search_equals_separate_fits(spark, train):
+    from ebbflow.operators.curves import ranking_metrics
+    dist = {"depth": [2, 3], "lr": [0.1, 0.3], "trees": [2, 4], "min_hess": [1.0]}
+    sets = {"full": (), "proxy_controlled": tuple(PROXY_EXCLUDE)}
+    found = B.random_search(train, sets, n_iter=3, param_dist=dist)
+    assert [(c["feature_set"], c["draw"]) for c in found] == [(s, i) for s in sets for i in range(3)]
+    split = ML.stratified_split(train, 0.8, salt="search").checkpoint(eager=True)
+    for c in (found[1], found[3]):
+        r = B.BoostRules(depth=c["depth"], lr=c["lr"], trees=c["trees"], min_hess=1.0, exclude=sets[c["feature_set"]])
+        m = B.fit_boosted(split.where("split = 'train'"), [r])[0]
+        assert ranking_metrics(m.score(split.where("split = 'test'")), "score").first()["roc_auc"] == c["roc_auc"]
+    for s in sets:
+        own = [c for c in found if c["feature_set"] == s]
+        assert [c["best"] for c in own].index(True) == max(range(3), key=lambda i: (own[i]["roc_auc"], -i))
+    tuned = B.tuned_models(train, found, sets)
+    assert all(tuned[c["feature_set"]].rules.depth == c["depth"] for c in found if c["best"])
+    assert tuned["full"].train_rows == train.count()
+
+
+def test_draws_are_seeded_and_distinct():
+    d = B.draws(15, B.PARAM_DIST, 42)
+    assert d == B.draws(15, B.PARAM_DIST, 42) and len({tuple(x.items()) for x in d}) == 15
+    assert len(B.draws(9, {"depth": [1, 2]}, 1)) == 2

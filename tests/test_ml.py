@@ -1,4 +1,4 @@
-"""MLlib pieces on the small tables: unseen categories, random search mechanics, pairing."""
+"""MLlib pieces on the small tables: unseen categories, pairing."""
 
 from pyspark.sql import functions as F
 
@@ -17,15 +17,6 @@ def test_unseen_category_encodes_as_zeros(spark):
     assert all(r["city_oh"].numNonzeros() == 0 for r in v)
 
 
-def test_random_search_picks_best_and_refits(spark):
-    train = Chain(spark, SF_SMALL, "v1").scored()
-    dist = {"depth": [2, 3], "lr": [0.1], "trees": [3], "min_leaf": [1], "subsample": [1.0], "colsample": [1.0]}
-    best, results, model = ML.random_search(train, n_iter=5, param_dist=dist, parallelism=2)
-    assert len(results) == 2 and best in [p for p, _ in results]
-    assert max(a for _, a in results) == dict((tuple(p.items()), a) for p, a in results)[tuple(best.items())]
-    assert model.score(train).count() == train.count()
-
-
 def test_permutation_partner_is_a_bijection(spark):
     df = spark.range(3000).select(F.concat(F.lit("C+"), F.col("id").cast("string")).alias("msno"))
     pairs = ML.permutation_partner(df, bucket_rows=500)
