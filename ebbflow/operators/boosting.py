@@ -130,13 +130,26 @@ class Tree:
     routes: dict  # node -> (slot, bin): codes up to the bin go left
     values: dict  # leaf -> margin
 
-    def margins(self, codes: np.ndarray) -> np.ndarray:
-        at = route(codes, self.routes)
-        table = np.zeros(int(at.max(initial=1)) + 1)
+    def packed(self) -> "PackedTree":
+        size = max([*self.routes, *self.values], default=1) + 1
+        slot, cut, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.zeros(size)
+        for k, (s, b) in self.routes.items():
+            slot[k], cut[k] = s, b
         for k, v in self.values.items():
-            if k < table.size:
-                table[k] = v
-        return table[at]
+            value[k] = v
+        return PackedTree(slot, cut, value)
+
+
+@dataclass(frozen=True)
+class PackedTree:
+    """A tree as arrays over heap numbers, as it is sent to tasks (cut -1: rows stay)."""
+
+    slot: np.ndarray
+    cut: np.ndarray
+    value: np.ndarray
+
+    def margins(self, codes: np.ndarray) -> np.ndarray:
+        return self.value[walk_down(codes, self.slot, self.cut)]
 
 
 def leaf_value(node: Node, r: BoostRules) -> float:
@@ -146,17 +159,15 @@ def leaf_value(node: Node, r: BoostRules) -> float:
 
 def route(codes: np.ndarray, routes: dict) -> np.ndarray:
     """The node at which each row (a column of ``codes``) ends."""
-    at = np.ones(codes.shape[1], np.int32)
-    if not routes:
-        return at
-    size = max(routes) + 1
-    slot, cut = np.zeros(size, np.int32), np.full(size, -1, np.int32)
-    for k, (s, b) in routes.items():
-        slot[k], cut[k] = s, b
+    p = Tree(routes, {}).packed()
+    return walk_down(codes, p.slot, p.cut)
+
+
+def walk_down(codes: np.ndarray, slot: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    at, size = np.ones(codes.shape[1], np.int32), len(cut)
     rows = np.arange(codes.shape[1])
-    for _ in range(max(routes).bit_length()):
-        inside = np.minimum(at, size - 1)
-        on = (at < size) & (cut[inside] >= 0)
+    for _ in range(size.bit_length()):
+        on = (at < size) & (cut[np.minimum(at, size - 1)] >= 0)
         if not on.any():
             break
         r, k = rows[on], at[on]
@@ -261,7 +272,7 @@ class _Blocks:
         self.frame = packed.persist(StorageLevel.MEMORY_AND_DISK)
         self.n_slots = len(edges)
 
-    def advance(self, pending: list[list[Tree]]) -> None:
+    def advance(self, pending: list[list[PackedTree]]) -> None:
         """Adds trees to the margins and cuts the lineage in the shared folder."""
         n_slots = self.n_slots
 
@@ -379,7 +390,7 @@ class BoostedModel:
 
 def score_all(models: list[BoostedModel], df: DataFrame, out: str = "scores") -> DataFrame:
     """``df`` with an array of every model's score; the rows are encoded and binned once."""
-    edges, forests = models[0].edges, [m.trees for m in models]
+    edges, forests = models[0].edges, [[t.packed() for t in m.trees] for m in models]
 
     @F.pandas_udf("array<double>")
     def scores(v):
@@ -409,7 +420,7 @@ def fit_boosted(train: DataFrame, rules: list[BoostRules], label: str = "is_chur
     allowed = [np.array([i for i, (_, src) in enumerate(names) if src not in r.exclude], np.int64) for r in rules]
     blocks = _Blocks(encoded, edges, len(rules), ML.training_partitions(train.sparkSession, n, len(names)))
     trees: list[list[Tree]] = [[] for _ in rules]
-    pending: list[list[Tree]] = [[] for _ in rules]
+    pending: list[list[PackedTree]] = [[] for _ in rules]
     growing = {m: Growth(r) for m, r in enumerate(rules) if r.trees > 0}
     slots = {m: drawn_slots(r, allowed[m], 0) for m, r in enumerate(rules)}
     passes = 0
@@ -422,7 +433,7 @@ def fit_boosted(train: DataFrame, rules: list[BoostRules], label: str = "is_chur
                 if not nodes:  # the tree is done; the next one opens in the same pass
                     done = tree.finished(cuts)
                     trees[m].append(done)
-                    pending[m].append(done)
+                    pending[m].append(done.packed())
                     if len(trees[m]) == r.trees:
                         del growing[m]
                         continue
