@@ -147,3 +147,32 @@ def test_draws_are_seeded_and_distinct():
     d = B.draws(15, B.PARAM_DIST, 42)
     assert d == B.draws(15, B.PARAM_DIST, 42) and len({tuple(x.items()) for x in d}) == 15
     assert len(B.draws(9, {"depth": [1, 2]}, 1)) == 2
+
+
+def test_dummies_of_a_feature_are_counted_together(monkeypatch):
+    rng = np.random.default_rng(7)
+    pick, num = rng.integers(-1, 3, 500), rng.integers(0, 4, 500)
+    codes = np.stack([num, pick == 0, pick == 1, pick == 2]).astype(np.uint8)
+    names = [("num__a", "a"), ("cat__c_x", "c"), ("cat__c_y", "c"), ("cat__c_z", "c")]
+    edges = [np.arange(3.0), *[np.zeros(1)] * 3]
+    sets, starts = B.one_hot_sets(names, edges), np.array([0, 4, 6, 8, 10])
+    assert sets == [[0], [1, 2, 3]]
+    here, calls = rng.integers(0, 2, 500), []
+    for scale in (1, 1 << 30):  # the second does not fit into one number with the rows
+        g, h = np.rint(rng.normal(size=500) * 1e6), np.rint(rng.random(500) * 1e5) * scale
+        got, count = np.zeros((2, 3, 10), np.int64), np.bincount
+        monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+        B._add_sums(got, codes, here, g, h, sets, starts)
+        monkeypatch.undo()
+        for node in range(2):
+            for s in range(4):
+                for b in range(starts[s + 1] - starts[s]):
+                    on = (here == node) & (codes[s] == b)
+                    assert got[node, :, starts[s] + b].tolist() == [g[on].sum(), h[on].sum(), on.sum()]
+    assert len(calls) == 2 * 2 + 2 * 3
+
+
+def test_blocks_of_a_small_table_are_one_task_and_large_ones_use_every_core(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert B.block_partitions(spark, 90_000, 134) == 1
+    assert B.block_partitions(spark, 900_000, 134) % cores == 0
