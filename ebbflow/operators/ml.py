@@ -165,17 +165,36 @@ def make_classifier(kind: str, **kw):
 # target bytes per partition of the cached training frame.
 SLOT_BYTES = 8
 PARTITION_BYTES = 64 << 20
+# Rows of a task in the fit of many trees: a row costs a walk and a histogram update in every tree and level.
+TREE_ROWS = 4_096
+SCORED_ROWS = 200_000
+TREE_KINDS = ("random_forest", "boosted_trees")
 
 
-def training_partitions(spark, n_rows: int, n_slots: int) -> int:
+def training_partitions(spark, n_rows: int, n_slots: int, kind: str | None = None) -> int:
     """Partitions for an iterative fit: each L-BFGS / tree-level step is one job
     over every partition, so the count follows the data size (``PARTITION_BYTES``
     per partition, ``ebbflow.ml.partitionBytes`` overrides) instead of the
     shuffle setting - a small frame is not split into tasks that cost more to
-    schedule than to run, a large one still spreads over the cluster."""
+    schedule than to run, a large one still spreads over the cluster.  For tree
+    ensembles bytes say little about the work: from ``TREE_ROWS`` rows a task on
+    every core has its part, and larger frames come in equal waves."""
     target = int(spark.conf.get("ebbflow.ml.partitionBytes", str(PARTITION_BYTES)))
     est = n_rows * (n_slots + 3) * SLOT_BYTES  # as if dense: an upper bound for sparse vectors
-    return max(1, math.ceil(est / max(1, target)))
+    parts = max(1, math.ceil(est / max(1, target)))
+    if kind in TREE_KINDS:
+        cores = max(1, spark.sparkContext.defaultParallelism)
+        parts = max(parts, min(cores, n_rows // TREE_ROWS))
+        parts = parts if parts < cores else math.ceil(parts / cores) * cores
+    return parts
+
+
+def scoring_partitions(spark, n_rows: int, copies: int = 1) -> int:
+    """Partitions to score ``copies`` variants of each row: every core from ``TREE_ROWS`` scored rows a task on,
+    and no task beyond ``SCORED_ROWS``."""
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    scored = n_rows * copies
+    return max(1, min(cores, scored // TREE_ROWS), math.ceil(scored / SCORED_ROWS))
 
 
 def sized(df: DataFrame, parts: int) -> DataFrame:
@@ -204,7 +223,7 @@ class TrainedModel:
         # the estimator iterates over this frame: sized to the data and kept
         # (memory, spilling to disk) for the fit; lost blocks recompute from
         # the checkpointed input
-        tr = sized(tr, training_partitions(train.sparkSession, n, slots)).persist(StorageLevel.MEMORY_AND_DISK)
+        tr = sized(tr, training_partitions(train.sparkSession, n, slots, kind)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self.model = make_classifier(kind, reg=1.0 / n, **kw).fit(tr)
         finally:
@@ -302,9 +321,12 @@ def permutation_importance(tm: TrainedModel, test: DataFrame, features: list[str
     one grouped curve computation (group = permuted feature), so the model runs
     as one parallel job instead of one job per feature."""
     from ebbflow.operators.curves import ranking_metrics
+    spark = test.sparkSession
     pairs = permutation_partner(test, key)
     donor = test.select(F.col(key).alias("partner"), *[F.col(f).alias(f"_p_{f}") for f in features])
     wide = test.join(pairs, key).join(donor, "partner").drop("partner").checkpoint(eager=True)
+    # a row is scored once for each variant: tasks by that work, not by the bytes of the join
+    wide = sized(wide, scoring_partitions(spark, wide.count(), len(features) + 1))
     base = ""  # group of the unpermuted rows
     long = wide.select("*", F.explode(F.array(F.lit(base), *[F.lit(f) for f in features])).alias("_feature"))
     swapped = long.select("_feature", *[F.when(F.col("_feature") == F.lit(c), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c)
@@ -318,6 +340,5 @@ def permutation_importance(tm: TrainedModel, test: DataFrame, features: list[str
         scored.unpersist()
     base_ap = float(aps[base])
     rows = [(f, base_ap, float(aps[f]), float(base_ap - aps[f])) for f in features]
-    spark = test.sparkSession
     return small_frame(spark, rows, "feature string, pr_auc_base double, pr_auc_permuted double, importance double") \
         .withColumn("method", F.lit("permutation (hash-paired rows), PR-AUC drop"))

@@ -65,3 +65,13 @@ def test_one_pass_permutation_importance_equals_per_feature_passes(spark):
         ap = ranking_metrics(tm.score(swapped), "score").first()["pr_auc"]
         assert abs(got[f]["pr_auc_base"] - base) < 1e-12
         assert abs(got[f]["pr_auc_permuted"] - ap) < 1e-12
+
+
+def test_tree_fits_and_scoring_use_every_core(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for kind in ML.TREE_KINDS:
+        assert ML.training_partitions(spark, 1_500, 134, kind) == 1
+        assert ML.training_partitions(spark, 90_000, 134, kind) >= cores
+        assert ML.training_partitions(spark, 900_000, 134, kind) % cores == 0
+    assert ML.scoring_partitions(spark, 90_000, 30) >= cores
+    assert ML.scoring_partitions(spark, 100) == 1
