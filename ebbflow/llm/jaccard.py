@@ -4,7 +4,8 @@ A text is the set of its five-word shingles (a text of one to four words has one
 all its words).  Equal sets are one member with a copy count.  In each run a set picks
 the shingles whose hash, seeded by the path so far, lies below ``width / size``, and goes
 down the path of every pick; after two picks the paths are buckets.  Buckets over
-``bucket_limit`` are split by further picks.  Runs repeat until a pair of the target
+``bucket_limit`` are split by further picks, unless most of their members share so many large
+buckets that picks would not part them (``dense_buckets``).  Runs repeat until a pair of the target
 similarity shares a bucket with the target probability, also if all its buckets are split.  Inside a bucket all pairs are
 compared exactly on their sets; a pair that shares several buckets counts in the least one
 alone, so links need not be emitted as pairs: each bucket gives its members' link counts
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,7 @@ class JoinRules:
     family_block: int = 4096     # members of a block of a family
     tile: int = 512              # members compared at once inside blocks
     max_level: int = 4
+    dense_share: float = 0.75    # members near the centre that make a large bucket dense
 
     @property
     def runs(self) -> int:
@@ -290,6 +293,18 @@ def _linked(rows: DataFrame, rules: JoinRules) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LINKED)
 
 
+def dense_buckets(big: DataFrame, rules: JoinRules) -> DataFrame:
+    """The large buckets of (bucket, key) that further picks would not thin out, for they hold near copies:
+    most members share large buckets with the member that has most of them, one a run or more.  Sets with
+    half their shingles in common do so; a pick more of each multiplies their common buckets by one or more."""
+    lists = big.groupBy("key").agg(F.collect_set("bucket").alias("among"))
+    listed = big.select("bucket", "key").join(lists, "key")
+    centres = listed.groupBy("bucket").agg(F.max_by("among", F.struct(F.size("among"), "key")).alias("centre"))
+    near = F.size(F.array_intersect("among", "centre")) >= len(run_seeds(rules))
+    shares = listed.join(centres, "bucket").groupBy("bucket").agg(F.avg(near.cast("int")).alias("near"))
+    return shares.filter(F.col("near") >= rules.dense_share).select("bucket")
+
+
 def families(big: DataFrame) -> DataFrame:
     """(key, family) of the members of large buckets (bucket, key): buckets with a common member are one family."""
     least = stored(big.groupBy("key").agg(F.min("bucket").alias("least")), "least-buckets")
@@ -385,14 +400,19 @@ def join(docs: DataFrame, rules: JoinRules = JoinRules()) -> Join:
     reps = stored(reps.select("key", "one.doc_id", "one.mark", "first_id", "copies", "size", "paths"), "sets")
     rows = stored(_counted(reps.select(F.explode("paths").alias("bucket"), "key", "size").distinct()), "paths")
     sets = stored(_sets(docs, reps.join(rows.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "mark"), rules), "shingles")
+    over, families_of = F.col("members") > rules.bucket_limit, []
     for _ in range(2, rules.max_level):
-        big = rows.filter(F.col("members") > rules.bucket_limit)
+        big = rows.filter(over)
         if big.isEmpty():
             break
-        split = _counted(_deeper(big.select("bucket", "key", "size").join(sets, "key"), rules).distinct())
-        rows = stored(rows.filter(F.col("members") <= rules.bucket_limit).unionByName(split.select(rows.columns)), "paths")
-    large = (F.col("members") > rules.bucket_limit) | (F.col("shingle_sum") > rules.block_shingles)
-    member = stored(families(rows.filter(large).select("bucket", "key")), "families")
+        dense = dense_buckets(big, rules).withColumn("dense", F.lit(True))
+        big = stored(big.join(F.broadcast(dense), "bucket", "left"), "large-buckets")
+        families_of.append(big.filter("dense").select("bucket", "key"))
+        split = _counted(_deeper(big.filter("dense IS NULL").select("bucket", "key", "size").join(sets, "key"), rules).distinct())
+        rows = stored(rows.filter(~over).unionByName(split.select(rows.columns)), "paths")
+    large = over | (F.col("shingle_sum") > rules.block_shingles)
+    families_of.append(rows.filter(large).select("bucket", "key"))
+    member = stored(families(reduce(DataFrame.unionByName, families_of)), "families")
     rows = rows.filter(~large)
     lists = rows.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
     listed = lists.join(reps.select("key", "copies"), "key").join(member, "key", "left")

@@ -231,3 +231,26 @@ def test_families_equal_brute_force(spark):
     rules = jaccard.JoinRules(bucket_limit=8, family_block=16, tile=8, target_recall=1 - 1e-7)
     got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(df, rules).collect()}
     assert [got[i] for i, _ in rows] == links
+
+
+def test_near_copies_are_not_split(spark, monkeypatch):
+    """Buckets of near copies go to their family whole: further picks would make rows and part nobody.
+    Buckets of a passage that else different texts share are split as before."""
+    from ebbflow.llm import jaccard
+    made = []
+
+    def deeper(rows, rules, real=jaccard._deeper):
+        out = real(rows, rules).cache()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_deeper", deeper)
+    words = [f"w{k}" for k in range(120)]
+    near = [(k, " ".join(words[:k % 120] + [f"x{k}"] + words[k % 120 + 1:])) for k in range(300)]
+    rules = jaccard.JoinRules(bucket_limit=100)
+    got = jaccard.near_duplicates(spark.createDataFrame(near, "doc_id long, text string"), rules).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 299)}
+    assert sum(made) <= 2 * len(near)           # a few buckets at most
+    mixed = [(b, bytes([k])) for k in range(200) for b in range(20)] + [(99, bytes([k, 1])) for k in range(200)]
+    big = spark.createDataFrame(mixed, "bucket long, key binary")
+    assert {r.bucket for r in jaccard.dense_buckets(big, rules).collect()} == set(range(20))
