@@ -75,3 +75,22 @@ def test_tree_fits_and_scoring_use_every_core(spark):
         assert ML.training_partitions(spark, 900_000, 134, kind) % cores == 0
     assert ML.scoring_partitions(spark, 90_000, 30) >= cores
     assert ML.scoring_partitions(spark, 100) == 1
+
+
+def test_driver_importance_equals_numpy_without_unpacked_slots(spark, monkeypatch):
+    import numpy as np
+    tm = ML.TrainedModel("logistic_regression", Chain(spark, SF_SMALL, "v1").scored(), C.PROXY_EXCLUDE, max_iter=50)
+    test = Chain(spark, SF_SMALL, "v2").scored()
+    v = np.array([r["features"].toArray() for r in tm.pre.transform(test).select("features").collect()])
+    want: dict[str, float] = {}
+    for (_, source), x in zip(tm.pre.encoded_names(), np.abs(tm.model.coefficients.toArray() * (v - v.mean(axis=0))).mean(axis=0)):
+        want[source] = want.get(source, 0.0) + x
+
+    def no_arrays(*_):
+        raise AssertionError("an aggregate for each slot of an unpacked vector")
+
+    monkeypatch.setattr(ML, "vector_to_array", no_arrays)
+    got = {r["feature"]: r["mean_abs_contribution"] for r in ML.linear_driver_importance(tm, test).collect()}
+    assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want)
+    none = ML.linear_driver_importance(tm, test.limit(0)).collect()
+    assert len(none) == len(want) and all(r["mean_abs_contribution"] == 0.0 for r in none)
