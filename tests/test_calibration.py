@@ -105,3 +105,22 @@ def test_quantile_edges_are_exact_inside_ties(spark):
     for p, g in zip(probs, got):
         lo, hi = values[int(np.floor(p * 360))], values[int(np.ceil(p * 360))]
         assert g == lo if lo == hi else lo <= g <= hi
+
+
+def test_newton_steps_take_tasks_by_the_blocks(spark):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(float(a), float(c), int(b)) for a, c, b in zip(
+        np.round(rng.random(300), 2), np.round(rng.random(300), 2), rng.random(300) < 0.4)], "score double, other double, is_churn int")
+    spark.sparkContext.setJobGroup("newton", "steps")
+    try:
+        (w, b), _ = CA.fit_platt_many(df, ["score", "other"])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    last = sorted(status.getJobIdsForGroup("newton"))[-2:]      # the last step: its sums in the tasks, then theirs
+    ran = [status.getStageInfo(s) for j in last for s in status.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in ran if s is not None and s.numCompletedTasks) == 1   # two columns of a hundred blocks at most
+    rows = df.collect()
+    x, y = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    p = 1 / (1 + np.exp(-(w * x + b)))
+    assert abs(((p - y) * x).sum() + w) < 1e-8 and abs((p - y).sum()) < 1e-8
