@@ -176,3 +176,34 @@ def test_blocks_of_a_small_table_are_one_task_and_large_ones_use_every_core(spar
     cores = spark.sparkContext.defaultParallelism
     assert B.block_partitions(spark, 90_000, 134) == 1
     assert B.block_partitions(spark, 900_000, 134) % cores == 0
+
+
+def test_a_small_table_is_fitted_in_one_job(train, models, monkeypatch):
+    """300 rounds of about seven passes are 2,000 jobs otherwise, whatever the rows."""
+    def no_pass(*_):
+        raise AssertionError("a pass for each level of each tree")
+
+    monkeypatch.setattr(B, "_measure", no_pass)
+    again = B.fit_boosted(train, RULES, pre=models[0].pre)
+    assert [m.trees for m in again] == [m.trees for m in models]
+    assert {m.passes for m in again} == {1}
+
+
+def test_trees_grown_in_a_task_equal_shared_passes(spark, train, models):
+    """Dummies, drawn rows and columns, a limit of leaves, one of depth only, no depth; and rows that come twice."""
+    rules = [B.BoostRules(trees=5, lr=0.3, depth=6, leaves=9, min_rows=3, min_hess=1e-3, l2=0.0, subsample=0.7, colsample=0.6),
+             B.BoostRules(trees=4, depth=3, min_hess=0.5, subsample=0.8), B.BoostRules(trees=2, depth=0), B.BoostRules(trees=0)]
+    twice = train.unionByName(train.limit(60)).checkpoint(eager=True)
+    here = B.fit_boosted(twice, rules, pre=models[0].pre)
+    spark.conf.set("ebbflow.ml.partitionBytes", "20000")
+    try:
+        passed = B.fit_boosted(twice, rules, pre=models[0].pre)
+    finally:
+        spark.conf.unset("ebbflow.ml.partitionBytes")
+    assert passed[0].passes > 1 == here[0].passes
+    for a, b in zip(here, passed):
+        assert [t.routes for t in a.trees] == [t.routes for t in b.trees]
+        assert [t.values for t in a.trees] == [t.values for t in b.trees]
+    assert len(here[0].trees[0].values) > 4 and here[3].trees == []
+    none = B.fit_boosted(train.limit(0), rules[:1], pre=models[0].pre)[0]
+    assert [t.routes for t in none.trees] == [{}] * 5 and all(set(t.values) == {1} for t in none.trees)
