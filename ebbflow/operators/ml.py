@@ -330,6 +330,18 @@ def permutation_partner(df: DataFrame, key: str = "msno", bucket_rows: int = 10_
     return left.join(right, ["_b", "_r"]).select(key, "partner")
 
 
+def _scored_variants(tm, test: DataFrame, pairs: DataFrame, features: list[str], base: str, key: str) -> DataFrame:
+    """Every variant of the rows as rows of its own, scored by the model."""
+    donor = test.select(F.col(key).alias("partner"), *[F.col(f).alias(f"_p_{f}") for f in features])
+    wide = test.join(pairs, key).join(donor, "partner").drop("partner").checkpoint(eager=True)
+    # a row is scored once for each variant: tasks by that work, not by the bytes of the join
+    wide = sized(wide, scoring_partitions(test.sparkSession, wide.count(), len(features) + 1))
+    long = wide.select("*", F.explode(F.array(F.lit(base), *[F.lit(f) for f in features])).alias("_feature"))
+    swapped = long.select("_feature", *[F.when(F.col("_feature") == F.lit(c), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c)
+                                        if c in features else F.col(c) for c in test.columns])
+    return tm.score(swapped)
+
+
 def permutation_importance(tm: TrainedModel, test: DataFrame, features: list[str], label: str = "is_churn",
                            key: str = "msno") -> DataFrame:
     """H26(b): PR-AUC drop when one source feature's values are swapped between
@@ -338,19 +350,22 @@ def permutation_importance(tm: TrainedModel, test: DataFrame, features: list[str
     unpermuted rows plus one copy per feature with only that column swapped - is
     then scored in ONE pass over an exploded frame, and all PR-AUCs come from
     one grouped curve computation (group = permuted feature), so the model runs
-    as one parallel job instead of one job per feature."""
+    as one parallel job instead of one job per feature.  A forest of tasks takes the codes of a row and of its partner
+    instead of exploded rows, and walks a variant only down the trees whose paths meet its feature."""
     from ebbflow.operators.curves import ranking_metrics
     spark = test.sparkSession
     pairs = permutation_partner(test, key)
-    donor = test.select(F.col(key).alias("partner"), *[F.col(f).alias(f"_p_{f}") for f in features])
-    wide = test.join(pairs, key).join(donor, "partner").drop("partner").checkpoint(eager=True)
-    # a row is scored once for each variant: tasks by that work, not by the bytes of the join
-    wide = sized(wide, scoring_partitions(spark, wide.count(), len(features) + 1))
     base = ""  # group of the unpermuted rows
-    long = wide.select("*", F.explode(F.array(F.lit(base), *[F.lit(f) for f in features])).alias("_feature"))
-    swapped = long.select("_feature", *[F.when(F.col("_feature") == F.lit(c), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c)
-                                        if c in features else F.col(c) for c in test.columns])
-    scored = tm.score(swapped).select("_feature", label, "score").persist(StorageLevel.MEMORY_AND_DISK)
+    if getattr(tm, "forest", None):
+        coded = tm.forest.with_codes(tm.pre.transform(test), "codes").select(key, F.col(label).alias("label"), "codes").checkpoint(eager=True)
+        donor = coded.select(F.col(key).alias("partner"), F.col("codes").alias("donor"))
+        wide = coded.join(pairs, key).join(donor, "partner").select("label", "codes", "donor").checkpoint(eager=True)
+        wide = sized(wide, scoring_partitions(spark, wide.count(), len(features) + 1))
+        scored = tm.forest.swapped_scores(wide, features).select(F.col("label").alias(label), F.posexplode("scores").alias("_k", "score")) \
+            .select(F.array(F.lit(base), *map(F.lit, features))[F.col("_k")].alias("_feature"), label, "score")
+    else:
+        scored = _scored_variants(tm, test, pairs, features, base, key).select("_feature", label, "score")
+    scored.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # one row per variant (features + 1) comes back
         aps = {r["_feature"]: r["pr_auc"] for r in
