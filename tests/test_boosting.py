@@ -207,3 +207,49 @@ def test_trees_grown_in_a_task_equal_shared_passes(spark, train, models):
     assert len(here[0].trees[0].values) > 4 and here[3].trees == []
     none = B.fit_boosted(train.limit(0), rules[:1], pre=models[0].pre)[0]
     assert [t.routes for t in none.trees] == [{}] * 5 and all(set(t.values) == {1} for t in none.trees)
+
+
+def test_residual_rule_is_mllibs_gradient_boosting(spark):
+    """Scores of MLlib's GBTClassifier, the same where no slot has more values than bins (later trees differ in ties);
+    also by shared passes."""
+    from ebbflow import config as C
+    from conftest import SF_MID
+    full = Chain(spark, SF_MID, "v1").scored()
+    train = full.select(*[(F.col(c).cast("long") % 17).alias(c) if c in C.NUMERIC_CONTINUOUS else c for c in full.columns]).checkpoint(eager=True)
+    r = B.BoostRules(trees=2, depth=3, lr=0.1, l2=0.0, min_hess=0.0, residual=True)
+    own = B.fit_boosted(train, [r], every_value=True)[0]
+    theirs = ML.TrainedModel("boosted_trees", train, pre=own.pre, trees=2, depth=3, lr=0.1)
+    both = theirs.score(own.score(train, "a"), "b").select("a", "b").toPandas()
+    assert (both["a"] - both["b"]).abs().max() < 1e-6 and both["a"].nunique() > 20
+    spark.conf.set("ebbflow.ml.partitionBytes", "200000")
+    try:
+        passed = B.fit_boosted(train, [r], pre=own.pre, every_value=True)[0]
+    finally:
+        spark.conf.unset("ebbflow.ml.partitionBytes")
+    assert passed.passes > 1 == own.passes and passed.trees == own.trees
+
+
+def test_every_value_of_few_is_an_edge(spark, train, models):
+    """Rare values have edges; with more values than bins the edges are half way between neighbours."""
+    from ebbflow.operators.forest import numeric_edges
+    rows = [([float(i == 0), float(i)],) for i in range(320)]
+    df = spark.createDataFrame(rows, "v array<double>").select(B.F.col("v"))
+    from pyspark.ml.functions import array_to_vector
+    a, b = numeric_edges(df.select(array_to_vector("v").alias("features")), 2)
+    assert a.tolist() == [0.5] and b.size == 31 and b[0] == 9.5
+
+
+def test_benchmark_boosting_takes_no_job_a_level(spark, train):
+    """The benchmark's boosted trees are no MLlib fit, which takes a job or more for each level of 200 trees."""
+    from ebbflow.plans import q_ml
+    assert "boosted_trees" not in {kind for _, kind, _ in q_ml.BENCH_MODELS}
+    tracker = spark.sparkContext.statusTracker()
+    n = []
+    for k, trees in enumerate((1, 30)):
+        spark.sparkContext.setJobGroup(f"boost-{k}", "")
+        try:
+            B.fit_boosted(train, [B.BoostRules(trees=trees, depth=6, residual=True)], every_value=True)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        n.append(len(tracker.getJobIdsForGroup(f"boost-{k}")))
+    assert n[0] > 0 and n[1] <= n[0] + 2
