@@ -124,3 +124,24 @@ def test_newton_steps_take_tasks_by_the_blocks(spark):
     x, y = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
     p = 1 / (1 + np.exp(-(w * x + b)))
     assert abs(((p - y) * x).sum() + w) < 1e-8 and abs((p - y).sum()) < 1e-8
+
+
+def test_isotonic_values_read_no_frame_anew_for_each_row(spark):
+    """A frame from the row to the end of its range took 38 s for 24,000 scores; the next block end is found from behind."""
+    from ebbflow.operators import isotonic
+    rows = [(k / 40, 1.0, float(k % 7 < k / 6)) for k in range(40)]
+    model = isotonic.fit(spark.createDataFrame(rows, "x double, n double, pos double"))
+    asked = spark.createDataFrame([(k / 97 - 0.1,) for k in range(120)] + [(None,)], "x double")
+    found = isotonic.values(model, asked)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    per_range = [w for w in plan.splitlines() if w.lstrip(" +-:").startswith("Window") and "windowspecdefinition(seat#" in w]
+    assert any("unboundedpreceding$(), currentrow$()" in w for w in per_range)
+    inside = [w for w in per_range if "x#" in w.split("windowspecdefinition(seat#")[1]]
+    assert inside and not any("currentrow$(), unboundedfollowing$()" in w for w in inside)
+    blocks = sorted((r["lo"], r["hi"], r["fit"]) for r in model.blocks.collect())
+    xs = [e for lo, hi, _ in blocks for e in (lo, hi)]
+    ys = [f for _, _, f in blocks for _ in (0, 1)]
+    got = {r["x"]: r["fit"] for r in found.collect()}
+    assert len(got) == 120
+    for x, y in got.items():
+        assert abs(y - float(np.interp(x, xs, ys))) < 1e-12
